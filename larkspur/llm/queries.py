@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import mixing
+from larkspur.llm import mixing, simhash
 from larkspur.llm.shared import materialise, table
 
 
@@ -14,5 +14,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(materialise(sized, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op6_mixing": op6_mixing}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
