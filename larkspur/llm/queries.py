@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, simhash
+from larkspur.llm import mixing, piece_codec, simhash, sstable
 from larkspur.llm.shared import materialise, table
 
 
@@ -14,9 +16,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(materialise(sized, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(piece_codec.MODEL))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sstable.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(sstable.VOCABULARY))
+    return kept.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}

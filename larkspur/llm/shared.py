@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and \t to \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts that a task holds as Python objects at once.
+ROWS_AT_ONCE = 512
+
 #: Rows up to which the smaller side of a join is broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -60,9 +63,11 @@ def map_texts(df: DataFrame, schema: str, rows_of: Callable[[list, list[str]], d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(kept))]
-            made = rows_of(columns, batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in made.values())], names=[*(f.name for f in kept), *made])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                columns = [part.column(i) for i in range(len(kept))]
+                made = rows_of(columns, part.column(len(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in made.values())], names=[*(f.name for f in kept), *made])
 
     return df.select(*(f.name for f in kept), text_of().alias("text")).mapInArrow(run, out)
 
