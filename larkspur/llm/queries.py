@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, piece_codec, simhash, sstable
+from larkspur.llm import mixing, piece_codec, quality_rules, secret_scan, simhash, sstable
 from larkspur.llm.shared import materialise, table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; the sizes are counted in one pass over the texts and kept as a narrow table."""
     sized = mixing.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
@@ -30,5 +44,5 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op6_mixing": op6_mixing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing}
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
