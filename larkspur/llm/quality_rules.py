@@ -3,10 +3,12 @@
 The base rule rejects texts of fewer than MIN_WORDS words, or with more than
 half of their words in repeated 3-word windows.  The rest are judged by an
 isolation forest over rule statistics: documents that few random splits set
-apart from the others are anomalous.  The forest is fitted on at most
-``FIT_ROWS`` rows labelled quality 1 (by hash of doc_id); its threshold is calibrated on
-all labelled rows as the anomaly score that best separates quality 0 from 1
-while at most ``MAX_LOST`` of quality 1 is rejected.
+apart from the others are anomalous.  Thresholds come from labelled rows: each
+rate counts from the value that a share ``LIMIT_SHARE`` of all rows labelled
+quality 1 does not exceed; the forest is fitted on at most ``FIT_ROWS``
+labelled rows (by hash of doc_id); and the anomaly from which documents go is
+the one that best separates quality 0 from 1, over all labelled rows, while at
+most ``MAX_LOST`` of quality 1 is rejected.
 
 Nulls and edges: a null or blank text has no words and fails the base rule;
 null or repeated doc_ids are kept as they are (a null one has no label, the
@@ -16,7 +18,11 @@ rule applies; an empty table gives no rows.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +33,7 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 TREES, SAMPLE, FIT_ROWS, SEED = 100, 256, 8192, 7
-MAX_LOST = 0.005
+LIMIT_SHARE, MAX_LOST = 0.998, 0.005
 #: Scores are calibrated to this many steps.
 STEPS = 2000
 
@@ -77,13 +83,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Rule statistics as rates."""
-    c = {k: np.asarray(v, float) for k, v in c.items()}
-    words, letters = np.maximum(c["n_words"], 1), np.maximum(c["n_letters"], 1)
-    return np.column_stack(
-        [c["word_chars"] / words, c["n_symbols"] / words, c["n_marks"] / words, c["n_upper"] / letters, c["n_same_next"] / words, c["n_repeat_words"] / words, c["n_dup_lines"] / np.maximum(c["n_lines"], 1)]
-    )
+def _rate(part: str, whole: str) -> Column:
+    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
+
+
+def rates() -> dict[str, Column]:
+    """The rule statistics that the forest sees."""
+    return {
+        "word_length": _rate("word_chars", "n_words"), "symbols": _rate("n_symbols", "n_words"), "marks": _rate("n_marks", "n_words"), "upper": _rate("n_upper", "n_letters"),
+        "same_next": _rate("n_same_next", "n_words"), "repeated": _rate("n_repeat_words", "n_words"), "dup_lines": _rate("n_dup_lines", "n_lines"),
+    }
 
 
 def _mean_path(n: float) -> float:
@@ -131,19 +140,27 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(_mean_path(self.size), 1e-9))
 
 
-def with_scores(stats: DataFrame, forest: IsolationForest) -> DataFrame:
-    """stats plus ``anomaly``."""
-    names = (*BASE, *MORE)
-    schema = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
+@dataclass
+class Rules:
+    """What is fitted: the limit of each rate, the forest over the excess, the anomaly from which documents go."""
 
-    def run(batches):
-        import pyarrow as pa
+    limits: np.ndarray
+    forest: IsolationForest
+    threshold: float = float("inf")
+
+
+def with_scores(stats: DataFrame, rules: Rules) -> DataFrame:
+    """stats plus ``anomaly``."""
+    found = stats.withColumns(rates())
+    schema = T.StructType([*found.schema.fields, T.StructField("anomaly", T.DoubleType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = forest.score(features({c: batch.column(c).to_numpy() for c in names})) if batch.num_rows else np.zeros(0)
-            yield batch.append_column("anomaly", pa.array(found, pa.float64()))
+            seen = np.column_stack([batch.column(c).to_numpy() for c in rates_names])
+            yield batch.append_column("anomaly", pa.array(rules.forest.score(np.maximum(seen - rules.limits, 0)), pa.float64()))
 
-    return stats.mapInArrow(run, schema)
+    rates_names = list(rates())
+    return found.mapInArrow(run, schema).drop(*rates_names)
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,29 +169,33 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.where(~base_failed()).join(one, "doc_id")
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST) -> tuple[IsolationForest, float] | None:
-    """The forest and its threshold; None without labelled rows of both kinds.
+def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST) -> Rules | None:
+    """The fitted rules; None without labelled rows of both kinds.
 
-    The driver gets at most fit_rows rows, and at most 2 * STEPS counts.
+    The driver gets a limit for each rate, at most fit_rows rows, and at most 2 * STEPS counts.
     """
     known = materialise(labelled(stats, labels), "labelled-statistics")
-    taken = known.where("quality >= 1").orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(fit_rows).toPandas()
-    if len(taken) < 2 or known.where("quality < 1").isEmpty():
+    good = known.where("quality >= 1")
+    limits = good.agg(*(F.percentile_approx(c, LIMIT_SHARE, 100_000).alias(n) for n, c in rates().items())).first()
+    if limits[0] is None or known.where("quality < 1").isEmpty():
         return None
-    forest = IsolationForest(features({c: taken[c].to_numpy() for c in (*BASE, *MORE)}))
-    steps = with_scores(known, forest).groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step")).agg(F.sum(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") >= 1, 0).otherwise(1)).alias("bad"))
-    table = np.array([tuple(r) for r in steps.orderBy("step").collect()], float)
-    step, good, bad = table.T
-    lost, caught = np.cumsum(good[::-1])[::-1] / max(good.sum(), 1), np.cumsum(bad[::-1])[::-1] / max(bad.sum(), 1)
+    limits = np.array(limits, float)
+    taken = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(fit_rows).select(*(c.alias(n) for n, c in rates().items())).toPandas()
+    rules = Rules(limits, IsolationForest(np.maximum(taken.to_numpy(float) - limits, 0)))
+    is_good = (F.col("quality") >= 1).cast("int")
+    steps = with_scores(known, rules).groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step")).agg(F.sum(is_good).alias("good"), F.sum(1 - is_good).alias("bad"))
+    step, kept, gone = np.array([tuple(r) for r in steps.orderBy("step").collect()], float).T
+    lost, caught = (np.cumsum(x[::-1])[::-1] / max(x.sum(), 1) for x in (kept, gone))
     gain = np.where(lost <= max_lost, caught - lost, -1.0)
-    best = int(np.argmax(gain))
-    return forest, float(step[best] / STEPS) if gain[best] > 0 else float("inf")
+    if gain.max() > 0:
+        rules.threshold = float(step[int(np.argmax(gain))] / STEPS)
+    return rules
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts of BASE, base_failed, anomaly (null if nothing could be fitted), kept."""
     stats = materialise(statistics(docs), "statistics")
-    fitted = fit(stats, labels)
-    scored = stats.withColumn("anomaly", F.lit(None).cast("double")) if fitted is None else with_scores(stats, fitted[0])
-    good = F.lit(True) if fitted is None else F.col("anomaly") < fitted[1]
+    rules = fit(stats, labels)
+    scored = stats.withColumn("anomaly", F.lit(None).cast("double")) if rules is None else with_scores(stats, rules)
+    good = F.lit(True) if rules is None else F.col("anomaly") < rules.threshold
     return scored.select("doc_id", *BASE, base_failed().alias("base_failed"), "anomaly", (~base_failed() & good).alias("kept"))

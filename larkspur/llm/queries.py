@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, piece_codec, quality_rules, secret_scan, simhash, sstable
+from larkspur.llm import chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, toxicity
 from larkspur.llm.shared import materialise, table
 
 
@@ -14,6 +14,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -44,5 +50,18 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing}
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings, written to the shared folder and read back."""
+    control = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.read_back(materialise(chat.examples(rows), "chat")))
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: the documents that are taken."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance}
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
