@@ -12,9 +12,10 @@ each hashed to one of BUCKETS.
 
 k is the number of documents whose log weight reaches the limit that best
 separates labelled quality 1 from 0 while at most MAX_LOST of quality 1 falls
-below it.  The target model, and that limit, are fitted on at most FIT_ROWS
-labelled rows of each class by hash of doc_id (their ids are broadcast); the
-raw model counts every document.  The k-th largest key is found by counting,
+below it.  Of at most FIT_ROWS labelled rows of each class by hash of doc_id
+(their ids are broadcast), one half gives the target model and the other the
+limit, so that texts which the model has seen don't set it; the raw model
+counts every document.  The k-th largest key is found by counting,
 not by gathering; ties with it are all taken.
 
 Nulls and edges: a null or blank text has no n-grams and log weight 0; a null
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.chunks import ChunkTable
@@ -39,11 +40,11 @@ from larkspur.llm.shared import join_small, map_texts, materialise
 
 BUCKETS = 1 << 16
 FIT_ROWS = 10_000
-PSEUDO_COUNT = 1.0
+SMOOTHING = 20.0
 MAX_LOST = 0.002
 SEED = "sample-1"
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
-_table = ChunkTable(str.split, lambda words: [[zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _TOKEN.findall(w)] for w in words], "<u4")
+_table = ChunkTable(str.split, lambda words: [[zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _TOKEN.findall(w)] for w in words], "I")
 
 
 def grams(texts: list[str]) -> list[np.ndarray]:
@@ -79,9 +80,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log of target share over raw share of each bucket; the raw shares smooth the target's."""
-    base = (raw + PSEUDO_COUNT) / (raw.sum() + PSEUDO_COUNT * len(raw))
-    return np.log((target + PSEUDO_COUNT * base * len(raw) * 0.01) / (target.sum() + PSEUDO_COUNT * len(raw) * 0.01)) - np.log(base)
+    """log of target share over raw share of each bucket, the raw counts scaled to the target's size and SMOOTHING added to both."""
+    return np.log((target + SMOOTHING) / (raw * (target.sum() / max(raw.sum(), 1)) + SMOOTHING))
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -135,15 +135,43 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
-    """doc_id, log_weight, sample_key, kept of every document."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST) -> tuple[np.ndarray, float] | None:
+    """The log ratio of each bucket and the limit of log weights; None without labels of both classes."""
     known = materialise(labelled(docs, labels, fit_rows), "quality-texts")
     if known.select("good").distinct().count() < 2:
-        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("sample_key"), F.lit(True).alias("kept"))
-    ratio = log_ratio(bucket_counts(known.where("good = 1")), bucket_counts(docs))
-    fitted = weigh(known, ratio, ("good",)).toPandas()
-    limit = limit_of(fitted["good"].to_numpy(int), fitted["log_weight"].to_numpy(float), max_lost)
+        return None
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    ratio = log_ratio(bucket_counts(known.where("good = 1").where(half == 0)), bucket_counts(docs))
+    fitted = weigh(known.where(half == 1), ratio, ("good",)).toPandas()
+    return ratio, limit_of(fitted["good"].to_numpy(int), fitted["log_weight"].to_numpy(float), max_lost)
+
+
+def sample_key(seed: str = SEED) -> Column:
+    """log_weight with Gumbel noise from a hash of doc_id."""
     uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = materialise(weigh(docs, ratio).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "sample-keys")
-    k = keyed.where(F.col("log_weight") >= limit).count()
-    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(kth_largest(keyed, "sample_key", k)))
+    return F.col("log_weight") - F.log(-F.log(uniform))
+
+
+def least_key(keyed: DataFrame, limit: float) -> float:
+    """The key of the last document that is taken."""
+    return kth_largest(keyed, "sample_key", keyed.where(F.col("log_weight") >= limit).count())
+
+
+def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
+    """doc_id, log_weight, sample_key, kept of every document."""
+    fitted = fit(docs, labels, fit_rows, max_lost)
+    if fitted is None:
+        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("sample_key"), F.lit(True).alias("kept"))
+    keyed = materialise(weigh(docs, fitted[0]).withColumn("sample_key", sample_key(seed)), "sample-keys")
+    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(least_key(keyed, fitted[1])))
+
+
+def take(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
+    """The documents that are taken, with all their columns: weights are found anew beside the text, so that no text is shuffled."""
+    fitted = fit(docs, labels, fit_rows, max_lost)
+    if fitted is None:
+        return docs
+    keyed = materialise(weigh(docs, fitted[0]).withColumn("sample_key", sample_key(seed)), "sample-keys")
+    least = least_key(keyed, fitted[1])
+    weighed = weigh(docs.withColumn("_text", F.col("text")), fitted[0], tuple("_text" if c == "text" else c for c in docs.columns))
+    return weighed.where(sample_key(seed) >= F.lit(least)).select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -40,7 +40,7 @@ class Codec:
         rewrites = any(self.model.decode(self.model.encode(x)) != x for x in _PROBES)
         self.by_chunk = MARK in pieces and not rewrites and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.table = ChunkTable(self._split, self._segment, "<u4")
+        self.table = ChunkTable(self._split, self._segment, "I")
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -75,12 +75,12 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (the text that the ids give back)."""
+def round_trip(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, ids (binary: little-endian unsigned 32-bit integers), decoded (the text that the ids give back)."""
 
     def rows(_: list, texts: list[str]) -> dict:
         coder = codec(model_path)
         packed = coder.encode(texts)
         return {"ids": pa.array(packed, pa.binary()), "decoded": pa.array(coder.decode(packed), pa.string())}
 
-    return map_texts(docs, "ids binary, decoded string", rows)
+    return map_texts(docs, "ids binary, decoded string", rows, keys)

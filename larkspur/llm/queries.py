@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, toxicity
+from larkspur.llm import ann, chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, toxicity
 from larkspur.llm.shared import materialise, table
 
 
@@ -63,5 +63,10 @@ def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance}
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance, "op9_neighbours": op9_neighbours}
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}

@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Words that occur more often in toxic than in other labelled texts are the
-inputs of a logistic regression.  Where a labelled text names a group of people
+Words, and beginnings of words, that occur more often in toxic than in other
+labelled texts are the inputs of a logistic regression.  Where a labelled text names a group of people
 (IDENTITY_GROUPS), a copy with the group's terms swapped is made, and the loss
 has, besides the log loss, COUNTERFACTUAL times the squared change of the
 log-odds between text and copy: neutral mentions of one group can't score above
@@ -34,6 +34,8 @@ from larkspur.llm.shared import join_small, map_texts, materialise
 FOLDS = 5
 FIT_ROWS = 10_000
 MAX_WORDS, MIN_TEXTS = 1024, 5
+#: Bytes of the beginnings of words.
+STEMS = (4, 5, 6)
 RIDGE, COUNTERFACTUAL, STEPS, RATE = 2e-4, 1.0, 250, 0.2
 
 #: Terms of which one may stand for another of its line.
@@ -54,8 +56,9 @@ def held_out() -> Column:
 
 
 def words_of(text: str) -> set[bytes]:
-    """The distinct lower-case words, ASCII punctuation taken as space."""
-    return set(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
+    """The distinct lower-case words, ASCII punctuation taken as space, and how longer words begin (for inflected forms)."""
+    words = set(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
+    return words.union(b"^" + w[:n] for w in words for n in STEMS if len(w) > n)
 
 
 def swapped(text: str) -> str | None:
