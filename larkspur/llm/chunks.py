@@ -12,25 +12,32 @@ chunks and each text's positions to save at most half of the segmentation.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 LIMIT = 400_000
 
 
 class ChunkTable:
-    """ids(texts): the ids of each text as packed little-endian integers of ``dtype``."""
+    """ids(texts): the ids of each text as packed integers of array type ``kind``.
+
+    split(text) gives the keys of a text's chunks, segment(keys) the ids of each new one.
+    """
 
-    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], list[list[int]]], dtype: str, limit: int = LIMIT):
-        self.split, self.segment, self.dtype, self.limit = split, segment, dtype, limit
+    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], list[list[int]]], kind: str, limit: int = LIMIT):
+        self.split, self.segment, self.kind, self.limit = split, segment, kind, limit
         self.table: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         chunks = [self.split(t) for t in texts]
-        new = list(set().union(*map(set, chunks)).difference(self.table))
+        seen: set[str] = set()
+        for c in chunks:
+            seen.update(c)
+        new = list(seen.difference(self.table))
         if len(self.table) + len(new) > self.limit:
             self.table.clear()
-            new = list(set().union(*map(set, chunks)))
-        self.table.update(zip(new, (np.array(x, self.dtype).tobytes() for x in self.segment(new)), strict=True))
-        return [b"".join(map(self.table.__getitem__, c)) for c in chunks]
+            new = list(seen)
+        kind = self.kind
+        self.table.update(zip(new, [array(kind, x).tobytes() for x in self.segment(new)], strict=True))
+        find = self.table.__getitem__
+        return [b"".join(map(find, c)) for c in chunks]

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import ChunkTable
+from larkspur.llm.chunks import LIMIT, ChunkTable
 from larkspur.llm.shared import ROWS_AT_ONCE, shared_path, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -52,29 +52,81 @@ MAGIC = b"LKSST001"
 #: offset and length of index and bloom, entries, ids, bytes of an id, magic.
 FOOTER = struct.Struct("<QQQQQQI8s")
 _INDEX = struct.Struct("<9sQQ")
-#: A space after a character that isn't white space starts a new piece.
+#: A space after a character that isn't white space starts a new chunk.
 _AT_SPACE = re.compile(r"(?<=\S)(?= )")
-_loaded: dict[str, ChunkTable] = {}
+#: Before a first chunk without a space; no text from Arrow holds it.
+_NO_SPACE = "\ud800"
+#: The characters that byte-level vocabularies write for the bytes 0 to 255.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b)) for b in range(256)}
+_loaded: dict[str, Vocabulary] = {}
 
 
 def _split(text: str) -> list[str]:
-    """Chunks that begin at the single spaces of a text: byte-level pieces never span such a place."""
+    """Chunks that begin at the single spaces of a text, where byte-level pieces never cross; keys leave that space out."""
     if not text:
         return []
     if "  " in text:
-        return _AT_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *(" " + x for x in rest)]
+        return [c[1:] if c[0] == " " else _NO_SPACE + c for c in _AT_SPACE.split(text)]
+    keys = text.split(" ")
+    if keys[0]:
+        keys[0] = _NO_SPACE + keys[0]
+    else:
+        del keys[0]
+    return keys
 
 
-def encoder(path: str) -> ChunkTable:
-    """The vocabulary's chunk table, made once in each Python worker; special strings in texts are ordinary text."""
-    if path not in _loaded:
+class Vocabulary:
+    """A byte-level vocabulary of the tokenizers library with its chunk table; special strings in texts are ordinary text."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = tokenizers.Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        width = 2 if model.get_vocab_size() <= 1 << 16 else 4
-        _loaded[path] = ChunkTable(_split, lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)], f"<u{width}")
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
+        self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
+        self.table = ChunkTable(_split, self._segment, "H" if self.width == 2 else "I")
+        self.words: dict[str, list[int]] = {}
+        self.ids = self.table.ids
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of a space and a word of Latin letters, which is one unit to the library's splitter."""
+        found = self.words.get(word)
+        if found is None:
+            written = " " + word
+            found = self.words[word] = [t.id for t in self.model.tokenize(written.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return found
+
+    def _segment(self, keys: list[str]) -> list[list[int]]:
+        """Words, with or without ASCII marks after them, by the model; the rest by the whole tokenizer."""
+        if len(self.words) > LIMIT:
+            self.words.clear()
+        made: list[list[int] | None] = []
+        for key in keys:
+            word = key.rstrip(",.!?;")
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                made.append(self._word(word) + self._marks(key[len(word) :]) if len(word) < len(key) else self._word(word))
+            else:
+                made.append(None)
+        others = [i for i, x in enumerate(made) if x is None]
+        texts = [keys[i][1:] if keys[i].startswith(_NO_SPACE) else " " + keys[i] for i in others]
+        for i, x in zip(others, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            made[i] = x.ids
+        return made
+
+    def _marks(self, marks: str) -> list[int]:
+        key = " " + marks
+        found = self.words.get(key)
+        if found is None:
+            found = self.words[key] = self.whole.encode(marks, add_special_tokens=False).ids
+        return found
+
+
+def encoder(path: str) -> Vocabulary:
+    """The vocabulary, loaded once in each Python worker."""
+    if path not in _loaded:
+        _loaded[path] = Vocabulary(path)
     return _loaded[path]
 
 
