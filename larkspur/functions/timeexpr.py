@@ -68,7 +68,11 @@ def remaining_label(seconds: Column) -> Column:
 def clock(milliseconds: Column) -> Column:
     """HH:MM:SS, rounded up to whole seconds."""
     s = F.ceil(F.greatest(milliseconds, F.lit(0)) / 1000).cast("long")
-    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+
+    def two(x: Column) -> Column:
+        digits = x.cast("long").cast("string")
+        return F.lpad(digits, F.greatest(F.lit(2), F.length(digits)), F.lit("0"))
+
     return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60))
 
 
