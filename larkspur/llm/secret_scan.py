@@ -58,8 +58,8 @@ Span = tuple[str, int, int]
 
 def base_spans(text: str) -> list[Span]:
     found: list[Span] = []
-    low = text.lower() if len(text) < 64 or text.isascii() else None
-    if any(w in (text.lower() if low is None else low) for w in _ASSIGN_WORDS):
+    low = text.lower()
+    if any(w in low for w in _ASSIGN_WORDS):
         found += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
@@ -75,6 +75,7 @@ def sensitivity(name: str) -> float:
 
 def randomness(literal: str) -> float:
     """0 to 1: entropy of the characters, over that of a random literal of that length; 0 for placeholders."""
+    literal = literal.strip()
     low = literal.lower()
     if len(literal) < MIN_ASSIGN or any(p in low for p in PLACEHOLDERS) or literal.startswith(("${", "$(", "{{", "%(")):
         return 0.0
