@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import materialise, runs, starts_of
+from larkspur.llm.shared import hash_sample, materialise, runs, starts_of
 
 SAMPLE_VALUES = 1 << 23
 LIST_SIZE, MAX_CENTROIDS = 128, 8192
@@ -226,7 +226,7 @@ def brute(items: DataFrame, queries: list[tuple[int, bytes]], keep: int, dtype:
 
 def calibrate(items: DataFrame, index: Centroids, keep: int, dtype: str) -> float:
     """The least ratio with which a share RECALL of the true neighbours of sampled items are in selected lists."""
-    probes = [(r["item"], bytes(r["vec"])) for r in items.orderBy(F.xxhash64("item", F.lit(5)), "item").limit(PROBES).collect()]
+    probes = [(r["item"], bytes(r["vec"])) for r in hash_sample(items, PROBES, "item", 5).collect()]
     near = brute(items, probes, keep, dtype).where("query_id <> found").select("query_id", "found")
     pairs = near.join(items.select(F.col("item").alias("found"), "vec"), "found").collect()  # at most PROBES * keep rows
     if not pairs:
@@ -256,7 +256,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LI
     n = items.count()
     if n == 0:
         return empty
-    taken = items.orderBy(F.xxhash64("item"), "item").limit(max(1, SAMPLE_VALUES // sized["n"])).select("vec").toArrow()
+    taken = hash_sample(items, max(1, SAMPLE_VALUES // sized["n"]), "item").select("vec").toArrow()
     sample = _matrix(taken.column("vec"), dtype)
     index = Centroids.fit(sample, max(1, min(MAX_CENTROIDS, n // list_size, len(sample) // 4)))
     ratio = calibrate(items, index, keep, dtype)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.chunks import ChunkTable
-from larkspur.llm.shared import join_small, map_texts, materialise
+from larkspur.llm.shared import hash_sample, join_small, map_texts, materialise
 
 BUCKETS = 1 << 16
 FIT_ROWS = 10_000
@@ -96,7 +96,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, keys: tuple[str, ...] = ("doc_id",
 def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, good, text of at most fit_rows labelled rows of each class."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("good"))
-    first = [known.where(F.col("good") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for c in (1, 0)]
+    known = materialise(known, "quality-labels")
+    first = [hash_sample(known.where(F.col("good") == c), fit_rows) for c in (1, 0)]
     return join_small(docs.select("doc_id", "text"), materialise(first[0].union(first[1]), "quality-sample"), "doc_id", rows=2 * fit_rows)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import map_texts, materialise
+from larkspur.llm.shared import hash_sample, map_texts, materialise
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -180,7 +180,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost:
     if limits[0] is None or known.where("quality < 1").isEmpty():
         return None
     limits = np.array(limits, float)
-    taken = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(fit_rows).select(*(c.alias(n) for n, c in rates().items())).toPandas()
+    taken = hash_sample(known, fit_rows, seed=SEED).select(*(c.alias(n) for n, c in rates().items())).toPandas()
     rules = Rules(limits, IsolationForest(np.maximum(taken.to_numpy(float) - limits, 0)))
     is_good = (F.col("quality") >= 1).cast("int")
     steps = with_scores(known, rules).groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step")).agg(F.sum(is_good).alias("good"), F.sum(1 - is_good).alias("bad"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import join_small, map_texts, materialise
+from larkspur.llm.shared import hash_sample, join_small, map_texts, materialise
 
 FOLDS = 5
 FIT_ROWS = 10_000
@@ -109,7 +109,8 @@ def train(texts: list[np.ndarray], copies: list[np.ndarray | None], toxic: np.nd
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """toxic, words, swapped_words of at most fit_rows labelled rows of each class that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") >= 1, 1).otherwise(0)).alias("toxic"))
-    first = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for c in (1, 0)]
+    known = materialise(known, "toxic-labels")
+    first = [hash_sample(known.where(F.col("toxic") == c), fit_rows) for c in (1, 0)]
     chosen = materialise(first[0].union(first[1]), "toxic-sample")
 
     def rows(_: list, texts: list[str]) -> dict:
