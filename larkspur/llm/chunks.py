@@ -13,19 +13,26 @@ chunks and each text's positions to save at most half of the segmentation.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 LIMIT = 400_000
 
 
+def packed(ids: list[int], kind: str = "I") -> bytes:
+    """The ids as integers of that array type, little-endian as all machines that Spark runs on."""
+    return array(kind, ids).tobytes()
+
+
 class ChunkTable:
-    """ids(texts): the ids of each text as packed integers of array type ``kind``.
+    """ids(texts): the packed ids of each text.
 
-    split(text) gives the keys of a text's chunks, segment(keys) the ids of each new one.
+    split(text) gives the keys of a text's chunks, segment(keys) the packed ids
+    of each new one.  Packed, since the many small lists of a table would each
+    be looked at again and again by the garbage collector.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], list[list[int]]], kind: str, limit: int = LIMIT):
-        self.split, self.segment, self.kind, self.limit = split, segment, kind, limit
+    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], Iterable[bytes]], limit: int = LIMIT):
+        self.split, self.segment, self.limit = split, segment, limit
         self.table: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -37,7 +44,6 @@ class ChunkTable:
         if len(self.table) + len(new) > self.limit:
             self.table.clear()
             new = list(seen)
-        kind = self.kind
-        self.table.update(zip(new, [array(kind, x).tobytes() for x in self.segment(new)], strict=True))
+        self.table.update(zip(new, self.segment(new), strict=True))
         find = self.table.__getitem__
         return [b"".join(map(find, c)) for c in chunks]

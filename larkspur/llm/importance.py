@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import ChunkTable
+from larkspur.llm.chunks import ChunkTable, packed
 from larkspur.llm.shared import hash_sample, join_small, map_texts, materialise
 
 BUCKETS = 1 << 16
@@ -44,14 +44,14 @@ SMOOTHING = 20.0
 MAX_LOST = 0.002
 SEED = "sample-1"
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
-_table = ChunkTable(str.split, lambda words: [[zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _TOKEN.findall(w)] for w in words], "I")
+_table = ChunkTable(str.split, lambda words: [packed([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _TOKEN.findall(w)]) for w in words])
 
 
 def grams(texts: list[str]) -> list[np.ndarray]:
     """The bucket of each n-gram of each text."""
     found = []
-    for packed in _table.ids(texts):
-        h = np.frombuffer(packed, "<u4").astype(np.uint64)
+    for hashes in _table.ids(texts):
+        h = np.frombuffer(hashes, "<u4").astype(np.uint64)
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
         again = [np.uint64(d) + np.uint64(2) * (h[d:] == h[:-d]).astype(np.uint64) for d in (1, 2)]
         single = (h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(40)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from larkspur.llm.chunks import ChunkTable
+from larkspur.llm.chunks import ChunkTable, packed
 from larkspur.llm.shared import map_texts
 
 MARK = "▁"
@@ -40,7 +40,7 @@ class Codec:
         rewrites = any(self.model.decode(self.model.encode(x)) != x for x in _PROBES)
         self.by_chunk = MARK in pieces and not rewrites and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.table = ChunkTable(self._split, self._segment, "I")
+        self.table = ChunkTable(self._split, self._segment)
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -52,10 +52,10 @@ class Codec:
             return [x[1:] for x in _MARKED.findall(MARK + marked)]
         return marked.split(MARK)
 
-    def _segment(self, words: list[str]) -> list[list[int]]:
+    def _segment(self, words: list[str]) -> list[bytes]:
         found = self.model.encode(words, num_threads=1) if words else []
         alone = [self.model.piece_to_id(MARK)]
-        return [ids if w else alone for w, ids in zip(words, found, strict=True)]
+        return [packed(ids if w else alone) for w, ids in zip(words, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Begin id, ids and end id of each text as little-endian unsigned 32-bit integers."""
@@ -65,8 +65,8 @@ class Codec:
             found = [np.array(x, "<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
         return [self.begin + x + self.end for x in found]
 
-    def decode(self, packed: list[bytes]) -> list[str]:
-        return [self.model.decode(np.frombuffer(x, "<u4").tolist()) for x in packed]
+    def decode(self, coded: list[bytes]) -> list[str]:
+        return [self.model.decode(np.frombuffer(x, "<u4").tolist()) for x in coded]
 
 
 def codec(path: str) -> Codec:
@@ -80,7 +80,7 @@ def round_trip(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_i
 
     def rows(_: list, texts: list[str]) -> dict:
         coder = codec(model_path)
-        packed = coder.encode(texts)
-        return {"ids": pa.array(packed, pa.binary()), "decoded": pa.array(coder.decode(packed), pa.string())}
+        ids = coder.encode(texts)
+        return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(coder.decode(ids), pa.string())}
 
     return map_texts(docs, "ids binary, decoded string", rows, keys)

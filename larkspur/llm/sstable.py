@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import LIMIT, ChunkTable
+from larkspur.llm.chunks import LIMIT, ChunkTable, packed
 from larkspur.llm.shared import ROWS_AT_ONCE, shared_path, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -52,10 +52,13 @@ MAGIC = b"LKSST001"
 #: offset and length of index and bloom, entries, ids, bytes of an id, magic.
 FOOTER = struct.Struct("<QQQQQQI8s")
 _INDEX = struct.Struct("<9sQQ")
-#: A space after a character that isn't white space starts a new chunk.
-_AT_SPACE = re.compile(r"(?<=\S)(?= )")
-#: Before a first chunk without a space; no text from Arrow holds it.
-_NO_SPACE = "\ud800"
+#: White space after a character that isn't white space starts a new chunk.
+_AT_SPACE = re.compile(r"(?<=\S)(?=\s)")
+_TWO_SPACES = re.compile(r"\s\s")
+#: First characters of keys of chunks that don't begin with one space; no text from Arrow holds them.
+_AS_IS, _LINE = "\ud800", "\ud801"
+_STARTS = {_AS_IS: "", _LINE: "\n"}
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters that byte-level vocabularies write for the bytes 0 to 255.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b)) for b in range(256)}
@@ -63,16 +66,16 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def _split(text: str) -> list[str]:
-    """Chunks that begin at the single spaces of a text, where byte-level pieces never cross; keys leave that space out."""
+    """Chunks that begin where white space does, where byte-level pieces never cross; keys leave a first space out."""
     if not text:
         return []
-    if "  " in text:
-        return [c[1:] if c[0] == " " else _NO_SPACE + c for c in _AT_SPACE.split(text)]
-    keys = text.split(" ")
-    if keys[0]:
-        keys[0] = _NO_SPACE + keys[0]
-    else:
+    if _TWO_SPACES.search(text):
+        return [c[1:] if c[0] == " " else _AS_IS + c for c in _AT_SPACE.split(text)]
+    keys = text.replace("\n", " " + _LINE).split(" ")
+    if not keys[0]:
         del keys[0]
+    else:
+        keys[0] = _AS_IS + keys[0]
     return keys
 
 
@@ -86,42 +89,49 @@ class Vocabulary:
         self.model = self.whole.model
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.table = ChunkTable(_split, self._segment, "H" if self.width == 2 else "I")
-        self.words: dict[str, list[int]] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.table = ChunkTable(_split, self._segment)
+        self.words: dict[str, bytes] = {}
         self.ids = self.table.ids
 
-    def _word(self, word: str) -> list[int]:
-        """The ids of a space and a word of Latin letters, which is one unit to the library's splitter."""
-        found = self.words.get(word)
+    def _word(self, start: str, word: str) -> bytes:
+        """The ids of a word of Latin letters, and of the white space before it: one unit to the library's splitter, or two."""
+        key = start + word
+        found = self.words.get(key)
         if found is None:
-            written = " " + word
-            found = self.words[word] = [t.id for t in self.model.tokenize(written.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            written = word if start else " " + word
+            written = written.replace(" ", "Ġ") if word.isascii() else written.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = packed([t.id for t in self.model.tokenize(written)], self.kind)
+            self.words[key] = found = self._whole("\n") + found if start == _LINE else found
         return found
 
-    def _segment(self, keys: list[str]) -> list[list[int]]:
+    def _whole(self, text: str) -> bytes:
+        key = " " + text
+        found = self.words.get(key)
+        if found is None:
+            found = self.words[key] = packed(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
+        return found
+
+    def _segment(self, keys: list[str]) -> list[bytes]:
         """Words, with or without ASCII marks after them, by the model; the rest by the whole tokenizer."""
         if len(self.words) > LIMIT:
             self.words.clear()
-        made: list[list[int] | None] = []
-        for key in keys:
-            word = key.rstrip(",.!?;")
+        made: list[bytes | None] = []
+        others: list[int] = []
+        for i, key in enumerate(keys):
+            start = key[0] if key and key[0] in _STARTS else ""
+            word = key[len(start) :].rstrip(_MARKS)
             if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                made.append(self._word(word) + self._marks(key[len(word) :]) if len(word) < len(key) else self._word(word))
+                marks = key[len(start) + len(word) :]
+                made.append(self._word(start, word) + self._whole(marks) if marks else self._word(start, word))
             else:
                 made.append(None)
-        others = [i for i, x in enumerate(made) if x is None]
-        texts = [keys[i][1:] if keys[i].startswith(_NO_SPACE) else " " + keys[i] for i in others]
+                others.append(i)
+        texts = [_STARTS[keys[i][0]] + keys[i][1:] if keys[i] and keys[i][0] in _STARTS else " " + keys[i] for i in others]
         for i, x in zip(others, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            made[i] = x.ids
+            made[i] = packed(x.ids, self.kind)
         return made
 
-    def _marks(self, marks: str) -> list[int]:
-        key = " " + marks
-        found = self.words.get(key)
-        if found is None:
-            found = self.words[key] = self.whole.encode(marks, add_special_tokens=False).ids
-        return found
-
 
 def encoder(path: str) -> Vocabulary:
     """The vocabulary, loaded once in each Python worker."""
@@ -309,8 +319,8 @@ def read(spark: SparkSession, shards: list[dict]) -> DataFrame:
                     yield _batch(got)
 
     def _batch(got: list) -> pa.RecordBatch:
-        ids, starts, packed = zip(*got, strict=True)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(packed, pa.binary())})
+        ids, starts, coded = zip(*got, strict=True)
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(coded, pa.binary())})
 
     listed = spark.createDataFrame(rows, "path string, before long")
     return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, ids binary")

@@ -42,9 +42,9 @@ def test_byte_pieces_equal_the_library(text):
 
 
 def test_a_full_table_is_emptied():
-    from larkspur.llm.chunks import ChunkTable
+    from larkspur.llm.chunks import ChunkTable, packed
 
-    table = ChunkTable(str.split, lambda words: [[len(w)] for w in words], "H", limit=2)
+    table = ChunkTable(str.split, lambda words: [packed([len(w)], "H") for w in words], limit=2)
     texts = ["a bb ccc", "a dddd", "bb a eeeee"]
     assert [np.frombuffer(x, "<u2").tolist() for t in texts for x in table.ids([t])] == [[1, 2, 3], [1, 4], [2, 1, 5]]
 
