@@ -33,10 +33,8 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
-#: Any run of 24 or more has a hexadecimal digit at each 24th place; long gaps are passed over by this search.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 #: Parts of names, and how sensitive a name with them is.
 SENSITIVE = {
@@ -87,34 +85,42 @@ def randomness(literal: str) -> float:
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Spans of literals that reach a sensitive target."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    scores: dict[tuple[int, int], float] = {}
-
-    def reach(name: str, literals: list[tuple[int, int]]) -> None:
-        constants[name] = literals
-        if (weight := sensitivity(name)) > 0:
-            for a, b in literals:
-                scores[a, b] = max(scores.get((a, b), 0.0), weight * randomness(text[a:b]))
-
+    """Spans of literals that reach a sensitive target.
+
+    Sensitivity flows from each assignment back to the earlier ones whose names
+    it uses, so a constant that many others join is looked at once for each use.
+    """
+    latest: dict[str, int] = {}
+    weights: list[float] = []
+    values: list[list[tuple[int, int]]] = []
+    uses: list[list[int]] = []
     for m in _TARGET.finditer(text):
-        at, literals = m.end(), []
+        at, literals, used = m.end(), [], []
         while (term := _TERM.match(text, at)) is not None:
             if term["quote"]:
                 literals.append(term.span("text"))
-            elif term["bare"] in constants:
-                literals += constants[term["bare"]]
-            elif not literals and any(c.isdigit() for c in term["bare"]):
+            elif term["bare"] in latest:
+                used.append(latest[term["bare"]])
+            elif not literals and not used and any(c.isdigit() for c in term["bare"]):
                 literals.append(term.span("bare"))
             joined = _JOIN.match(text, term.end())
             if joined is None:
                 break
             at = joined.end()
-        if literals:
-            reach(m["name"], literals)
+        if literals or used:
+            latest[m["name"]] = len(weights)
+            weights.append(sensitivity(m["name"]))
+            values.append(literals)
+            uses.append(used)
+    reached: dict[tuple[int, int], float] = {}
+    for i in range(len(weights) - 1, -1, -1):
+        for j in uses[i]:
+            weights[j] = max(weights[j], weights[i])
+        for span in values[i]:
+            reached[span] = max(reached.get(span, 0.0), weights[i])
     for m in _ELEMENT.finditer(text):
-        reach(m["name"], [m.span("text")])
-    return sorted(("literal", a, b) for (a, b), s in scores.items() if s >= THRESHOLD)
+        reached[m.span("text")] = max(reached.get(m.span("text"), 0.0), sensitivity(m["name"]))
+    return sorted(("literal", a, b) for (a, b), weight in reached.items() if weight > 0 and weight * randomness(text[a:b]) >= THRESHOLD)
 
 
 def spans(text: str) -> list[Span]:

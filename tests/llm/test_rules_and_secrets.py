@@ -103,6 +103,17 @@ def test_lexing_long_texts_is_linear():
     assert secret_scan.spans('secret ' + '"' * 50_000 + "=" * 50_000) is not None
 
 
+def test_joined_constants_are_linear():
+    secret = "q8Zr!2mK#x9LpV0w"
+    doubled = f'k0 = "{secret}"\n' + "".join(f"k{i} = k{i - 1} + k{i - 1}\n" for i in range(1, 2000))
+    for last, n in (("db_password = k1999\n", 1), ("colour = k1999\n", 0)):
+        assert [s[0] for s in secret_scan.spans(doubled + last + "# secret")] == ["literal"] * n
+    grown = 'k = "a1b2#"\n' + "".join(f'k = k + "q{i}Zr!2mK#x"\n' for i in range(3000)) + "auth_header = k\n"
+    assert len(secret_scan.spans(grown)) == 3000
+    again = f'k = "{secret}"\nauth_header = k\nk = "Lq8$zT0!mmQ4"\n'
+    assert [again[a:b] for _, a, b in secret_scan.spans(again)] == [secret]
+
+
 def test_op5(spark, sf_dir):
     import hashlib
 
