@@ -20,7 +20,8 @@ matrix product, the best are scored again exactly on the original vectors.
 
 Nulls and edges: a vector that is null, zero, holds null or non-finite
 components, has another length than most, or has no id takes no part; a
-repeated id with the same vector counts once; fewer candidates than k give
+repeated id with the same vector counts once, one with several vectors asks
+with the least of them (by bytes) and is found by the nearest; fewer candidates than k give
 fewer rows; an empty table gives none.  Only vec_id and embedding are read.
 """
 
@@ -296,7 +297,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LI
 
     together = entries.unionByName(routed).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
     hits = together.mapInArrow(match, "query_id long, found long, score double").distinct()
-    members = hits.join(items.select(F.col("item").alias("found"), "ids"), "found").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").distinct()
+    members = hits.join(items.select(F.col("item").alias("found"), "ids"), "found").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
@@ -310,4 +311,4 @@ def _queries(usable: DataFrame, is_query: Column, dtype: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int64()), pa.array([v for _, v in made], pa.binary())], names=["id", "vec"])
 
     asked = usable.where(is_query & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
-    return asked.mapInArrow(run, "id long, vec binary").dropDuplicates(["id"])
+    return asked.mapInArrow(run, "id long, vec binary").groupBy("id").agg(F.min("vec").alias("vec"))

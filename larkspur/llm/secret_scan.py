@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import map_texts
+from larkspur.llm.shared import aside, back, map_texts, places
 
 KINDS = ("assign", "access", "hex", "literal")
 BASE_KINDS = KINDS[:3]
@@ -164,18 +164,11 @@ def masked(text: str, found: list[Span]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets masked in text, and n_chars of the new text; rows without secrets stay as they are."""
     columns = docs.columns
-    others = [c for c in columns if c not in ("text", "n_chars")]
 
     def rows(_: list, texts: list[str]) -> dict:
         clean = [masked(t, found) if (found := spans(t)) else t for t in texts]
         return {"clean": pa.array(clean, pa.string()), "changed": pa.array([a is not b for a, b in zip(clean, texts, strict=True)])}
 
-    made = map_texts(docs.withColumn("_text", F.col("text")), "clean string, changed boolean", rows, keys=tuple([*others, "_text", "n_chars"]))
-    return made.select(
-        *(
-            F.when(F.col("changed"), F.col("clean")).otherwise(F.col("_text")).alias("text") if c == "text"
-            else F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
-            else F.col(c)
-            for c in columns
-        )
-    )
+    made = map_texts(aside(docs, "text"), "clean string, changed boolean", rows, keys=places(columns))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return back(made, columns, {c: F.when(F.col("changed"), new[c]).otherwise(F.col(place)) for c, place in zip(columns, places(columns), strict=True) if c in new})

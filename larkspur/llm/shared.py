@@ -70,6 +70,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def places(columns: list[str]) -> tuple[str, ...]:
+    """The names under which ``aside`` puts columns."""
+    return tuple(f"_{i}" for i in range(len(columns)))
+
+
+def aside(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, and every column of docs under its place, so that no name of docs clashes with an operator's own."""
+    return docs.select(*named, *(docs[f"`{c}`"].alias(place) for c, place in zip(docs.columns, places(docs.columns), strict=True)))
+
+
+def back(made: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns that were put aside, under their names, some of them changed."""
+    return made.select(*((changed or {}).get(c, F.col(place)).alias(c) for c, place in zip(columns, places(columns), strict=True)))
+
+
 def map_texts(df: DataFrame, schema: str, rows_of: Callable[[list, list[str]], dict[str, list | np.ndarray | pa.Array]], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Call rows_of(key columns, texts) on each Arrow batch; it returns the columns after the keys, as long as the batch."""
     kept = [f for f in df.schema.fields if f.name in keys]

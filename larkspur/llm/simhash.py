@@ -236,5 +236,5 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Of each group the document with the smallest doc_id (one row, should that id repeat)."""
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return stay if kept.where("count > 1").isEmpty() else stay.dropDuplicates(["doc_id"])
