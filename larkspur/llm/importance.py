@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import ChunkTable, packed
-from larkspur.llm.shared import hash_sample, join_small, map_texts, materialise
+from larkspur.llm.chunks import LIMIT, packed
+from larkspur.llm.shared import aside, back, hash_sample, join_small, map_texts, materialise, places
 
 BUCKETS = 1 << 16
 FIT_ROWS = 10_000
@@ -44,14 +44,26 @@ SMOOTHING = 20.0
 MAX_LOST = 0.002
 SEED = "sample-1"
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
-_table = ChunkTable(str.split, lambda words: [packed([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in _TOKEN.findall(w)]) for w in words])
+
+
+class Hashes(dict):
+    """The packed hashes of a word's tokens, found when a task first asks for the word."""
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = packed([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(word)])
+        return found
+
+
+_hashes = Hashes()
 
 
 def grams(texts: list[str]) -> list[np.ndarray]:
     """The bucket of each n-gram of each text."""
+    if len(_hashes) > LIMIT:
+        _hashes.clear()
     found = []
-    for hashes in _table.ids(texts):
-        h = np.frombuffer(hashes, "<u4").astype(np.uint64)
+    for text in texts:
+        h = np.frombuffer(b"".join(map(_hashes.__getitem__, text.split())), "<u4").astype(np.uint64)
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
         again = [np.uint64(d) + np.uint64(2) * (h[d:] == h[:-d]).astype(np.uint64) for d in (1, 2)]
         single = (h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(40)
@@ -168,11 +180,10 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_l
 
 
 def take(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
-    """The documents that are taken, with all their columns: weights are found anew beside the text, so that no text is shuffled."""
+    """The documents that are taken, with all their columns: they are written once beside their weights, so no text is shuffled."""
     fitted = fit(docs, labels, fit_rows, max_lost)
     if fitted is None:
         return docs
-    keyed = materialise(weigh(docs, fitted[0]).withColumn("sample_key", sample_key(seed)), "sample-keys")
-    least = least_key(keyed, fitted[1])
-    weighed = weigh(docs.withColumn("_text", F.col("text")), fitted[0], tuple("_text" if c == "text" else c for c in docs.columns))
-    return weighed.where(sample_key(seed) >= F.lit(least)).select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    weighed = weigh(aside(docs, "doc_id", "text"), fitted[0], ("doc_id", *places(docs.columns)))
+    weighed = materialise(weighed.withColumn("sample_key", sample_key(seed)), "weighed-documents")
+    return back(weighed.where(F.col("sample_key") >= F.lit(least_key(weighed, fitted[1]))), docs.columns)

@@ -148,6 +148,28 @@ def test_the_pipeline_stage_by_stage(spark, sf_dir):
     assert sorted(r["ids_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r["ids_sha256"] for r in coded.collect())
 
 
+def test_extra_columns_with_clashing_names_pass_through(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = ["size", "copies", "copy", "taken", "target", "source_size", "log_weight", "sample_key", "clean", "changed", "kept_id", "count", "fp", "_0", "_text", "component_id"]
+    more = docs.select(*docs.columns, *(F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, clash = materialise(stage(spark, docs, sf_dir), "plain"), materialise(stage(spark, more, sf_dir), "clash")
+        assert clash.columns == more.columns
+        rows = clash.collect()
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+        assert sorted(tuple(r)[:5] for r in rows) == sorted(map(tuple, plain.collect()))
+        docs, more = plain, clash
+    assert corpus_pipeline.STAGES[-1][1](spark, more, sf_dir).count() == docs.count()
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(1, 0.1 / 1.01**0.5), (2, 1 / 1.01**0.5)]
+    got = sorted((r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(i, pytest.approx(s)) for i, s in want]
+
+
 def test_every_stage_takes_edges(spark, edge_docs, no_docs, sf_dir):
     for docs in (edge_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
