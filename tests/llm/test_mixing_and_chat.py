@@ -106,6 +106,16 @@ def test_long_chats_stay_linear(conversations):
     assert whole > 10 * chained
 
 
+def test_long_chats_keep_whole_contexts(spark):
+    turns = [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1100)]
+    made = chat.examples(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn long, role string, text string"))
+    rows = made.orderBy("example").collect()
+    told = [f"### {r}: {t} </turn>\n" for _, r, t in turns]
+    assert [r["formatted"] for r in rows] == ["".join(told[: i + 1]) for i in range(1, 1100, 2)] and not any(r["chained"] for r in rows)
+    (got,) = chat.digest(chat.read_back(made)).collect()
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == plain(turns) and got["formatted_chars"] == sum(len(r["formatted"]) for r in rows)
+
+
 def test_no_conversations(conversations):
     assert chat.digest(chat.read_back(chat.examples(conversations.limit(0)))).collect() == []
 
