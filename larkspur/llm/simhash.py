@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected
-from larkspur.llm.shared import map_texts, materialise, runs, starts_of
+from larkspur.llm.shared import aside, back, map_texts, materialise, places, runs, starts_of
 
 BITS = 64
 MAX_BITS = 3
@@ -222,19 +222,29 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BU
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the group)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the group), fp, root (a fingerprint that names the group, whatever its ids)."""
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "classes")
     roots = connected(materialise(links(classes.select("fp"), max_bits, max_bucket), "links").toDF("a", "b"))
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     of_class = materialise(grouped, "class-roots")
     smallest = of_class.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_class = of_class.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_class = of_class.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each group the document with the smallest doc_id (one row, should that id repeat)."""
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay if kept.where("count > 1").isEmpty() else stay.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, groups: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Of each group one row, of the smallest doc_id; ids may repeat or be null in several groups."""
+    columns = docs.columns
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
+
+    def rows(_: list, texts: list[str]) -> dict:
+        return {"fp": np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)}
+
+    id_at = places(columns)[columns.index("doc_id")]
+    marked = map_texts(aside(docs, "text"), "fp long", rows, keys=places(columns))
+    stay = marked.join(kept, (F.col("fp") == F.col("kept_fp")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
+    if not groups.groupBy("fp", "doc_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["fp", id_at])
+    return back(stay, columns)

@@ -120,3 +120,15 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     kept = simhash.keep_one(edge_docs.unionByName(edge_docs), simhash.near_duplicates(edge_docs.unionByName(edge_docs)))
     assert kept.columns == edge_docs.columns and kept.count() == kept.select("doc_id").distinct().count() == len({r["component_id"] for r in rows})
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    """Groups of unlike texts that share null or repeated ids, one of them with its smallest id in another group too."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (None, texts[4]), (2, texts[5]), (5, texts[5]), (1, texts[6]), (1, texts[6]), (1, texts[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    groups = simhash.near_duplicates(docs)
+    kept = simhash.keep_one(docs, groups)
+    assert kept.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (2, texts[5]), (1, texts[6]), (1, texts[7])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
