@@ -1,13 +1,17 @@
 """Rules in which a row depends on what was decided before it.
 
-Streaks need windows only.  Rate windows, cooldowns and floored counters depend
-on earlier decisions, so they fold the ordered events of one user; a user's
-events are bounded by what one person does, unlike a group over all users.
+Streaks and floored counters need windows only.  Rate windows and cooldowns
+depend on earlier decisions, so they fold the ordered events of one user; the
+fold streams over sorted rows and keeps one user's open window, never all events
+of a user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import timeexpr
@@ -36,20 +40,26 @@ def decide(events: DataFrame, limit: int, window_us: int, inclusive: bool = Fals
     much) has passed since the open one began; denied events change nothing.
     A cooldown is limit 1, inclusive.
     """
-    one = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "ts")
-    ordered = events.groupBy("user_id").agg(F.sort_array(F.collect_list(one)).alias("events"))
-    empty = F.array().cast("array<boolean>")
-    state = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), empty.alias("allowed"))
-
-    def step(acc: Column, e: Column) -> Column:
-        passed = e["us"] - acc["start"]
-        fresh = acc["start"].isNull() | (passed >= window_us if inclusive else passed > window_us)
-        ok = fresh | (acc["n"] < limit)
-        return F.struct(F.when(fresh, e["us"]).otherwise(acc["start"]).alias("start"), F.when(fresh, 1).otherwise(acc["n"] + ok.cast("int")).alias("n"), F.concat(acc["allowed"], F.array(ok)).alias("allowed"))
-
-    allowed = F.aggregate("events", state, step, lambda acc: acc["allowed"])
-    rows = ordered.select("user_id", F.explode(F.arrays_zip("events", allowed.alias("allowed"))).alias("e"))
-    return rows.select("user_id", "e.events.event_id", "e.events.ts", "e.allowed")
+    kept = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = object(), None, 0
+        for batch in batches:
+            allowed = []
+            for user, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if user != last:
+                    last, start, n = user, None, 0
+                if start is None or (us - start >= window_us if inclusive else us - start > window_us):
+                    start, n, ok = us, 1, True
+                else:
+                    ok = n < limit
+                    n += ok
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(allowed, pa.bool_())], names=["user_id", "event_id", "ts", "allowed"])
+
+    ordered = kept.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id", "ts")
+    return ordered.mapInArrow(run, f"user_id {types['user_id']}, event_id {types['event_id']}, ts {types['ts']}, allowed boolean")
 
 
 def floored_counters(deltas: DataFrame) -> DataFrame:

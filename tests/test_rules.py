@@ -99,6 +99,16 @@ def test_windows_equal_a_fold(spark, limit, inclusive):
     assert not all(got.values())
 
 
+def test_one_users_events_are_never_in_one_row(spark):
+    n, hours = 50_000, 8
+    df = spark.range(n).selectExpr("cast(null as long) as user_id", "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id % 999 as int)) as ts")
+    made = sequential.decide(df, 2, hours * 3_600_000_000)
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    rows = made.collect()
+    own = sorted((r["ts"], r["event_id"], r["allowed"]) for r in rows)
+    assert len(own) == n and [a for *_, a in own] == fold([t for t, *_ in own], 2, dt.timedelta(hours=hours), False)
+
+
 def test_floored_counters_equal_a_fold(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.choice((-1, -1, 1))) for k in range(30) for i in range(25)]
