@@ -45,6 +45,8 @@ SENSITIVE = {
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your_", "your-", "xxxx", "****", "todo", "none", "null", "true", "false", "undefined")
 THRESHOLD = 0.5
 
+_SQUEEZED = tuple({part.replace("_", "") for part in SENSITIVE})
+
 _NAME = r"[A-Za-z_][\w.-]*+"
 _TARGET = re.compile(rf"""(?<![\w.-])["']?(?P<name>{_NAME})["']?[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+""", re.ASCII)
 _TERM = re.compile(rf"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.=~@%-]+)""", re.ASCII)
@@ -123,10 +125,16 @@ def literal_spans(text: str) -> list[Span]:
     return sorted(("literal", a, b) for (a, b), weight in reached.items() if weight > 0 and weight * randomness(text[a:b]) >= THRESHOLD)
 
 
+def names_any(text: str) -> bool:
+    """Whether a sensitive name can be in the text: without separators, as ``sensitivity`` finds it in any spelling."""
+    low = text.lower().replace("_", "").replace("-", "").replace(".", "")
+    return any(w in low for w in _SQUEEZED)
+
+
 def spans(text: str) -> list[Span]:
     """All spans by start, then kind as listed."""
     found = base_spans(text)
-    if ("=" in text or ":" in text or "</" in text) and any(w in low for low in [text.lower().replace("-", "_")] for w in SENSITIVE):
+    if ("=" in text or ":" in text or "</" in text) and names_any(text):
         found += [s for s in literal_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in found)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -98,6 +98,13 @@ def test_literals_reach_sensitive_targets(text, found):
     assert [text[a:b] for k, a, b in secret_scan.spans(text) if k == "literal"] == found
 
 
+@pytest.mark.parametrize("name", ["api.key", "access.key", "aws.access.key", "private.key", "connectionString", "ConnectionString", "Api-Key", "spring.datasource.connection-string"])
+def test_names_in_any_spelling_are_looked_at(name):
+    text = f"{name} = q8Zr2mK9xLpV0wT4"
+    assert ["q8Zr2mK9xLpV0wT4"] == [text[a:b] for k, a, b in secret_scan.spans(text) if k == "literal"]
+    assert secret_scan.names_any("x " + name) and not secret_scan.names_any("colour = q8Zr2mK9xLpV0wT4")
+
+
 def test_lexing_long_texts_is_linear():
     assert secret_scan.spans("a" * 200_000 + ' password_="' + "b." * 100_000) is not None
     assert secret_scan.spans('secret ' + '"' * 50_000 + "=" * 50_000) is not None
