@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     table = rows.mapInArrow(places, "toxic int, found array<int>, copy array<int>").toPandas()
     toxic = table["toxic"].to_numpy(float)
-    total = {r["toxic"]: r["count"] for r in labels.where("toxic is not null").groupBy(F.when(F.col("toxic") >= 1, 1).otherwise(0).alias("toxic")).count().collect()}
+    total = {r["toxic"]: r["count"] for r in labels.where("toxic is not null").where(~held_out()).groupBy(F.when(F.col("toxic") >= 1, 1).otherwise(0).alias("toxic")).count().collect()}
     weight = np.where(toxic == 1, total.get(1, 1) / n[1], total.get(0, 1) / n[0])
     w, intercept = train([np.asarray(x, int) for x in table["found"]], [None if x is None else np.asarray(x, int) for x in table["copy"]], toxic, weight, len(place))
     return Model({word: float(w[i]) for word, i in place.items() if abs(w[i]) > 1e-9}, intercept)

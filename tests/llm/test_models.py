@@ -57,6 +57,14 @@ def test_toxicity_edges(spark, edge_docs, edge_rows, no_docs):
     assert toxicity.score(no_docs, none).collect() == [] and none.weights == {}
 
 
+def test_held_out_labels_never_reach_the_model(spark):
+    docs = spark.createDataFrame([(i, "you vile oaf" if i % 2 else "a kind word") for i in range(200)], "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)]
+    assert 10 < sum(held) < 190
+    models = [toxicity.fit(docs, spark.createDataFrame([(i, of(i) if held[i] else i % 2) for i in range(200)], "doc_id long, toxic int")) for of in (lambda i: 0, lambda i: 1)]
+    assert models[0] == models[1] and models[0].weights
+
+
 def test_importance_keeps_the_clean_and_drops_the_rest(spark):
     quality = labels_of(spark, SF, "quality")
     rows = queries.QUERIES["op8_importance"](spark, SF).collect()
