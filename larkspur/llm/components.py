@@ -13,36 +13,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import materialise
+from larkspur.llm.shared import discard, materialise
 
 
 def _follow(pointers: DataFrame) -> DataFrame:
-    """node, root: each pointer (node > next) followed to its end."""
+    """node, next: each pointer (node > next) followed to its end."""
     current = materialise(pointers, "pointers")
     while True:
         onward = current.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         stepped = materialise(current.join(onward, "next", "left").select("node", F.coalesce("beyond", "next").alias("next"), F.col("beyond").isNotNull().alias("moved")), "pointers")
-        current = stepped.select("node", "next")
+        discard(current)
+        current = stepped
         if stepped.where("moved").isEmpty():
-            return current.withColumnRenamed("next", "root")
+            return stepped
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b) but the roots; the root is one node of the component, the same for all of it."""
-    rest = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    roots = None
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest, roots = materialise(ordered(edges), "edges"), None
     while not rest.isEmpty():
         both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("next"))
-        ends = _follow(lowest.where("node <> next"))
-        if roots is None:
-            roots = ends
-        else:
-            later = ends.select(F.col("node").alias("root"), F.col("root").alias("final"))
-            roots = materialise(roots.join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root")).union(ends.select("node", "root")), "roots")
+        followed = _follow(lowest.where("node <> next"))
+        ends = followed.select("node", F.col("next").alias("root"))
+        later = ends.select(F.col("node").alias("root"), F.col("root").alias("final"))
+        now = ends if roots is None else roots.join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root")).union(ends)
         of_a, of_b = ends.select(F.col("node").alias("a"), F.col("root").alias("root_a")), ends.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        moved = rest.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
-        rest = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    if roots is None:
-        return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+        moved = rest.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        now, left = materialise(now, "roots"), materialise(ordered(moved), "edges")
+        discard(rest, followed, *([] if roots is None else [roots]))
+        rest, roots = left, now
+    return rest.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

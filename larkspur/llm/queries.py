@@ -42,7 +42,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.read_back(materialise(chat.examples(rows), "chat")))
+    return chat.digest(materialise(chat.examples(rows), "chat"))
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Small helpers of this subpackage: shared folders, size-checked joins, run-wise tasks."""
+"""Small helpers of this subpackage: shared folders, size-checked and hot-key joins, run-wise tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,17 +21,24 @@ ROWS_AT_ONCE = 512
 #: Rows up to which the smaller side of a join is broadcast.
 BROADCAST_ROWS = 10_000
 
+#: A key with more than this share of all rows is hot.
+HOT_SHARE = 0.001
+
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in a local session that sets none, as in tests."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -43,7 +51,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _tables[made] = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in made:
+        if (path := _tables.pop(df, None)) is not None:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def join_hot(rows: DataFrame, right: DataFrame, key: str, hot: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join, but rows whose ``key`` is one of ``hot`` meet a broadcast of right's rows of these keys and are not shuffled.
+
+    hot: a few values of ``key`` (at most 1 / HOT_SHARE) that hold a large share of rows each; right has one row or few a key.
+    """
+    few = F.broadcast(hot.select(F.col(key).alias("_hot")).distinct())
+    of_hot, of_rest = (rows.join(few, F.col(key) == F.col("_hot"), kind) for kind in ("left_semi", "left_anti"))
+    hot_right = right.join(few, F.col(key if key in right.columns else f"kept_{key}") == F.col("_hot"), "left_semi")
+    return of_hot.join(F.broadcast(hot_right), on, how).unionByName(of_rest.join(right, on, how))
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,77 +1,130 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
 A fingerprint has a bit set if over half of the 64-bit hashes of the
-document's 3-word shingles (repeats included) have it set; two link if at most
-``max_bits`` (3) bits differ.  The linked groups are the connected components.
+document's word shingles (repeats included) have it set.  A ``Rule`` says what
+links: CONTRACT takes 3-word shingles and at most 3 of 64 bits; SIMILAR takes
+5-word shingles and a longer fingerprint of 320 bits, of which at most 54 may
+differ: at a Jaccard similarity of 0.8 it is 48 with a standard error of 6 (the
+share of bits that differ is the angle between the shingle counts over pi).
+The linked groups are the connected components.
 
 Plan at scale:
 
 1. One pass makes the fingerprints; equal ones become one class, so a group of
    exact copies, however large, is one row from then on.
-2. Two fingerprints within 3 bits agree on at least one of four 16-bit blocks
-   (of a pair out of five blocks when there are many classes), so each class is
-   dealt to one bucket per block.  A bucket above ``max_bucket`` classes is
-   dealt again by the bits that are still free; nothing is dropped.
-3. Within a bucket the fingerprints are sorted by Gray rank and the bits that
-   neighbours share are factored into upper nodes (mask and pattern).  A
+2. Two fingerprints within ``sure`` bits agree on at least one of ``sure`` + 1
+   blocks of bits (on two of ``sure`` + 2 with ``blocks`` 2), so each class is
+   dealt to one bucket per choice of blocks.  Of the chosen blocks' bits only as
+   many make the key as leave about ``bucket`` classes to a bucket (fewer bits
+   never part a pair).  A bucket above ``max_bucket`` is dealt again by the bits
+   that are still free, ROUNDS times at most (fingerprints that are alike in most
+   bits stay together); nothing is dropped, a bucket may be of any size and
+   takes about 100 bytes a class.
+3. Within every bucket the fingerprints are sorted by Gray rank and the bits
+   that neighbours share are factored into upper nodes (mask and pattern).  A
    search adds up differences on the way down and drops a whole group once
    they exceed the limit, or once the group already hangs together with the
-   searching block.  Only the links that join two groups leave the bucket (at
-   most one per class), never all pairs.
+   searching fingerprint.  Only the links that join two groups leave the bucket
+   (at most one per class), never all pairs.
 4. Components of these links by repeated contraction on Spark.
 
+CONTRACT's links are exact.  Of SIMILAR's, those within ``sure`` bits of the
+first word are exact, others are found if they agree on a choice of blocks,
+which most do (README has figures).
+
 Nulls and edges: a null or blank text has fingerprint 0 and links like any
-other; texts of fewer than three words are one shingle; a null doc_id is kept
+other; texts of fewer words than a shingle are one shingle; texts of any length
+are hashed whole, a bounded number of shingles at a time; a null doc_id is kept
 and never the smallest id of a group that has another; repeated rows are
-copies of each other; an empty table gives no rows.  Only doc_id and text are
-read.
+copies of each other; an empty table gives no rows; other columns, whatever
+their names, are not read, or pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected
-from larkspur.llm.shared import aside, back, map_texts, materialise, places, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, aside, back, discard, join_hot, map_texts, materialise, places, runs, starts_of
 
 BITS = 64
-MAX_BITS = 3
-SHINGLE = 3
 SEED = 42
 #: Classes a bucket may hold before it is dealt again.
-MAX_BUCKET = 20_000
-#: Classes above which two of five blocks must agree, not one of four.
+MAX_BUCKET, ROUNDS = 20_000, 2
+#: Classes above which two blocks must agree, not one.
 MANY = 1 << 26
 #: Children of a node of the index, and searches that go down it together.
 FANOUT = 8
 TOGETHER = 128
+#: How often at most the labels of a bucket's groups are brought up to date.
+REFRESHED = 64
+#: Hashes of shingles held at once.
+HASHES = 1 << 15
+
+
+@dataclass(frozen=True)
+class Rule:
+    """shingle: words of a shingle; words: 64-bit words of a fingerprint; max_bits: bits of the first word, and total_bits: of all, that may differ."""
+
+    shingle: int = 3
+    words: int = 1
+    max_bits: int = 3
+    total_bits: int = 3
+    sure: int = 3
+    blocks: int = 1
+    bucket: int = 1024
+    max_bucket: int = MAX_BUCKET
+
+
+CONTRACT = Rule()
+SIMILAR = Rule(shingle=5, words=5, max_bits=16, total_bits=54, sure=6, blocks=2, bucket=256)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Further hashes made from the first: its bits mixed with the number of the word."""
+    if not word:
+        return h
+    h = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def code(text: str, rule: Rule = CONTRACT) -> bytes:
+    """The fingerprint of one text: its words in order, most significant byte first."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    parts = [words[i : len(words) - shingle + 1 + i] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*parts, strict=True)), np.uint64)
-    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    n = len(words) - rule.shingle + 1
+    parts = [words[i : n + i] for i in range(rule.shingle)] if n > 0 else [[w] for w in words]
+    shingles = zip(*parts, strict=True)
+    ones, total = np.zeros(BITS * rule.words, np.int64), 0
+    while len(h := np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in islice(shingles, HASHES)), np.uint64)):
+        bits = np.column_stack([_mixed(h, i) for i in range(rule.words)]).astype(">u8").view(np.uint8)
+        ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+        total += len(h)
+    return np.packbits(2 * ones > total).tobytes()
+
 
+def fingerprint(text: str, rule: Rule = CONTRACT) -> int:
+    """The first word of the fingerprint of one text."""
+    return int.from_bytes(code(text, rule)[:8], "big")
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+
+def codes(docs: DataFrame, rule: Rule = CONTRACT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, code (the whole fingerprint) and fp (its first word as a signed long)."""
 
     def rows(_: list, texts: list[str]) -> dict:
-        return {"fp": np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)}
+        made = [code(t, rule) for t in texts]
+        return {"code": pa.array(made, pa.binary()), "fp": np.frombuffer(b"".join(x[:8] for x in made), ">i8").astype(np.int64)}
 
-    return map_texts(docs, "fp long", rows)
+    return map_texts(docs, "code binary, fp long", rows, keys)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -87,11 +140,14 @@ class GrayIndex:
 
     ``masks[0]``, ``patterns[0]`` are the fingerprints themselves; node i of a
     level covers nodes FANOUT * i and following of the level below.  A node's
-    own mask leaves out what its parent's has.
+    own mask leaves out what its parent's has.  ``visited`` counts the nodes that
+    searches came to, ``dropped`` those of them whose group they left out.
     """
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
+        self.visited = self.dropped = 0
         shared, patterns = [np.full(len(fps), ~np.uint64(0))], [self.fps]
         while len(patterns[-1]) > FANOUT:
             mask, pattern = shared[-1], patterns[-1]
@@ -112,14 +168,16 @@ class GrayIndex:
         return levels
 
     def search(self, block: np.ndarray, labels: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places (query, found) within max_bits that do not yet have the same label; block: places of the queries."""
+        """Places (query, found), the second behind the first, within max_bits that do not yet have the same label; block: places of the queries."""
         same = self.groups(labels)
         top = len(self.patterns[-1])
         query, node = np.repeat(block, top), np.tile(np.arange(top), len(block))
         spent = np.zeros(len(query), np.uint8)
         for level in range(len(self.patterns) - 1, -1, -1):
             spent = spent + np.bitwise_count((self.fps[query] ^ self.patterns[level][node]) & self.masks[level][node])
-            keep = (spent <= max_bits) & (same[level][node] != labels[query])
+            keep = (spent <= max_bits) & (same[level][node] != labels[query]) & ((node + 1) * FANOUT**level > query + 1)
+            self.visited += len(keep)
+            self.dropped += int((~keep).sum()) if level else 0
             query, node, spent = query[keep], node[keep], spent[keep]
             if level:
                 below = len(self.patterns[level - 1])
@@ -137,44 +195,49 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def bucket_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """(member, root) for each fingerprint of a bucket that links, as one star for each linked group."""
-    n = len(fps)
+def bucket_links(words: np.ndarray, rule: Rule = CONTRACT) -> tuple[list[tuple[int, int]], GrayIndex]:
+    """(member, root), as places, for each fingerprint of a bucket that links, as one star for each linked group; words: a row of words each."""
+    n = len(words)
     parent = list(range(n))
-
-    def union(pairs: Iterator[tuple[int, int]]) -> None:
-        for a, b in pairs:
-            a, b = _root(parent, a), _root(parent, b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-
-    if n <= 2 * FANOUT:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits, 1))
-        union(zip(a.tolist(), b.tolist(), strict=True))
-        ordered = fps
-    else:
-        index = GrayIndex(fps)
-        ordered = index.fps
-        near = np.flatnonzero(np.bitwise_count(ordered[1:] ^ ordered[:-1]) <= max_bits)
-        union(zip(near.tolist(), (near + 1).tolist(), strict=True))
-        for start in range(0, n, TOGETHER):
-            labels = np.fromiter((_root(parent, i) for i in range(n)), np.int64, n)
-            query, found = index.search(np.arange(start, min(n, start + TOGETHER)), labels, max_bits)
-            union(zip(query.tolist(), found.tolist(), strict=True))
-    return [(int(ordered[i]), int(ordered[r])) for i in range(n) if (r := _root(parent, i)) != i]
-
-
-def block_masks(many: bool, max_bits: int = MAX_BITS) -> list[int]:
-    """Masks of which two fingerprints within max_bits agree on at least one."""
-    parts, chosen = (max_bits + 2, 2) if many else (max_bits + 1, 1)
+    index = GrayIndex(words[:, 0])
+    words = words[index.order]
+
+    def union(a: np.ndarray, b: np.ndarray) -> None:
+        if rule.words > 1:
+            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= rule.total_bits
+            a, b = a[near], b[near]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = _root(parent, x), _root(parent, y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+
+    beside = np.flatnonzero(np.bitwise_count(index.fps[1:] ^ index.fps[:-1]) <= rule.max_bits)
+    union(beside, beside + 1)
+    for i, start in enumerate(range(0, n, TOGETHER)):
+        if i % (1 + n // TOGETHER // REFRESHED) == 0:
+            labels = np.array(parent)
+            while (labels != (further := labels[labels])).any():
+                labels = further
+        union(*index.search(np.arange(start, min(n, start + TOGETHER)), labels, rule.max_bits))
+    return [(int(index.order[i]), int(index.order[r])) for i in range(n) if (r := _root(parent, i)) != i], index
+
+
+def _bits_of(mask: int) -> list[int]:
+    return [i for i in range(BITS) if mask >> i & 1]
+
+
+def block_masks(sure: int, blocks: int, width: int = BITS) -> list[int]:
+    """Masks, of at most ``width`` bits, of which two fingerprints within ``sure`` bits agree on at least one."""
+    parts = sure + blocks
     edges = [BITS * i // parts for i in range(parts + 1)]
-    blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(parts)]
-    return [sum(x) for x in combinations(blocks, chosen)]
+    chosen = combinations([list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)], blocks)
+    spread = ([bit for bits in zip(*(x[: min(map(len, of))] for x in of), strict=True) for bit in bits] for of in chosen)
+    return sorted({sum(1 << i for i in bits[:width]) for bits in spread})
 
 
 def split_mask(free: int, parts: int) -> list[int]:
     """The free bits as so many masks of like width."""
-    bits = [i for i in range(BITS) if free >> i & 1]
+    bits = _bits_of(free)
     edges = [len(bits) * i // parts for i in range(parts + 1)]
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -183,68 +246,90 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _deal(classes: DataFrame, masks: list[int]) -> DataFrame:
-    """One row for each class and mask: mask, key (the masked bits), fp."""
-    return classes.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+def _key(mask: str) -> Column:
+    return F.col(mask).bitwiseAND(F.col("fp")).alias("key")
 
 
-def dealt(classes: DataFrame, many: bool, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET, rounds: int = 2) -> DataFrame:
-    """Classes by bucket; buckets above max_bucket are dealt again by their free bits, up to ``rounds`` times."""
-    rows = _deal(classes, block_masks(many, max_bits))
-    for _ in range(rounds):
-        hot = rows.groupBy("mask", "key").count().where(F.col("count") > max_bucket).select("mask", "key")
+def dealt(classes: DataFrame, rule: Rule = CONTRACT, many: bool | None = None) -> DataFrame:
+    """Classes (code, fp) by bucket: mask, key (the masked bits), fp, code; buckets above max_bucket are dealt again by their free bits."""
+    n = classes.count()
+    blocks = max(rule.blocks, 1 + (n > MANY if many is None else many))
+    masks = block_masks(rule.sure, blocks, max(0, (n // rule.bucket).bit_length()))
+    literal = lambda m: F.lit(_signed(m)).cast("long")
+    rows = classes.select("code", "fp", F.explode(F.array(*map(literal, masks))).alias("mask")).select("mask", _key("mask"), "fp", "code")
+    whole = (1 << BITS) - 1
+    for _ in range(ROUNDS):
+        hot = rows.groupBy("mask", "key").count().where((F.col("count") > rule.max_bucket) & (F.col("mask") != -1)).select("mask", "key")
         hot = materialise(hot, "hot-buckets")
-        masks = sorted({r["mask"] for r in hot.select("mask").distinct().collect()})  # of at most ten masks, times four for each round
+        masks = sorted({r["mask"] & whole for r in hot.select("mask").distinct().collect()})  # the first masks, times ``sure`` + 1 a round
         if not masks:
             break
-        finer = F.create_map(*(x for m in masks for x in (F.lit(m).cast("long"), F.array(*(F.lit(_signed((m | part) & (1 << BITS) - 1)).cast("long") for part in split_mask(~m & (1 << BITS) - 1, max_bits + 1))))))
-        again = rows.join(hot, ["mask", "key"], "left_semi").select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
-        rows = rows.join(hot, ["mask", "key"], "left_anti").unionByName(again.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp").distinct())
+        finer = F.create_map(*(x for m in masks for x in (literal(m), F.array(*(literal(m | part) for part in split_mask(~m & whole, rule.sure + 1))))))
+        again = rows.join(hot, ["mask", "key"], "left_semi").select("code", "fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        rows = rows.join(hot, ["mask", "key"], "left_anti").unionByName(again.select("mask", _key("mask"), "fp", "code"))
+        rows = materialise(rows, "dealt")
     return rows
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET, many: bool | None = None) -> DataFrame:
-    """fp, root: links between classes that hang together by links within max_bits, at most one a class and bucket."""
-    many = classes.count() > MANY if many is None else many
+def links(classes: DataFrame, rule: Rule = CONTRACT, many: bool | None = None, visits=None) -> DataFrame:
+    """a, b: codes of classes (code, fp) that hang together by the rule's links, at most one a class and bucket.
+
+    ``visits``, two accumulators, count the nodes of indexes that searches came to and left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, 2):
-            mask, key, fps = (whole.column(i).to_numpy() for i in range(3))
-            starts = starts_of(mask, key)
-            fps, found = fps.view(np.uint64), []
+            mask, key = (whole.column(i).to_numpy() for i in range(2))
+            starts, coded = starts_of(mask, key), whole.column(2).combine_chunks()
+            words = np.frombuffer(b"".join(coded.to_pylist()), ">u8").reshape(-1, rule.words).astype(np.uint64)
+            a, b = [], []
             for i in np.flatnonzero(np.diff(starts) > 1):
-                found += bucket_links(fps[starts[i] : starts[i + 1]], max_bits)
-            made = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["fp", "root"])
-
-    buckets = dealt(classes, many, max_bits, max_bucket)
-    return buckets.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "fp long, root long")
-
-
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the group), fp, root (a fingerprint that names the group, whatever its ids)."""
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "classes")
-    roots = connected(materialise(links(classes.select("fp"), max_bits, max_bucket), "links").toDF("a", "b"))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    of_class = materialise(grouped, "class-roots")
+                found, index = bucket_links(words[starts[i] : starts[i + 1]], rule)
+                a += [starts[i] + x for x, _ in found]
+                b += [starts[i] + y for _, y in found]
+                for counter, n in zip(visits or (), (index.visited, index.dropped), strict=False):
+                    counter.add(n)
+            yield pa.RecordBatch.from_arrays([coded.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+
+    buckets = dealt(classes, rule, many).select("mask", "key", "code")
+    return buckets.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a binary, b binary")
+
+
+def groups(coded: DataFrame, rule: Rule = CONTRACT, visits=None) -> tuple[DataFrame, DataFrame]:
+    """Two tables: code, fp, n, smallest (doc_id), root (a code that names the group) of each class, and the hot ones among them; coded: doc_id, code, fp."""
+    classes = materialise(coded.groupBy("code", "fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")), "classes")
+    found = materialise(links(classes.select("code", "fp"), rule, visits=visits), "links")
+    roots = connected(found)
+    made = materialise(classes.join(roots, classes["code"] == roots["node"], "left").select("code", "fp", "n", "smallest", F.coalesce("root", "code").alias("root")), "class-roots")
+    discard(classes, found, roots)
+    total = made.agg(F.sum("n")).first()[0] or 0
+    return made, made.where(F.col("n") > HOT_SHARE * total)
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, visits=None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of the first word), component_id (the smallest doc_id of the group)."""
+    coded = materialise(codes(docs, rule), "fingerprints")
+    of_class, hot = groups(coded, rule, visits)
     smallest = of_class.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_class = of_class.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root")
+    by_class = of_class.join(smallest, "root").select("code", "component_id")
+    joined = join_hot(coded, by_class, "code", hot, "code")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Of each group one row, of the smallest doc_id; ids may repeat or be null in several groups."""
-    columns = docs.columns
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
-    kept = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
-
-    def rows(_: list, texts: list[str]) -> dict:
-        return {"fp": np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)}
+def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
+    """docs without near-duplicates: of each group one row, of the smallest doc_id; ids may repeat or be null in several groups.
 
+    The documents are written once beside their fingerprints.  Of a class that
+    holds many documents all go but those of the kept id, before any shuffle.
+    """
+    columns = docs.columns
+    marked = materialise(codes(aside(docs, "text"), rule, keys=places(columns)), "coded-documents")
     id_at = places(columns)[columns.index("doc_id")]
-    marked = map_texts(aside(docs, "text"), "fp long", rows, keys=places(columns))
-    stay = marked.join(kept, (F.col("fp") == F.col("kept_fp")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
-    if not groups.groupBy("fp", "doc_id").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["fp", id_at])
+    coded = marked.select(F.col(id_at).alias("doc_id"), "code", "fp")
+    of_class, hot = groups(coded, rule)
+    first = F.min(F.struct(F.col("smallest").isNull(), "smallest", "code")).alias("first")
+    kept = of_class.groupBy("root").agg(first).select(F.col("first.smallest").alias("kept_id"), F.col("first.code").alias("kept_code"))
+    stay = join_hot(marked, kept, "code", hot, (F.col("code") == F.col("kept_code")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
+    if not coded.groupBy("code", "doc_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["code", id_at])
     return back(stay, columns)

@@ -3,9 +3,11 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from larkspur.llm import chat, mixing, queries
+from larkspur.llm.shared import materialise
 
 
 def shared_out(sizes, cap=3):
@@ -87,37 +89,52 @@ def conversations(spark):
     return spark.createDataFrame([(c, n, r, t, "x") for c, turns in CONVERSATIONS.items() for n, r, t in turns], "conv_id long, turn long, role string, text string, example string").repartition(3)
 
 
-@pytest.mark.parametrize("max_inline", [1024, 5])
-def test_chat_comes_back(spark, conversations, max_inline):
-    rows = chat.digest(chat.read_back(chat.examples(conversations, max_inline))).collect()
+def test_chat_comes_back(conversations):
+    written = chat.examples(conversations)
+    rows = chat.digest(written).collect()
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows}
     assert got == {c: plain(turns) for c, turns in CONVERSATIONS.items()}
+    in_full = {}
+    for r in chat.expand(written).collect():
+        in_full[r["conv_id"]] = in_full.get(r["conv_id"], 0) + len(r["formatted"])
+    assert {r["conv_id"]: r["formatted_chars"] for r in rows} == in_full
+    back = {}
+    for r in sorted(chat.read_back(written).collect(), key=lambda r: r["at"]):
+        back.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert back == {c: [(r or "", t or "") for _, r, t in turns] for c, turns in CONVERSATIONS.items()}
 
 
 def test_each_reply_is_one_example_with_all_before_it(conversations):
-    rows = [r for r in chat.examples(conversations).where("conv_id = 1").orderBy("example").collect()]
-    assert len(rows) == 3 and [r["last"] for r in rows] == [False, False, True]
+    rows = chat.expand(chat.examples(conversations)).where("conv_id = 1").orderBy("example").collect()
+    assert [r["example"] for r in rows] == [0, 1, 2]
     assert [r["formatted"][r["loss_start"] : r["loss_start"] + r["loss_len"]] for r in rows] == ["a\\\\", "", ""]
     assert rows[2]["formatted"].startswith(rows[1]["formatted"]) and rows[1]["formatted"].startswith(rows[0]["formatted"])
 
 
-def test_long_chats_stay_linear(conversations):
-    whole, chained = (sum(len(r["formatted"]) for r in chat.examples(conversations, n).where("conv_id = 6").collect()) for n in (1024, 5))
-    assert whole > 10 * chained
+def test_long_chats_keep_whole_contexts_and_stay_linear(spark):
+    """5,000 turns: every example has all turns before it; what is written is one conversation long."""
+    turns = [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(5000)]
+    told = [f"### {r}: {t} </turn>\n" for _, r, t in turns]
+    text, ends = "".join(told), np.cumsum([len(t) for t in told])
+    made = materialise(chat.examples(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn long, role string, text string")), "chat")
+    rows = made.orderBy("at").collect()
+    assert "".join(r["written"] for r in rows) == text
+    some = [r for r in rows if r["example"] is not None]
+    assert [r["stop"] for r in some] == ends[1::2].tolist() and [r["example"] for r in some] == list(range(2500))
+    assert [text[r["loss_start"] : r["loss_start"] + r["loss_len"]] for r in some] == [t for _, r, t in turns if r == "assistant"]
+    (got,) = chat.digest(made).collect()
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == plain(turns) and got["formatted_chars"] == ends[1::2].sum()
 
 
-def test_long_chats_keep_whole_contexts(spark):
-    turns = [(i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1100)]
-    made = chat.examples(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn long, role string, text string"))
-    rows = made.orderBy("example").collect()
-    told = [f"### {r}: {t} </turn>\n" for _, r, t in turns]
-    assert [r["formatted"] for r in rows] == ["".join(told[: i + 1]) for i in range(1, 1100, 2)] and not any(r["chained"] for r in rows)
-    (got,) = chat.digest(chat.read_back(made)).collect()
-    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == plain(turns) and got["formatted_chars"] == sum(len(r["formatted"]) for r in rows)
+def test_turns_of_megabytes(spark):
+    big = ("</turn> \\ # " + "x" * 50) * 20_000
+    rows = [(1, 0, "user", big), (1, 1, "assistant", big), (1, 2, "user", "w" * 1_000_000)]
+    (got,) = chat.digest(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == plain([r[1:] for r in rows])
 
 
 def test_no_conversations(conversations):
-    assert chat.digest(chat.read_back(chat.examples(conversations.limit(0)))).collect() == []
+    assert chat.digest(chat.examples(conversations.limit(0))).collect() == [] == chat.read_back(chat.examples(conversations.limit(0))).collect()
 
 
 def test_op7(spark, sf_dir):

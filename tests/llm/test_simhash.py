@@ -45,7 +45,7 @@ def test_fingerprints_are_sparks_xxhash64(spark, edge_docs, edge_rows):
         shingles |= {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else {" ".join(words)}
     rows = spark.createDataFrame([(s,) for s in shingles], "s string").select("s", F.xxhash64("s").alias("h")).collect()
     hashed = {r["s"]: r["h"] % (1 << 64) for r in rows}
-    got = sorted((r["doc_id"] or -1, r["fp"] % (1 << 64)) for r in simhash.fingerprints(edge_docs).collect())
+    got = sorted((r["doc_id"] or -1, r["fp"] % (1 << 64)) for r in simhash.codes(edge_docs).collect())
     assert got == sorted((i or -1 if i is not None else -1, brute_fingerprint(hashed, t)) for i, t, *_ in edge_rows)
 
 
@@ -63,7 +63,8 @@ def test_bucket_links_join_what_all_pairs_join(seed, n, centres):
     fps = sorted(fps)
     want = groups(fps)
     place = {x: i for i, x in enumerate(fps)}
-    links = simhash.bucket_links(np.array(fps, np.uint64))
+    found, _ = simhash.bucket_links(np.array(fps, np.uint64)[:, None])
+    links = [(fps[a], fps[b]) for a, b in found]
     parent = {x: x for x in fps} | dict(links)
     assert len({m for m, _ in links}) == len(links)
     named = [place[parent[x]] for x in fps]
@@ -71,8 +72,12 @@ def test_bucket_links_join_what_all_pairs_join(seed, n, centres):
     assert same(named) == same(want)
 
 
-@pytest.mark.parametrize(("many", "max_bucket"), [(False, 20_000), (True, 20_000), (False, 5), (True, 5)])
-def test_all_ways_of_dealing_find_all_groups(spark, many, max_bucket):
+def packed(fps):
+    return [(x.to_bytes(8, "big"), x - (1 << 64) if x >> 63 else x) for x in fps]
+
+
+@pytest.mark.parametrize(("many", "max_bucket", "bucket"), [(False, 20_000, 1024), (True, 20_000, 4), (False, 5, 16), (True, 5, 1024)])
+def test_all_ways_of_dealing_find_all_groups(spark, many, max_bucket, bucket):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     fps = {centre}
@@ -83,14 +88,68 @@ def test_all_ways_of_dealing_find_all_groups(spark, many, max_bucket):
         fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(150)}
     fps = sorted(fps)
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    classes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in connected(simhash.links(classes, many=many, max_bucket=max_bucket).toDF("a", "b")).collect()}
-    named = [roots.get(x, x) for x in signed]
+    classes = spark.createDataFrame(packed(fps), "code binary, fp long")
+    rule = simhash.Rule(max_bucket=max_bucket, bucket=bucket)
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in connected(simhash.links(classes, rule, many)).collect()}
+    named = [roots.get(c, c) for c, _ in packed(fps)]
     same = lambda g: {frozenset(i for i in range(len(g)) if g[i] == k) for k in g}
     assert same(named) == same(groups(fps))
 
 
+@pytest.mark.parametrize(("sure", "blocks", "width"), [(3, 1, 64), (3, 1, 5), (3, 2, 9), (6, 2, 10), (3, 1, 0)])
+def test_masks_part_no_pair(sure, blocks, width):
+    rng = random.Random(sure * 100 + width)
+    masks = simhash.block_masks(sure, blocks, width)
+    assert all(m.bit_count() <= width for m in masks)
+    for _ in range(300):
+        change = sum({1 << rng.randrange(64) for _ in range(sure)})
+        assert any(change & m == 0 for m in masks)
+
+
+def test_the_query_goes_through_the_index(spark):
+    """near_duplicates visits nodes of Gray-order indexes, leaves whole groups out, and finds what all pairs give."""
+    visits = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = simhash.near_duplicates(docs, visits=visits).orderBy("doc_id").collect()
+    n = len({r["fingerprint"] for r in rows})
+    assert 0 < visits[0].value < n * n / 2 and visits[1].value > n
+    want = groups([int(r["fingerprint"], 16) for r in rows])
+    assert [r["component_id"] for r in rows] == [rows[i]["doc_id"] for i in want]
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_link_and_others_do_not(spark):
+    """Copies with every 90th word changed (similarity near 0.9) go; texts that share a third of their words stay."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        own = text(360)
+        near = [w if j % 90 else f"changed{i}" for j, w in enumerate(own)]
+        part = own[:120] + text(240)
+        rows += [(3 * i, own), (3 * i + 1, near), (3 * i + 2, part)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    assert all(jaccard(rows[3 * i][1], rows[3 * i + 1][1]) > 0.85 and jaccard(rows[3 * i][1], rows[3 * i + 2][1]) < 0.5 for i in range(40))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert all(3 * i in kept and 3 * i + 2 in kept for i in range(40))
+    assert sum(3 * i + 1 in kept for i in range(40)) <= 4
+
+
+def test_hot_classes_are_kept_once(spark):
+    """A third of all rows is one text, more are blank; no copy is left, ids may repeat."""
+    rows = [(i % 50, "the same words over and over again here") for i in range(400)] + [(i, "") for i in range(300)] + [(1000 + i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept) == sorted([rows[0], rows[400], *rows[700:]])
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 1000 and len({r["component_id"] for r in rows}) <= 302
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 300), (401, 400), (400, 402)]
@@ -118,8 +177,9 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     blank = {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16}
     assert blank == {0}
     assert simhash.near_duplicates(no_docs).collect() == []
-    kept = simhash.keep_one(edge_docs.unionByName(edge_docs), simhash.near_duplicates(edge_docs.unionByName(edge_docs)))
+    kept = simhash.keep_one(edge_docs.unionByName(edge_docs), simhash.CONTRACT)
     assert kept.columns == edge_docs.columns and kept.count() == kept.select("doc_id").distinct().count() == len({r["component_id"] for r in rows})
+    assert simhash.keep_one(edge_docs.unionByName(edge_docs)).count() <= kept.count() and simhash.keep_one(no_docs).collect() == []
 
 
 def test_one_of_each_group_stays_whatever_the_ids(spark):
@@ -127,8 +187,15 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(8)]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (None, texts[4]), (2, texts[5]), (5, texts[5]), (1, texts[6]), (1, texts[6]), (1, texts[7])]
     docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    groups = simhash.near_duplicates(docs)
-    kept = simhash.keep_one(docs, groups)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (2, texts[5]), (1, texts[6]), (1, texts[7])]
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_of_megabytes(monkeypatch):
+    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(200_000))
+    whole = simhash.code(long, simhash.SIMILAR)
+    monkeypatch.setattr(simhash, "HASHES", 1000)
+    assert simhash.code(long, simhash.SIMILAR) == whole
+    assert simhash.fingerprint("x" * 2_000_000) == simhash.fingerprint("X" * 2_000_000) != 0
