@@ -10,19 +10,30 @@ and, when it lies near a boundary (another centroid within 1 + BOUNDARY times
 that distance), to up to REPLICAS lists.  Every valid row is indexed.
 
 Search (Spark): a flood over the in-memory centroid graph, from fixed entries,
-finds the centroids within ``ratio`` times the distance of the nearest one;
-their lists, however many, are searched.  ``ratio`` is calibrated: for at most
-PROBES sampled vectors the true neighbours are found by brute force over all
-classes in blocks, and ratio is the least with which a share RECALL of them is
-in a list that the search selects.  Lists longer than MAX_LIST are split by
-hash; queries go to all parts.  Within a part all pairs are scored by one
-matrix product, the best are scored again exactly on the original vectors.
+finds the centroids within ``ratio`` times the distance of the RANK-th nearest
+one (the nearest one's own distance says little: it may be next to nothing);
+only their lists, however many, are scored.  ``ratio`` is calibrated: for at
+most PROBES sampled vectors the true neighbours are found by brute force over
+all classes in blocks, and ratio is the least with which a share RECALL of them
+is in a list that the search selects.
+
+Shuffle: lists that lie together form shards of at most SHARD_ENTRIES entries
+(a longer list is dealt to several shards by hash), so a query's vector moves
+once for each shard in which it has a list, not once for each list.  A task
+holds the entries of one shard and streams the queries past them; equal
+queries are one.
+
+Scores: lists are scored in double precision, everything down to the k-th best
+score less a rounding margin is kept and scored again exactly on the original
+vectors, and only then ties are settled.  Vectors are scaled by a power of two
+first, which changes no cosine and loses none to tiny or huge components.
 
 Nulls and edges: a vector that is null, zero, holds null or non-finite
 components, has another length than most, or has no id takes no part; a
 repeated id with the same vector counts once, one with several vectors asks
-with the least of them (by bytes) and is found by the nearest; fewer candidates than k give
-fewer rows; an empty table gives none.  Only vec_id and embedding are read.
+with the least of them (by bytes) and is found by the nearest; ties go to the
+smaller vec_id; fewer candidates than k give fewer rows; an empty table gives
+none.  Only vec_id and embedding are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -35,20 +46,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import hash_sample, materialise, runs, starts_of
+from larkspur.llm.shared import hash_sample, join_small, materialise, starts_of
 
 SAMPLE_VALUES = 1 << 23
-LIST_SIZE, MAX_CENTROIDS = 128, 8192
-NEIGHBOURS, ENTRIES, ROUNDS = 16, 16, 6
-REPLICAS, BOUNDARY = 4, 0.25
-PROBES, RECALL = 256, 0.97
-MAX_LIST = 4096
-#: Queries in one matrix product, and rows a task holds before it keeps the best only.
-BLOCK, HELD = 2048, 500_000
+LIST_SIZE = 10
+NEIGHBOURS, ENTRIES, ROUNDS = 16, 32, 6
+REPLICAS, BOUNDARY = 2, 0.15
+RANK, WIDTH = 8, 32
+PROBES, RECALL = 1024, 0.94
+SHARD_ENTRIES = 1 << 15
+#: Queries scored together, pairs scored exactly at once, and rows a task holds before it keeps the best only.
+BLOCK, PAIRS, HELD = 1024, 1 << 17, 500_000
+#: Above the rounding of a dot product of unit vectors.
+MARGIN = 1e-9
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times the power of two that brings its largest component to about 1."""
+    x = x.astype(np.float64)
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    half = -power // 2
+    return np.ldexp(np.ldexp(x, half), -power - half)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -65,8 +87,7 @@ class Centroids:
         rng, x = np.random.default_rng(seed), unit(sample).astype(np.float32)
         points = x[rng.choice(len(x), k, replace=False)].copy()
         for _ in range(ROUNDS):
-            nearest = _nearest(x, points)
-            points = _means(x, nearest, points)
+            points = _means(x, _nearest(x, points), points)
         nearest = _nearest(x, points)
         sizes = np.bincount(nearest, minlength=len(points))
         more = []
@@ -81,26 +102,58 @@ class Centroids:
         points = np.unique(np.concatenate([points, *more]), axis=0)
         links = np.concatenate([_top(points[i : i + 512], points, NEIGHBOURS + 1) for i in range(0, len(points), 512)])
         anywhere = rng.integers(0, len(points), (len(points), 2))
+        own = np.arange(len(points))[:, None]
+        anywhere = np.where((anywhere[:, :, None] == links[:, None, :]).any(2), own, anywhere)
+        anywhere[:, 1:] = np.where(anywhere[:, 1:] == anywhere[:, :1], own, anywhere[:, 1:])
         entries = rng.choice(len(points), min(ENTRIES, len(points)), replace=False)
         return Centroids(points, np.concatenate([links, anywhere], axis=1), entries)
 
-    def near(self, x: np.ndarray, ratio: float) -> np.ndarray:
-        """Distance (1 - cosine) of each row of unit vectors to each centroid the flood reached, else inf."""
+    def nearest(self, x: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and places of the ``width`` nearest centroids that a search along the graph finds for each row."""
+        m, x = len(x), x.astype(np.float32)
+        seen = np.zeros((m, len(self.points)), bool)
+        seen[:, self.entries] = True
+        place = np.tile(self.entries, (m, 1))
+        dist = 1 - x @ self.points[self.entries].T
+        opened = np.zeros(dist.shape, bool)
+        while True:
+            best = np.where(opened, np.inf, dist).argmin(axis=1)
+            rows = np.flatnonzero(~opened[np.arange(m), best] & np.isfinite(dist[np.arange(m), best]))
+            if not len(rows):
+                return dist, place
+            opened[rows, best[rows]] = True
+            new = self.links[place[rows, best[rows]]]
+            fresh = ~seen[rows[:, None], new]
+            seen[rows[:, None], new] = True
+            found = np.where(fresh, 1 - np.einsum("rd,rjd->rj", x[rows], self.points[new]), np.inf).astype(np.float32)
+            if dist.shape[1] < width:
+                room = min(width - dist.shape[1], new.shape[1])
+                dist, place, opened = (np.pad(a, ((0, 0), (0, room)), constant_values=v) for a, v in ((dist, np.inf), (place, 0), (opened, False)))
+            every, which = np.concatenate([dist[rows], found], axis=1), np.concatenate([place[rows], new], axis=1)
+            kept = np.argpartition(every, dist.shape[1] - 1, axis=1)[:, : dist.shape[1]]
+            was = np.concatenate([opened[rows], np.zeros(found.shape, bool)], axis=1)
+            dist[rows], place[rows], opened[rows] = (np.take_along_axis(a, kept, axis=1) for a in (every, which, was))
+
+    def near(self, x: np.ndarray, ratio: float, rank: int = RANK) -> np.ndarray:
+        """Distance (1 - cosine) of each row of unit vectors to each centroid the flood reached, else inf.
+
+        The flood goes on from centroids within ratio times the rank-th least distance so far.
+        """
         m, k = len(x), len(self.points)
         x = x.astype(np.float32)
         dist, opened = np.full((m, k), np.inf, np.float32), np.zeros((m, k), bool)
         dist[:, self.entries] = 1 - x @ self.points[self.entries].T
         while True:
-            best = dist.min(axis=1, keepdims=True)
-            rows, nodes = np.nonzero((dist <= np.maximum(best, 1e-6) * max(ratio, 1.02)) & ~opened)
+            rows, nodes = np.nonzero((dist <= base(dist, rank) * max(ratio, 1.02)) & ~opened)
             if not len(rows):
                 return dist
             opened[rows, nodes] = True
-            flat = np.unique((rows[:, None] * k + self.links[nodes]).ravel())
-            flat = flat[np.isinf(dist.ravel()[flat])]
-            for at in range(0, len(flat), 1 << 16):
-                r, c = np.divmod(flat[at : at + (1 << 16)], k)
-                dist[r, c] = 1 - np.einsum("ij,ij->i", x[r], self.points[c])
+            reached = np.zeros((m, k), bool)
+            reached[rows[:, None], self.links[nodes]] = True
+            r, c = np.nonzero(reached & np.isinf(dist))
+            for at in range(0, len(r), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                dist[r[part], c[part]] = 1 - np.einsum("ij,ij->i", x[r[part]], self.points[c[part]])
 
 
 def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -123,13 +176,50 @@ def _means(x: np.ndarray, nearest: np.ndarray, points: np.ndarray) -> np.ndarray
     return made
 
 
-def assign(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def base(dist: np.ndarray, rank: int) -> np.ndarray:
+    """The rank-th least distance of each row, or the last there is."""
+    least = np.partition(dist, min(rank, dist.shape[1]) - 1, axis=1)[:, : min(rank, dist.shape[1])]
+    return np.maximum(np.where(np.isinf(least), 0, least).max(axis=1, keepdims=True), 1e-6)
+
+
+def selected(dist: np.ndarray, ratio: float, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists within ratio times the rank-th least distance."""
+    return np.nonzero(dist <= base(dist, rank) * ratio)
+
+
+def assign(index: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each entry: the nearest list, and boundary replicas."""
+    dist, place = index.nearest(x)
     n = min(REPLICAS, dist.shape[1])
     first = np.argpartition(dist, n - 1, axis=1)[:, :n]
-    d = np.take_along_axis(dist, first, axis=1)
-    rows, at = np.nonzero(d <= np.maximum(d.min(axis=1, keepdims=True), 1e-6) * (1 + BOUNDARY))
-    return rows, first[rows, at]
+    rows, at = selected(np.take_along_axis(dist, first, axis=1), 1 + BOUNDARY, 1)
+    return rows, place[rows, first[rows, at]]
+
+
+def shards_of(points: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """first, parts: the shards of each list.
+
+    Lists are halved, along the direction in which their centroids differ most,
+    until a group has at most ``limit`` entries; a longer list has several shards.
+    """
+    first, parts = np.zeros(len(sizes), np.int32), np.maximum(1, -(-sizes // limit)).astype(np.int32)
+    todo, n = [np.flatnonzero(parts == 1)], 0
+    for c in np.flatnonzero(parts > 1):
+        first[c], n = n, n + parts[c]
+    while todo:
+        group = todo.pop()
+        if sizes[group].sum() <= limit:
+            first[group], n = n, n + 1
+            continue
+        own = points[group] - points[group].mean(0)
+        along = np.ones(own.shape[1]) @ own.T @ own
+        for _ in range(4):
+            along = along @ own.T @ own / max(np.linalg.norm(along), 1e-12)
+        order = group[np.argsort(own @ along, kind="stable")]
+        cut = int(np.searchsorted(np.cumsum(sizes[order]), sizes[order].sum() / 2))
+        cut = min(max(1, cut), len(order) - 1)
+        todo += [order[:cut], order[cut:]]
+    return first, parts
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dtype: str) -> np.ndarray:
@@ -138,6 +228,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dtype: str) -> np.ndarray:
     return np.frombuffer(packed, dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype)
 
 
+def valid(batch: pa.RecordBatch, dtype: str) -> Iterator[tuple[int, bytes]]:
+    """vec_id and packed vector of the rows that take part (all of one length)."""
+    for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if vec_id is not None and x is not None and None not in x:
+            v = np.array(x, dtype) + 0.0
+            if np.isfinite(v).all() and v.any():
+                yield vec_id, v.tobytes()
+
+
 def classes(vectors: DataFrame, keep: int, dtype: str) -> DataFrame:
     """vec (packed), ids: the ``keep`` smallest ids of each distinct valid vector."""
 
@@ -150,16 +249,12 @@ def classes(vectors: DataFrame, keep: int, dtype: str) -> DataFrame:
             return made
 
         for batch in batches:
-            for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if x is None or vec_id is None or None in x:
-                    continue
-                v = np.array(x, dtype) + 0.0
-                if np.isfinite(v).all() and v.any():
-                    ids = found.setdefault(v.tobytes(), [])
-                    if vec_id not in ids and (len(ids) < keep or vec_id < ids[-1]):
-                        ids.append(vec_id)
-                        ids.sort()
-                        del ids[keep:]
+            for vec_id, v in valid(batch, dtype):
+                ids = found.setdefault(v, [])
+                if vec_id not in ids and (len(ids) < keep or vec_id < ids[-1]):
+                    ids.append(vec_id)
+                    ids.sort()
+                    del ids[keep:]
             if len(found) > 100_000:
                 yield flush()
         yield flush()
@@ -180,18 +275,70 @@ def _best(query: np.ndarray, found: np.ndarray, score: np.ndarray, keep: int) ->
     return query[rank < keep], found[rank < keep], score[rank < keep]
 
 
-def scored(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, found, cosine) of the best of each query; cosines in double precision on the vectors as given."""
-    qd, vd = q.astype(np.float64), v.astype(np.float64)
-    qn, vn = np.sqrt((qd * qd).sum(1)), np.sqrt((vd * vd).sum(1))
-    vu, few = vd / vn[:, None], min(keep + 4, len(v_ids))
-    for at in range(0, len(q_ids), BLOCK):
-        part = slice(at, at + BLOCK)
-        top = np.argpartition(-(qd[part] @ vu.T), few - 1, axis=1)[:, :few]
-        rows = np.repeat(np.arange(len(top)) + at, few)
-        cols = top.ravel()
-        exact = (qd[rows] * vd[cols]).sum(1) / (qn[rows] * vn[cols])
-        yield _best(q_ids[rows], v_ids[cols], exact, keep)
+class Scorer:
+    """Scores queries against the entries of a shard, list by list; ``pairs`` counts the pairs that were scored."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, keep: int):
+        self.ids, self.keep, self.pairs = ids, keep, 0
+        self.vectors = scaled(vectors)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.units = self.vectors / self.norms[:, None]
+        starts = starts_of(lists)
+        self.lists, self.starts = lists[starts[:-1]], starts
+        #: Replicas in several lists are one item; items are numbered as their ids are ordered.
+        _, self.entry, self.item = np.unique(ids, return_index=True, return_inverse=True)
+
+    def best(self, q_ids: np.ndarray, queries: np.ndarray, asked: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(query, found, cosine) of the best of each query among the lists that it asks for."""
+        q = scaled(queries)
+        qn = np.sqrt((q * q).sum(1))
+        qu = q / qn[:, None]
+        rows = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+        wanted = np.concatenate([*asked, np.zeros(0, self.lists.dtype)])
+        at = np.searchsorted(self.lists, wanted)
+        there = self.lists[np.minimum(at, len(self.lists) - 1)] == wanted
+        rows, at = rows[there], at[there]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        least = np.full(len(asked), -np.inf)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+        starts = starts_of(at)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            members = slice(self.starts[at[a]], self.starts[at[a] + 1])
+            for first in range(members.start, members.stop, 4096):
+                part = slice(first, min(members.stop, first + 4096))
+                own = rows[a:b]
+                found = qu[own] @ self.units[part].T
+                self.pairs += found.size
+                i, j = np.nonzero(found >= least[own][:, None])
+                held.append((own[i], j + part.start, found[i, j]))
+                n += len(i)
+                if n > PAIRS:
+                    held = [self._settled(held, q, qn, least)]
+                    n = len(held[0][0])
+        r, e, exact = self._settled(held, q, qn, least)
+        return q_ids[r], self.ids[e], exact
+
+    def _settled(self, held: list[tuple[np.ndarray, ...]], q: np.ndarray, qn: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The best of each row of what is held, by exact scores; raises ``least`` to what can still matter."""
+        r, e, approx = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int),) * 3
+        if len(r):
+            order = np.lexsort((self.item[e], r))
+            order = order[starts_of(r[order], self.item[e[order]])[:-1]]  # a replica in another list counts once
+            order = order[np.lexsort((-approx[order], r[order]))]
+            r, e, approx = r[order], e[order], approx[order]
+            starts = starts_of(r)
+            kth = approx[np.minimum(starts[:-1] + self.keep, starts[1:]) - 1] - MARGIN
+            near = approx >= np.repeat(kth, np.diff(starts))
+            r, e = r[near], e[near]
+        exact = np.concatenate([np.zeros(0), *((q[r[i : i + PAIRS]] * self.vectors[e[i : i + PAIRS]]).sum(1) / (qn[r[i : i + PAIRS]] * self.norms[e[i : i + PAIRS]]) for i in range(0, len(r), PAIRS))])
+        r, item, exact = _best(r, self.item[e], exact, self.keep)
+        starts = starts_of(r)
+        full = np.diff(starts) == self.keep
+        if full.any():
+            least[r[starts[:-1][full]]] = exact[starts[1:][full] - 1] - MARGIN
+        return r, self.entry[item], exact
 
 
 def _kept(parts: Iterator[tuple[np.ndarray, ...]], keep: int) -> Iterator[pa.RecordBatch]:
@@ -202,7 +349,7 @@ def _kept(parts: Iterator[tuple[np.ndarray, ...]], keep: int) -> Iterator[pa.Rec
         if held:
             made = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), keep)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], names=["query_id", "found", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], names=["query", "found", "score"])
 
     n = 0
     for part in parts:
@@ -215,36 +362,41 @@ def _kept(parts: Iterator[tuple[np.ndarray, ...]], keep: int) -> Iterator[pa.Rec
 
 
 def brute(items: DataFrame, queries: list[tuple[int, bytes]], keep: int, dtype: str) -> DataFrame:
-    """query_id, found, score of a few given queries against all items, in blocks."""
+    """query, found, score of a few given queries against all items, in blocks."""
     q_ids, q = np.array([i for i, _ in queries], np.int64), _matrix(pa.array([x for _, x in queries], pa.binary()), dtype)
+    all_of_it = [np.zeros(1, np.int32)] * len(q_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _kept((x for b in batches if b.num_rows for x in scored(q_ids, q, b.column(0).to_numpy(), _matrix(b.column(1), dtype), keep)), keep)
+        yield from _kept((Scorer(b.column(0).to_numpy(), _matrix(b.column(1), dtype), np.zeros(b.num_rows, np.int32), keep).best(q_ids, q, all_of_it) for b in batches if b.num_rows), keep)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")
-    return items.select("item", "vec").mapInArrow(run, "query_id long, found long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+    return items.select("item", "vec").mapInArrow(run, "query long, found long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
 
 
-def calibrate(items: DataFrame, index: Centroids, keep: int, dtype: str) -> float:
-    """The least ratio with which a share RECALL of the true neighbours of sampled items are in selected lists."""
-    probes = [(r["item"], bytes(r["vec"])) for r in hash_sample(items, PROBES, "item", 5).collect()]
-    near = brute(items, probes, keep, dtype).where("query_id <> found").select("query_id", "found")
-    pairs = near.join(items.select(F.col("item").alias("found"), "vec"), "found").collect()  # at most PROBES * keep rows
+def calibrate(items: DataFrame, index: Centroids, keep: int, dtype: str, recall: float = RECALL) -> float:
+    """The least ratio with which a share ``recall`` of the true neighbours of sampled items are in selected lists."""
+    probes = [(r["item"], bytes(r["vec"])) for r in hash_sample(items, PROBES, "item", 5).select("item", "vec").collect()]
+    near = brute(items, probes, keep, dtype).where("query <> found").select("query", "found")
+    pairs = join_small(items.select(F.col("item").alias("found"), "vec"), near, "found").collect()  # at most PROBES * keep rows
     if not pairs:
         return 1.0
     place = {i: n for n, (i, _) in enumerate(probes)}
     q = unit(_matrix(pa.array([x for _, x in probes], pa.binary()), dtype))
     v = unit(_matrix(pa.array([bytes(r["vec"]) for r in pairs], pa.binary()), dtype))
     to_query = 1 - q.astype(np.float32) @ index.points.T
-    to_query /= np.maximum(to_query.min(axis=1, keepdims=True), 1e-6)
-    rows, lists = assign(index.near(v, 1 + BOUNDARY))
+    to_query /= base(to_query, RANK)
     needed = np.full(len(pairs), np.inf)
-    np.minimum.at(needed, rows, to_query[[place[pairs[i]["query_id"]] for i in rows], lists])
-    return float(max(1.0, np.quantile(needed, RECALL)))
+    for at in range(0, len(pairs), BLOCK):
+        rows, lists = assign(index, v[at : at + BLOCK])
+        np.minimum.at(needed, rows + at, to_query[[place[pairs[i + at]["query"]] for i in rows], lists])
+    return float(max(1.0, np.quantile(needed, recall)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LIST_SIZE, max_list: int = MAX_LIST) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` for which is_query holds."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LIST_SIZE, shard_entries: int = SHARD_ENTRIES, recall: float = RECALL, pairs=None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` for which is_query holds.
+
+    ``pairs``, an accumulator, counts the pairs that are scored for the queries.
+    """
     spark, keep = vectors.sparkSession, k + 1
     element = vectors.schema["embedding"].dataType.elementType.typeName()
     dtype = "<f4" if element == "float" else "<f8"
@@ -259,47 +411,77 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LI
         return empty
     taken = hash_sample(items, max(1, SAMPLE_VALUES // sized["n"]), "item").select("vec").toArrow()
     sample = _matrix(taken.column("vec"), dtype)
-    index = Centroids.fit(sample, max(1, min(MAX_CENTROIDS, n // list_size, len(sample) // 4)))
-    ratio = calibrate(items, index, keep, dtype)
+    index = Centroids.fit(sample, max(1, min(n // list_size, len(sample) // 4)))
+    ratio = calibrate(items, index, keep, dtype, recall)
 
-    def deal(at_ratio: float, replicas: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    dist = index.near(unit(_matrix(part.column(1), dtype)), at_ratio)
-                    rows, lists = assign(dist) if replicas else np.nonzero(dist <= np.maximum(dist.min(axis=1, keepdims=True), 1e-6) * at_ratio)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "id", "vec"])
-
-        return run
-
-    schema = "list int, id long, vec binary"
-    postings = materialise(items.select("item", "vec").mapInArrow(deal(1 + BOUNDARY, True), schema), "postings")
-    parts = postings.groupBy("list").count().where(F.col("count") > max_list).select("list", F.ceil(F.col("count") / max_list).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # at most a row for each centroid
-    entries = postings.join(parts, "list", "left").select("list", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "vec")
-    asked = _queries(usable, is_query, dtype)
-    routed = asked.mapInArrow(deal(ratio, False), schema).join(parts, "list", "left")
-    routed = routed.select("list", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("kind"), "id", "vec")
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows, lists = assign(index, unit(_matrix(part.column(1), dtype)))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "id", "vec"])
+
+    postings = materialise(items.select("item", "vec").mapInArrow(post, "list int, id long, vec binary"), "postings")
+    sizes = np.zeros(len(index.points), np.int64)
+    for r in postings.groupBy("list").count().collect():  # at most a row for each centroid
+        sizes[r["list"]] = r["count"]
+    first, parts = shards_of(index.points, sizes, shard_entries)
+    deal = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(sizes)], "list int, first int, parts int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    entries = join_small(postings, deal, "list").select(shard.alias("shard"), F.lit(0).alias("kind"), "list", "id", "vec", F.lit(None).cast("binary").alias("lists"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows, lists = selected(index.near(unit(_matrix(part.column(1), dtype)), ratio), ratio)
+                times = parts[lists]
+                rows, lists = np.repeat(rows, times), np.repeat(lists, times)
+                to = first[lists] + np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((lists, to, rows))
+                rows, lists, to = rows[order], lists[order].astype(np.int32), to[order]
+                starts = starts_of(rows, to)
+                packed = pa.array([lists[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+                own = pa.array(rows[starts[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(to[starts[:-1]].astype(np.int32)), part.column(0).take(own), part.column(1).take(own), packed], names=["shard", "id", "vec", "lists"])
+
+    asked = materialise(_queries(usable, is_query, dtype), "queries")
+    distinct = asked.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+    routed = distinct.mapInArrow(route, "shard int, id long, vec binary, lists binary").select("shard", F.lit(1).alias("kind"), F.lit(0).alias("list"), "id", "vec", "lists")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[np.ndarray, ...]]:
-            for whole in runs(batches, 2):
-                lists, part, kind = (whole.column(i).to_numpy() for i in range(3))
-                starts = starts_of(lists, part)
+            """A shard's entries come first, then the queries that ask for some of its lists."""
+            at_shard, waiting, scorer = None, [], None
+            for batch in batches:
+                shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                starts = starts_of(shard, kind)
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    split = a + int((kind[a:b] == 0).sum())
-                    if a < split < b:
-                        q, v = whole.slice(a, split - a), whole.slice(split, b - split)
-                        yield from scored(q.column(3).to_numpy(), _matrix(q.column(4), dtype), v.column(3).to_numpy(), _matrix(v.column(4), dtype), keep)
+                    if shard[a] != at_shard:
+                        at_shard, waiting, scorer = shard[a], [], None
+                    if kind[a] == 0:
+                        waiting.append(batch.slice(a, b - a))
+                        continue
+                    if scorer is None and waiting:
+                        whole = pa.Table.from_batches(waiting)
+                        scorer, waiting = Scorer(whole.column(3).to_numpy(), _matrix(whole.column(4), dtype), whole.column(2).to_numpy(), keep), []
+                    for first_row in range(a, b, BLOCK) if scorer else ():
+                        part = batch.slice(first_row, min(BLOCK, b - first_row))
+                        before = scorer.pairs
+                        yield scorer.best(part.column(3).to_numpy(), _matrix(part.column(4), dtype), [np.frombuffer(x, np.int32) for x in part.column(5).to_pylist()])
+                        if pairs is not None:
+                            pairs.add(scorer.pairs - before)
 
         yield from _kept(found(), keep)
 
-    together = entries.unionByName(routed).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
-    hits = together.mapInArrow(match, "query_id long, found long, score double").distinct()
-    members = hits.join(items.select(F.col("item").alias("found"), "ids"), "found").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    together = entries.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "kind", "list")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+    hits = together.mapInArrow(match, "query long, found long, score double").distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
+    members = hits.join(items.select(F.col("item").alias("found"), "ids"), "found").select("query", F.explode("ids").alias("vec_id"), "score")
+    representative = asked.join(distinct.select(F.col("id").alias("query"), "vec"), "vec").select(F.col("id").alias("query_id"), "query")
+    scores = members.join(representative, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _queries(usable: DataFrame, is_query: Column, dtype: str) -> DataFrame:
@@ -307,7 +489,7 @@ def _queries(usable: DataFrame, is_query: Column, dtype: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(i, v.tobytes()) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if None not in x and np.isfinite(v := np.array(x, dtype) + 0.0).all() and v.any()]
+            made = list(valid(batch, dtype))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int64()), pa.array([v for _, v in made], pa.binary())], names=["id", "vec"])
 
     asked = usable.where(is_query & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
