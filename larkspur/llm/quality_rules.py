@@ -2,22 +2,24 @@
 
 The base rule rejects texts of fewer than MIN_WORDS words, or with more than
 half of their words in repeated 3-word windows.  The rest are judged by an
-isolation forest over rule statistics: documents that few random splits set
-apart from the others are anomalous.  Thresholds come from labelled rows: each
-rate counts from the value that a share ``LIMIT_SHARE`` of all rows labelled
-quality 1 does not exceed; the forest is fitted on at most ``FIT_ROWS``
-labelled rows (by hash of doc_id); and the anomaly from which documents go is
-the one that best separates quality 0 from 1, over all labelled rows, while at
-most ``MAX_LOST`` of quality 1 is rejected.
+isolation forest over plain rule statistics (``rates``): documents that few
+random splits set apart from the others are anomalous.  The forest sees no
+labels: it is fitted on at most ``FIT_ROWS`` documents that pass the base rule,
+by hash of doc_id, of one half of all doc_ids.  Labels give only the threshold:
+over all labelled rows of the other half it is the anomaly that best separates
+quality 0 from 1 while at most ``MAX_LOST`` of quality 1 is rejected.
 
 Nulls and edges: a null or blank text has no words and fails the base rule;
-null or repeated doc_ids are kept as they are (a null one has no label, the
-labels of one doc_id are averaged and rounded); without labels only the base
-rule applies; an empty table gives no rows.  Only doc_id and text are read.
+texts of any length are counted whole; null or repeated doc_ids are kept as
+they are (a null one has no label, the labels of one doc_id are averaged and
+rounded); without labels of both kinds only the base rule applies; an empty
+table gives no rows.  Only doc_id and text are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,20 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import hash_sample, map_texts, materialise
+from larkspur.llm.shared import discard, hash_sample, map_texts, materialise
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-TREES, SAMPLE, FIT_ROWS, SEED = 100, 256, 8192, 7
-LIMIT_SHARE, MAX_LOST = 0.998, 0.005
+TREES, SAMPLE, FIT_ROWS, SEED = 200, 64, 8192, 7
+MAX_LOST = 0.002
 #: Scores are calibrated to this many steps.
 STEPS = 2000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_same_next")
+MORE = ("n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_digits", "n_bare", "n_ended")
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_DIGITS, _MARKS = bytes(range(48, 58)), bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Each byte as a mark, white space, or part of a word.
+_KINDS = bytes(46 if c in _MARKS else 32 if c in b" \t\n\x0b\x0c\r" else 97 for c in range(256))
+_BARE = re.compile(rb"(?<![.a])\.+(?![.a])")
 
 
 def counts(text: str) -> tuple[int, ...]:
@@ -62,10 +67,11 @@ def counts(text: str) -> tuple[int, ...]:
         for i in range(3):
             covered[i : n - 2 + i] |= twice
         repeated = int(covered.sum())
-    deleted = len(data)
+    size, kinds = len(data), data.translate(_KINDS) + b" "
     return (
         n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated,
-        len(lines), deleted - len(data.translate(None, _UPPER)), deleted - len(data.translate(None, _LETTERS)), deleted - len(data.translate(None, _MARKS)), len(places), int((codes[1:] == codes[:-1]).sum()),
+        len(lines), size - len(data.translate(None, _UPPER)), size - len(data.translate(None, _LETTERS)), size - len(data.translate(None, _MARKS)), len(places),
+        size - len(data.translate(None, _DIGITS)), len(_BARE.findall(kinds)), kinds.count(b". "),
     )
 
 
@@ -88,10 +94,11 @@ def _rate(part: str, whole: str) -> Column:
 
 
 def rates() -> dict[str, Column]:
-    """The rule statistics that the forest sees."""
+    """The rule statistics that the forest sees: shares of words and of characters, and the logarithm of words a line."""
     return {
-        "word_length": _rate("word_chars", "n_words"), "symbols": _rate("n_symbols", "n_words"), "marks": _rate("n_marks", "n_words"), "upper": _rate("n_upper", "n_letters"),
-        "same_next": _rate("n_same_next", "n_words"), "repeated": _rate("n_repeat_words", "n_words"), "dup_lines": _rate("n_dup_lines", "n_lines"),
+        "word_length": _rate("word_chars", "n_words"), "symbols_a_word": _rate("n_symbols", "n_words"), "symbols": _rate("n_symbols", "word_chars"),
+        "marks_a_word": _rate("n_marks", "n_words"), "marks": _rate("n_marks", "word_chars"), "bare_marks": _rate("n_bare", "n_words"), "ended_by_marks": _rate("n_ended", "n_words"),
+        "digits": _rate("n_digits", "word_chars"), "upper": _rate("n_upper", "n_letters"), "distinct": _rate("n_distinct", "n_words"), "words_a_line": F.log1p(_rate("n_words", "n_lines")),
     }
 
 
@@ -142,9 +149,8 @@ class IsolationForest:
 
 @dataclass
 class Rules:
-    """What is fitted: the limit of each rate, the forest over the excess, the anomaly from which documents go."""
+    """What is fitted: the forest, and the anomaly from which documents go."""
 
-    limits: np.ndarray
     forest: IsolationForest
     threshold: float = float("inf")
 
@@ -153,14 +159,19 @@ def with_scores(stats: DataFrame, rules: Rules) -> DataFrame:
     """stats plus ``anomaly``."""
     found = stats.withColumns(rates())
     schema = T.StructType([*found.schema.fields, T.StructField("anomaly", T.DoubleType())])
+    names = list(rates())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = np.column_stack([batch.column(c).to_numpy() for c in rates_names])
-            yield batch.append_column("anomaly", pa.array(rules.forest.score(np.maximum(seen - rules.limits, 0)), pa.float64()))
+            seen = np.column_stack([batch.column(c).to_numpy() for c in names])
+            yield batch.append_column("anomaly", pa.array(rules.forest.score(seen), pa.float64()))
 
-    rates_names = list(rates())
-    return found.mapInArrow(run, schema).drop(*rates_names)
+    return found.mapInArrow(run, schema).drop(*names)
+
+
+def fits_forest() -> Column:
+    """Whether a row is of the half that the forest may see; the other half sets the threshold."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,25 +181,23 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST) -> Rules | None:
-    """The fitted rules; None without labelled rows of both kinds.
+    """The fitted rules; None without labelled rows of both kinds to set the threshold, or without rows for the forest.
 
-    The driver gets a limit for each rate, at most fit_rows rows, and at most 2 * STEPS counts.
+    The driver gets the rates of at most fit_rows rows, and at most 2 * STEPS counts.
     """
-    known = materialise(labelled(stats, labels), "labelled-statistics")
-    good = known.where("quality >= 1")
-    limits = good.agg(*(F.percentile_approx(c, LIMIT_SHARE, 100_000).alias(n) for n, c in rates().items())).first()
-    if limits[0] is None or known.where("quality < 1").isEmpty():
+    known = materialise(labelled(stats, labels).where(~fits_forest()), "labelled-statistics")
+    taken = hash_sample(stats.where(~base_failed()).where(fits_forest()), fit_rows, seed=SEED).select(*(c.alias(n) for n, c in rates().items())).toPandas()
+    if not len(taken) or known.where("quality >= 1").isEmpty() or known.where("quality < 1").isEmpty():
         return None
-    limits = np.array(limits, float)
-    taken = hash_sample(known, fit_rows, seed=SEED).select(*(c.alias(n) for n, c in rates().items())).toPandas()
-    rules = Rules(limits, IsolationForest(np.maximum(taken.to_numpy(float) - limits, 0)))
+    rules = Rules(IsolationForest(taken.to_numpy(float)))
     is_good = (F.col("quality") >= 1).cast("int")
     steps = with_scores(known, rules).groupBy(F.floor(F.col("anomaly") * STEPS).cast("int").alias("step")).agg(F.sum(is_good).alias("good"), F.sum(1 - is_good).alias("bad"))
     step, kept, gone = np.array([tuple(r) for r in steps.orderBy("step").collect()], float).T
+    discard(known)
     lost, caught = (np.cumsum(x[::-1])[::-1] / max(x.sum(), 1) for x in (kept, gone))
     gain = np.where(lost <= max_lost, caught - lost, -1.0)
     if gain.max() > 0:
-        rules.threshold = float(step[int(np.argmax(gain))] / STEPS)
+        rules.threshold = float(step[np.flatnonzero(gain == gain.max())[-1]] / STEPS)
     return rules
 
 
