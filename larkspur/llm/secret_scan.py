@@ -2,18 +2,20 @@
 
 Base patterns (assign, access, hex) give leftmost non-overlapping spans.  Then
 each text that mentions a sensitive name is lexed for assignments in source
-and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``,
-``name => 'x'``, ``<name>x</name>``), which gives name-literal pairs.  Constants
-are propagated: a value that names an earlier constant, or joins literals and
-constants with ``+`` or ``.``, stands for their literals.  A literal's score is
-how sensitive the target names are that it reaches, times how random it looks;
-literals of at least THRESHOLD become spans of kind ``literal`` unless a base
-span covers them.
-
-Offsets are code points, ends exclusive, in whole texts.  Nulls and edges: a
-null text is empty and has no spans; null or repeated doc_ids are kept as they
-are; an empty table gives no rows; other columns are not read, or pass through
-``redact``.
+and configuration syntax (``name = "x"``, ``name: x``, ``name: type = "x"``,
+``"name": "x"``, ``name => 'x'``, ``<name>x</name>``), which gives name-literal
+pairs.  Constants are propagated: a value that names an earlier constant, or
+joins literals and constants with ``+`` or ``.``, stands for their literals.
+Names are lexed into words (camelCase, digits and separators part them), so an
+author isn't auth and a tokenizer no token; a name that ends in a neutral word
+(``token_count``) isn't sensitive.  A literal's score is how sensitive the target
+names are that it reaches, times how random it looks; literals of at least
+THRESHOLD become spans of kind ``literal`` unless a base span covers them.
+
+Offsets are code points, ends exclusive, in whole texts of any length.  Nulls
+and edges: a null text is empty and has no spans; null or repeated doc_ids are
+kept as they are; an empty table gives no rows; other columns, whatever their
+names, are not read, or pass through ``redact``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,20 +39,31 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-#: Parts of names, and how sensitive a name with them is.
+#: How sensitive a name with these words is.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0,
-    "private_key": 1.0, "privatekey": 1.0, "access_key": 1.0, "accesskey": 1.0, "credential": 0.9, "auth": 0.7, "bearer": 0.8, "dsn": 0.6, "connection_string": 0.8,
+    ("password",): 1.0, ("passwords",): 1.0, ("passwd",): 1.0, ("pwd",): 1.0, ("pass",): 0.8, ("passphrase",): 1.0, ("secret",): 1.0, ("secrets",): 1.0, ("token",): 0.9, ("authtoken",): 0.9,
+    ("apikey",): 1.0, ("api", "key"): 1.0, ("privatekey",): 1.0, ("private", "key"): 1.0, ("accesskey",): 1.0, ("access", "key"): 1.0, ("signing", "key"): 1.0, ("encryption", "key"): 1.0,
+    ("credential",): 0.9, ("credentials",): 0.9, ("auth",): 0.7, ("bearer",): 0.8, ("dsn",): 0.6, ("connection", "string"): 0.8, ("connectionstring",): 0.8,
 }
+#: Endings that make a word written together sensitive too.
+ENDINGS = ("password", "passwd", "passphrase", "apikey", "secretkey", "privatekey", "accesskey")
+#: Last words of names that tell of a secret and don't hold it.
+NEUTRAL = frozenset(
+    "count counts limit limits length len size sizes type types kind name names url uri path file dir folder expiry expires expiration ttl timeout age policy rule rules hint field label prefix suffix"
+    " header endpoint index num number total rate id ids enabled required version format min max budget usage cost model class event reset".split()
+)
 #: Literals that stand for a secret and are none.
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your_", "your-", "xxxx", "****", "todo", "none", "null", "true", "false", "undefined")
 THRESHOLD = 0.5
 
-_SQUEEZED = tuple({part.replace("_", "") for part in SENSITIVE})
+_SQUEEZED = tuple({"".join(words) for words in SENSITIVE} | set(ENDINGS))
+_NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 _NAME = r"[A-Za-z_][\w.-]*+"
-_TARGET = re.compile(rf"""(?<![\w.-])["']?(?P<name>{_NAME})["']?[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+""", re.ASCII)
-_TERM = re.compile(rf"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.=~@%-]+)""", re.ASCII)
+_TYPE_NAME = r"[A-Za-z_][\w.]*+(?:\[[^\]\n=]{0,80}+\]|<[^>\n=]{0,80}+>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_]\w*+)*+"
+_TARGET = re.compile(rf"""(?<![\w.-])["']?(?P<name>{_NAME})["']?[ \t]*+(?::=|=>|=(?!=)|:[ \t]*+{_TYPE_NAME}[ \t]*+=(?![=>])|:(?!//))[ \t]*+""", re.ASCII)
+_QUOTED = re.compile(r"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)""")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>&|+]+(?:\+[^\s"'`,;(){}\[\]<>&|+]+)*+""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?)[ \t]*(?=[\"'`A-Za-z_])")
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<text>[^<>\n]+)</(?P=name)>", re.ASCII)
 
@@ -67,10 +81,16 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+@lru_cache(1 << 14)
 def sensitivity(name: str) -> float:
-    """How sensitive a target is; camelCase and other separators count as underscores."""
-    plain = re.sub(r"[.\-]", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).lower()
-    return max((w for part, w in SENSITIVE.items() if part in plain), default=0.0)
+    """How sensitive a target is, by the words of its name."""
+    words = [w.lower() for w in _NAME_WORD.findall(name)]
+    while words and words[-1].isdigit():
+        words.pop()
+    if not words or words[-1] in NEUTRAL:
+        return 0.0
+    known = {*zip(words), *zip(words, words[1:], strict=False)}
+    return max(*(weight for part, weight in SENSITIVE.items() if part in known), 1.0 if any(w.endswith(ENDINGS) for w in words) else 0.0, 0.0)
 
 
 def randomness(literal: str) -> float:
@@ -91,27 +111,45 @@ def literal_spans(text: str) -> list[Span]:
 
     Sensitivity flows from each assignment back to the earlier ones whose names
     it uses, so a constant that many others join is looked at once for each use.
+    A run of bare characters is scanned once, however many assignments it holds
+    (``a=b=c``); those inside a sensitive one's value are part of it.
     """
     latest: dict[str, int] = {}
     weights: list[float] = []
     values: list[list[tuple[int, int]]] = []
     uses: list[list[int]] = []
+    run_end = last_digit = covered = 0
     for m in _TARGET.finditer(text):
-        at, literals, used = m.end(), [], []
-        while (term := _TERM.match(text, at)) is not None:
-            if term["quote"]:
-                literals.append(term.span("text"))
-            elif term["bare"] in latest:
-                used.append(latest[term["bare"]])
-            elif not literals and not used and any(c.isdigit() for c in term["bare"]):
-                literals.append(term.span("bare"))
-            joined = _JOIN.match(text, term.end())
-            if joined is None:
+        if m.start() < covered:
+            continue
+        at, literals, used, weight = m.end(), [], [], sensitivity(m["name"])
+        while True:
+            if quoted := _QUOTED.match(text, at):
+                literals.append(quoted.span("text"))
+                at = quoted.end()
+            else:
+                parts: list[str] = []
+                if at >= run_end:
+                    if not (bare := _BARE.match(text, at)):
+                        break
+                    run_end = bare.end()
+                    last_digit = next((i for i in range(run_end - 1, at - 1, -1) if text[i].isdigit()), -1)
+                    parts = bare[0].split("+")
+                if parts and all(part in latest for part in parts):
+                    used += [latest[part] for part in parts]
+                elif not literals and not used and last_digit >= at:
+                    stop = run_end
+                    while text[stop - 1] in ".:":
+                        stop -= 1
+                    literals.append((at, stop))
+                    covered = stop if weight else covered
+                at = run_end
+            if (joined := _JOIN.match(text, at)) is None:
                 break
             at = joined.end()
         if literals or used:
             latest[m["name"]] = len(weights)
-            weights.append(sensitivity(m["name"]))
+            weights.append(weight)
             values.append(literals)
             uses.append(used)
     reached: dict[tuple[int, int], float] = {}
@@ -126,7 +164,7 @@ def literal_spans(text: str) -> list[Span]:
 
 
 def names_any(text: str) -> bool:
-    """Whether a sensitive name can be in the text: without separators, as ``sensitivity`` finds it in any spelling."""
+    """Whether a sensitive name can be in the text: whatever ``sensitivity`` rates holds one of these once case and separators are gone."""
     low = text.lower().replace("_", "").replace("-", "").replace(".", "")
     return any(w in low for w in _SQUEEZED)
 
