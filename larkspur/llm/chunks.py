@@ -5,7 +5,7 @@ chunks one after another.  About one chunk in eight of a partition is distinct,
 so a task keeps a table of the chunks that it has met, asks the tokenizer's
 library only for new ones (all new ones of a batch in one call), and puts the
 ids of a text together from the table.  The table lives with the Python
-worker, is emptied when it holds ``LIMIT`` chunks, and needs no shuffle: a
+worker, is emptied when it holds ``LIMIT`` bytes, and needs no shuffle: a
 table of the whole corpus would have to shuffle each partition's distinct
 chunks and each text's positions to save at most half of the segmentation.
 """
@@ -13,9 +13,11 @@ chunks and each text's positions to save at most half of the segmentation.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-LIMIT = 400_000
+#: Bytes of a table, of keys and ids with what Python needs for each entry.
+LIMIT = 96 << 20
+ENTRY = 180
 
 
 def packed(ids: list[int], kind: str = "I") -> bytes:
@@ -23,6 +25,23 @@ def packed(ids: list[int], kind: str = "I") -> bytes:
     return array(kind, ids).tobytes()
 
 
+class Table(dict):
+    """Bytes by string, and about how much memory they take."""
+
+    size = 0
+
+    def add(self, key: str, value: bytes) -> bytes:
+        self[key] = value
+        self.size += len(key) + len(value) + ENTRY
+        return value
+
+    def trim(self, limit: int = LIMIT) -> None:
+        """Start anew if the limit is passed."""
+        if self.size > limit:
+            self.clear()
+            self.size = 0
+
+
 class ChunkTable:
     """ids(texts): the packed ids of each text.
 
@@ -31,19 +50,18 @@ class ChunkTable:
     be looked at again and again by the garbage collector.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], Iterable[bytes]], limit: int = LIMIT):
+    def __init__(self, split: Callable[[str], list[str]], segment: Callable[[list[str]], list[bytes]], limit: int = LIMIT):
         self.split, self.segment, self.limit = split, segment, limit
-        self.table: dict[str, bytes] = {}
+        self.table = Table()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         chunks = [self.split(t) for t in texts]
+        self.table.trim(self.limit)
         seen: set[str] = set()
         for c in chunks:
             seen.update(c)
         new = list(seen.difference(self.table))
-        if len(self.table) + len(new) > self.limit:
-            self.table.clear()
-            new = list(seen)
-        self.table.update(zip(new, self.segment(new), strict=True))
+        for key, found in zip(new, self.segment(new), strict=True):
+            self.table.add(key, found)
         find = self.table.__getitem__
         return [b"".join(map(find, c)) for c in chunks]

@@ -1,27 +1,30 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams: the target's, from texts labelled
-quality 1, and the raw one, from all documents.  A document's log weight is the
-sum over its n-grams of log target share over raw share; with Gumbel noise from
-a hash of its doc_id added, the top k documents are a sample without
-replacement in proportion to the weights.
+quality 1, and the raw one, from all documents.  A document's log weight is
+TEMPER times the mean over its n-grams of log target share over raw share (the
+mean, so that long texts don't outweigh all others); with Gumbel noise from a
+hash of its doc_id added, the top k documents are a sample without replacement
+in proportion to the weights.
 
 N-grams: tokens (runs of letters and digits, runs of other characters), pairs
 of neighbouring tokens, and whether a token equals one of the two before it,
 each hashed to one of BUCKETS.
 
-k is the number of documents whose log weight reaches the limit that best
-separates labelled quality 1 from 0 while at most MAX_LOST of quality 1 falls
-below it.  Of at most FIT_ROWS labelled rows of each class by hash of doc_id
-(their ids are broadcast), one half gives the target model and the other the
-limit, so that texts which the model has seen don't set it; the raw model
-counts every document.  The k-th largest key is found by counting,
-not by gathering; ties with it are all taken.
-
-Nulls and edges: a null or blank text has no n-grams and log weight 0; a null
-doc_id hashes like a fixed string and is never labelled; repeated rows get
-equal keys; without labels of both classes everything is taken; an empty table
-gives no rows.  Only doc_id and text are read.
+k is the size of the target in the corpus: the sum over all documents of the
+probability, given the log weight, that a document is of quality 1.  That
+probability is a logistic curve over log weights, fitted on labelled texts that
+the target model has not seen: of at most FIT_ROWS labelled rows of each class
+by hash of doc_id (one document an id; their ids are broadcast), one half gives
+the target model and the other the curve; the raw model counts every document.
+The k-th largest key is found by counting, not by gathering; ties with it are
+all taken.
+
+Nulls and edges: a null or blank text has no n-grams and log weight 0; texts of
+any length count whole; a null doc_id hashes like a fixed string and is never
+labelled; repeated rows get equal keys; without labels of both classes
+everything is taken; an empty table gives no rows.  Only doc_id and text are
+read; other columns, whatever their names, pass through ``take``.
 """
 
 from __future__ import annotations
@@ -35,23 +38,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import LIMIT, packed
-from larkspur.llm.shared import aside, back, hash_sample, join_small, map_texts, materialise, places
+from larkspur.llm.chunks import Table, packed
+from larkspur.llm.shared import aside, back, discard, hash_sample, join_small, map_texts, materialise, places
 
 BUCKETS = 1 << 16
 FIT_ROWS = 10_000
 SMOOTHING = 20.0
-MAX_LOST = 0.002
+TEMPER = 10.0
 SEED = "sample-1"
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
 
 
-class Hashes(dict):
+class Hashes(Table):
     """The packed hashes of a word's tokens, found when a task first asks for the word."""
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = found = packed([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(word)])
-        return found
+        return self.add(word, packed([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(word)]))
 
 
 _hashes = Hashes()
@@ -59,10 +61,9 @@ _hashes = Hashes()
 
 def grams(texts: list[str]) -> list[np.ndarray]:
     """The bucket of each n-gram of each text."""
-    if len(_hashes) > LIMIT:
-        _hashes.clear()
     found = []
     for text in texts:
+        _hashes.trim()
         h = np.frombuffer(b"".join(map(_hashes.__getitem__, text.split())), "<u4").astype(np.uint64)
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
         again = [np.uint64(d) + np.uint64(2) * (h[d:] == h[:-d]).astype(np.uint64) for d in (1, 2)]
@@ -100,29 +101,31 @@ def weigh(docs: DataFrame, ratio: np.ndarray, keys: tuple[str, ...] = ("doc_id",
     """The keys and log_weight."""
 
     def rows(_: list, texts: list[str]) -> dict:
-        return {"log_weight": np.array([float(ratio[x].sum()) for x in grams(texts)])}
+        return {"log_weight": np.array([TEMPER * float(ratio[x].mean()) if len(x) else 0.0 for x in grams(texts)])}
 
     return map_texts(docs, "log_weight double", rows, keys)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, good, text of at most fit_rows labelled rows of each class."""
+    """doc_id, good, text of at most fit_rows labelled ids of each class, one document each (of the least hash of its text)."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("good"))
     known = materialise(known, "quality-labels")
-    first = [hash_sample(known.where(F.col("good") == c), fit_rows) for c in (1, 0)]
-    return join_small(docs.select("doc_id", "text"), materialise(first[0].union(first[1]), "quality-sample"), "doc_id", rows=2 * fit_rows)
+    chosen = [hash_sample(known.where(F.col("good") == c), fit_rows) for c in (1, 0)]
+    found = join_small(docs.select("doc_id", "text"), materialise(chosen[0].union(chosen[1]), "quality-sample"), "doc_id", rows=2 * fit_rows)
+    return found.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def limit_of(good: np.ndarray, weight: np.ndarray, max_lost: float = MAX_LOST) -> float:
-    """The log weight that best separates good from bad while at most max_lost of good lies below it."""
-    order = np.argsort(weight, kind="stable")
-    g, w = good[order], weight[order]
-    below_good, below_bad = np.cumsum(g) / max(g.sum(), 1), np.cumsum(1 - g) / max((1 - g).sum(), 1)
-    fits = below_good <= max_lost
-    if not fits.any():
-        return float("-inf")
-    best = int(np.argmax(np.where(fits, below_bad - below_good, -1)))
-    return float((w[best] + w[best + 1]) / 2) if best + 1 < len(w) else float("inf")
+def logistic(good: np.ndarray, weight: np.ndarray, ridge: float = 1e-6, steps: int = 50) -> tuple[float, float]:
+    """Intercept and slope of the probability of good over the weight, by Newton's steps; the ridge keeps separable classes finite."""
+    middle, width = weight.mean(), max(weight.std(), 1e-9)
+    x = np.column_stack([np.ones(len(weight)), (weight - middle) / width])
+    beta = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2)
+        move = np.linalg.solve(hessian, x.T @ (good - p) / len(x) - ridge * beta)
+        beta += np.clip(move, -5, 5)
+    return float(beta[0] - beta[1] * middle / width), float(beta[1] / width)
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> float:
@@ -148,15 +151,18 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST) -> tuple[np.ndarray, float] | None:
-    """The log ratio of each bucket and the limit of log weights; None without labels of both classes."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, tuple[float, float]] | None:
+    """The log ratio of each bucket and the curve of quality 1 over log weights; None without labels of both classes."""
     known = materialise(labelled(docs, labels, fit_rows), "quality-texts")
     if known.select("good").distinct().count() < 2:
         return None
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     ratio = log_ratio(bucket_counts(known.where("good = 1").where(half == 0)), bucket_counts(docs))
-    fitted = weigh(known.where(half == 1), ratio, ("good",)).toPandas()
-    return ratio, limit_of(fitted["good"].to_numpy(int), fitted["log_weight"].to_numpy(float), max_lost)
+    fitted = weigh(known.where(half == 1), ratio, ("good",)).toPandas()  # two numbers for each of at most 2 * fit_rows rows
+    discard(known)
+    if fitted["good"].nunique() < 2:
+        return None
+    return ratio, logistic(fitted["good"].to_numpy(float), fitted["log_weight"].to_numpy(float))
 
 
 def sample_key(seed: str = SEED) -> Column:
@@ -165,25 +171,28 @@ def sample_key(seed: str = SEED) -> Column:
     return F.col("log_weight") - F.log(-F.log(uniform))
 
 
-def least_key(keyed: DataFrame, limit: float) -> float:
-    """The key of the last document that is taken."""
-    return kth_largest(keyed, "sample_key", keyed.where(F.col("log_weight") >= limit).count())
+def target_size(weighed: DataFrame, curve: tuple[float, float]) -> int:
+    """How many documents of quality 1 there are: the sum of their probabilities."""
+    logit = F.lit(curve[0]) + F.lit(curve[1]) * F.col("log_weight")
+    return round(weighed.agg(F.sum(1 / (1 + F.exp(-logit)))).first()[0] or 0)
 
 
-def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
-    """doc_id, log_weight, sample_key, kept of every document."""
-    fitted = fit(docs, labels, fit_rows, max_lost)
+def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: str = SEED, k: int | None = None) -> DataFrame:
+    """doc_id, log_weight, sample_key, kept of every document; k: how many to take, if not the size of the target."""
+    fitted = fit(docs, labels, fit_rows)
     if fitted is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("sample_key"), F.lit(True).alias("kept"))
     keyed = materialise(weigh(docs, fitted[0]).withColumn("sample_key", sample_key(seed)), "sample-keys")
-    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(least_key(keyed, fitted[1])))
+    least = kth_largest(keyed, "sample_key", target_size(keyed, fitted[1]) if k is None else k)
+    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(least))
 
 
-def take(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost: float = MAX_LOST, seed: str = SEED) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: str = SEED, k: int | None = None) -> DataFrame:
     """The documents that are taken, with all their columns: they are written once beside their weights, so no text is shuffled."""
-    fitted = fit(docs, labels, fit_rows, max_lost)
+    fitted = fit(docs, labels, fit_rows)
     if fitted is None:
         return docs
     weighed = weigh(aside(docs, "doc_id", "text"), fitted[0], ("doc_id", *places(docs.columns)))
     weighed = materialise(weighed.withColumn("sample_key", sample_key(seed)), "weighed-documents")
-    return back(weighed.where(F.col("sample_key") >= F.lit(least_key(weighed, fitted[1]))), docs.columns)
+    least = kth_largest(weighed, "sample_key", target_size(weighed, fitted[1]) if k is None else k)
+    return back(weighed.where(F.col("sample_key") >= F.lit(least)), docs.columns)

@@ -8,7 +8,7 @@ target over its words; each document is taken floor(rate) times, and once more
 if a hash of its id falls below the fraction, so reruns agree and the
 expectation is the target.
 
-Nulls and edges: a null text has size 0, a null source is a source of its own
+Nulls and edges: a null text has size 0, texts of any length count whole, a null source is a source of its own
 (the last), a null doc_id hashes as a fixed string, repeated rows count as
 often as they occur and get equal copies, an empty table gives no rows.  Only
 doc_id, source and text are read; other columns pass through ``expand`` only.
@@ -56,13 +56,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Rows of ``sized`` plus source_size, target, copies and taken (copies times size)."""
-    sources = source_targets(sized, weights, cap).withColumnRenamed("source", "of_source")
+def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """Rows of docs (doc_id, source and others) plus source_size, target and copies."""
+    sources = targets.withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    joined = join_small(sized, sources, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
-    return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = join_small(docs, sources, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+
+
+def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """Rows of ``sized`` plus source_size, target, copies and taken (copies times size)."""
+    return with_copies(sized, source_targets(sized, weights, cap), seed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:

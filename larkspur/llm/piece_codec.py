@@ -7,8 +7,9 @@ marks with it) is segmented once and ids are joined back by position.  A model
 with other pieces, or one that rewrites characters, is applied to whole texts.
 
 Nulls and edges: a null text is an empty one (begin and end id only; decoded
-empty); ids, texts and lengths are of whole texts; null or repeated doc_ids are
-kept as they are; an empty table gives no rows; other columns are not read.
+empty); ids, texts and lengths are of whole texts, of any length; null or
+repeated doc_ids are kept as they are; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
