@@ -1,7 +1,10 @@
 """Token ids in sorted-string-table shards.
 
-Documents are range-partitioned and sorted by doc_id; each partition becomes
-one shard, so shard after shard lists ascending ids.  A shard file is
+Documents are encoded where they are read; only their ids are shuffled, to
+shards by ranges of doc_id (bounds are quantiles of doc_id alone), and sorted;
+each partition becomes one shard, so shard after shard lists ascending ids.  A
+doc_id that fills several ranges, or none at all (null), is dealt over as many
+shards by a hash of its ids.  A shard file is
 
     block*  index  bloom  footer
 
@@ -18,9 +21,11 @@ look a document up: footer, Bloom filter, binary search in the index, one
 block (``lookup``).  Shards are written under a name of the attempt and moved
 into place when complete, so a lost or repeated task leaves no half shard.
 
-Nulls and edges: a null text is an empty one (its end id only); repeated
-doc_ids are separate entries, in an order fixed by the text; a null doc_id
-comes first; an empty table gives no rows.  Only doc_id and text are read.
+Nulls and edges: a null text is an empty one (its end id only); a text of any
+length is encoded whole and is one entry; repeated doc_ids are separate entries,
+in an order fixed by a hash of their ids; a null doc_id comes first; an empty
+table gives no rows.  Only doc_id and text are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.chunks import LIMIT, ChunkTable, packed
+from larkspur.llm.chunks import ChunkTable, Table, packed
 from larkspur.llm.shared import ROWS_AT_ONCE, shared_path, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -80,18 +85,17 @@ def _split(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """A byte-level vocabulary of the tokenizers library with its chunk table; special strings in texts are ordinary text."""
+    """A byte-level vocabulary of the tokenizers library with its chunk table; special strings in texts are what the library makes of them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.kind = "H" if self.width == 2 else "I"
         self.table = ChunkTable(_split, self._segment)
-        self.words: dict[str, bytes] = {}
+        self.words = Table()
         self.ids = self.table.ids
 
     def _word(self, start: str, word: str) -> bytes:
@@ -102,20 +106,19 @@ class Vocabulary:
             written = word if start else " " + word
             written = written.replace(" ", "Ġ") if word.isascii() else written.encode().decode("latin-1").translate(_BYTE_CHARS)
             found = packed([t.id for t in self.model.tokenize(written)], self.kind)
-            self.words[key] = found = self._whole("\n") + found if start == _LINE else found
+            found = self.words.add(key, self._whole("\n") + found if start == _LINE else found)
         return found
 
     def _whole(self, text: str) -> bytes:
         key = " " + text
         found = self.words.get(key)
         if found is None:
-            found = self.words[key] = packed(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
+            found = self.words.add(key, packed(self.whole.encode(text, add_special_tokens=False).ids, self.kind))
         return found
 
     def _segment(self, keys: list[str]) -> list[bytes]:
         """Words, with or without ASCII marks after them, by the model; the rest by the whole tokenizer."""
-        if len(self.words) > LIMIT:
-            self.words.clear()
+        self.words.trim()
         made: list[bytes | None] = []
         others: list[int] = []
         for i, key in enumerate(keys):
@@ -263,27 +266,58 @@ class ShardReader:
         return found
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> list[dict]:
-    """Encode, append the end id and write shards into ``folder`` (a URI); returns path, entries and n_ids of each, in order.
+def bounds_of(docs: DataFrame, shards: int) -> tuple[int, list[int]]:
+    """How many first shards are for null ids, and the upper bounds of the other shards but the last, which may repeat."""
+    total, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    nulls = min(shards - 1, -(-shards * (total - known) // max(total, 1)))
+    rest = shards - nulls
+    found = docs.approxQuantile("doc_id", [i / rest for i in range(1, rest)], 1 / (20 * rest)) if known and rest > 1 else []
+    return nulls, [int(x) for x in found]
+
+
+def shard_of(ids: np.ma.MaskedArray, share: np.ndarray, nulls: int, bounds: list[int]) -> np.ndarray:
+    """The shard of each doc_id; share (0 to 1) deals an id over all shards that its bounds leave open."""
+    known = ids.filled(0)
+    low, high = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+    dealt = nulls + low + ((high - low + 1) * share).astype(np.int64)
+    return np.where(ids.mask, (max(nulls, 1) * share).astype(np.int64), dealt).astype(np.int32)
+
+
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, shards: int | None = None) -> list[dict]:
+    """Encode, append the end id and write shards (spark.sql.shuffle.partitions, if not given) into ``folder`` (a URI); returns path, entries and n_ids of each, in order.
 
     What comes back to the driver is one small row a shard.
     """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nulls, bounds = bounds_of(rows, shards)
+    width = encoder(vocabulary).width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, writer, out = encoder(vocabulary), None, None
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = encoder(vocabulary)
         end = np.array([end_id], table.dtype).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                coded = [ids + end for ids in table.ids(part.column(1).to_pylist())]
+                by = np.fromiter((xxhash.xxh64_intdigest(x) >> 12 for x in coded), np.int64, len(coded))
+                keys = np.ma.masked_array(part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, by / (1 << 52), nulls, bounds)), part.column(0), pa.array(by), pa.array(coded, pa.binary())], names=["shard", "doc_id", "by", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, out, shard = None, None, None
         fs, place = pafs.FileSystem.from_uri(folder)
         name = f"{place}/attempt-{uuid.uuid4().hex}"
-        shard = None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 if writer is None:
                     fs.create_dir(place)
-                    shard, out = part.column(2)[0].as_py(), fs.open_output_stream(name)
-                    writer = ShardWriter(out, len(end))
-                for doc_id, ids in zip(part.column(0).to_pylist(), table.ids(part.column(1).to_pylist()), strict=True):
-                    writer.add(key_of(doc_id), ids + end)
+                    shard, out = part.column(0)[0].as_py(), fs.open_output_stream(name)
+                    writer = ShardWriter(out, width)
+                for doc_id, ids in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    writer.add(key_of(doc_id), ids)
         if writer is not None:
             writer.finish()
             out.close()
@@ -291,9 +325,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
             fs.move(name, f"{place}/{path}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{path}"], "entries": pa.array([writer.entries], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
-    return sorted((r.asDict() for r in sorted_rows.mapInArrow(run, "shard int, path string, entries long, n_ids long").collect()), key=lambda r: r["shard"])
+    coded = rows.mapInArrow(encode, "shard int, doc_id long, by long, ids binary")
+    in_order = coded.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "by", "ids").select("shard", "doc_id", "ids")
+    return sorted((r.asDict() for r in in_order.mapInArrow(run, "shard int, path string, entries long, n_ids long").collect()), key=lambda r: r["shard"])
 
 
 def read(spark: SparkSession, shards: list[dict]) -> DataFrame:

