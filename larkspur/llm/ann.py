@@ -53,7 +53,7 @@ LIST_SIZE = 10
 NEIGHBOURS, ENTRIES, ROUNDS = 16, 32, 6
 REPLICAS, BOUNDARY = 2, 0.15
 RANK, WIDTH = 8, 32
-PROBES, RECALL = 1024, 0.94
+PROBES, RECALL = 512, 0.94
 SHARD_ENTRIES = 1 << 15
 #: Queries scored together, pairs scored exactly at once, and rows a task holds before it keeps the best only.
 BLOCK, PAIRS, HELD = 1024, 1 << 17, 500_000
@@ -311,7 +311,10 @@ class Scorer:
                 own = rows[a:b]
                 found = qu[own] @ self.units[part].T
                 self.pairs += found.size
-                i, j = np.nonzero(found >= least[own][:, None])
+                bound = least[own]
+                if found.shape[1] > 4 * self.keep:
+                    bound = np.maximum(bound, np.partition(found, -self.keep, axis=1)[:, -self.keep] - MARGIN)
+                i, j = np.nonzero(found >= bound[:, None])
                 held.append((own[i], j + part.start, found[i, j]))
                 n += len(i)
                 if n > PAIRS:
