@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ANONYMOUS_NAME = "Anonymous member"
+#: The names of anonymous members and of those without a name.
+ANONYMOUS_NAME, NO_NAME = "مجهول", "مستخدم"
 
 
-def display_name(full_name: Column, username: Column, anonymous: Column) -> Column:
-    """The shown name: masked if anonymous, else the first non-empty of full name and handle."""
-    known = F.coalesce(F.nullif(full_name, F.lit("")), F.nullif(username, F.lit("")))
-    return F.when(F.coalesce(anonymous, F.lit(False)), F.lit(ANONYMOUS_NAME)).otherwise(known)
+def display_name(full_name: Column, anonymous: Column) -> Column:
+    """The shown name: masked if anonymous, a general one if there is none."""
+    return F.when(F.coalesce(anonymous, F.lit(False)), F.lit(ANONYMOUS_NAME)).otherwise(F.coalesce(F.nullif(full_name, F.lit("")), F.lit(NO_NAME)))
+
+
+def avatar(url: Column, anonymous: Column) -> Column:
+    """The shown picture: none of anonymous members."""
+    return F.when(~F.coalesce(anonymous, F.lit(False)), F.nullif(url, F.lit("")))
 
 
 def badge(elite: Column, show: Column) -> Column:

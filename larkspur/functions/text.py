@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 ARABIC = r"\u0600-\u06ff"
+#: The shapes of tags, mentions and names.
 TAG = rf"(?:^|{SPACE})#([0-9A-Za-z_{ARABIC}]{{2,50}})"
 MENTION = rf"(?:^|{SPACE})@([0-9A-Za-z_]{{2,30}})"
-#: Two words of Arabic or Latin letters; browsers accept any white space between them, the database one ASCII space.
+#: Two words of Arabic or Latin letters; browsers accept any white space between them, the database ASCII spaces.
 CLIENT_NAME = rf"^[A-Za-z{ARABIC}]+{SPACE}+[A-Za-z{ARABIC}]+$"
-SERVER_NAME = rf"^[A-Za-z{ARABIC}]+ [A-Za-z{ARABIC}]+$"
+SERVER_NAME = rf"^[A-Za-z{ARABIC}]+[ ]+[A-Za-z{ARABIC}]+$"
 RICH_LINK = r"\[([^\]]+)\]\((/[^)\s]*)\)"
 
 
@@ -62,7 +63,7 @@ def rich_links(c: Column) -> Column:
 
 def fold_search(c: Column) -> Column:
     """For search: alef forms and teh marbuta unified, lower case, trimmed."""
-    return F.trim(F.lower(F.translate(c, "أإآة", "اااه")))
+    return trim_all(F.lower(F.translate(c, "أإآة", "اااه")))
 
 
 def fold_reading(c: Column) -> Column:
@@ -107,22 +108,48 @@ def pdf_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\()])", r"\\$1")
 
 
+#: What a lower-case user agent holds, and the label it then gets; the first that fits counts.
+SYSTEMS = (("windows", "Windows"), ("iphone|ipad|ipod", "iOS"), ("mac os x|macintosh", "macOS"), ("android", "Android"), ("linux", "Linux"))
+BROWSERS = (("edg/", "Edge"), ("opr/|opera", "Opera"), ("chrome/", "Chrome"), ("firefox/", "Firefox"))
+NOT_SAFARI = "chrome|crios|android"
+DEVICES = (("ipad|tablet", "جهاز لوحي"), ("mobile|iphone|android", "جوال"))
+OTHER_SYSTEM, OTHER_BROWSER, OTHER_DEVICE = "نظام غير معروف", "متصفح", "حاسوب"
+AGENT_LENGTH = 400
+
+
+def _first(rules: tuple[tuple[str, str], ...], ua: Column, *more: Column) -> Column:
+    plain = F.lower(F.coalesce(ua, F.lit("")))
+    return F.coalesce(*(F.when(plain.rlike(pattern), F.lit(label)) for pattern, label in rules), *more)
+
+
 def operating_system(ua: Column) -> Column:
-    """The first rule that matches a user agent names the system."""
-    s = F.lower(F.coalesce(ua, F.lit("")))
-    rules = (("windows", "Windows"), ("iphone|ipad|ipod", "iOS"), ("mac os x|macintosh", "macOS"), ("android", "Android"), ("linux", "Linux"))
-    return F.coalesce(*(F.when(s.rlike(p), F.lit(n)) for p, n in rules), F.lit("unknown"))
+    return _first(SYSTEMS, ua, F.lit(OTHER_SYSTEM))
 
 
 def browser(ua: Column) -> Column:
-    s = F.lower(F.coalesce(ua, F.lit("")))
-    rules = (
-        (s.rlike("edg/"), "Edge"), (s.rlike("opr/|opera"), "Opera"), (s.rlike("chrome/"), "Chrome"), (s.rlike("firefox/"), "Firefox"),
-        (s.rlike("safari/") & ~s.rlike("chrome|crios|android"), "Safari"),
-    )
-    return F.coalesce(*(F.when(p, F.lit(n)) for p, n in rules), F.lit("browser"))
+    plain = F.lower(F.coalesce(ua, F.lit("")))
+    return _first(BROWSERS, ua, F.when(plain.rlike("safari/") & ~plain.rlike(NOT_SAFARI), F.lit("Safari")), F.lit(OTHER_BROWSER))
 
 
 def device_type(ua: Column) -> Column:
-    s = F.lower(F.coalesce(ua, F.lit("")))
-    return F.when(s.rlike("ipad|tablet"), "tablet").when(s.rlike("mobile|iphone|android"), "phone").otherwise("computer")
+    return _first(DEVICES, ua, F.lit(OTHER_DEVICE))
+
+
+def device_label(ua: Column) -> Column:
+    return F.concat_ws(" — ", operating_system(ua), browser(ua))
+
+
+def bio(c: Column) -> Column:
+    """A profile's text as it is stored: ASCII spaces trimmed, null if nothing is left."""
+    return F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+
+
+def epoch_ms(c: Column) -> Column:
+    """Milliseconds since 1970 of an ISO time; null if it isn't one."""
+    return F.unix_millis(F.try_to_timestamp(c))
+
+
+def faq_json_ld(items: Column) -> Column:
+    """Structured data of a list of questions and answers (q, a)."""
+    answer = lambda x: F.struct(F.lit("Question").alias("@type"), x["q"].alias("name"), F.struct(F.lit("Answer").alias("@type"), x["a"].alias("text")).alias("acceptedAnswer"))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("FAQPage").alias("@type"), F.transform(items, answer).alias("mainEntity")))

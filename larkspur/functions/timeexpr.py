@@ -12,6 +12,7 @@ UNITS = {
 }
 #: Month names.
 MONTHS = ("يناير", "فبراير", "مارس", "أبريل", "مايو", "يونيو", "يوليو", "أغسطس", "سبتمبر", "أكتوبر", "نوفمبر", "ديسمبر")
+#: The words around relative times.
 AGO, JUST_NOW = "قبل", "قبل لحظات"
 
 

@@ -14,19 +14,19 @@ YEAR = "1447"
 TERMS = (("t1", "الفصل الدراسي الأول"), ("t2", "الفصل الدراسي الثاني"))
 DOCUMENTS = (("student", "كتاب الطالب", "textbook", "student-book.pdf"), ("activity", "كتاب النشاط", "workbook", "activity-book.pdf"), ("exams", "نماذج اختبارات", "exam", "exams.pdf"))
 SUBJECTS = {
-    "elementary": "quran islamic arabic math science social english digital art pe",
-    "middle": "quran islamic arabic math science social english digital art pe life",
-    "first-year": "quran islamic arabic math physics chemistry biology english social digital critical",
-    "general": "islamic arabic math physics chemistry biology english social digital",
-    "sharia": "tafsir hadith fiqh tawhid arabic english",
-    "business": "business finance law math english digital",
-    "cs-eng": "cs math physics engineering english capstone",
-    "health": "biology chemistry health physics math english",
-    "continuing": "islamic arabic math science social english digital",
-    "special/elementary": "quran islamic arabic math science life",
-    "special/middle": "islamic arabic math science digital life",
-    "special/rehab": "life arabic math pe digital",
-    "special/teacher-guide": "teacher",
+    "elementary": ("quran", "islamic", "arabic", "math", "science", "social", "english", "digital", "art", "pe"),
+    "middle": ("quran", "islamic", "arabic", "math", "science", "social", "english", "digital", "art", "pe", "life"),
+    "first-year": ("quran", "islamic", "arabic", "math", "physics", "chemistry", "biology", "english", "social", "digital", "critical"),
+    "general": ("islamic", "arabic", "math", "physics", "chemistry", "biology", "english", "social", "digital"),
+    "sharia": ("tafsir", "hadith", "fiqh", "tawhid", "arabic", "english"),
+    "business": ("business", "finance", "law", "math", "english", "digital"),
+    "cs-eng": ("cs", "math", "physics", "engineering", "english", "capstone"),
+    "health": ("biology", "chemistry", "health", "physics", "math", "english"),
+    "continuing": ("islamic", "arabic", "math", "science", "social", "english", "digital"),
+    "special/elementary": ("quran", "islamic", "arabic", "math", "science", "life"),
+    "special/middle": ("islamic", "arabic", "math", "science", "digital", "life"),
+    "special/rehab": ("life", "arabic", "math", "pe", "digital"),
+    "special/teacher-guide": ("teacher",),
 }
 SINGLE_TERM = {"critical": "t1", "capstone": "t2"}
 TRACKS = ("general", "sharia", "business", "cs-eng", "health")
@@ -50,7 +50,7 @@ def nodes(spark: SparkSession) -> DataFrame:
 
 def subjects(spark: SparkSession) -> DataFrame:
     """path, subject, place, terms: one row for each subject of each leaf."""
-    rows = [(path, SUBJECTS[kind].split()) for path, kind in leaves().items()]
+    rows = [(path, list(SUBJECTS[kind])) for path, kind in leaves().items()]
     one = spark.createDataFrame(rows, "path string, subjects array<string>").select("path", F.posexplode("subjects").alias("place", "subject"))
     single = F.create_map(*(F.lit(x) for pair in SINGLE_TERM.items() for x in pair))
     both = F.array(*(F.lit(t) for t, _ in TERMS))

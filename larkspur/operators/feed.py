@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from larkspur.functions import identity, text
 
 
+#: Kinds of reactions that have a counter and a flag.
+KINDS = ("like", "dislike", "repost", "comment")
+
+
 def newest(posts: DataFrame, k: int) -> DataFrame:
     """Top k by time, newest first; the id breaks ties."""
     return posts.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(k)
@@ -23,7 +27,7 @@ def with_authors(posts: DataFrame, profiles: DataFrame) -> DataFrame:
     shown = identity.badge(F.col("is_elite"), F.col("show_elite_badge"))
     who = profiles.select(
         F.col("id").alias("user_id"),
-        identity.display_name(F.col("full_name"), F.col("username"), F.col("anonymous_community")).alias("author"),
+        identity.display_name(F.col("full_name"), F.col("anonymous_community")).alias("author"),
         shown.alias("badge_feed"),
         (shown & ~F.coalesce("anonymous_community", F.lit(False))).alias("badge_profile"),
     )
@@ -39,8 +43,8 @@ def latest_with_authors(posts: DataFrame, profiles: DataFrame, k: int) -> DataFr
 def my_reactions(posts: DataFrame, reactions: DataFrame, viewer: int, k: int) -> DataFrame:
     """The newest posts with flags for the viewer's own reactions."""
     top = newest(posts, k).select(F.col("id").alias("post_id"), "created_at")
-    mine = reactions.where(F.col("user_id") == viewer).groupBy("post_id").agg(*(F.max(F.col("kind") == kind).alias(f"has_{kind}") for kind in ("like", "dislike", "comment")))
-    return top.join(mine, "post_id", "left").select("post_id", "created_at", *(F.coalesce(f"has_{kind}", F.lit(False)).alias(f"has_{kind}") for kind in ("like", "dislike", "comment")))
+    mine = reactions.where(F.col("user_id") == viewer).groupBy("post_id").agg(*(F.max(F.col("kind") == kind).alias(f"has_{kind}") for kind in KINDS))
+    return top.join(mine, "post_id", "left").select("post_id", "created_at", *(F.coalesce(f"has_{kind}", F.lit(False)).alias(f"has_{kind}") for kind in KINDS))
 
 
 def with_children(posts: DataFrame, reactions: DataFrame, k: int) -> DataFrame:
@@ -54,8 +58,8 @@ def with_children(posts: DataFrame, reactions: DataFrame, k: int) -> DataFrame:
 
 def reaction_counts(posts: DataFrame, reactions: DataFrame) -> DataFrame:
     """Counters of each post, recounted; zero where nobody reacted."""
-    counts = reactions.groupBy("post_id").agg(*(F.count(F.when(F.col("kind") == kind, 1)).alias(f"{kind}s_count") for kind in ("like", "dislike", "comment")))
-    names = [f"{kind}s_count" for kind in ("like", "dislike", "comment")]
+    counts = reactions.groupBy("post_id").agg(*(F.count(F.when(F.col("kind") == kind, 1)).alias(f"{kind}s_count") for kind in KINDS))
+    names = [f"{kind}s_count" for kind in KINDS]
     return posts.select(F.col("id").alias("post_id")).join(counts, "post_id", "left").fillna(0, names)
 
 
@@ -75,9 +79,10 @@ def tag_counts(bodies: DataFrame) -> DataFrame:
     return tag_links(bodies).groupBy("tag").agg(F.count("*").alias("post_count"))
 
 
-def tag_page(bodies: DataFrame, tag: str, k: int) -> DataFrame:
-    """Posts of a tag by the links, lowest ids first."""
-    return tag_links(bodies).where(F.col("tag") == tag.lower()).select("post_id", "tag").orderBy("post_id").limit(k)
+def tag_page(posts: DataFrame, links: DataFrame, tag: str, k: int) -> DataFrame:
+    """Posts of a tag through the links (post_id, tag), newest first; of the links the k lowest ids count."""
+    of_tag = links.where(F.col("tag") == tag.lower()).select("post_id").orderBy("post_id").limit(k)
+    return posts.join(of_tag, posts["id"] == of_tag["post_id"], "left_semi").select(F.col("id").alias("post_id"), "user_id", "created_at").orderBy(F.desc("created_at"), F.desc("post_id"))
 
 
 def tag_page_by_pattern(bodies: DataFrame, tag: str, k: int) -> DataFrame:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = "1970-01-01 00:00:00"
-MESSAGE_TYPES = ("message", "message_request")
-#: Type of a notification, its text key and icon.
-TYPE_TEXTS = {"like": ("liked", "heart"), "repost": ("reposted", "repeat"), "comment": ("commented", "comment"), "follow": ("followed", "user"), "mention": ("mentioned", "at"), "message": ("wrote", "mail"), "message_request": ("asked to write", "mail"), "system": ("announced", "bell")}
+#: Types of notifications that lead to the chat; each type's text and icon (other types are shown as likes).
+MESSAGE_TYPES = ("message", "message_request", "request_accepted")
+TYPE_TEXTS = {
+    "like": ("أعجب بمنشورك", "Heart"),
+    "follow": ("بدأ بمتابعتك", "UserPlus"),
+    "mention": ("أشار إليك", "AtSign"),
+    "repost": ("أعاد نشر منشورك", "Repeat2"),
+    "comment": ("علّق على منشورك", "MessageCircle"),
+    "message_request": ("أرسل لك طلب رسالة", "MailQuestion"),
+    "request_accepted": ("قبل طلب رسالتك", "CheckCheck"),
+    "message": ("أرسل لك رسالة", "MessageCircle"),
+}
+CHAT_PAGE, COMMUNITY_PAGE, PROFILE_PAGE = "/chat", "/community", "/u/"
 #: Kinds of reactions that make a notification, and its type; dislikes make none.
 NOTIFYING = {"like": "like", "repost": "repost", "comment": "comment"}
 
@@ -16,11 +26,16 @@ NOTIFYING = {"like": "like", "repost": "repost", "comment": "comment"}
 def unread_messages(participants: DataFrame, messages: DataFrame) -> DataFrame:
     """user_id, conversation_id, unread: messages of others after the last reading; conversations without any count 0.
 
-    One join for all readers, instead of a query for each conversation.
+    Read marks and messages lie in one order, newest first and marks before
+    messages of their time; a running count of all messages, less the reader's
+    own, is what is new at a mark.  No message meets a participant in a join.
     """
-    new = (F.col("m.created_at") > F.coalesce(F.col("p.last_read_at"), F.to_timestamp_ntz(F.lit(EPOCH)))) & (F.col("m.sender_id") != F.col("p.user_id"))
-    joined = participants.alias("p").join(messages.alias("m"), F.col("p.conversation_id") == F.col("m.conversation_id"), "left")
-    return joined.groupBy("p.user_id", "p.conversation_id").agg(F.count(F.when(new, 1)).alias("unread"))
+    marks = participants.groupBy("conversation_id", "user_id").agg(F.min(F.coalesce("last_read_at", F.to_timestamp_ntz(F.lit(EPOCH)))).alias("at")).withColumn("message", F.lit(0))
+    sent = messages.select("conversation_id", F.col("sender_id").alias("user_id"), F.col("created_at").alias("at"), F.lit(1).alias("message"))
+    newest = Window.partitionBy("conversation_id").orderBy(F.desc("at"), "message").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("conversation_id", "user_id").orderBy(F.desc("at"), "message").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.unionByName(sent).withColumn("every", F.sum("message").over(newest)).withColumn("own", F.sum("message").over(own))
+    return counted.where("message = 0").select("user_id", "conversation_id", (F.col("every") - F.col("own")).alias("unread"))
 
 
 def unread_totals(participants: DataFrame, messages: DataFrame) -> DataFrame:
@@ -50,12 +65,14 @@ def follow_notifications(follows: DataFrame) -> DataFrame:
     return follows.select(F.col("followee_id").alias("user_id"), F.col("follower_id").alias("actor_id"), F.lit("follow").alias("type"), "created_at")
 
 
-def with_links(notifications: DataFrame) -> DataFrame:
-    """The text, icon and target of each notification."""
+def with_links(notifications: DataFrame, actors: DataFrame) -> DataFrame:
+    """The text, icon and target of each notification; actors: id, username."""
     texts = F.create_map(*(x for k, (a, b) in TYPE_TEXTS.items() for x in (F.lit(k), F.struct(F.lit(a).alias("text"), F.lit(b).alias("icon")))))
-    shown = F.try_element_at(texts, F.col("type"))
-    link = F.when(F.col("type") == "follow", F.concat(F.lit("/u/"), F.col("actor_id").cast("string"))).when(F.col("type").isin(*MESSAGE_TYPES), "/chat").otherwise("/feed")
-    return notifications.withColumns({"text": F.coalesce(shown["text"], F.lit("")), "icon": F.coalesce(shown["icon"], F.lit("bell")), "link": link})
+    shown = F.coalesce(F.try_element_at(texts, F.col("type")), texts["like"])
+    handle = F.nullif(F.col("_username"), F.lit(""))
+    link = F.when((F.col("type") == "follow") & handle.isNotNull(), F.concat(F.lit(PROFILE_PAGE), handle)).when(F.col("type").isin(*MESSAGE_TYPES), CHAT_PAGE).otherwise(COMMUNITY_PAGE)
+    named = notifications.join(actors.select(F.col("id").alias("actor_id"), F.col("username").alias("_username")), "actor_id", "left")
+    return named.withColumns({"text": shown["text"], "icon": shown["icon"], "link": link}).drop("_username")
 
 
 def other_party(participants: DataFrame, viewer: int) -> DataFrame:

@@ -68,6 +68,11 @@ def media_valid(mime: Column, size: Column, seconds: Column) -> Column:
     return F.coalesce(image | video, F.lit(False))
 
 
+def avatar_valid(mime: Column, size: Column) -> Column:
+    """Images within the limit of avatars."""
+    return F.coalesce(mime.startswith("image/") & (size <= MAX_AVATAR), F.lit(False))
+
+
 def listed(paths: DataFrame, prefix: str) -> DataFrame:
     """Objects directly or further below a prefix."""
     return paths.where(F.col("path").startswith(prefix))

@@ -23,10 +23,10 @@ def insert(state: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Changed keys take the values that the last change sets (null: keep the old value); new keys are added."""
+    """Changed keys take the values that the last change sets, nulls too; columns that changes lack keep theirs; new keys are added."""
     values = [c for c in state.columns if c not in keys]
-    new = latest(changes, keys, order).select(*keys, *(F.col(c).alias(f"_new_{c}") for c in values if c in changes.columns))
-    return state.join(new, keys, "full_outer").select(*keys, *(F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in values))
+    new = latest(changes, keys, order).select(*keys, F.lit(True).alias("_changed"), *(F.col(c).alias(f"_new_{c}") for c in values if c in changes.columns))
+    return state.join(new, keys, "full_outer").select(*keys, *(F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns else F.col(c) for c in values))
 
 
 def insert_if_absent(state: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import timeexpr
+from larkspur.functions import text, timeexpr
 from larkspur.operators.joins import join_by_size
 
 REFERRALS_NEEDED = 5
+BIO_LENGTH = 300
 #: Experience needed for each badge, in order.
 BADGES = (("first_test", 0), ("week_streak", 50), ("diligent", 100), ("genius", 300), ("elite", 500), ("champion", 1000))
 SETTINGS_DEFAULTS = {
@@ -26,9 +29,9 @@ def statistics(profiles: DataFrame, posts: DataFrame, follows: DataFrame) -> Dat
     """Followers, following, posts and sums of reactions of each profile, zero where there are none."""
     followers = follows.groupBy(F.col("followee_id").alias("id")).agg(F.count("*").alias("followers"))
     following = follows.groupBy(F.col("follower_id").alias("id")).agg(F.count("*").alias("following"))
-    written = posts.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("posts"), F.sum(F.coalesce("likes_count", F.lit(0))).alias("likes"), F.sum(F.coalesce("comments_count", F.lit(0))).alias("comments"))
+    written = posts.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("posts"), F.sum(F.coalesce("likes_count", F.lit(0))).alias("likes"), F.sum(F.coalesce("reposts_count", F.lit(0))).alias("reposts"))
     made = profiles.select("id").join(followers, "id", "left").join(following, "id", "left").join(written, "id", "left")
-    return made.fillna(0, ["followers", "following", "posts", "likes", "comments"])
+    return made.fillna(0, ["followers", "following", "posts", "likes", "reposts"])
 
 
 def leaderboard_view(profiles: DataFrame, buckets: int = 64) -> DataFrame:
@@ -39,11 +42,17 @@ def leaderboard_view(profiles: DataFrame, buckets: int = 64) -> DataFrame:
 def number_rows(rows: DataFrame, name: str, by: str, tie: str, buckets: int) -> DataFrame:
     """Numbers from 1 by a numeric column, highest first, then by ``tie``, without gathering all rows in one task.
 
-    Approximate quantiles cut the values into buckets; rows are numbered within
+    Approximate quantiles cut the values into buckets, and the ties of a value
+    that fills several of them by quantiles of ``tie``; rows are numbered within
     theirs, and the sizes of the buckets above (at most ``buckets`` rows) are added.
     """
-    bounds = sorted(set(rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, bound: n + (bound > F.col(by)).cast("int")) if bounds else F.lit(0)
+    bounds = Counter(rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01))
+    below = [F.col(by) < F.lit(v) for v, times in bounds.items() if times == 1]
+    for v, times in bounds.items():
+        if times > 1:
+            same = rows.where(F.col(by) == F.lit(v))
+            below += [(F.col(by) < F.lit(v)) | ((F.col(by) == F.lit(v)) & (F.col(tie) > F.lit(cut))) for cut in same.approxQuantile(tie, [i / times for i in range(1, times)], 0.01)]
+    bucket = sum((c.cast("int") for c in below), F.lit(0))
     placed = rows.withColumn("_bucket", bucket)
     placed = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(by), tie)))
     sizes = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
@@ -103,9 +112,20 @@ def visible_tabs(profiles: DataFrame, stored: DataFrame, viewer: int) -> DataFra
     return joined.select("id", seen("show_likes_on_profile").alias("likes_tab"), seen("show_reposts_on_profile").alias("reposts_tab"))
 
 
-def with_roles(profiles: DataFrame, roles: list[str]) -> DataFrame:
-    """Profiles that pass a role gate; elite members pass any."""
-    return profiles.where(F.col("role").isin(roles) | F.coalesce("is_elite", F.lit(False)))
+def with_role(profiles: DataFrame, role: str = "admin") -> DataFrame:
+    """Profiles that pass a role gate; being elite doesn't help."""
+    return profiles.where(F.col("role") == role)
+
+
+def elite_only(profiles: DataFrame) -> DataFrame:
+    """Profiles that pass the elite gate; no role helps."""
+    return profiles.where(F.coalesce("is_elite", F.lit(False)))
+
+
+def set_bio(profiles: DataFrame, changes: DataFrame, longest: int = BIO_LENGTH) -> DataFrame:
+    """id, bio after changes (id, bio): trimmed, blank as null; one that is too long changes nothing."""
+    new = changes.select("id", text.bio(F.col("bio")).alias("_bio"), F.lit(True).alias("_set")).where(F.coalesce(F.length("_bio"), F.lit(0)) <= longest)
+    return profiles.select("id", "bio").join(new, "id", "left").select("id", F.when(F.col("_set"), F.col("_bio")).otherwise(F.col("bio")).alias("bio"))
 
 
 def latest_reviews(reviews: DataFrame, profiles: DataFrame, k: int = 60) -> DataFrame:

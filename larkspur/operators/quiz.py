@@ -11,9 +11,10 @@ XP_PER_ANSWER = 10
 
 
 def draw(questions: DataFrame, k: int, seed: int) -> DataFrame:
-    """k questions (all, if there are fewer) in random order with shuffled options and the answer's new place."""
-    picked = questions.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k)
-    tagged = F.transform("options", lambda o, i: F.struct(F.xxhash64(F.lit(seed), F.col("id"), i).alias("by"), i.alias("was"), o.alias("option")))
+    """k questions (all, if there are fewer) in an order drawn by seed, with shuffled options and the answer's new place."""
+    by = lambda *parts: F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
+    picked = questions.orderBy(by("id"), "id").limit(k)
+    tagged = F.transform("options", lambda o, i: F.struct(by("id", i).alias("by"), i.alias("was"), o.alias("option")))
     mixed = picked.withColumn("mixed", F.sort_array(tagged))
     return mixed.select(
         "id", F.transform("mixed", lambda m: m["option"]).alias("options"), (F.array_position(F.transform("mixed", lambda m: m["was"]), F.col("answer_index")) - 1).cast("int").alias("answer_index")

@@ -33,24 +33,32 @@ def weekly(streak: DataFrame) -> DataFrame:
     return streak.select("user_id", F.least(F.lit(100), timeexpr.half_up(F.least(s, F.lit(7)) / 7 * 100)).cast("long").alias("week_percent"), timeexpr.half_up(F.least(F.lit(1.0), s / 30) * 100).alias("goal_percent"))
 
 
-def decide(events: DataFrame, limit: int, window_us: int, inclusive: bool = False) -> DataFrame:
+def decide(events: DataFrame, limit: int, window_us: int, inclusive: bool = False, elite_us: int | None = None) -> DataFrame:
     """user_id, event_id, ts, allowed: at most ``limit`` allowed in a window that opens with an allowed event.
 
+    If events have a column is_elite, elite users' windows are elite_us long, or
+    all their events are allowed (None).
+
     A new window opens when more than window_us (or, inclusive, at least that
     much) has passed since the open one began; denied events change nothing.
     A cooldown is limit 1, inclusive.
     """
-    kept = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    elite = F.coalesce("is_elite", F.lit(False)) if "is_elite" in events.columns else F.lit(False)
+    length = F.when(elite, F.lit(elite_us).cast("long")).otherwise(F.lit(window_us))
+    kept = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), length.alias("length"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start, n = object(), None, 0
         for batch in batches:
             allowed = []
-            for user, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for user, us, length in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if length is None:
+                    allowed.append(True)
+                    continue
                 if user != last:
                     last, start, n = user, None, 0
-                if start is None or (us - start >= window_us if inclusive else us - start > window_us):
+                if start is None or (us - start >= length if inclusive else us - start > length):
                     start, n, ok = us, 1, True
                 else:
                     ok = n < limit

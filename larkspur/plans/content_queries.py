@@ -38,7 +38,7 @@ def chat_merge_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  أحمد إسراء آلاء مدرسةً \n"), F.substring("text", 1, 60)).alias("x"))
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  أحمد إسراء آلاء مدرسةً \n"), F.coalesce("text", F.lit(""))).alias("x"))
     return d.select("doc_id", text.collapse(F.col("x")).alias("collapsed"), text.shorten(text.collapse(F.col("x")), 38).alias("title"), text.fold_search(F.col("x")).alias("folded"), text.fold_reading(F.col("x")).alias("reading"), text.initial(F.col("x")).alias("initial"))
 
 
@@ -53,7 +53,7 @@ def user_agent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile Safari/537", "Opera/9.80 (X11; Linux)", "curl/8",
     )
     ua = F.element_at(F.array(*map(F.lit, agents)), (F.col("event_id") % 6 + 1).cast("int"))
-    return t.events(spark, sf_dir).select("event_id", text.operating_system(ua).alias("os"), text.browser(ua).alias("browser"), text.device_type(ua).alias("device"), text.join_nonempty(text.operating_system(ua), F.lit(""), text.browser(ua)).alias("label"))
+    return t.events(spark, sf_dir).select("event_id", text.operating_system(ua).alias("os"), text.browser(ua).alias("browser"), text.device_type(ua).alias("device"), text.device_label(ua).alias("label"), text.join_nonempty(text.device_type(ua), F.lit(""), text.browser(ua)).alias("joined"))
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,37 @@ def faq_style_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(items, " Heatha ", "en").select("id", "cat")
 
 
+def faq_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five answers to a query, and the popular ones."""
+    items = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cat"), F.col("source").alias("q"), F.col("text").alias("a"), (F.col("source") == "src3").alias("popular"))
+    found = search.find(items, "THE", k=5).select(F.lit("found").alias("list"), "id")
+    return found.unionByName(search.popular(items).select(F.lit("popular").alias("list"), "id"))
+
+
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, tags, mentions and spaces of every body, counted."""
+    counted = t.bodies(spark, sf_dir).select("post_id", F.explode(text.tokens(F.col("content"))).alias("t"))
+    return counted.groupBy("post_id").agg(*(F.count(F.when(F.col("t.kind") == kind, 1)).alias(f"n_{kind}") for kind in ("tag", "mention", "word")), F.sum(F.length("t.token")).alias("n_chars"))
+
+
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO strings as milliseconds; strings that are no times give none."""
+    iso = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(F.col("event_id") % 2 == 0, "soon")
+    return t.events(spark, sf_dir).select("event_id", text.epoch_ms(iso).alias("ms"))
+
+
+def faq_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structured data of each region's list of nations."""
+    nations = t.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list(F.struct(F.col("n_name").alias("q"), F.col("n_nationkey").cast("string").alias("a")))).alias("items"))
+    return nations.select("region", text.faq_json_ld(F.col("items")).alias("json"))
+
+
+def resource_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some keys of the catalogue, and one that it lacks."""
+    asked = spark.createDataFrame([("1447/middle/grade-2/math/t1/exams.pdf",), ("1447/high-school/grade-2/cs-eng/cs/t2/student-book.pdf",), ("1447/none.pdf",)], "key string")
+    return catalog.by_key(catalog.resources(catalog.subjects(spark)), asked)
+
+
 def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user JSON values read as rows."""
     return t.events(spark, sf_dir).select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.struct("event_type", "user_id")).alias("json"))
@@ -198,8 +229,25 @@ _ROLE = "case when role = 'assistant' then 'assistant' else 'user' end"
 _FIRST = "u as (select conv_id, arg_min(text, turn) as content from conversations where role <> 'assistant' group by 1)"
 _TITLE = r"""tt as (select c.conv_id as session_id, case when u.conv_id is null then 'محادثة جديدة' else x end as title from (select distinct conv_id from conversations) c left join
  (select conv_id, case when length(w) > 38 then substr(w, 1, 38) || '…' else w end as x from (select conv_id, trim(regexp_replace(content, '\s+', ' ', 'g')) as w from u)) u using (conv_id))"""
-_X = r"select doc_id, '  أحمد إسراء آلاء مدرسةً ' || chr(10) || substr(text, 1, 60) as x from documents"
-_C = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
+_X = r"select doc_id, '  أحمد إسراء آلاء مدرسةً ' || chr(10) || coalesce(text, '') as x from documents"
+_SP = r"[\s\x0b\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_C = rf"trim(regexp_replace(x, '{_SP}+', ' ', 'g'))"
+
+#: The curriculum as SQL: leaves by stage and grade, every node above them, and a resource for each subject, term and kind of document.
+_CATALOG = """with stages(kind, prefix, grades, subjects) as (values ('elementary', 'elementary/grade-', 6, 'quran islamic arabic math science social english digital art pe'),
+ ('middle', 'middle/grade-', 3, 'quran islamic arabic math science social english digital art pe life'), ('continuing', 'continuing/grade-', 3, 'islamic arabic math science social english digital')),
+tracks(track, subjects) as (values ('general', 'islamic arabic math physics chemistry biology english social digital'), ('sharia', 'tafsir hadith fiqh tawhid arabic english'), ('business', 'business finance law math english digital'),
+ ('cs-eng', 'cs math physics engineering english capstone'), ('health', 'biology chemistry health physics math english')),
+leaf as (select prefix || g as path, subjects from stages, range(1, 7) r(g) where g <= grades union all select 'high-school/grade-' || g || '/' || track, subjects from tracks, range(2, 4) r(g)
+ union all values ('high-school/grade-1/first-year', 'quran islamic arabic math physics chemistry biology english social digital critical'), ('special/elementary', 'quran islamic arabic math science life'),
+ ('special/middle', 'islamic arabic math science digital life'), ('special/rehab', 'life arabic math pe digital'), ('special/teacher-guide', 'teacher')),
+parts as (select path, string_split(path, '/') as p, unnest(range(1, len(string_split(path, '/')) + 1))::int as depth from leaf),
+nodes as (select distinct array_to_string(p[:depth], '/') as path, case when depth > 1 then array_to_string(p[:depth - 1], '/') end as parent, depth, depth = len(p) as is_leaf from parts),
+sub as (select path, unnest(string_split(subjects, ' ')) as subject from leaf),
+res as (select path, subject, subject || '-' || term || '-' || suffix as id, title, d.kind, "order", term, term_name, '1447/' || path || '/' || subject || '/' || term || '/' || file as key
+ from sub, (values ('t1', 'الفصل الدراسي الأول'), ('t2', 'الفصل الدراسي الثاني')) as t(term, term_name),
+ (values (0, 'student', 'كتاب الطالب', 'textbook', 'student-book.pdf'), (1, 'activity', 'كتاب النشاط', 'workbook', 'activity-book.pdf'), (2, 'exams', 'نماذج اختبارات', 'exam', 'exams.pdf')) as d("order", suffix, title, kind, file)
+ where not (subject = 'critical' and term = 't2') and not (subject = 'capstone' and term = 't1'))"""
 
 ORACLE_SQL = {
     "chat_sessions_grouped": f"select conv_id as session_id, min(turn) as created, count(*) as n, string_agg({_ROLE} || ':' || length(text), ',' order by turn) as shape from conversations group by 1",
@@ -211,12 +259,12 @@ select c.conv_id as session_id, coalesce(string_agg(case role when 'assistant' t
 from (select distinct conv_id from conversations) c left join k using (conv_id) group by 1""",
     "chat_merge_local": f"with {_FIRST}, {_TITLE} select session_id, title, case when session_id % 3 = 0 then 'local' else 'server' end as origin from tt",
     "text_normalised": rf"""select doc_id, {_C} as collapsed, case when length({_C}) > 38 then substr({_C}, 1, 38) || '…' else {_C} end as title,
- trim(translate(lower(x), 'أإآة', 'اااه'), ' ') as folded, regexp_replace(translate(regexp_replace(x, '[\x{{064B}}-\x{{0652}}\x{{0670}}]', '', 'g'), 'أإآ', 'ااا'), '\s+', '', 'g') as reading, substr({_C}, 1, 1) as initial from ({_X})""",
+ regexp_replace(translate(lower(x), 'أإآة', 'اااه'), '^{_SP}+|{_SP}+$', '', 'g') as folded, regexp_replace(translate(regexp_replace(x, '[\x{{064B}}-\x{{0652}}\x{{0670}}]', '', 'g'), 'أإآ', 'ااا'), '{_SP}+', '', 'g') as reading, substr({_C}, 1, 1) as initial from ({_X})""",
     "name_and_phone": r"""with c as (select c_custkey as id, case c_custkey % 3 when 0 then 'Sara  Ali' when 1 then 'علي حسن' else c_name end as name, '05-' || (c_custkey * 7919 % 90000000) as p from customer)
-select id, regexp_full_match(regexp_replace(name, '\s+', ' ', 'g'), '[A-Za-z\x{0600}-\x{06FF}]+\s+[A-Za-z\x{0600}-\x{06FF}]+') as client_ok, regexp_full_match(name, '[A-Za-z\x{0600}-\x{06FF}]+ [A-Za-z\x{0600}-\x{06FF}]+') as server_ok,
+select id, regexp_full_match(regexp_replace(name, '\s+', ' ', 'g'), '[A-Za-z\x{0600}-\x{06FF}]+\s+[A-Za-z\x{0600}-\x{06FF}]+') as client_ok, regexp_full_match(name, '[A-Za-z\x{0600}-\x{06FF}]+ +[A-Za-z\x{0600}-\x{06FF}]+') as server_ok,
  substr(regexp_replace(regexp_replace(lower(name), '\s+', '_', 'g'), '[^a-z0-9_\x{0600}-\x{06FF}]', '', 'g'), 1, 16) as handle, '+966' || regexp_replace(p, '\D', '', 'g') as phone, length(regexp_replace(p, '\D', '', 'g')) = 9 as phone_ok from c""",
-    "user_agent_parse": """select event_id, o as os, b as browser, d as device, o || ', ' || b as label from events join (values (0, 'Windows', 'Edge', 'computer'), (1, 'iOS', 'Safari', 'phone'), (2, 'macOS', 'Firefox', 'computer'),
- (3, 'Android', 'Chrome', 'phone'), (4, 'Linux', 'Opera', 'computer'), (5, 'unknown', 'browser', 'computer')) as v(k, o, b, d) on k = event_id % 6""",
+    "user_agent_parse": """select event_id, o as os, b as browser, d as device, o || ' — ' || b as label, d || ', ' || b as joined from events join (values (0, 'Windows', 'Edge', 'حاسوب'), (1, 'iOS', 'Safari', 'جوال'), (2, 'macOS', 'Firefox', 'حاسوب'),
+ (3, 'Android', 'Chrome', 'جوال'), (4, 'Linux', 'Opera', 'حاسوب'), (5, 'نظام غير معروف', 'متصفح', 'حاسوب')) as v(k, o, b, d) on k = event_id % 6""",
     "path_parts": r"""select event_id, user_id::varchar as folder, event_id || '.PDF' as base, 'pdf' as extension, '\(a\\b\) ' || user_id || '/' || event_type || '/' || event_id || '.PDF' as escaped, 'a b/c' as decoded from events""",
     "rich_links": "select doc_id, source as label, '/s/' || doc_id as href from documents union all select doc_id, lang, '/l' from documents",
     "faq_style_search": "select doc_id as id, lang as cat from documents where lang = 'en' and (contains(lower(text), 'heatha'))",
@@ -225,8 +273,8 @@ select id, regexp_full_match(regexp_replace(name, '\s+', ' ', 'g'), '[A-Za-z\x{0
  union all select r_name || '/' || n_name || '/' || s_name from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey) select path, term from p, (values ('t1'), ('t2')) as t(term)""",
     "quiz_score": """select attempt, count(*) filter (c = a) as correct, count(*) as total, count(*) filter (c = a) * 10 as xp, floor(count(*) filter (c = a)::double / count(*) * 100 + 0.5)::bigint as percent
 from (select l_orderkey as attempt, case when l_returnflag <> 'N' then l_quantity::int % 4 end as c, l_partkey % 4 as a from lineitem) group by 1""",
-    "upsert_latest": """with l as (select user_id, arg_max(case when event_type <> 'error' then value else -1e300 end, (ts, event_id)) as v from events group by 1)
-select coalesce(c_custkey, user_id) as id, c_name as username, case when v > -1e299 then v else c_acctbal end as xp from customer full join l on c_custkey = user_id""",
+    "upsert_latest": """with l as (select user_id, arg_max({'v': case when event_type <> 'error' then value end}, (ts, event_id)) as s from events group by 1)
+select coalesce(c_custkey, user_id) as id, c_name as username, case when user_id is not null then s.v else c_acctbal end as xp from customer full join l on c_custkey = user_id""",
     "insert_if_absent": """with s as (select user_id, min(event_id) as event_id from events where user_id % 4 = 0 and event_type = 'signup' group by 1)
 select * from s union all select user_id, min(event_id) from events where event_type = 'purchase' and user_id not in (select user_id from s) group by 1""",
     "idempotent_events": "select event_id % 700 as event_id, min(event_id) as received, arg_min(event_type, event_id) as event_type from events group by 1",
@@ -246,5 +294,20 @@ select case when key like '..%' then 'bad_key' when key like 'z/%' then 'unknown
     "constraint_audit": """select 'rating_range' as "check", count(*) filter (not (value / 25 between 1 and 5)) as n from events union all select 'not_self', count(*) filter (user_id = event_id) from events
 union all select 'one_target', count(*) filter ((event_id % 2 = 0) = (event_id % 3 <> 0)) from events union all select 'unique_pair', count(*) from (select 1 from events group by user_id, event_type having count(*) > 1)
 union all select 'orphans', count(*) from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)""",
-    "catalog_trail": """select * from (values ('high-school', null, 1, false), ('high-school/grade-2', 'high-school', 2, false), ('high-school/grade-2/sharia', 'high-school/grade-2', 3, true)) as v(path, parent, depth, is_leaf)""",
+    "faq_top": """(select 'found' as list, doc_id as id from documents where contains(lower(source), 'the') or contains(lower(text), 'the') order by doc_id limit 5)
+union all (select 'popular', doc_id from documents where source = 'src3' order by doc_id limit 5)""",
+    "text_tokens": rf"""with b as (select doc_id as post_id, '#' || source || ' #Lang_' || lang || ' @User' || (doc_id % 9) || ' ' || coalesce(text, '') as content from documents),
+w as (select post_id, unnest(regexp_extract_all(content, '{_SP}+|[^\s]+')) as t from b)
+select post_id, count(*) filter (regexp_full_match(t, '#[0-9A-Za-z_\x{{0600}}-\x{{06FF}}]{{2,50}}')) as n_tag, count(*) filter (regexp_full_match(t, '@[0-9A-Za-z_]{{2,30}}')) as n_mention,
+ count(*) filter (not regexp_full_match(t, '{_SP}+|#[0-9A-Za-z_\x{{0600}}-\x{{06FF}}]{{2,50}}|@[0-9A-Za-z_]{{2,30}}')) as n_word, sum(length(t))::bigint as n_chars from w group by 1""",
+    "iso_times": "select event_id, case when event_id % 5 <> 0 then epoch_us(ts) // 1000 end as ms from events",
+    "faq_json_ld": """select n_regionkey as region, '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg('{"@type":"Question","name":"' || n_name || '","acceptedAnswer":{"@type":"Answer","text":"' || n_nationkey || '"}}', ',' order by n_name) || ']}' as json from nation group by 1""",
+    "catalog_paths": f"{_CATALOG} select path, parent, depth, is_leaf from nodes",
+    "catalog_trail": f"{_CATALOG} select path, parent, depth, is_leaf from nodes where starts_with('high-school/grade-2/sharia/', path || '/')",
+    "catalog_resources": f"{_CATALOG} select path, subject, id, title, kind, \"order\", term, term_name, key from res",
+    "catalog_counts": f"{_CATALOG} select path, subject, term, count(*) as resources from res group by all",
+    "resource_by_key": f"{_CATALOG} select key, path, id, title, subject from res where key in ('1447/middle/grade-2/math/t1/exams.pdf', '1447/high-school/grade-2/cs-eng/cs/t2/student-book.pdf', '1447/none.pdf')",
+    "quiz_shuffle": """with p as (select p_partkey as id, [p_name, p_brand, p_type] as o, (p_partkey % 3)::int as a from part order by md5('3:' || p_partkey), p_partkey limit 10),
+x as (select id, a, unnest([0, 1, 2]) as i, unnest(o) as opt from p), y as (select *, (row_number() over (partition by id order by md5('3:' || id || ':' || i)) - 1)::int as place from x)
+select id, list(opt order by place) as options, max(place) filter (i = a) as answer_index from y group by id""",
 }

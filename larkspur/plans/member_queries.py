@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import identity, timeexpr
-from larkspur.operators import inbox, policy, profile, sequential, subscriptions
+from larkspur.operators import inbox, mutations, policy, profile, reads, sequential, subscriptions
 from larkspur.sources import tables as t
 
 AS_OF = "2024-01-31 00:00:00"
@@ -20,7 +20,7 @@ def _follows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acts = t.reactions(spark, sf_dir).groupBy(F.col("post_id").alias("id")).agg(F.count(F.when(F.col("kind") == "like", 1)).alias("likes_count"), F.count(F.when(F.col("kind") == "comment", 1)).alias("comments_count"))
+    acts = t.reactions(spark, sf_dir).groupBy(F.col("post_id").alias("id")).agg(F.count(F.when(F.col("kind") == "like", 1)).alias("likes_count"), F.count(F.when(F.col("kind") == "repost", 1)).alias("reposts_count"))
     return t.posts(spark, sf_dir).select("id", "user_id").join(acts, "id", "left")
 
 
@@ -40,7 +40,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.create_map(*(F.lit(x) for x in ("signup", "follow", "error", "system", "click", "message", "view", "like", "purchase", "comment")))
+    kinds = F.create_map(*(F.lit(x) for x in ("signup", "follow", "error", "request_accepted", "click", "message", "view", "like", "purchase", "comment")))
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 97).alias("actor_id"), F.element_at(kinds, F.col("event_type")).alias("type"), (F.col("value") > 50).alias("read"), F.col("ts").alias("created_at"))
 
 
@@ -86,7 +86,7 @@ def entitlement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.profiles(spark, sf_dir).withColumn("full_name", F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 11 == 0, None).otherwise(F.col("full_name"))).withColumn("show_elite_badge", F.when(F.col("id") % 13 != 0, F.col("show_elite_badge")))
     shown = identity.badge(F.col("is_elite"), F.col("show_elite_badge"))
-    return p.select("id", identity.display_name(F.col("full_name"), F.col("username"), F.col("anonymous_community")).alias("name"), shown.alias("badge_feed"), (shown & ~F.col("anonymous_community")).alias("badge_profile"))
+    return p.select("id", identity.display_name(F.col("full_name"), F.col("anonymous_community")).alias("name"), identity.avatar(F.concat(F.lit("/a/"), F.col("id")), F.col("anonymous_community")).alias("avatar"), shown.alias("badge_feed"), (shown & ~F.col("anonymous_community")).alias("badge_profile"))
 
 
 def settings_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,65 @@ def preference_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = t.profiles(spark, sf_dir).withColumn("role", F.when(F.col("id") % 10 == 0, "teacher").otherwise("student"))
-    return profile.with_roles(p, ["teacher", "admin"]).select("id", "role", "is_elite")
+    p = t.profiles(spark, sf_dir).withColumn("role", F.when(F.col("id") % 10 == 0, "admin").otherwise("student"))
+    return profile.with_role(p).select("id", "role", "is_elite")
+
+
+def elite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = t.profiles(spark, sf_dir).withColumn("is_elite", F.when(F.col("id") % 9 != 0, F.col("is_elite")))
+    return profile.elite_only(p).select("id", "is_elite")
+
+
+def bio_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bios set to what members' documents say: some too long, some blank."""
+    p = t.profiles(spark, sf_dir).select("id", F.lit("old").alias("bio"))
+    said = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "   ").otherwise(F.concat(F.lit("  "), "text")).alias("bio"))
+    return profile.set_bio(p, said)
+
+
+def name_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of names: a day's cooldown for elite members, fourteen for others."""
+    elite = t.profiles(spark, sf_dir).select(F.col("id").alias("user_id"), "is_elite")
+    events = _events(spark, sf_dir).where("event_type = 'signup'").join(elite, "user_id", "left")
+    return sequential.decide(events, 1, 14 * 86_400_000_000, inclusive=True, elite_us=86_400_000_000)
+
+
+def ai_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions in three days; elite members may always ask."""
+    elite = t.profiles(spark, sf_dir).select(F.col("id").alias("user_id"), "is_elite")
+    return sequential.decide(_events(spark, sf_dir).where("event_type in ('click', 'view')").join(elite, "user_id", "left"), 2, 3 * 86_400_000_000)
+
+
+def sign_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user of the events who has no profile yet gets one, and a free subscription; what is new of both."""
+    known = t.profiles(spark, sf_dir).where("xp > 0").select("id", F.lit("known").alias("role"))
+    users = _events(spark, sf_dir).select(F.col("user_id").alias("id")).distinct()
+    paid = known.select(F.col("id").alias("user_id"), F.lit("elite").alias("tier"), F.lit("active").alias("status"))
+    profiles, subscriptions = mutations.sign_up(known, paid, users)
+    return profiles.select("id", "role").join(subscriptions.withColumnRenamed("user_id", "id"), "id")
+
+
+def settings_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue, server and local values of a key, later ones winning."""
+    base = t.profiles(spark, sf_dir).select("id", F.lit("default").alias("v"))
+    server = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.lit("server").alias("v")).distinct()
+    local = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.lit("local").alias("v")).distinct()
+    return mutations.overlay(base, server, local, key="id")
+
+
+def matching_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality with a value and with null, and two lists, one of them a table."""
+    posts = t.posts(spark, sf_dir).withColumn("topic", F.when(F.col("topic") != "5-LOW", F.col("topic")))
+    low = reads.match(posts, {"status": "O", "topic": None})
+    of_few = reads.is_in(reads.is_in(posts, "user_id", t.profiles(spark, sf_dir).where("xp > 5000").select("id")), "topic", ["1-URGENT", None, "", "1-URGENT"])
+    return low.unionByName(of_few).select("id", "user_id", "topic")
+
+
+def signed_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with their signature, some of them forged."""
+    body = F.concat(F.col("event_type"), F.lit(":"), F.col("event_id"))
+    rows = _events(spark, sf_dir).select("event_id", body.alias("raw"), F.when(F.col("event_id") % 3 != 0, subscriptions.hmac_sha256(body, b"key")).when(F.col("event_id") % 2 == 0, "00").alias("signature"))
+    return rows.select("event_id", subscriptions.signature_valid("raw", "signature", "key").alias("valid"))
 
 
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +190,7 @@ def notifications_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notification_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inbox.with_links(_notifications(spark, sf_dir)).select("id", "text", "icon", "link")
+    return inbox.with_links(_notifications(spark, sf_dir), t.profiles(spark, sf_dir).where("xp > 0")).select("id", "text", "icon", "link")
 
 
 def notifications_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +290,7 @@ msg as (select event_id as id, user_id % 10 as conversation_id, user_id as sende
 um as (select p.user_id, p.conversation_id, count(*) filter (m.created_at > coalesce(p.last_read_at, timestamp '1970-01-01') and m.sender_id <> p.user_id) as unread
        from part p left join msg m on m.conversation_id = p.conversation_id group by all)"""
 _NOTE = """n as (select event_id as id, user_id, event_id % 97 as actor_id,
- case event_type when 'signup' then 'follow' when 'error' then 'system' when 'click' then 'message' when 'view' then 'like' else 'comment' end as type, value > 50 as read, ts as created_at from events)"""
+ case event_type when 'signup' then 'follow' when 'error' then 'request_accepted' when 'click' then 'message' when 'view' then 'like' else 'comment' end as type, value > 50 as read, ts as created_at from events)"""
 _FOLLOWS = "f as (select l_suppkey as follower_id, o_custkey as followee_id, min(o_orderdate) as created_at from lineitem join orders on o_orderkey = l_orderkey where l_returnflag = 'R' and l_suppkey <> o_custkey group by 1, 2)"
 _REFS = "refs as (select user_id, count(*) as n from events where event_type = 'signup' and value > 60 group by user_id)"
 _SET = "st as (select c_custkey as user_id, c_custkey % 2 = 0 as amr, case when c_custkey % 4 = 0 then c_custkey % 8 = 0 end as likes, c_custkey % 9 = 0 as reposts from customer where c_custkey % 3 = 0)"
@@ -245,7 +302,7 @@ k as (select user_id, max_by(streak, day)::bigint as current_streak, max(streak)
 
 def _decisions(where: str, limit: int, window: str, op: str) -> str:
     return f"""
-with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as i from events where {where}),
+with recursive e as (select user_id, event_id, ts, coalesce(c_mktsegment = 'BUILDING', false) as elite, row_number() over (partition by user_id order by ts, event_id) as i from events left join customer on c_custkey = user_id where {where}),
 a(user_id, i, ts) as (select user_id, i, ts from e where i = 1
   union all select user_id, i, ts from (select e.user_id, e.i, e.ts, row_number() over (partition by e.user_id order by e.i) as rn from a join e on e.user_id = a.user_id and e.i > a.i and e.ts - a.ts {op} {window}) where rn = 1)
 select user_id, event_id, ts, place <= {limit} as allowed from (
@@ -255,9 +312,9 @@ select user_id, event_id, ts, place <= {limit} as allowed from (
 
 ORACLE_SQL = {
     "profile_stats": f"""
-with {_FOLLOWS}, p as (select o_custkey as id, count(*) as posts, sum(l)::bigint as likes, sum(c)::bigint as comments from
- (select o_orderkey, o_custkey, count(*) filter (l_returnflag = 'R') as l, count(*) filter (l_returnflag = 'N') as c from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2) group by 1)
-select c_custkey as id, coalesce(a.followers, 0) as followers, coalesce(b.following, 0) as following, coalesce(p.posts, 0) as posts, coalesce(p.likes, 0) as likes, coalesce(p.comments, 0) as comments
+with {_FOLLOWS}, p as (select o_custkey as id, count(*) as posts, sum(l)::bigint as likes, sum(c)::bigint as reposts from
+ (select o_orderkey, o_custkey, count(*) filter (l_returnflag = 'R') as l, count(*) filter (l_returnflag = 'N' and l_linenumber % 2 = 0) as c from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2) group by 1)
+select c_custkey as id, coalesce(a.followers, 0) as followers, coalesce(b.following, 0) as following, coalesce(p.posts, 0) as posts, coalesce(p.likes, 0) as likes, coalesce(p.reposts, 0) as reposts
 from customer left join (select followee_id, count(*) as followers from f group by 1) a on a.followee_id = c_custkey
 left join (select follower_id, count(*) as following from f group by 1) b on b.follower_id = c_custkey left join p on p.id = c_custkey""",
     "leaderboard_view": "select c_custkey as id, c_name as username, c_acctbal as xp, c_mktsegment = 'BUILDING' as is_elite, row_number() over (order by c_acctbal desc, c_custkey) as rank from customer where c_acctbal > 0",
@@ -270,23 +327,35 @@ left join (select follower_id, count(*) as following from f group by 1) b on b.f
     "entitlement_flags": f"""with {_REFS}, tr as (select distinct user_id from events where event_type = 'purchase' and value > 80)
 select c_custkey as id, c_mktsegment = 'BUILDING' or coalesce(n, 0) >= 5 as premium, c_mktsegment = 'BUILDING' or coalesce(n, 0) >= 5 or tr.user_id is null as may_play
 from customer left join refs on refs.user_id = c_custkey left join tr on tr.user_id = c_custkey""",
-    "identity_masking": """select c_custkey as id, case when c_custkey % 7 = 0 then 'Anonymous member' else c_name end as name,
+    "identity_masking": """select c_custkey as id, case when c_custkey % 7 = 0 then 'مجهول' when c_custkey % 4 = 0 or c_custkey % 11 = 0 then 'مستخدم' else c_name end as name, case when c_custkey % 7 <> 0 then '/a/' || c_custkey end as avatar,
  c_mktsegment = 'BUILDING' and (c_custkey % 13 = 0 or c_custkey % 5 <> 0) as badge_feed, c_mktsegment = 'BUILDING' and (c_custkey % 13 = 0 or c_custkey % 5 <> 0) and c_custkey % 7 <> 0 as badge_profile from customer""",
     "settings_defaults": f"""with {_SET} select c_custkey as id, case when user_id is null then true else amr end as allow_message_requests, case when user_id is null then true else likes end as show_likes_on_profile,
  case when user_id is null then true else reposts end as show_reposts_on_profile, true as notif_sound from customer left join st on user_id = c_custkey""",
     "tab_visibility": f"with {_SET} select c_custkey as id, c_custkey = 21 or coalesce(likes, true) as likes_tab, c_custkey = 21 or coalesce(reposts, true) as reposts_tab from customer left join st on user_id = c_custkey",
     "preference_defaults": "select c_custkey as user_id, c_custkey % 3 <> 0 as sound, case when c_custkey % 4 = 1 then 'en' else 'ar' end as language, c_custkey % 5 <> 0 as ai_suggestions from customer",
-    "role_gate": "select c_custkey as id, case when c_custkey % 10 = 0 then 'teacher' else 'student' end as role, c_mktsegment = 'BUILDING' as is_elite from customer where c_custkey % 10 = 0 or c_mktsegment = 'BUILDING'",
+    "role_gate": "select c_custkey as id, 'admin' as role, c_mktsegment = 'BUILDING' as is_elite from customer where c_custkey % 10 = 0",
+    "elite_gate": "select c_custkey as id, true as is_elite from customer where c_mktsegment = 'BUILDING' and c_custkey % 9 <> 0",
+    "bio_updates": """with n as (select doc_id, case when lang = 'de' then '' else trim('  ' || text, ' ') end as b from documents)
+select c_custkey as id, case when doc_id is null or length(b) > 300 then 'old' else nullif(b, '') end as bio from customer left join n on doc_id = c_custkey""",
+    "name_changes": _decisions("event_type = 'signup'", 1, "case when elite then interval 1 day else interval 14 days end", ">="),
+    "ai_usage": _decisions("event_type in ('click', 'view')", 2, "case when elite then interval '-1000 days' else interval 3 days end", ">"),
+    "sign_ups": """with k as (select c_custkey as id from customer where c_acctbal > 0), u as (select distinct user_id as id from events)
+select id, 'known' as role, 'elite' as tier, 'active' as status from k union all select id, 'student', 'free', 'inactive' from u where id not in (select id from k)""",
+    "settings_overlay": """select coalesce(c_custkey, user_id) as id, case when l then 'local' when user_id is not null then 'server' else 'default' end as v
+from customer full join (select user_id, bool_or(event_type = 'purchase') as l from events group by 1) on user_id = c_custkey""",
+    "matching_rows": """select o_orderkey as id, o_custkey as user_id, null as topic from orders where o_orderstatus = 'O' and o_orderpriority = '5-LOW'
+union all select o_orderkey, o_custkey, o_orderpriority from orders where o_orderpriority = '1-URGENT' and o_custkey in (select c_custkey from customer where c_acctbal > 5000)""",
+    "signed_webhooks": "select event_id, event_id % 3 <> 0 as valid from events",
     "missing_columns": "select c_custkey as id, c_name as username, '' as bio, c_custkey % 5 <> 0 as show_elite_badge, 'student' as role from customer",
     "reviews_latest": "select l.doc_id as id, (1 + 4 * l.quality)::int as rating, c_name as username from (select * from labels order by doc_id desc limit 60) l left join customer on c_custkey = l.doc_id % 1500",
     "unread_messages": f"with {_PARTS} select * from um",
     "unread_totals": f"with {_PARTS} select user_id, sum(unread)::bigint as unread from um group by user_id",
     "unread_notifications": "select user_id, count(*) filter (not value > 50) as unread from events group by user_id",
     "notifications_by_type": f"with {_NOTE} (select * from n where user_id = 5 and type = 'like' order by created_at desc, id desc limit 60) union all (select * from n where user_id = 6 order by created_at desc, id desc limit 60)",
-    "notification_links": f"""with {_NOTE} select id, case type when 'follow' then 'followed' when 'system' then 'announced' when 'message' then 'wrote' when 'like' then 'liked' else 'commented' end as text,
- case type when 'follow' then 'user' when 'system' then 'bell' when 'message' then 'mail' when 'like' then 'heart' else 'comment' end as icon,
- case type when 'follow' then '/u/' || actor_id when 'message' then '/chat' else '/feed' end as link from n""",
-    "notifications_fanout": f"""with {_FOLLOWS}, a as (select o_custkey as user_id, l_suppkey as actor_id, case l_returnflag when 'R' then 'like' else 'comment' end as type from lineitem join orders on o_orderkey = l_orderkey
+    "notification_links": f"""with {_NOTE} select id, text, icon, case when type = 'follow' and c_name is not null then '/u/' || c_name when type in ('message', 'request_accepted') then '/chat' else '/community' end as link
+from n join (values ('follow', 'بدأ بمتابعتك', 'UserPlus'), ('request_accepted', 'قبل طلب رسالتك', 'CheckCheck'), ('message', 'أرسل لك رسالة', 'MessageCircle'), ('like', 'أعجب بمنشورك', 'Heart'), ('comment', 'علّق على منشورك', 'MessageCircle')) as m(type, text, icon) using (type)
+left join customer on c_custkey = actor_id and c_acctbal > 0""",
+    "notifications_fanout": f"""with {_FOLLOWS}, a as (select o_custkey as user_id, l_suppkey as actor_id, case when l_returnflag = 'R' then 'like' when l_linenumber % 2 = 0 then 'repost' else 'comment' end as type from lineitem join orders on o_orderkey = l_orderkey
  where l_returnflag in ('R', 'N') and o_custkey <> l_suppkey union all select followee_id, follower_id, 'follow' from f) select user_id, actor_id, type, count(*) as n from a group by all""",
     "inbox_other_party": f"with {_PARTS} select conversation_id, max(user_id) as other_id from part where user_id <> 9 and conversation_id in (select conversation_id from part where user_id = 9) group by 1",
     "inbox_conversations": f"""with {_PARTS}, c as (select p.id, max(m.created_at) as last_message_at, p.id % 4 = 1 as is_request from (select distinct conversation_id as id from part) p left join msg m on m.conversation_id = p.id group by 1)

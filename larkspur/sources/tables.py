@@ -42,12 +42,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likes, dislikes and comments on posts, by kind."""
+    """Likes, dislikes, reposts and comments on posts, by kind."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("post_id"),
         F.col("l_linenumber").alias("seq"),
         F.col("l_suppkey").alias("user_id"),
-        F.when(F.col("l_returnflag") == "R", "like").when(F.col("l_returnflag") == "A", "dislike").otherwise("comment").alias("kind"),
+        F.when(F.col("l_returnflag") == "R", "like").when(F.col("l_returnflag") == "A", "dislike").when(F.col("l_linenumber") % 2 == 0, "repost").otherwise("comment").alias("kind"),
         F.col("l_shipdate").alias("created_at"),
         F.col("l_partkey").alias("part_id"),
     )
@@ -69,5 +69,5 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post bodies whose hash tags are made from source and language."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("post_id"),
-        F.concat(F.lit("#"), F.col("source"), F.lit(" #Lang_"), F.col("lang"), F.lit(" @User"), (F.col("doc_id") % 9).cast("string"), F.lit(" "), F.substring("text", 1, 200)).alias("content"),
+        F.concat(F.lit("#"), F.col("source"), F.lit(" #Lang_"), F.col("lang"), F.lit(" @User"), (F.col("doc_id") % 9).cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"),
     )

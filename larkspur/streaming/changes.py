@@ -52,12 +52,17 @@ def once(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def into_table(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], state_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each batch is applied to a table of generations in ``state_path``; a batch that is run again writes the same generation."""
+    """Each batch is applied to a table of generations in ``state_path``; a batch that is run again writes the same generation.
+
+    The generation before the last is deleted, so two are kept.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(f"{state_path}/generation={epoch}")
         apply(state, batch).write.mode("overwrite").parquet(f"{state_path}/generation={epoch + 1}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/generation={epoch - 1}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

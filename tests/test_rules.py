@@ -65,8 +65,8 @@ def test_text_folds(spark):
 def test_identity(spark):
     rows = [(None, "u1", False, True, None), ("", "u2", False, True, False), ("N", "u3", True, True, True)]
     df = spark.createDataFrame(rows, "full string, user string, anon boolean, elite boolean, show boolean")
-    got = df.select(identity.display_name(F.col("full"), F.col("user"), F.col("anon")), identity.badge(F.col("elite"), F.col("show"))).collect()
-    assert [tuple(r) for r in got] == [("u1", True), ("u2", False), ("Anonymous member", True)]
+    got = df.select(identity.display_name(F.col("full"), F.col("anon")), identity.badge(F.col("elite"), F.col("show"))).collect()
+    assert [tuple(r) for r in got] == [("مستخدم", True), ("مستخدم", False), ("مجهول", True)]
 
 
 def test_streaks(spark):
@@ -232,3 +232,49 @@ def test_defaults_overlay_and_sign_up(spark):
 def test_join_by_size_gives_the_same(spark):
     a, b = spark.range(50).withColumnRenamed("id", "k"), spark.range(30).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
     assert joins.join_by_size(a, b, "k").count() == joins.join_by_size(a, b, "k", rows=3).count() == 30
+
+
+def test_names_with_several_spaces(spark):
+    rows = spark.createDataFrame([("Sara  Ali",), ("Sara Ali",), ("Sara",), ("Sara\tAli",), ("علي   حسن",), ("Sara Ali 2",)], "x string")
+    assert [r[0] for r in rows.select(F.col("x").rlike(text.SERVER_NAME)).collect()] == [True, True, False, False, True, False]
+
+
+def test_gates_are_apart(spark):
+    rows = spark.createDataFrame([(1, "admin", False), (2, "student", True), (3, "admin", None), (4, None, True)], "id long, role string, is_elite boolean")
+    assert {r["id"] for r in profile.with_role(rows).collect()} == {1, 3} and {r["id"] for r in profile.elite_only(rows).collect()} == {2, 4}
+
+
+def test_upsert_writes_nulls_but_not_absent_columns(spark):
+    state = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, v string, w string")
+    changes = spark.createDataFrame([(1, None, 2), (1, "z", 1), (3, "c", 1)], "id long, v string, seq long")
+    got = {tuple(r) for r in mutations.upsert(state, changes, ["id"], [F.desc("seq")]).collect()}
+    assert got == {(1, None, "x"), (2, "b", "y"), (3, "c", None)}
+
+
+def test_links_of_notifications(spark):
+    notes = spark.createDataFrame([(1, "follow", 7), (2, "follow", 8), (3, "follow", None), (4, "request_accepted", 7), (5, "other", 7)], "id long, type string, actor_id long")
+    actors = spark.createDataFrame([(7, "sara"), (8, "")], "id long, username string")
+    got = {r["id"]: (r["link"], r["icon"]) for r in inbox.with_links(notes, actors).collect()}
+    assert got == {1: ("/u/sara", "UserPlus"), 2: ("/community", "UserPlus"), 3: ("/community", "UserPlus"), 4: ("/chat", "CheckCheck"), 5: ("/community", "Heart")}
+
+
+def test_ranks_of_ties_are_split_over_buckets(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).otherwise(F.lit(500.0)).alias("xp"))
+    got = {r["id"]: r["rank"] for r in profile.number_rows(rows, "rank", "xp", "id", 16).collect()}
+    want = sorted(((r["xp"], r["id"]) for r in rows.collect()), key=lambda p: (-p[0], p[1]))
+    assert got == {i: n for n, (_, i) in enumerate(want, 1)}
+
+
+def test_bios(spark):
+    state = spark.createDataFrame([(i, "old") for i in range(5)], "id long, bio string")
+    changes = spark.createDataFrame([(0, " new "), (1, "  "), (2, "x" * 301), (3, " " + "x" * 300 + " ")], "id long, bio string")
+    assert {r["id"]: r["bio"] for r in profile.set_bio(state, changes).collect()} == {0: "new", 1: None, 2: "old", 3: "x" * 300, 4: "old"}
+
+
+def test_elite_cooldowns(spark):
+    day = 86_400_000_000
+    ts = [dt.datetime(2024, 1, 1) + dt.timedelta(days=d) for d in (0, 1, 1, 14)]
+    rows = spark.createDataFrame([(u, i, t, elite) for u, elite in ((1, True), (2, False), (3, None)) for i, t in enumerate(ts)], "user_id long, event_id long, ts timestamp_ntz, is_elite boolean")
+    tiers = {(r["user_id"], r["event_id"]) for r in sequential.decide(rows, 1, 14 * day, inclusive=True, elite_us=day).where("allowed").collect()}
+    assert tiers == {(1, 0), (1, 1), (1, 3), (2, 0), (2, 3), (3, 0), (3, 3)}
+    assert sequential.decide(rows, 1, 14 * day, inclusive=True).where("allowed and user_id = 1").count() == 4
