@@ -50,7 +50,7 @@ ENDINGS = ("password", "passwd", "passphrase", "apikey", "secretkey", "privateke
 #: Last words of names that tell of a secret and don't hold it.
 NEUTRAL = frozenset(
     "count counts limit limits length len size sizes type types kind name names url uri path file dir folder expiry expires expiration ttl timeout age policy rule rules hint field label prefix suffix"
-    " header endpoint index num number total rate id ids enabled required version format min max budget usage cost model class event reset".split()
+    " endpoint index num number total rate id ids enabled required version format min max budget usage cost model class event reset".split()
 )
 #: Literals that stand for a secret and are none.
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your_", "your-", "xxxx", "****", "todo", "none", "null", "true", "false", "undefined")

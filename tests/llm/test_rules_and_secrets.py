@@ -1,14 +1,17 @@
 """Quality rules and secret scans against plain versions."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.llm import quality_rules, queries, secret_scan
+from larkspur.llm.shared import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,6 +124,76 @@ def test_joined_constants_are_linear():
     assert [again[a:b] for _, a, b in secret_scan.spans(again)] == [secret]
 
 
+def plain_path(tree, row):
+    """The path length of a row, by walking one tree."""
+    feature, cut, left, length = tree
+    node = 0
+    while left[node] != node:
+        node = left[node] + int(row[feature[node]] >= cut[node])
+    return length[node]
+
+
+def test_kept_is_the_verdict_of_a_plain_forest(spark):
+    """Path lengths walked one by one give the anomalies, which differ, and the threshold gives kept; labels of the forest's half change nothing."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = materialise(quality_rules.statistics(docs), "stats")
+    rules = quality_rules.fit(stats, labels)
+    seen = stats.select("doc_id", *(c.alias(n) for n, c in quality_rules.rates().items())).collect()
+    plain = {}
+    for r in seen[:150]:
+        mean = np.mean([plain_path(t, tuple(r)[1:]) for t in rules.forest.trees])
+        plain[r["doc_id"]] = 2 ** (-mean / quality_rules._mean_path(rules.forest.size))
+    rows = quality_rules.judge(docs, labels).collect()
+    assert all(r["anomaly"] == pytest.approx(plain[r["doc_id"]]) for r in rows if r["doc_id"] in plain)
+    assert all(r["kept"] == (not r["base_failed"] and r["anomaly"] < rules.threshold) for r in rows)
+    assert len({r["anomaly"] for r in rows}) > 0.5 * len(rows)
+    flipped = labels.withColumn("quality", F.when(quality_rules.fits_forest(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality_rules.fit(stats, flipped).threshold == rules.threshold
+
+
+def test_rules_on_megabyte_texts_and_clashing_columns(spark):
+    rows = [(1, "word and " * 120_000, "a"), (2, "x" * 1_000_000, "b"), (2, "x" * 1_000_000, "b"), (3, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumn("anomaly", F.lit("x"))
+    found = quality_rules.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["word_chars"]) for r in found) == [(1, 240_000, 840_000), (2, 1, 1_000_000), (2, 1, 1_000_000), (3, 0, 0)]
+
+
+SECRET_FORMS = (
+    'password: str = "{}"', 'api.key: "{}"', "const apiKey: string = '{}';", "DB_PASSWORD={}", 'k = "{}"\nclient_secret = k', "<password>{}</password>", "dbPassword2 => '{}'", 'authToken := "{}"', "db_password: {}",
+    'signing_key: dict[str, str] = "{}"', 'a = "{}"\nb = a\nauth = "Basic " + b', '{{"private_key": "{}"}}',
+)
+HARMLESS_FORMS = (
+    'author = "Smith, J. {}"', 'secretary = "Mary {}"', 'tokenizer: "BertWordPiece-{}"', 'token_count = "{}"', 'token_type: "{}"', 'compass = "{}"', 'password_policy: "{}"', 'monkey = "{}"', 'passage: "{}"', 'tokens = "{}"', "see http://x.org/{} for a secret: none", 'colour = "{}"',
+)
+
+
+def planted(n=25):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    for _ in range(n):
+        for forms, secret in ((SECRET_FORMS, True), (HARMLESS_FORMS, False)):
+            for form in forms:
+                value = "".join(rng.choice(letters, 14)) + "7!" + "q"
+                yield f"some words before\n{form.format(value)}\nand after", value, secret
+
+
+def test_precision_and_recall_on_planted_spans():
+    hit = missed = false = 0
+    for text, value, secret in planted():
+        spans = secret_scan.spans(text)
+        found = any(a <= text.index(value) and text.index(value) + len(value) <= b for _, a, b in spans)
+        hit, missed, false = hit + (secret and found), missed + (secret and not found), false + (not secret and bool(spans))
+    assert hit / (hit + missed) >= 0.98 and hit / (hit + false) >= 0.98
+
+
+@pytest.mark.parametrize("text", ["password=" * 100_000, "a: " * 200_000 + "password=1", "a: b[c " * 100_000 + "password = 1", "password: " + "str | " * 50_000, '"' * 200_000 + "password=", "x" * 2_000_000 + " password = q8Zr2mK9xLpV0w"])
+def test_texts_of_megabytes_are_lexed_once(text):
+    began = time.perf_counter()
+    secret_scan.spans(text)
+    assert time.perf_counter() - began < 10
+
+
 def test_op5(spark, sf_dir):
     import hashlib
 
