@@ -287,6 +287,11 @@ class Scorer:
         self.lists, self.starts = lists[starts[:-1]], starts
         #: Replicas in several lists are one item; items are numbered as their ids are ordered.
         _, self.entry, self.item = np.unique(ids, return_index=True, return_inverse=True)
+        if (vectors != vectors[self.entry[self.item]]).any():  # an id with several vectors is several items
+            places: dict[tuple[int, bytes], int] = {}
+            for key, i in sorted(((int(x), v.tobytes()), i) for i, (x, v) in enumerate(zip(ids, vectors, strict=True))):
+                self.item[i] = places.setdefault(key, len(places))
+            _, self.entry = np.unique(self.item, return_index=True)
 
     def best(self, q_ids: np.ndarray, queries: np.ndarray, asked: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """(query, found, cosine) of the best of each query among the lists that it asks for."""
