@@ -42,7 +42,7 @@ from larkspur.llm.chunks import Table, packed
 from larkspur.llm.shared import discard, hash_sample, join_small, map_texts, materialise
 
 FOLDS = 5
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Bytes of the beginnings of words.
 STEMS = (4, 5, 6)
 RIDGE, COUNTERFACTUAL, STEPS, RATE = 1e-3, 1.0, 80, 0.1
