@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, toxicity
+from larkspur.llm import ann, chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, target_resampling, toxicity, whitening
 from larkspur.llm.shared import materialise, table
 
 
@@ -68,5 +68,14 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance, "op9_neighbours": op9_neighbours}
-ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance, "op9_neighbours": op9_neighbours, "op11_whitening": op11_whitening, "op12_resampling": op12_resampling}
+ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL, "op12_resampling": target_resampling.ORACLE_SQL}
