@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, chat, importance, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, target_resampling, toxicity, whitening
+from larkspur.llm import ann, chat, importance, minhash, mixing, piece_codec, quality_rules, secret_scan, simhash, sstable, target_resampling, toxicity, whitening
 from larkspur.llm.shared import materialise, table
 
 
@@ -77,5 +77,9 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance, "op9_neighbours": op9_neighbours, "op11_whitening": op11_whitening, "op12_resampling": op12_resampling}
-ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL, "op12_resampling": target_resampling.ORACLE_SQL}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op10_sstable": op10_sstable, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_importance": op8_importance, "op9_neighbours": op9_neighbours, "op11_whitening": op11_whitening, "op12_resampling": op12_resampling, "op13_minhash": op13_minhash}
+ORACLE_SQL = {"op6_mixing": mixing.ORACLE_SQL, "op12_resampling": target_resampling.ORACLE_SQL, "op13_minhash": minhash.ORACLE_SQL}
