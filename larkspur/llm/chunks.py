@@ -60,7 +60,7 @@ class ChunkTable:
         seen: set[str] = set()
         for c in chunks:
             seen.update(c)
-        new = list(seen.difference(self.table))
+        new = [key for key in seen if key not in self.table]  # set.difference would walk a dict's subclass as a whole
         for key, found in zip(new, self.segment(new), strict=True):
             self.table.add(key, found)
         find = self.table.__getitem__

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.chunks import Table
 from larkspur.llm.components import connected
-from larkspur.llm.shared import discard, join_small, map_texts, materialise, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, discard, join_small, map_texts, materialise, runs, starts_of
 
 #: Classes of a bucket that are searched together in a task.
 MAX_LIST = 20_000
@@ -269,3 +269,19 @@ def linked(members: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
             discard(*([] if before is None else [before]))
     discard(*tried, *good)
     return connected(members.select(F.col("code").alias("a"), F.col("code").alias("b"))) if roots is None else roots
+
+
+def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[DataFrame], DataFrame], search: Search) -> tuple[DataFrame, DataFrame]:
+    """Two tables: code, n, first and root (a code that names the group) of each class of rows (doc_id, th, code, size, sig), and the hot ones among them.
+
+    texts: th and text, to find whole sets by; posted adds ``buckets`` to classes.  A class of size 0 is a group of its own.
+    """
+    classes = materialise(classes_of(rows), "classes")
+    members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")))
+    sets = materialise(sets_of(members, texts, words), "shingle-sets")
+    roots = linked(members, sets, search)
+    joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
+    made = materialise(joined, "class-roots")
+    discard(members, sets, roots, classes)
+    total = made.agg(F.sum("n")).first()[0] or 0
+    return made, made.where(F.col("n") > HOT_SHARE * total)

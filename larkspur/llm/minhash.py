@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import confirm
-from larkspur.llm.shared import HOT_SHARE, discard, join_hot, materialise
+from larkspur.llm.shared import join_hot, materialise
 
 SHINGLE = 4
 PERCENT = 80
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 #: Cells of the sketch in which coordinate-value pairs are counted.
-SKETCH = 1 << 20
+SKETCH = 1 << 18
 #: Shingles hashed, and signatures compared, at once.
 AT_ONCE, COMPARED = 4096, 1 << 22
 
@@ -143,16 +143,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the group), kept (doc_id is component_id)."""
     texts = confirm.with_text_key(docs.select("doc_id", "text"))
     rows = materialise(confirm.coded(texts, shingle, signature), "signatures")
-    classes = materialise(confirm.classes_of(rows), "classes")
-    members = confirm.sharing(with_prefix(classes.select("code", "size", "sig", "first")))
-    sets = materialise(confirm.sets_of(members, texts.select("th", "text"), shingle), "shingle-sets")
-    roots = confirm.linked(members, sets, SEARCH)
-    joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", "n", F.col("first.doc_id").alias("smallest"), F.coalesce("root", "code").alias("root"))
-    of_class = materialise(joined, "class-roots")
-    discard(members, sets, roots, classes)
-    smallest = of_class.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    of_class, hot = confirm.groups(rows, texts.select("th", "text"), shingle, with_prefix, SEARCH)
+    smallest = of_class.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     by_class = of_class.join(smallest, "root").select("code", "component_id")
-    hot = of_class.where(F.col("n") > HOT_SHARE * (of_class.agg(F.sum("n")).first()[0] or 0))
     narrow = rows.select("doc_id", "code", F.col("size").alias("n_shingles"))
     linked = join_hot(narrow.where("code is not null"), by_class, "code", hot, "code").select("doc_id", "n_shingles", "component_id")
     alone = narrow.where("code is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

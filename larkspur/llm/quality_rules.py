@@ -170,7 +170,7 @@ def with_scores(stats: DataFrame, rules: Rules) -> DataFrame:
 
 
 def fits_forest() -> Column:
-    """Whether a row is of the half that the forest may see; the other half sets the threshold."""
+    """Whether a row is of the half that the forest may see, by hash of the id; the other half sets the threshold, with its labelled rows."""
     return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0
 
 
@@ -186,7 +186,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_lost:
     The driver gets the rates of at most fit_rows rows, and at most 2 * STEPS counts.
     """
     known = materialise(labelled(stats, labels).where(~fits_forest()), "labelled-statistics")
-    taken = hash_sample(stats.where(~base_failed()).where(fits_forest()), fit_rows, seed=SEED).select(*(c.alias(n) for n, c in rates().items())).toPandas()
+    taken = hash_sample(stats.where(~base_failed()).where(fits_forest()), fit_rows, tuple(stats.columns), SEED).select(*(c.alias(n) for n, c in rates().items())).toPandas()
     if not len(taken) or known.where("quality >= 1").isEmpty() or known.where("quality < 1").isEmpty():
         return None
     rules = Rules(IsolationForest(taken.to_numpy(float)))

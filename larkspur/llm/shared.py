@@ -80,18 +80,22 @@ def join_small(left: DataFrame, right: DataFrame, on: Column | str | list[str],
     return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
 
 
-def hash_sample(df: DataFrame, n: int, key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """At most n rows, those of the least hashes of ``key``.
+def hash_sample(df: DataFrame, n: int, key: str | tuple[str, ...] = "doc_id", seed: int = 0) -> DataFrame:
+    """At most n rows, those of the least hashes of ``key`` (one column or several).
 
-    Most rows fall to a bound on the hash before the sort, so what the tasks
-    hand over for the last choice is about 1.2 n rows in all, however many
+    Rows that agree in the whole key have one place and count once, by the number
+    of distinct keys, so a key that many rows share can neither fill the sample nor
+    leave it empty.  Most rows fall to a bound on the hash before the sort, so what the
+    tasks hand over for the last choice is about 1.2 n rows in all, however many
     tasks there are.
     """
-    total, span = df.count(), 1 << 30
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(span))
+    keys = [key] if isinstance(key, str) else list(key)
+    span = 1 << 30
+    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(span))
+    total = df.agg(F.approx_count_distinct(F.xxhash64(*keys), 0.02)).first()[0]
     if total > 2 * n:
-        df = df.where(place < int(span * min(1.0, (1.2 * n + 100) / total)))
-    return df.orderBy(place, key).limit(n)
+        df = df.where(place < int(span * min(1.0, (1.3 * n + 100) / total)))
+    return df.dropDuplicates(keys).orderBy(place, *keys).limit(n)
 
 
 def text_of(column: str = "text") -> Column:

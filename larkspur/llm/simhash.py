@@ -2,19 +2,17 @@
 
 A fingerprint has a bit set if over half of the 64-bit hashes of the
 document's word shingles (repeats included) have it set.  A ``Rule`` says what
-links: CONTRACT takes 3-word shingles and at most 3 of 64 bits; SIMILAR takes
-5-word shingles and a longer fingerprint of 320 bits, of which at most 54 may
-differ: at a Jaccard similarity of 0.8 it is 48 with a standard error of 6 (the
-share of bits that differ is the angle between the shingle counts over pi).
-The linked groups are the connected components.
+links: CONTRACT takes 3-word shingles and at most 3 of 64 bits.  The linked groups
+are the connected components.  ``similar`` has the near-dedup by a similarity of
+whole texts.
 
 Plan at scale:
 
 1. One pass makes the fingerprints; equal ones become one class, so a group of
    exact copies, however large, is one row from then on.
-2. Two fingerprints within ``sure`` bits agree on at least one of ``sure`` + 1
-   blocks of bits (on two of ``sure`` + 2 with ``blocks`` 2), so each class is
-   dealt to one bucket per choice of blocks.  Of the chosen blocks' bits only as
+2. Two fingerprints within ``max_bits`` bits agree on at least one of
+   ``max_bits`` + 1 blocks of bits (of very many classes on two of ``max_bits`` +
+   2), so each class is dealt to one bucket per choice of blocks.  Of the chosen blocks' bits only as
    many make the key as leave about ``bucket`` classes to a bucket (fewer bits
    never part a pair).  A bucket above ``max_bucket`` is dealt again by the bits
    that are still free, ROUNDS times at most (fingerprints that are alike in most
@@ -28,16 +26,12 @@ Plan at scale:
    (at most one per class), never all pairs.
 4. Components of these links by repeated contraction on Spark.
 
-CONTRACT's links are exact.  Of SIMILAR's, those within ``sure`` bits of the
-first word are exact, others are found if they agree on a choice of blocks,
-which most do (README has figures).
-
 Nulls and edges: a null or blank text has fingerprint 0 and links like any
 other; texts of fewer words than a shingle are one shingle; texts of any length
 are hashed whole, a bounded number of shingles at a time; a null doc_id is kept
 and never the smallest id of a group that has another; repeated rows are
 copies of each other; an empty table gives no rows; other columns, whatever
-their names, are not read, or pass through ``keep_one``.
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected
-from larkspur.llm.shared import HOT_SHARE, aside, back, discard, join_hot, map_texts, materialise, places, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, discard, join_hot, map_texts, materialise, runs, starts_of
 
 BITS = 64
 SEED = 42
@@ -72,59 +66,43 @@ HASHES = 1 << 15
 
 @dataclass(frozen=True)
 class Rule:
-    """shingle: words of a shingle; words: 64-bit words of a fingerprint; max_bits: bits of the first word, and total_bits: of all, that may differ."""
+    """shingle: words of a shingle; max_bits: bits that may differ; bucket: classes aimed at, and max_bucket: classes above which a bucket is dealt again."""
 
     shingle: int = 3
-    words: int = 1
     max_bits: int = 3
-    total_bits: int = 3
-    sure: int = 3
-    blocks: int = 1
     bucket: int = 1024
     max_bucket: int = MAX_BUCKET
 
 
 CONTRACT = Rule()
-SIMILAR = Rule(shingle=5, words=5, max_bits=16, total_bits=54, sure=6, blocks=2, bucket=256)
-
-
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """Further hashes made from the first: its bits mixed with the number of the word."""
-    if not word:
-        return h
-    h = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 def code(text: str, rule: Rule = CONTRACT) -> bytes:
-    """The fingerprint of one text: its words in order, most significant byte first."""
+    """The fingerprint of one text, most significant byte first."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - rule.shingle + 1
     parts = [words[i : n + i] for i in range(rule.shingle)] if n > 0 else [[w] for w in words]
     shingles = zip(*parts, strict=True)
-    ones, total = np.zeros(BITS * rule.words, np.int64), 0
+    ones, total = np.zeros(BITS, np.int64), 0
     while len(h := np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in islice(shingles, HASHES)), np.uint64)):
-        bits = np.column_stack([_mixed(h, i) for i in range(rule.words)]).astype(">u8").view(np.uint8)
-        ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(h)
     return np.packbits(2 * ones > total).tobytes()
 
 
 def fingerprint(text: str, rule: Rule = CONTRACT) -> int:
-    """The first word of the fingerprint of one text."""
-    return int.from_bytes(code(text, rule)[:8], "big")
+    """The fingerprint of one text as a number."""
+    return int.from_bytes(code(text, rule), "big")
 
 
-def codes(docs: DataFrame, rule: Rule = CONTRACT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keys, code (the whole fingerprint) and fp (its first word as a signed long)."""
+def codes(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """doc_id, code (the fingerprint) and fp (the same as a signed long)."""
 
     def rows(_: list, texts: list[str]) -> dict:
         made = [code(t, rule) for t in texts]
-        return {"code": pa.array(made, pa.binary()), "fp": np.frombuffer(b"".join(x[:8] for x in made), ">i8").astype(np.int64)}
+        return {"code": pa.array(made, pa.binary()), "fp": np.frombuffer(b"".join(made), ">i8").astype(np.int64)}
 
-    return map_texts(docs, "code binary, fp long", rows, keys)
+    return map_texts(docs, "code binary, fp long", rows)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -195,17 +173,13 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def bucket_links(words: np.ndarray, rule: Rule = CONTRACT) -> tuple[list[tuple[int, int]], GrayIndex]:
-    """(member, root), as places, for each fingerprint of a bucket that links, as one star for each linked group; words: a row of words each."""
-    n = len(words)
+def bucket_links(fps: np.ndarray, rule: Rule = CONTRACT) -> tuple[list[tuple[int, int]], GrayIndex]:
+    """(member, root), as places, for each fingerprint of a bucket that links, as one star for each linked group."""
+    n = len(fps)
     parent = list(range(n))
-    index = GrayIndex(words[:, 0])
-    words = words[index.order]
+    index = GrayIndex(fps)
 
     def union(a: np.ndarray, b: np.ndarray) -> None:
-        if rule.words > 1:
-            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= rule.total_bits
-            a, b = a[near], b[near]
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             x, y = _root(parent, x), _root(parent, y)
             if x != y:
@@ -253,18 +227,17 @@ def _key(mask: str) -> Column:
 def dealt(classes: DataFrame, rule: Rule = CONTRACT, many: bool | None = None) -> DataFrame:
     """Classes (code, fp) by bucket: mask, key (the masked bits), fp, code; buckets above max_bucket are dealt again by their free bits."""
     n = classes.count()
-    blocks = max(rule.blocks, 1 + (n > MANY if many is None else many))
-    masks = block_masks(rule.sure, blocks, max(0, (n // rule.bucket).bit_length()))
+    masks = block_masks(rule.max_bits, 1 + (n > MANY if many is None else many), max(0, (n // rule.bucket).bit_length()))
     literal = lambda m: F.lit(_signed(m)).cast("long")
     rows = classes.select("code", "fp", F.explode(F.array(*map(literal, masks))).alias("mask")).select("mask", _key("mask"), "fp", "code")
     whole = (1 << BITS) - 1
     for _ in range(ROUNDS):
         hot = rows.groupBy("mask", "key").count().where((F.col("count") > rule.max_bucket) & (F.col("mask") != -1)).select("mask", "key")
         hot = materialise(hot, "hot-buckets")
-        masks = sorted({r["mask"] & whole for r in hot.select("mask").distinct().collect()})  # the first masks, times ``sure`` + 1 a round
+        masks = sorted({r["mask"] & whole for r in hot.select("mask").distinct().collect()})  # the first masks, times ``max_bits`` + 1 a round
         if not masks:
             break
-        finer = F.create_map(*(x for m in masks for x in (literal(m), F.array(*(literal(m | part) for part in split_mask(~m & whole, rule.sure + 1))))))
+        finer = F.create_map(*(x for m in masks for x in (literal(m), F.array(*(literal(m | part) for part in split_mask(~m & whole, rule.max_bits + 1))))))
         again = rows.join(hot, ["mask", "key"], "left_semi").select("code", "fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
         rows = rows.join(hot, ["mask", "key"], "left_anti").unionByName(again.select("mask", _key("mask"), "fp", "code"))
         rows = materialise(rows, "dealt")
@@ -281,10 +254,10 @@ def links(classes: DataFrame, rule: Rule = CONTRACT, many: bool | None = None, v
         for whole in runs(batches, 2):
             mask, key = (whole.column(i).to_numpy() for i in range(2))
             starts, coded = starts_of(mask, key), whole.column(2).combine_chunks()
-            words = np.frombuffer(b"".join(coded.to_pylist()), ">u8").reshape(-1, rule.words).astype(np.uint64)
+            fps = np.frombuffer(b"".join(coded.to_pylist()), ">u8").astype(np.uint64)
             a, b = [], []
             for i in np.flatnonzero(np.diff(starts) > 1):
-                found, index = bucket_links(words[starts[i] : starts[i + 1]], rule)
+                found, index = bucket_links(fps[starts[i] : starts[i + 1]], rule)
                 a += [starts[i] + x for x, _ in found]
                 b += [starts[i] + y for _, y in found]
                 for counter, n in zip(visits or (), (index.visited, index.dropped), strict=False):
@@ -307,7 +280,7 @@ def groups(coded: DataFrame, rule: Rule = CONTRACT, visits=None) -> tuple[DataFr
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, visits=None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, of the first word), component_id (the smallest doc_id of the group)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the group)."""
     coded = materialise(codes(docs, rule), "fingerprints")
     of_class, hot = groups(coded, rule, visits)
     smallest = of_class.groupBy("root").agg(F.min("smallest").alias("component_id"))
@@ -315,21 +288,3 @@ def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, visits=None) -> Data
     joined = join_hot(coded, by_class, "code", hot, "code")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
-    """docs without near-duplicates: of each group one row, of the smallest doc_id; ids may repeat or be null in several groups.
-
-    The documents are written once beside their fingerprints.  Of a class that
-    holds many documents all go but those of the kept id, before any shuffle.
-    """
-    columns = docs.columns
-    marked = materialise(codes(aside(docs, "text"), rule, keys=places(columns)), "coded-documents")
-    id_at = places(columns)[columns.index("doc_id")]
-    coded = marked.select(F.col(id_at).alias("doc_id"), "code", "fp")
-    of_class, hot = groups(coded, rule)
-    first = F.min(F.struct(F.col("smallest").isNull(), "smallest", "code")).alias("first")
-    kept = of_class.groupBy("root").agg(first).select(F.col("first.smallest").alias("kept_id"), F.col("first.code").alias("kept_code"))
-    stay = join_hot(marked, kept, "code", hot, (F.col("code") == F.col("kept_code")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
-    if not coded.groupBy("code", "doc_id").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["code", id_at])
-    return back(stay, columns)

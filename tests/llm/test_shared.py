@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import shared
+from larkspur.llm import chunks, shared
 
 
 @settings(max_examples=200, deadline=None)
@@ -37,6 +37,35 @@ def test_hash_sample_is_the_same_however_the_rows_lie(spark):
     assert shared.hash_sample(df, 9000).count() == 5000 and shared.hash_sample(df.limit(0), 5).count() == 0
 
 
+def test_hash_sample_with_ids_that_many_rows_share(spark):
+    """A third of all ids null, or one id for all rows: the sample has its size, by whole rows."""
+    n = 3000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, null, id) as doc_id", "id as size").repartition(5)
+    taken = shared.hash_sample(df, 600, ("doc_id", "size")).collect()
+    assert len(taken) == 600 and 120 < sum(r["doc_id"] is None for r in taken) < 280
+    same = spark.range(n).selectExpr("7L as doc_id", "id as size")
+    assert shared.hash_sample(same, 100, ("doc_id", "size")).count() == 100
+    assert shared.hash_sample(same, 100).count() == 1
+
+
+def test_chunk_table_asks_for_new_keys_only():
+    """The time of a call is in proportion to its keys: the table itself is never walked."""
+
+    class Watched(chunks.Table):
+        walks = 0
+
+        def __iter__(self):
+            type(self).walks += 1
+            return super().__iter__()
+
+        keys = __iter__
+
+    made = chunks.ChunkTable(str.split, lambda keys: [k.encode() for k in keys])
+    made.table = Watched()
+    assert made.ids(["a b a", "c"]) == [b"aba", b"c"] and made.ids(["b d"]) == [b"bd"]
+    assert Watched.walks == 0 and len(made.table) == 4
+
+
 def test_small_and_large_joins_agree(spark):
     a, b = spark.range(40), spark.range(20)
     assert shared.join_small(a, b, "id").count() == shared.join_small(a, b, "id", rows=3).count() == 20
