@@ -6,9 +6,9 @@ docs of the next stage.  All stages but the last return the columns of
 documents.  ``run`` applies them to the documents table.
 
 1. quality classifier: importance resampling; documents that it rejects go.
-2. SimHash near-dedup over 5-word shingles, linking at a similarity of about 0.8
-   and more (``simhash.SIMILAR``): of each group of near-duplicates the document
-   with the smallest doc_id stays.
+2. SimHash near-dedup over 5-word shingles: candidates by fingerprints, links at
+   an exact similarity of 0.8 and more (``similar``): of each group of
+   near-duplicates the document with the smallest doc_id stays.
 3. secret scans: secrets are masked in the text; no document goes.
 4. mixing sources to target weights: documents are repeated, or left out, by
    their source's repetition rate.
@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import importance, mixing, piece_codec, secret_scan, simhash
+from larkspur.llm import importance, mixing, piece_codec, secret_scan, similar
 from larkspur.llm.shared import aside, back, discard, materialise, places, table
 
 ORACLE_SQL = None
@@ -38,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
