@@ -33,8 +33,13 @@ def state(events: DataFrame) -> DataFrame:
     first = Window.partitionBy("event_id").orderBy("received")
     once = events.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) & F.col("user_id").isNotNull())
     last = once.groupBy("user_id").agg(F.max_by(F.struct("event_name", "status", "period_end"), F.struct("received", "event_id")).alias("e"))
-    elite = is_elite(F.col("e.event_name"), F.col("e.status"))
-    return last.select("user_id", F.when(elite, "elite").otherwise("free").alias("tier"), F.when(elite, "active").otherwise("inactive").alias("status"), "e.period_end")
+    return tiers(last.select("user_id", "e.*"))
+
+
+def tiers(last: DataFrame) -> DataFrame:
+    """user_id, tier, status, period_end by the last event (event_name, status, period_end) of each user."""
+    elite = is_elite(F.col("event_name"), F.col("status"))
+    return last.select("user_id", F.when(elite, "elite").otherwise("free").alias("tier"), F.when(elite, "active").otherwise("inactive").alias("status"), "period_end")
 
 
 def sessions(beats: DataFrame) -> DataFrame:

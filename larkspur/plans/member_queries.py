@@ -229,9 +229,12 @@ def cooldown_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.decide(_events(spark, sf_dir).where("event_type = 'signup'"), 1, 14 * 86_400_000_000, inclusive=True)
 
 
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.reactions(spark, sf_dir).select(F.col("post_id").alias("key"), F.col("seq"), F.when(F.col("kind") == "like", 1).when(F.col("kind") == "dislike", -1).otherwise(0).alias("delta"))
+
+
 def counters_floored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = t.reactions(spark, sf_dir).select(F.col("post_id").alias("key"), F.col("seq"), F.when(F.col("kind") == "like", 1).when(F.col("kind") == "dislike", -1).otherwise(0).alias("delta"))
-    return sequential.floored_counters(moves)
+    return sequential.floored_counters(_moves(spark, sf_dir))
 
 
 def cooldown_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,18 +248,24 @@ def relative_time_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", timeexpr.relative_label(F.col("ts"), as_of).alias("label"), timeexpr.active_label(F.col("ts"), as_of).alias("active"))
 
 
+def _beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("user_id", F.concat(F.lit("s"), F.col("event_id") % 40).alias("session_id"), F.when(F.col("event_type") == "error", "revoke").otherwise("beat").alias("kind"), "ts")
+
+
 def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats = _events(spark, sf_dir).select("user_id", F.concat(F.lit("s"), F.col("event_id") % 40).alias("session_id"), F.when(F.col("event_type") == "error", "revoke").otherwise("beat").alias("kind"), "ts")
-    return subscriptions.active_sessions(subscriptions.sessions(beats)).select("user_id", "session_id", "last_active_at")
+    return subscriptions.active_sessions(subscriptions.sessions(_beats(spark, sf_dir))).select("user_id", "session_id", "last_active_at")
 
 
-def subscription_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where("event_type in ('purchase', 'error', 'signup')")
-    made = e.select(
+    return e.select(
         (F.col("event_id") % 3000).cast("string").alias("event_id"), F.col("event_id").alias("received"), F.when(F.col("user_id") % 20 != 0, F.col("user_id")).alias("user_id"),
         F.when(F.col("event_type") == "signup", "subscription_created").otherwise("subscription_updated").alias("event_name"), F.when(F.col("event_type") == "purchase", "active").when(F.col("event_type") == "error", "expired").otherwise("").alias("status"), F.col("ts").alias("period_end"),
     )
-    return subscriptions.state(made)
+
+
+def subscription_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subscriptions.state(_payments(spark, sf_dir))
 
 
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import mutations, sequential
-from larkspur.streaming import changes
+from larkspur.operators import mutations, sequential, subscriptions
+from larkspur.streaming import changes, live
+from larkspur.streaming import store as store_module
+from larkspur.streaming.store import Store, for_each
 
 NOW = dt.datetime(2024, 6, 1)
 
@@ -56,16 +58,152 @@ def test_inserts_once_and_filtered(spark, tmp_path):
     assert drain(changes.subscribe(changes.feed(spark, path, schema), "INSERT", "user_id", 11), spark, "mine").count() == 1
 
 
-def test_payment_events_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", NOW, 0), ("a", NOW, 1), ("b", NOW, 1)], "event_id string, received timestamp, part int")
-    stream = changes.feed(spark, parts(rows, tmp_path / "pay", 2), "event_id string, received timestamp")
-    assert drain(changes.once(stream), spark, "paid").count() == 2
+def stored(spark, store):
+    return sorted(tuple(r) for r in store.read(spark).collect())
 
 
 def test_updates_into_a_table(spark, tmp_path):
-    state = str(tmp_path / "state")
-    spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").write.parquet(f"{state}/generation=0")
-    rows = spark.createDataFrame([(1, "x", 1, 0), (3, "y", 2, 0), (1, "z", 3, 1)], "id long, v string, seq long, part int")
-    stream = changes.feed(spark, parts(rows, tmp_path / "rows", 2), "id long, v string, seq long")
-    changes.into_table(stream, lambda old, batch: mutations.upsert(old, batch, ["id"], [F.desc("seq")]), state, str(tmp_path / "ck")).awaitTermination(120)
-    assert {tuple(r) for r in spark.read.parquet(f"{state}/generation=2").collect()} == {(1, "z"), (2, "b"), (3, "y")}
+    """Only the buckets of a batch's keys are written; a batch that is run again changes nothing."""
+    store = Store(str(tmp_path / "state"), "id long, v string", ("id",), buckets=8)
+    apply = lambda old, batch: mutations.upsert(old, batch, ["id"], [F.desc("seq")])
+    first = spark.range(200).selectExpr("id", "cast(id as string) as v", "0L as seq")
+    store.merge(first, 0, apply)
+    assert len(store.held(spark)) == 8
+    rows = spark.createDataFrame([(1, "x", 1, 0), (1, "z", 3, 0), (None, "n", 1, 0)], "id long, v string, seq long, part int")
+    stream = changes.feed(spark, parts(rows, tmp_path / "rows", 1), "id long, v string, seq long")
+    changes.into_table(stream, apply, store, str(tmp_path / "none")).awaitTermination(120)
+    assert stored(spark, store)[:2] != [(1, "z")] and store.commits(spark) == [0]  # epoch 0 is committed already
+    batch = rows.drop("part")
+    store.merge(batch, 1, apply)
+    held = store.held(spark)
+    assert sum(g == [1] for g in held.values()) <= 2 and sum(g == [0] for g in held.values()) >= 6
+    want = sorted([(i, "z" if i == 1 else str(i)) for i in range(200)])
+    assert sorted(r for r in map(tuple, store.read(spark).where("id is not null").collect())) == want and store.read(spark).count() == 201
+    store.merge(batch.withColumn("v", F.lit("again")), 1, apply)
+    assert store.read(spark).where("v = 'again'").count() == 0
+    store.merge(spark.createDataFrame([(5, "five", 1)], "id long, v string, seq long"), 2, lambda old, new: old.join(new, "id", "left_anti"))
+    assert store.read(spark).where("id = 5").count() == 0 and store.commits(spark) == [1, 2]
+    for epoch in range(3, 6):
+        store.merge(batch, epoch, apply)
+    assert set(store._names(spark, "data")) == {f"epoch={g}" for e in store.commits(spark) for of in store.held(spark, e).values() for g in of}
+
+
+def payment(i, received, user=1, name="subscription_created", status="active"):
+    return (i, received, user, name, status, NOW)
+
+
+PAYMENT = "event_id string, received long, user_id long, event_name string, status string, period_end timestamp_ntz"
+
+
+def stores(tmp_path, n=8):
+    return Store(str(tmp_path / "seen"), changes.SEEN, ("event_id",), n), Store(str(tmp_path / "users"), changes.USERS, ("user_id",), n)
+
+
+def test_payment_ids_are_kept_for_good(spark, tmp_path):
+    seen, users = stores(tmp_path)
+    frame = lambda *rows: spark.createDataFrame(rows, PAYMENT)
+    tiers = lambda: {r["user_id"]: r["tier"] for r in subscriptions.tiers(users.read(spark)).collect()}
+    changes.settle(frame(*(payment(f"e{i}", i, i) for i in range(50))), 0, seen, users)
+    assert tiers() == dict.fromkeys(range(50), "elite")
+    two_days = 2 * 86_400_000_000
+    read = changes.settle(frame(payment("e7", two_days, 7, "subscription_expired", "expired"), payment("new", two_days + 1, 8, "subscription_expired", "expired")), 1, seen, users)
+    assert tiers()[7] == "elite" and tiers()[8] == "free" and 1 <= read <= 2
+    assert changes.settle(frame(payment("e51", 3, 8)), 2, seen, users) <= 1  # out of order: the later one stays
+    assert tiers()[8] == "free" and seen.read(spark).count() == 52
+    assert changes.settle(frame(payment("e60", 4, None), payment(None, 5, 3, "x", "expired")), 3, seen, users) <= 1
+    assert tiers()[3] == "elite" and seen.read(spark).count() == 53
+
+
+def test_a_batch_that_failed_between_its_commits_is_whole_the_next_time(spark, tmp_path):
+    seen, users = stores(tmp_path)
+    batch = spark.createDataFrame([payment("a", 1), payment("b", 2, 2)], PAYMENT)
+    seen.append(batch.select("event_id", F.lit(0).cast("long").alias("epoch")), 0)
+    assert users.commits(spark) == []
+    changes.settle(batch, 0, seen, users)
+    assert users.read(spark).count() == 2 and seen.read(spark).count() == 2
+    changes.settle(batch, 0, seen, users)
+    changes.settle(batch, 1, seen, users)
+    assert users.read(spark).count() == 2 and seen.read(spark).count() == 2
+
+
+def test_many_generations_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MAX_GENERATIONS", 3)
+    seen, _ = stores(tmp_path, 2)
+    for epoch in range(7):
+        rows = spark.range(epoch * 10, epoch * 10 + 10).selectExpr("cast(id as string) as event_id", f"{epoch}L as epoch")
+        fresh, _ = seen.unseen(rows, epoch)
+        assert fresh.count() == 10
+        seen.append(rows, epoch)
+    assert max(map(len, seen.held(spark).values())) <= 3 and seen.read(spark).count() == 70
+    again, read = seen.unseen(spark.range(70).selectExpr("cast(id as string) as event_id", "9L as epoch"), 9)
+    assert again.count() == 0 and read == 2
+
+
+def last_rows(spark, stream, tmp_path, key):
+    """All rows of a stream in update mode, in order of their batches, by key."""
+    got = {}
+
+    def keep(batch, epoch):
+        for r in batch.collect():
+            got.setdefault(tuple(r[k] for k in key), []).append(r)
+
+    for_each(stream, keep, str(tmp_path / "checkpoint"), "update").awaitTermination(180)
+    return got
+
+
+def test_unread_badges_reset(spark, tmp_path):
+    """Marks that come late, or before what they mark, and repeated notifications."""
+    at = lambda m: NOW + dt.timedelta(minutes=m)
+    rows = [
+        (1, 10, at(10), False, 0), (1, 11, at(30), False, 0), (1, None, at(20), True, 0), (1, 11, at(30), False, 1), (1, 12, at(15), False, 1), (1, None, at(12), True, 1), (1, 13, at(4000), False, 1),
+        (2, None, at(50), True, 0), (2, 20, at(60), False, 1), (2, 21, at(40), False, 1), (3, 30, at(1), False, 0), (3, 31, at(2), False, 0), (3, None, at(3), True, 1), (None, 40, at(1), False, 0),
+    ]
+    df = spark.createDataFrame(rows, "user_id long, id long, at timestamp_ntz, mark boolean, part int")
+    stream = changes.feed(spark, parts(df, tmp_path / "in", 2), "user_id long, id long, at timestamp_ntz, mark boolean")
+    with live.with_rocksdb(spark):
+        got = last_rows(spark, live.unread(stream), tmp_path, ["user_id"])
+    assert {k[0]: [r["unread"] for r in v] for k, v in got.items()} == {1: [1, 2], 2: [0, 1], 3: [2, 0], None: [1]}
+
+
+def test_streaks_break_by_timers(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1, 9) + dt.timedelta(days=n)
+    rows = [(1, day(0), 0), (1, day(1), 0), (1, day(2), 0), (2, day(1), 0), (2, day(0), 1), (2, day(3), 1), (2, day(2), 1), (9, day(8), 2), (9, day(8), 3), (1, day(9), 4), (1, day(10), 4)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, part int")
+    stream = changes.feed(spark, parts(df, tmp_path / "in", 5), "user_id long, ts timestamp_ntz")
+    with live.with_rocksdb(spark):
+        got = last_rows(spark, live.streaks(stream, "3 days"), tmp_path, ["user_id"])
+    row = lambda r: (r["current_streak"], r["longest_streak"], r["last_day"].day, r["alive"])
+    assert row(got[1,][-1]) == (1, 2, 11, True) and row(got[2,][-1]) == (3, 3, 4, False)
+    assert (2, 2, 3, False) in map(row, got[1,]) and row(got[1,][0]) == (2, 2, 3, True)
+
+
+def test_sessions_expire_and_stay_revoked(spark, tmp_path):
+    at = lambda h: NOW + dt.timedelta(hours=h)
+    rows = [(1, "a", "revoke", at(1), 0), (1, "a", "beat", at(0), 1), (1, "a", "beat", at(2), 1), (2, "b", "beat", at(0), 0), (3, "c", "beat", at(31), 2), (3, "c", "beat", at(30), 3), (3, "d", "revoke", at(31), 3)]
+    df = spark.createDataFrame(rows, "user_id long, session_id string, kind string, ts timestamp_ntz, part int")
+    schema = "user_id long, session_id string, kind string, ts timestamp_ntz"
+    store = Store(str(tmp_path / "sessions"), live.SESSIONS, live.KEYS, 1)
+    path, apply = parts(df.where("part < 2"), tmp_path / "in", 2), live.merge_sessions("1 day")
+    follow = lambda: store.follow(changes.feed(spark, path, schema), apply, str(tmp_path / "ck")).awaitTermination(180)
+    found = lambda: {(r["user_id"], r["session_id"]): (r["last_active_at"], r["revoked_at"]) for r in store.read(spark).collect()}
+    follow()
+    assert found() == {(1, "a"): (at(2), at(1)), (2, "b"): (at(0), None)}
+    assert subscriptions.active_sessions(store.read(spark)).count() == 1
+    assert live.current_sessions(store.read(spark), at(25), "1 day").count() == 1
+    parts(df.where("part = 2 or part = 3"), tmp_path / "in", 4)
+    follow()
+    assert found() == {(3, "c"): (at(31), None), (3, "d"): (None, at(31))}  # a (revoked) and b have been silent for a day
+
+
+def test_counters_merge_without_a_recount(spark, tmp_path):
+    rng = random.Random(3)
+    moves = [(rng.randrange(40), i, rng.choice([-1, 1, -2])) for i in range(900)]
+    store = Store(str(tmp_path / "counters"), "key long, total long, low long", ("key",), 4)
+    df = spark.createDataFrame(moves, "key long, seq long, delta long")
+    for epoch in range(3):
+        store.merge(df.where(F.floor(F.col("seq") / 300) == epoch), epoch, changes.merge_counters)
+    got = {r["key"]: r["total"] - r["low"] for r in store.read(spark).collect()}
+    want = {}
+    for k, _, d in moves:
+        want[k] = max(0, want.get(k, 0) + d)
+    assert got == want
