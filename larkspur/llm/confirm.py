@@ -52,7 +52,7 @@ WANTED_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Search:
-    """words: numbers of ``kind`` in a signature; strength(a, b): how alike the rows of two matrices are, row by row; least: from where on they are a candidate.
+    """words: numbers of ``kind`` at the start of a signature that are compared; strength(a, b): how alike the rows of two matrices are, row by row; least: from where on they are a candidate.
 
     pairs(sigs, labels): places (i, j) of all candidates of unlike labels of a longer list, in pieces.
     """
@@ -119,14 +119,18 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.where("code is not null").groupBy("code").agg(F.min("size").alias("size"), F.min("sig").alias("sig"), first, F.count("*").alias("n"))
 
 
-def sharing(classes: DataFrame) -> DataFrame:
-    """code, size, sig, first, lists (bucket, n, hub: its least code) of the classes that share a bucket; classes: code, size, sig, first, buckets."""
-    posted = materialise(classes.select("code", F.explode(F.array_distinct("buckets")).alias("bucket")), "postings")
-    lists = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("code").alias("hub")).where("n > 1")
-    of_class = posted.join(lists, "bucket").groupBy("code").agg(F.collect_list(F.struct("bucket", "n", "hub")).alias("lists"))  # at most as many as a class has buckets
-    made = materialise(classes.select("code", "size", "sig", "first").join(of_class, "code"), "members")
-    discard(posted)
-    return made
+def sharing(classes: DataFrame, search: Search) -> DataFrame:
+    """code, size, sig (the part that is compared), first, lists (bucket, n, hub: its least class) of the classes that share a bucket; classes: code, size, sig, first, buckets.
+
+    Postings hold a 64-bit hash of the code; should two classes have the same one, each is
+    also posted in the other's buckets, which costs a comparison and loses nothing.
+    """
+    own = F.xxhash64("code")
+    posted = classes.select(own.alias("id"), F.explode(F.array_distinct("buckets")).alias("bucket"))
+    lists = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+    of_class = posted.join(lists, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n", "hub")).alias("lists"))  # at most as many as a class has buckets
+    compared = F.substring("sig", 1, search.words * np.dtype(search.kind).itemsize)
+    return materialise(classes.select("code", "size", compared.alias("sig"), "first", own.alias("id")).join(of_class, "id"), "members")
 
 
 def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -152,7 +156,7 @@ def _cells(members: DataFrame, every: bool) -> DataFrame:
     if every:
         met = F.transform(others, lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
     else:
-        met = F.transform(F.when(F.col("code") == F.col("hub"), others).otherwise(F.array("part")), lambda k: F.struct(k.alias("i"), k.alias("j")))
+        met = F.transform(F.when(F.xxhash64("code") == F.col("hub"), others).otherwise(F.array("part")), lambda k: F.struct(k.alias("i"), k.alias("j")))
     return each.withColumn("cell", F.explode(met)).select("bucket", "cell.i", "cell.j", "part", "code", "size", "sig", "label")
 
 
@@ -249,8 +253,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a binary, b binary")
 
 
-def linked(members: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
-    """node, root of every class that hangs together with another one but the roots (see ``components.connected``)."""
+def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) -> DataFrame:
+    """node, root of every class that hangs together with another one but the roots (see ``components.connected``); texts: th and text."""
     tried, good, roots = [], [], None
     for picks in ROUNDS:
         label = F.col("code") if roots is None else F.coalesce("root", "code")
@@ -261,14 +265,25 @@ def linked(members: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
         pairs = materialise(pairs, "proposed-pairs")
         tried.append(pairs)
         if not pairs.isEmpty():
+            paired = materialise(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
+            sets = sets_of(members.join(paired, "code", "left_semi"), texts, words)
             good.append(materialise(confirmed(pairs, sets, search.percent), "links"))
             found, before = good[0], roots
             for more in good[1:]:
                 found = found.unionByName(more)
             roots = connected(found)
             discard(*([] if before is None else [before]))
-    discard(*tried, *good)
-    return connected(members.select(F.col("code").alias("a"), F.col("code").alias("b"))) if roots is None else roots
+        if len(tried) == 1:  # a class without a candidate has none later, unless one of its buckets was searched in windows
+            wide = F.exists("lists", lambda x: x["n"] > WINDOW)
+            left = members.where(wide)
+            left = left if pairs.isEmpty() else left.unionByName(members.where(~wide).join(paired, "code", "left_semi"))
+            whole, members = members, materialise(left, "members-left")
+            discard(whole)
+        if not pairs.isEmpty():
+            discard(paired)
+    made = connected(tried[0]) if roots is None else roots  # without a candidate all are alone
+    discard(members, *tried, *good)
+    return made
 
 
 def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[DataFrame], DataFrame], search: Search) -> tuple[DataFrame, DataFrame]:
@@ -277,11 +292,10 @@ def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[Data
     texts: th and text, to find whole sets by; posted adds ``buckets`` to classes.  A class of size 0 is a group of its own.
     """
     classes = materialise(classes_of(rows), "classes")
-    members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")))
-    sets = materialise(sets_of(members, texts, words), "shingle-sets")
-    roots = linked(members, sets, search)
+    members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")), search)
+    roots = linked(members, texts, words, search)
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
     made = materialise(joined, "class-roots")
-    discard(members, sets, roots, classes)
+    discard(members, roots, classes)
     total = made.agg(F.sum("n")).first()[0] or 0
     return made, made.where(F.col("n") > HOT_SHARE * total)

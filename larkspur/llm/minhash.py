@@ -57,11 +57,22 @@ FACTORS, SHIFTS = _seeds[:COORDINATES] | np.uint64(1), _seeds[COORDINATES:]
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """The least 32-bit value of each coordinate's hash over the shingles."""
+    """The least 32-bit value of each coordinate's hash over the shingles: all low halves, then all high ones.
+
+    Values are posted whole, and compared by their low halves, which count a false
+    collision once in 65,536 times and never miss one.
+    """
     least = np.full(COORDINATES, ~np.uint64(0))
     for at in range(0, len(shingles), AT_ONCE):
         np.minimum(least, (shingles[at : at + AT_ONCE, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+    values = (least >> np.uint64(32)).astype("<u4")
+    return np.concatenate([values.astype("<u2"), (values >> 16).astype("<u2")]).tobytes()
+
+
+def values_of(sigs: list[bytes]) -> np.ndarray:
+    """The values of signatures, a row each."""
+    halves = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, 2, COORDINATES).astype(np.uint32)
+    return halves[:, 0] | halves[:, 1] << np.uint32(16)
 
 
 def postings(sigs: np.ndarray) -> np.ndarray:
@@ -101,7 +112,7 @@ def merged(sigs: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at = rows
 
 
-SEARCH = confirm.Search("<u4", COORDINATES, MATCHES, collisions, merged, PERCENT)
+SEARCH = confirm.Search("<u2", COORDINATES, MATCHES, collisions, merged, PERCENT)
 
 
 def frequencies(classes: DataFrame) -> np.ndarray:
@@ -111,7 +122,7 @@ def frequencies(classes: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                sigs = np.frombuffer(b"".join(batch.column(0).slice(at, 2048).to_pylist()), "<u4").reshape(-1, COORDINATES)
+                sigs = values_of(batch.column(0).slice(at, 2048).to_pylist())
                 np.add.at(total, (postings(sigs) % np.uint64(SKETCH)).astype(np.int64).ravel(), 1)
         some = np.flatnonzero(total > 1)  # what one task has once is left out: any order is right
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
@@ -129,7 +140,7 @@ def with_prefix(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = batch.column(batch.schema.get_field_index("sig"))
-            posted = postings(np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(-1, COORDINATES))
+            posted = postings(values_of(sig.to_pylist()))
             often = order.value[(posted % np.uint64(SKETCH)).astype(np.int64)]
             chosen = np.take_along_axis(posted, np.lexsort((posted, often), axis=1)[:, :PREFIX], axis=1).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, chosen.size + 1, PREFIX, dtype=np.int32)), pa.array(chosen.ravel()))
