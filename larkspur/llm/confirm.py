@@ -8,19 +8,20 @@ is wanted are the linked groups, so a pair need not be looked at once both ends
 hang together:
 
 1. Buckets of one class hold no pair and go, before any signature is shuffled.
-2. In rounds, every bucket proposes pairs of classes that don't hang together
-   yet: first each class's most alike, then some more, at last all that are left.
-   Large groups of near copies become one in the first rounds, and never make all
-   their pairs.
-3. The proposed pairs meet the whole sets.  A class that many others are paired
-   with is dealt over as many tasks as its pairs need.
-4. Components of the links that are found so far give the labels by which the
-   next round skips.
-
-A bucket of over MAX_LIST classes is cut into parts: in the first rounds each
-part is searched by itself, beside one class that all parts have; in the last one
-every two parts meet, in tasks of their own, unless the whole bucket is one group
-by then.  So no task holds more than two parts, and no pair is lost.
+2. First every bucket proposes for each class the most alike one.  These pairs
+   meet the whole sets; a class that many others are paired with is dealt over as many
+   tasks as its pairs need.  Components of the links that are found give labels.
+3. Then all candidates of unlike labels that are left are looked at, but never
+   written down: each bucket hands on a spanning star of each group of its candidates, at
+   most one row a class.  The components of these stars bring each class's whole set to
+   one place, once, where intersections are counted by merging the lists of its
+   shingles.  Only links that join two groups leave it.
+
+A bucket of over MAX_LIST classes is cut into parts: first each part is searched by
+itself, beside one class that all parts have; then every two parts meet, in tasks of
+their own, unless the whole bucket is one group by then.  Components of over
+MAX_SETS classes are cut in the same way.  So no task holds more than two parts, and no
+pair is lost.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ from larkspur.llm.shared import HOT_SHARE, discard, join_small, map_texts, mater
 
 #: Classes of a bucket that are searched together in a task.
 MAX_LIST = 20_000
-#: Runs of at most so many classes are compared without a search; classes that are searched together in the first rounds.
+#: Classes of a component whose whole sets meet in a task.
+MAX_SETS = 3000
+#: Runs of at most so many classes are compared without a search; classes that are searched together at first.
 SMALL, WINDOW = 24, 1024
-#: Pairs that each class proposes in a bucket, by round; None: all.
-ROUNDS = (1, 8, None)
+#: Pairs that each class proposes in a bucket at first.
+PICKS = 1
 #: Pairs of a class that one task confirms.
 EACH = 256
 #: Classes up to which their list is broadcast to find their texts.
@@ -179,8 +182,19 @@ def _best(i: np.ndarray, j: np.ndarray, strength: np.ndarray, picks: int) -> tup
     return own[keep], other[keep]
 
 
+def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Put the groups of i and j together, pair by pair; parent[x] is the least place of x's group."""
+    while len(i):
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != (further := parent[parent])).any():
+            parent[:] = further
+
+
 def proposed(cells: DataFrame, search: Search, picks: int | None) -> DataFrame:
-    """a, b (a < b): candidates of unlike labels of each cell, each once."""
+    """a, b (a < b), each once: of each cell the ``picks`` most alike candidates of unlike labels of each class; or, with None, stars that span its candidates."""
     percent = search.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,37 +205,41 @@ def proposed(cells: DataFrame, search: Search, picks: int | None) -> DataFrame:
             sigs = np.frombuffer(b"".join(whole.column(6).to_pylist()), search.kind).reshape(len(codes), search.words)
             labels = whole.column(7).combine_chunks().dictionary_encode().indices.to_numpy()
             starts, cross = starts_of(*keys), keys[1] != keys[2]
+            parent = np.arange(len(codes))
 
-            def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                """Unlike groups, sizes that can reach the limit, and of a cell of two parts one of each."""
+            def able(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Pairs of unlike groups, of sizes that can reach the limit, and of a cell of two parts one of each."""
                 low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                return (labels[i] != labels[j]) & (100 * low >= percent * high) & (~cross[i] | (part[i] != part[j]))
+                keep = (labels[i] != labels[j]) & (100 * low >= percent * high) & (~cross[i] | (part[i] != part[j]))
+                return i[keep], j[keep]
 
-            def emit(i: np.ndarray, j: np.ndarray, strength: np.ndarray) -> Iterator[pa.RecordBatch]:
-                if picks is not None:
-                    i, j = _best(i, j, strength, picks)
+            def emit(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
                 a, b = codes.take(pa.array(i)).to_pylist(), codes.take(pa.array(j)).to_pylist()
                 made = list({(min(p), max(p)) for p in zip(a, b, strict=True)})
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-            i, j = _small_pairs(starts)
-            keep = able(i, j)
-            i, j = i[keep], j[keep]
-            strength = search.strength(sigs[i], sigs[j])
-            keep = strength >= search.least
-            yield from emit(i[keep], j[keep], strength[keep])
-            for at, end in zip(starts[:-1], starts[1:], strict=True):
-                if end - at <= SMALL or (labels[at:end] == labels[at]).all():
-                    continue
-                order = at + np.lexsort(sigs[at:end].T[: 4 if picks else 0][::-1]) if picks else np.arange(at, end)  # alike ones side by side
-                for begin in range(0, end - at, WINDOW if picks else end - at):
-                    among = order[begin : begin + WINDOW] if picks else order
-                    for i, j in search.pairs(sigs[among], labels[among]):
-                        i, j = among[i], among[j]
-                        keep = able(i, j)
-                        i, j = i[keep], j[keep]
-                        yield from emit(i, j, search.strength(sigs[i], sigs[j]))
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                i, j = able(*_small_pairs(starts))
+                keep = search.strength(sigs[i], sigs[j]) >= search.least
+                yield i[keep], j[keep]
+                for at, end in zip(starts[:-1], starts[1:], strict=True):
+                    if end - at <= SMALL or (labels[at:end] == labels[at]).all():
+                        continue
+                    order = at + np.lexsort(sigs[at:end].T[: 4 if picks else 0][::-1]) if picks else np.arange(at, end)  # alike ones side by side
+                    step = WINDOW if picks else end - at
+                    for begin in range(0, end - at, step):
+                        among = order[begin : begin + step]
+                        for i, j in search.pairs(sigs[among], labels[among]):
+                            yield able(among[i], among[j])
+
+            for i, j in found():
+                if picks is None:
+                    _hook(parent, i, j)
+                else:
+                    yield from emit(*_best(i, j, search.strength(sigs[i], sigs[j]), picks))
+            member = np.flatnonzero(parent != np.arange(len(parent)))
+            yield from emit(parent[member], member)
 
     ordered = cells.select("bucket", "i", "j", "part", "code", "size", "sig", "label").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "code")
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
@@ -253,36 +271,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "a binary, b binary")
 
 
+def joining(codes: list[bytes], sets: list[bytes], labels: np.ndarray, apart: np.ndarray | None, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join unlike groups of the classes, by counting each one's intersections over the lists of its shingles; apart: parts of which a pair has one each."""
+    sizes = np.array([len(x) // 8 for x in sets])
+    member = np.repeat(np.arange(len(sets)), sizes)
+    shingle = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    posted, at = member[order], np.append(0, np.cumsum(np.bincount(shingle)))
+    own = np.append(0, np.cumsum(sizes))
+    group = np.unique(labels, return_inverse=True)[1]
+    found = []
+    for i in range(len(sets)):
+        mine = shingle[own[i] : own[i + 1]]
+        mine = mine[at[mine + 1] - at[mine] > 1]
+        n = at[mine + 1] - at[mine]
+        lists = np.repeat(at[mine] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        both = np.bincount(posted[lists], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (sizes[i] + sizes - both)) & (group != group[i]))
+        for j in (near if apart is None else near[apart[near] != apart[i]]).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                found.append((codes[i], codes[j]))
+    return found
+
+
+def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join unlike labels within the components of stars (a, b); members: code, label; sets: code, shingles."""
+    roots = connected(stars)
+    codes = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct().join(members.select("code", "label"), "code")
+    placed = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "label", F.xxhash64(F.coalesce("root", "code")).alias("component"))
+    parts = placed.groupBy("component").agg(F.ceil(F.count("*") / MAX_SETS).cast("int").alias("parts"))
+    cut = placed.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("code"), "parts").cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    rows = cut.join(sets, "code").withColumn("cell", F.explode(met)).select("component", "cell.i", "cell.j", "part", "code", "label", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in runs(batches, 3):
+            keys = [whole.column(k).to_numpy() for k in range(3)]
+            part, labels = whole.column(3).to_numpy(), whole.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = starts_of(*keys)
+            for at, end in zip(starts[:-1], starts[1:], strict=True):
+                codes, shingles = (whole.column(k).slice(at, end - at).to_pylist() for k in (4, 6))
+                made = joining(codes, shingles, labels[at:end], part[at:end] if keys[1][at] != keys[2][at] else None, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "code").mapInArrow(run, "a binary, b binary")
+
+
 def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) -> DataFrame:
     """node, root of every class that hangs together with another one but the roots (see ``components.connected``); texts: th and text."""
-    tried, good, roots = [], [], None
-    for picks in ROUNDS:
-        label = F.col("code") if roots is None else F.coalesce("root", "code")
-        labelled = members if roots is None else members.join(roots, members["code"] == roots["node"], "left")
-        pairs = proposed(_cells(labelled.withColumn("label", label), picks is None), search, picks)
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "proposed-pairs")
-        tried.append(pairs)
-        if not pairs.isEmpty():
-            paired = materialise(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
-            sets = sets_of(members.join(paired, "code", "left_semi"), texts, words)
-            good.append(materialise(confirmed(pairs, sets, search.percent), "links"))
-            found, before = good[0], roots
-            for more in good[1:]:
-                found = found.unionByName(more)
-            roots = connected(found)
-            discard(*([] if before is None else [before]))
-        if len(tried) == 1:  # a class without a candidate has none later, unless one of its buckets was searched in windows
-            wide = F.exists("lists", lambda x: x["n"] > WINDOW)
-            left = members.where(wide)
-            left = left if pairs.isEmpty() else left.unionByName(members.where(~wide).join(paired, "code", "left_semi"))
-            whole, members = members, materialise(left, "members-left")
-            discard(whole)
-        if not pairs.isEmpty():
-            discard(paired)
-    made = connected(tried[0]) if roots is None else roots  # without a candidate all are alone
-    discard(members, *tried, *good)
+    pairs = materialise(proposed(_cells(members.withColumn("label", F.col("code")), False), search, PICKS), "proposed-pairs")
+    paired = materialise(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
+    first = materialise(confirmed(pairs, sets_of(members.join(paired, "code", "left_semi"), texts, words), search.percent), "links")
+    roots = connected(first)
+    # A class without a candidate has none later, unless one of its buckets was searched in windows.
+    wide = F.exists("lists", lambda x: x["n"] > WINDOW)
+    left = members.where(wide).unionByName(members.where(~wide).join(paired, "code", "left_semi"))
+    left = materialise(left.join(roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
+    stars = materialise(proposed(_cells(left, True), search, None), "stars")
+    made = roots
+    if not stars.isEmpty():
+        ends = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct()
+        more = materialise(confirmed_groups(stars, left, sets_of(left.join(ends, "code", "left_semi"), texts, words), search.percent), "links")
+        if not more.isEmpty():
+            made = connected(first.unionByName(more))
+            discard(roots)
+        discard(more)
+    discard(members, left, pairs, paired, first, stars)
     return made
 
 
@@ -296,6 +351,6 @@ def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[Data
     roots = linked(members, texts, words, search)
     joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
     made = materialise(joined, "class-roots")
-    discard(members, roots, classes)
+    discard(roots, classes)
     total = made.agg(F.sum("n")).first()[0] or 0
     return made, made.where(F.col("n") > HOT_SHARE * total)

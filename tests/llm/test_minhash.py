@@ -67,6 +67,7 @@ def test_edited_copies_edges_and_large_lists(spark, edge_rows, monkeypatch, max_
     monkeypatch.setattr(confirm, "SMALL", 3 if max_list == 7 else confirm.SMALL)
     monkeypatch.setattr(confirm, "WINDOW", 4 if max_list == 7 else confirm.WINDOW)
     monkeypatch.setattr(confirm, "EACH", 2)
+    monkeypatch.setattr(confirm, "MAX_SETS", 5 if max_list == 7 else confirm.MAX_SETS)
     texts = corpus()
     rows = [(r[0], r[1]) for r in edge_rows] + [(1000 - i, t) for i, t in enumerate(texts)] + [(5000, texts[0])] * 3 + [(None, texts[5]), (None, "one two")]
     docs = spark.createDataFrame([(*r, b"x", 1, 2) for r in rows], "doc_id long, text string, code binary, size long, root long").repartition(6)
@@ -83,17 +84,43 @@ def test_no_link_at_all(spark):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=repr) == brute(rows)
 
 
-def test_star_of_copies_makes_few_pairs(spark, monkeypatch):
-    """Copies that each differ from a common text link through it, and never make all their pairs."""
+def test_groups_of_near_copies_make_few_rows(spark, monkeypatch):
+    """Copies that link through a common text, and others alike but below the limit: about a row a class and bucket is written, never all pairs."""
     rng = random.Random(2)
     base = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join(edited(rng, base, 6) if i else base)) for i in range(400)]
+    rows = [(i, " ".join(edited(rng, base, 6 if i < 150 else 14) if i else base)) for i in range(300)]
     made = []
-    confirmed = confirm.confirmed
-    monkeypatch.setattr(confirm, "confirmed", lambda pairs, *rest: made.append(pairs.count()) or confirmed(pairs, *rest))
+    proposed = confirm.proposed
+    monkeypatch.setattr(confirm, "proposed", lambda *a: made.append((f := proposed(*a)).count()) or f)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
-    assert sum(made) < 400 * 399 // 8
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    assert len(made) == 2 and max(made) < 300 * minhash.PREFIX // 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 25))
+def test_links_join_what_all_pairs_join(seed, n):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**60, 40).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 2**60, 40).astype(np.uint64), base)[: rng.integers(20, 40)]) for _ in range(n)]
+    labels = rng.integers(0, n, n)
+    parent = {int(v): int(v) for v in labels}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(int(labels[i]))] = root(int(labels[j]))
+    want = [root(int(v)) for v in labels]
+    codes = [bytes([i]) for i in range(n)]
+    parent = {int(v): int(v) for v in labels}
+    links = confirm.joining(codes, [s.tobytes() for s in sets], labels, None, 80)
+    for a, b in links:
+        assert root(int(labels[a[0]])) != root(int(labels[b[0]]))
+        parent[root(int(labels[a[0]]))] = root(int(labels[b[0]]))
+    got = [root(int(v)) for v in labels]
+    same = lambda g: {frozenset(i for i in range(n) if g[i] == k) for k in g}
+    assert same(got) == same(want)
 
 
 @settings(max_examples=60, deadline=None)
