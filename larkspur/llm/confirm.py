@@ -296,7 +296,7 @@ def joining(codes: list[bytes], sets: list[bytes], labels: np.ndarray, apart: np
 
 
 def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join unlike labels within the components of stars (a, b); members: code, label; sets: code, shingles."""
+    """Pairs (a, b) of unlike labels that links join within the components of stars (a, b of codes); members: code, label; sets: code, shingles."""
     roots = connected(stars)
     codes = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct().join(members.select("code", "label"), "code")
     placed = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "label", F.xxhash64(F.coalesce("root", "code")).alias("component"))
@@ -311,8 +311,8 @@ def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, perc
             part, labels = whole.column(3).to_numpy(), whole.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
             starts = starts_of(*keys)
             for at, end in zip(starts[:-1], starts[1:], strict=True):
-                codes, shingles = (whole.column(k).slice(at, end - at).to_pylist() for k in (4, 6))
-                made = joining(codes, shingles, labels[at:end], part[at:end] if keys[1][at] != keys[2][at] else None, percent)
+                names, shingles = (whole.column(k).slice(at, end - at).to_pylist() for k in (5, 6))
+                made = joining(names, shingles, labels[at:end], part[at:end] if keys[1][at] != keys[2][at] else None, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "code").mapInArrow(run, "a binary, b binary")
@@ -333,9 +333,11 @@ def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) ->
     if not stars.isEmpty():
         ends = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct()
         more = materialise(confirmed_groups(stars, left, sets_of(left.join(ends, "code", "left_semi"), texts, words), search.percent), "links")
-        if not more.isEmpty():
-            made = connected(first.unionByName(more))
-            discard(roots)
+        if not more.isEmpty():  # they join labels, so the first components need no second look
+            later = connected(more)
+            onward = later.select(F.col("node").alias("root"), F.col("root").alias("final"))
+            made = materialise(roots.join(onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
+            discard(roots, later)
         discard(more)
     discard(members, left, pairs, paired, first, stars)
     return made
