@@ -33,11 +33,36 @@ def visible(df: DataFrame, table: str, viewer: int, participants: DataFrame | No
     return df.where(F.lit(False))
 
 
-def may_insert(table: str, viewer: int) -> Column:
-    """Whether the viewer may write a row: as themselves, and never a referral of themselves."""
-    author = {"follows": "follower_id", "messages": "sender_id", "notifications": "actor_id", "mentions": "actor_id", "reports": "reporter_id", "blocks": "blocker_id", "referrals": "referred_id", "message_requests": "requester_id"}.get(table, "user_id")
-    own = F.col(author) == viewer
-    return own & (F.col("referrer_id") != F.col("referred_id")) if table == "referrals" else own
+#: The column of a new row that must be its writer (user_id elsewhere); columns of which two must differ; tables that any signed-in user writes; tables whose writer must take part in the row's conversation.
+WRITERS = {
+    "follows": "follower_id", "messages": "sender_id", "notifications": "actor_id", "mentions": "actor_id", "reports": "reporter_id", "blocks": "blocker_id",
+    "referrals": "referred_id", "message_requests": "requester_id", "conversations": "created_by",
+}
+UNLIKE = {"referrals": ("referrer_id", "referred_id"), "follows": ("follower_id", "followee_id"), "message_requests": ("requester_id", "recipient_id")}
+ANYONE = ("conversation_participants", "hashtags", "post_hashtags")
+MEMBERS = ("messages",)
+
+
+def may_insert(table: str, viewer: int | None) -> Column:
+    """Whether the viewer (None: not signed in) may write a row, as far as the row itself tells; ``insertable`` also asks for the writer's part in a conversation."""
+    if viewer is None:
+        return F.lit(False)
+    if table in ANYONE:
+        return F.lit(True)
+    own = F.col(WRITERS.get(table, "user_id")) == viewer
+    if table in UNLIKE:
+        own = own & (F.col(UNLIKE[table][0]) != F.col(UNLIKE[table][1]))
+    return F.coalesce(own, F.lit(False))
+
+
+def insertable(rows: DataFrame, table: str, viewer: int | None, participants: DataFrame | None = None) -> DataFrame:
+    """The rows that the viewer may write into ``table``; without participants nothing goes into a conversation."""
+    allowed = rows.where(may_insert(table, viewer))
+    if table not in MEMBERS:
+        return allowed
+    if participants is None or viewer is None:
+        return allowed.where(F.lit(False))
+    return allowed.join(participants.where(F.col("user_id") == viewer).select("conversation_id").distinct(), "conversation_id", "left_semi")
 
 
 def owns_folder(path: Column, viewer: str) -> Column:
