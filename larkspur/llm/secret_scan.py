@@ -1,11 +1,10 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 Base patterns (assign, access, hex) give leftmost non-overlapping spans.  Then
-each text that mentions a sensitive name is lexed for assignments in source
-and configuration syntax (``name = "x"``, ``name: x``, ``name: type = "x"``,
-``"name": "x"``, ``name => 'x'``, ``<name>x</name>``), which gives name-literal
-pairs.  Constants are propagated: a value that names an earlier constant, or
-joins literals and constants with ``+`` or ``.``, stands for their literals.
+each text that mentions a sensitive name is lexed for name-literal pairs of
+source, configuration and markup (``assignments``).  Constants are propagated:
+a value that names an earlier constant, joins it, or holds it in a formatted
+string, stands for its literals.
 Names are lexed into words (camelCase, digits and separators part them), so an
 author isn't auth and a tokenizer no token; a name that ends in a neutral word
 (``token_count``) isn't sensitive.  A literal's score is how sensitive the target
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm import assignments
 from larkspur.llm.shared import aside, back, map_texts, places
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -56,17 +56,12 @@ NEUTRAL = frozenset(
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your_", "your-", "xxxx", "****", "todo", "none", "null", "true", "false", "undefined")
 THRESHOLD = 0.5
 
+_PLAIN = frozenset("".join(words) for words in SENSITIVE)
 _SQUEEZED = tuple({"".join(words) for words in SENSITIVE} | set(ENDINGS))
+#: What every form of a pair holds one of.
+_SIGNS = ("=", ":", "<", "(", "#", "--", "ENV", "ARG", "setenv")
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
-_NAME = r"[A-Za-z_][\w.-]*+"
-_TYPE_NAME = r"[A-Za-z_][\w.]*+(?:\[[^\]\n=]{0,80}+\]|<[^>\n=]{0,80}+>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_]\w*+)*+"
-_TARGET = re.compile(rf"""(?<![\w.-])["']?(?P<name>{_NAME})["']?[ \t]*+(?::=|=>|=(?!=)|:[ \t]*+{_TYPE_NAME}[ \t]*+=(?![=>])|:(?!//))[ \t]*+""", re.ASCII)
-_QUOTED = re.compile(r"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)""")
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>&|+]+(?:\+[^\s"'`,;(){}\[\]<>&|+]+)*+""")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.?)[ \t]*(?=[\"'`A-Za-z_])")
-_ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<text>[^<>\n]+)</(?P=name)>", re.ASCII)
-
 Span = tuple[str, int, int]
 
 
@@ -109,57 +104,26 @@ def randomness(literal: str) -> float:
 def literal_spans(text: str) -> list[Span]:
     """Spans of literals that reach a sensitive target.
 
-    Sensitivity flows from each assignment back to the earlier ones whose names
-    it uses, so a constant that many others join is looked at once for each use.
-    A run of bare characters is scanned once, however many assignments it holds
-    (``a=b=c``); those inside a sensitive one's value are part of it.
+    Sensitivity flows from each pair back to the earlier ones whose names it
+    uses, so a constant that many others join is looked at once for each use.
     """
     latest: dict[str, int] = {}
     weights: list[float] = []
-    values: list[list[tuple[int, int]]] = []
+    found: list[assignments.Pair] = []
     uses: list[list[int]] = []
-    run_end = last_digit = covered = 0
-    for m in _TARGET.finditer(text):
-        if m.start() < covered:
-            continue
-        at, literals, used, weight = m.end(), [], [], sensitivity(m["name"])
-        while True:
-            if quoted := _QUOTED.match(text, at):
-                literals.append(quoted.span("text"))
-                at = quoted.end()
-            else:
-                parts: list[str] = []
-                if at >= run_end:
-                    if not (bare := _BARE.match(text, at)):
-                        break
-                    run_end = bare.end()
-                    last_digit = next((i for i in range(run_end - 1, at - 1, -1) if text[i].isdigit()), -1)
-                    parts = bare[0].split("+")
-                if parts and all(part in latest for part in parts):
-                    used += [latest[part] for part in parts]
-                elif not literals and not used and last_digit >= at:
-                    stop = run_end
-                    while text[stop - 1] in ".:":
-                        stop -= 1
-                    literals.append((at, stop))
-                    covered = stop if weight else covered
-                at = run_end
-            if (joined := _JOIN.match(text, at)) is None:
-                break
-            at = joined.end()
-        if literals or used:
-            latest[m["name"]] = len(weights)
-            weights.append(weight)
-            values.append(literals)
-            uses.append(used)
+    for pair in assignments.pairs(text, sensitivity, _PLAIN):
+        uses.append([latest[name] for name in pair.uses if name in latest])
+        latest[pair.known_as] = len(found)
+        weights.append(max(map(sensitivity, pair.names)))
+        found.append(pair)
     reached: dict[tuple[int, int], float] = {}
-    for i in range(len(weights) - 1, -1, -1):
+    for i in range(len(found) - 1, -1, -1):
         for j in uses[i]:
             weights[j] = max(weights[j], weights[i])
-        for span in values[i]:
+        for span in found[i].literals:
             reached[span] = max(reached.get(span, 0.0), weights[i])
-    for m in _ELEMENT.finditer(text):
-        reached[m.span("text")] = max(reached.get(m.span("text"), 0.0), sensitivity(m["name"]))
+    for name, span in assignments.elements(text):
+        reached[span] = max(reached.get(span, 0.0), sensitivity(name))
     return sorted(("literal", a, b) for (a, b), weight in reached.items() if weight > 0 and weight * randomness(text[a:b]) >= THRESHOLD)
 
 
@@ -172,7 +136,7 @@ def names_any(text: str) -> bool:
 def spans(text: str) -> list[Span]:
     """All spans by start, then kind as listed."""
     found = base_spans(text)
-    if ("=" in text or ":" in text or "</" in text) and names_any(text):
+    if any(sign in text for sign in _SIGNS) and names_any(text):
         found += [s for s in literal_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in found)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
