@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import blocks
+
 EPOCH = "1970-01-01 00:00:00"
 #: Types of notifications that lead to the chat; each type's text and icon (other types are shown as likes).
 MESSAGE_TYPES = ("message", "message_request", "request_accepted")
@@ -23,19 +25,23 @@ CHAT_PAGE, COMMUNITY_PAGE, PROFILE_PAGE = "/chat", "/community", "/u/"
 NOTIFYING = {"like": "like", "repost": "repost", "comment": "comment"}
 
 
-def unread_messages(participants: DataFrame, messages: DataFrame) -> DataFrame:
+def unread_messages(participants: DataFrame, messages: DataFrame, ranges: int = blocks.RANGES) -> DataFrame:
     """user_id, conversation_id, unread: messages of others after the last reading; conversations without any count 0.
 
-    Read marks and messages lie in one order, newest first and marks before
-    messages of their time; a running count of all messages, less the reader's
-    own, is what is new at a mark.  No message meets a participant in a join.
+    All messages after a mark, less the reader's own, both counted in blocks of
+    time, so a busy conversation is spread over tasks and no message meets a
+    participant in a join.
     """
-    marks = participants.groupBy("conversation_id", "user_id").agg(F.min(F.coalesce("last_read_at", F.to_timestamp_ntz(F.lit(EPOCH)))).alias("at")).withColumn("message", F.lit(0))
-    sent = messages.select("conversation_id", F.col("sender_id").alias("user_id"), F.col("created_at").alias("at"), F.lit(1).alias("message"))
-    newest = Window.partitionBy("conversation_id").orderBy(F.desc("at"), "message").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = Window.partitionBy("conversation_id", "user_id").orderBy(F.desc("at"), "message").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marks.unionByName(sent).withColumn("every", F.sum("message").over(newest)).withColumn("own", F.sum("message").over(own))
-    return counted.where("message = 0").select("user_id", "conversation_id", (F.col("every") - F.col("own")).alias("unread"))
+    marks = participants.groupBy("conversation_id", "user_id").agg(F.min(_micros(F.coalesce("last_read_at", F.to_timestamp_ntz(F.lit(EPOCH))))).alias("at"))
+    sent = messages.groupBy("conversation_id", F.col("sender_id").alias("user_id"), _micros(F.col("created_at")).alias("at")).agg(F.count("*").alias("n"))
+    bounds = blocks.cuts(messages.select(_micros(F.col("created_at")).alias("at")), "at", ranges)
+    every = blocks.count_later(marks, sent.drop("user_id"), ["conversation_id"], "at", "n", "every", bounds)
+    counted = blocks.count_later(every, sent, ["conversation_id", "user_id"], "at", "n", "own", bounds)
+    return counted.select("user_id", "conversation_id", (F.col("every") - F.col("own")).alias("unread"))
+
+
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
 
 
 def unread_totals(participants: DataFrame, messages: DataFrame) -> DataFrame:
