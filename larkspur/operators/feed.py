@@ -80,14 +80,16 @@ def tag_counts(bodies: DataFrame) -> DataFrame:
 
 
 def tag_page(posts: DataFrame, links: DataFrame, tag: str, k: int) -> DataFrame:
-    """Posts of a tag through the links (post_id, tag), newest first; of the links the k lowest ids count."""
-    of_tag = links.where(F.col("tag") == tag.lower()).select("post_id").orderBy("post_id").limit(k)
-    return posts.join(of_tag, posts["id"] == of_tag["post_id"], "left_semi").select(F.col("id").alias("post_id"), "user_id", "created_at").orderBy(F.desc("created_at"), F.desc("post_id"))
+    """Posts of a tag through the links (post_id, tag), newest first, with the tag's post_count; of the links the k lowest ids count."""
+    every = links.where(F.col("tag") == tag.lower())
+    first = every.orderBy("post_id").limit(k).join(every.groupBy("tag").agg(F.count("*").alias("post_count")), "tag").select("post_id", "post_count")
+    return posts.join(first, posts["id"] == first["post_id"]).select("post_id", "user_id", "created_at", "post_count").orderBy(F.desc("created_at"), F.desc("post_id"))
 
 
-def tag_page_by_pattern(bodies: DataFrame, tag: str, k: int) -> DataFrame:
-    """Where no links exist: a case-insensitive pattern, in which the tag's own _ and % stay wildcards."""
-    return bodies.where(F.col("content").ilike(f"%#{tag}%")).select("post_id").orderBy(F.desc("post_id")).limit(k)
+def tag_page_by_pattern(posts: DataFrame, bodies: DataFrame, tag: str, k: int) -> DataFrame:
+    """Where no links exist: a case-insensitive pattern, in which the tag's own _ and % stay wildcards; newest first."""
+    found = bodies.where(F.col("content").ilike(f"%#{tag}%")).select(F.col("post_id").alias("id"))
+    return newest(posts.join(found, "id"), k).select(F.col("id").alias("post_id"), "created_at")
 
 
 def prepend(shown: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import timeexpr
+from larkspur.functions import text, timeexpr
 
 
 def streaks(events: DataFrame) -> DataFrame:
@@ -70,6 +70,19 @@ def decide(events: DataFrame, limit: int, window_us: int, inclusive: bool = Fals
     return ordered.mapInArrow(run, f"user_id {types['user_id']}, event_id {types['event_id']}, ts {types['ts']}, allowed boolean")
 
 
+def phone_changes(attempts: DataFrame, cooldown_us: int = 24 * 3_600_000_000) -> DataFrame:
+    """user_id, event_id, status, phone of each attempt (user_id, event_id, ts, phone) to set a phone, or to clear it by one without digits.
+
+    Numbers of other than nine digits are invalid and start no cooldown; a change
+    is allowed once the cooldown since the last one is over.
+    """
+    digits = F.regexp_replace(F.coalesce("phone", F.lit("")), r"\D", "")
+    checked = attempts.withColumn("_valid", (digits == "") | text.phone_valid(F.col("phone")))
+    verdicts = decide(checked.where("_valid"), 1, cooldown_us, inclusive=True).select("user_id", "event_id", F.when(F.col("allowed"), "changed").otherwise("phone_cooldown").alias("status"))
+    made = verdicts.join(attempts.select("event_id", text.phone(F.col("phone")).alias("_new")), "event_id").select("user_id", "event_id", "status", F.when(F.col("status") == "changed", F.col("_new")).alias("phone"))
+    return made.unionByName(checked.where("not _valid").select("user_id", "event_id", F.lit("invalid_phone").alias("status"), F.lit(None).cast("string").alias("phone")))
+
+
 def floored_counters(deltas: DataFrame) -> DataFrame:
     """key, value: a counter moved by deltas in order that never goes below 0.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import audit, catalog, chats, ingest, mutations, quiz, search
+from larkspur.operators import audit, catalog, chats, ingest, mutations, quiz, search, substrings
 from larkspur.sources import tables as t
+from larkspur.streaming.store import shared_path
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,24 @@ def user_agent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604", "Mozilla/5.0 (Macintosh; Intel Mac OS X) Firefox/120",
         "Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile Safari/537", "Opera/9.80 (X11; Linux)", "curl/8",
     )
-    ua = F.element_at(F.array(*map(F.lit, agents)), (F.col("event_id") % 6 + 1).cast("int"))
-    return t.events(spark, sf_dir).select("event_id", text.operating_system(ua).alias("os"), text.browser(ua).alias("browser"), text.device_type(ua).alias("device"), text.device_label(ua).alias("label"), text.join_nonempty(text.device_type(ua), F.lit(""), text.browser(ua)).alias("joined"))
+    said = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, agents)), (F.col("doc_id") % 6 + 1).cast("int")), F.col("text"))
+    ua = F.col("agent")
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.stored_agent(said).alias("agent")).select("doc_id", F.length(ua).alias("length"), text.operating_system(ua).alias("os"), text.browser(ua).alias("browser"), text.device_type(ua).alias("device"), text.device_label(ua).alias("label"), text.join_nonempty(text.device_type(ua), F.lit(""), text.browser(ua)).alias("joined"))
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like a pattern, by an index of the trigrams of all texts that is written to the shared folder."""
+    docs = t.table(spark, sf_dir, "documents")
+    path = shared_path(spark, "trigrams")
+    substrings.write(substrings.postings(docs, "doc_id", F.col("text")), path)
+    return substrings.like(docs, spark.read.parquet(path), "doc_id", F.col("text"), "%heath_%the%").select("doc_id", "lang")
+
+
+def pdf_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made of the documents' texts, two in three with the magic bytes of a PDF."""
+    body = F.encode(F.concat(F.when(F.col("doc_id") % 3 != 0, "%PDF-1.7 ").otherwise("<html>"), F.coalesce("text", F.lit(""))), "UTF-8")
+    files = t.table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"), body.alias("content"))
+    return ingest.pdf_valid(files.withColumn("length", F.length("content").cast("long")))
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +79,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rich_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("see ["), F.col("source"), F.lit("](/s/"), F.col("doc_id"), F.lit(") and [x](http://no) and ["), F.col("lang"), F.lit("](/l)"))
+    said = F.concat(F.lit("see ["), F.col("source"), F.lit("](/s/"), F.col("doc_id"), F.lit(") and [x](http://no) "), F.coalesce("text", F.lit("")), F.lit(" and ["), F.col("lang"), F.lit("](/l)"))
     found = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(text.rich_links(said)).alias("link"))
     return found.select("doc_id", "link.label", "link.href")
 
@@ -207,7 +224,7 @@ def import_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.events(spark, sf_dir)
     mime = F.element_at(F.array(F.lit("image/png"), F.lit("video/mp4"), F.lit("text/html")), (F.col("event_id") % 3 + 1).cast("int"))
-    return e.select("event_id", ingest.media_valid(mime, (F.col("event_id") * 65536 % (80 << 20)), F.col("event_id") % 60).alias("ok"))
+    return e.select("event_id", ingest.media_valid(mime, (F.col("event_id") * 65536 % (80 << 20)), F.col("event_id") % 60).alias("ok"), ingest.avatar_valid(mime, F.col("event_id") * 65536 % (80 << 20)).alias("as_avatar"))
 
 
 def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +266,17 @@ res as (select path, subject, subject || '-' || term || '-' || suffix as id, tit
  (values (0, 'student', 'كتاب الطالب', 'textbook', 'student-book.pdf'), (1, 'activity', 'كتاب النشاط', 'workbook', 'activity-book.pdf'), (2, 'exams', 'نماذج اختبارات', 'exam', 'exams.pdf')) as d("order", suffix, title, kind, file)
  where not (subject = 'critical' and term = 't2') and not (subject = 'capstone' and term = 't1'))"""
 
+_AGENTS = """a as (select doc_id, substr(v || coalesce(' ' || text, ''), 1, 400) as ua from documents join (values (0, 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120'), (1, 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604'),
+ (2, 'Mozilla/5.0 (Macintosh; Intel Mac OS X) Firefox/120'), (3, 'Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile Safari/537'), (4, 'Opera/9.80 (X11; Linux)'), (5, 'curl/8')) as u(k, v) on k = doc_id % 6),
+l as (select doc_id, length(ua) as length, lower(ua) as ua from a),
+o as (select doc_id, length, case when contains(ua, 'windows') then 'Windows' when regexp_matches(ua, 'iphone|ipad|ipod') then 'iOS' when regexp_matches(ua, 'mac os x|macintosh') then 'macOS' when contains(ua, 'android') then 'Android' when contains(ua, 'linux') then 'Linux' else 'نظام غير معروف' end as o,
+ case when contains(ua, 'edg/') then 'Edge' when regexp_matches(ua, 'opr/|opera') then 'Opera' when contains(ua, 'chrome/') then 'Chrome' when contains(ua, 'firefox/') then 'Firefox' when contains(ua, 'safari/') and not regexp_matches(ua, 'chrome|crios|android') then 'Safari' else 'متصفح' end as b,
+ case when regexp_matches(ua, 'ipad|tablet') then 'جهاز لوحي' when regexp_matches(ua, 'mobile|iphone|android') then 'جوال' else 'حاسوب' end as d from l)"""
+
 ORACLE_SQL = {
+    "indexed_search": "select doc_id, lang from documents where text ilike '%heath_%the%'",
+    "pdf_checks": """select source || '/' || doc_id as path, l as length, l between 1024 and 104857600 and doc_id % 3 <> 0 as ok from
+ (select source, doc_id, octet_length(encode(case when doc_id % 3 <> 0 then '%PDF-1.7 ' else '<html>' end || coalesce(text, ''))) as l from documents)""",
     "chat_sessions_grouped": f"select conv_id as session_id, min(turn) as created, count(*) as n, string_agg({_ROLE} || ':' || length(text), ',' order by turn) as shape from conversations group by 1",
     "chat_titles": f"with {_FIRST}, {_TITLE} select * from tt",
     "chat_search": f"with {_FIRST}, {_TITLE} select * from tt where contains(lower(title), 'there') or session_id in (select conv_id from conversations where contains(lower(text), 'there'))",
@@ -263,10 +290,10 @@ from (select distinct conv_id from conversations) c left join k using (conv_id)
     "name_and_phone": r"""with c as (select c_custkey as id, case c_custkey % 3 when 0 then 'Sara  Ali' when 1 then 'علي حسن' else c_name end as name, '05-' || (c_custkey * 7919 % 90000000) as p from customer)
 select id, regexp_full_match(regexp_replace(name, '\s+', ' ', 'g'), '[A-Za-z\x{0600}-\x{06FF}]+\s+[A-Za-z\x{0600}-\x{06FF}]+') as client_ok, regexp_full_match(name, '[A-Za-z\x{0600}-\x{06FF}]+ +[A-Za-z\x{0600}-\x{06FF}]+') as server_ok,
  substr(regexp_replace(regexp_replace(lower(name), '\s+', '_', 'g'), '[^a-z0-9_\x{0600}-\x{06FF}]', '', 'g'), 1, 16) as handle, '+966' || regexp_replace(p, '\D', '', 'g') as phone, length(regexp_replace(p, '\D', '', 'g')) = 9 as phone_ok from c""",
-    "user_agent_parse": """select event_id, o as os, b as browser, d as device, o || ' — ' || b as label, d || ', ' || b as joined from events join (values (0, 'Windows', 'Edge', 'حاسوب'), (1, 'iOS', 'Safari', 'جوال'), (2, 'macOS', 'Firefox', 'حاسوب'),
- (3, 'Android', 'Chrome', 'جوال'), (4, 'Linux', 'Opera', 'حاسوب'), (5, 'نظام غير معروف', 'متصفح', 'حاسوب')) as v(k, o, b, d) on k = event_id % 6""",
+    "user_agent_parse": f"with {_AGENTS} select doc_id, length, o as os, b as browser, d as device, o || ' — ' || b as label, d || ', ' || b as joined from o",
     "path_parts": r"""select event_id, user_id::varchar as folder, event_id || '.PDF' as base, 'pdf' as extension, '\(a\\b\) ' || user_id || '/' || event_type || '/' || event_id || '.PDF' as escaped, 'a b/c' as decoded from events""",
-    "rich_links": "select doc_id, source as label, '/s/' || doc_id as href from documents union all select doc_id, lang, '/l' from documents",
+    "rich_links": r"""with d as (select doc_id, 'see [' || source || '](/s/' || doc_id || ') and [x](http://no) ' || coalesce(text, '') || ' and [' || lang || '](/l)' as x from documents)
+select doc_id, unnest(regexp_extract_all(x, '\[([^\]]+)\]\((/[^)\s]*)\)', 1)) as label, unnest(regexp_extract_all(x, '\[([^\]]+)\]\((/[^)\s]*)\)', 2)) as href from d""",
     "faq_style_search": "select doc_id as id, lang as cat from documents where lang = 'en' and (contains(lower(text), 'heatha'))",
     "kv_documents": """select event_id, json_extract_string(props, '$.k')::bigint as k, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' as json from events""",
     "region_tree": """with p as (select r_name as path from region union all select r_name || '/' || n_name from region join nation on n_regionkey = r_regionkey
@@ -289,7 +316,7 @@ select post_id, user_id, arg_max(coalesce(state, 'none'), i) as kind from s grou
     "keep_one_blob": "select user_id || '/' || event_id || '.png' as path from events where user_id <> 7",
     "import_statuses": """with r as (select case event_id % 4 when 0 then 'k/' || user_id || '.pdf' when 1 then '../x.pdf' else 'z/' || event_id || '.pdf' end as key, event_id % 3 = 0 as ok from events)
 select case when key like '..%' then 'bad_key' when key like 'z/%' then 'unknown_key' when not ok then 'host_not_allowed' when key < 'k/2' then 'skipped' else 'fetch' end as status, count(*) as n from r group by 1""",
-    "media_validation": """select event_id, case event_id % 3 when 0 then s <= 5242880 when 1 then s <= 52428800 and event_id % 60 <= 30 else false end as ok from (select event_id, event_id * 65536 % 83886080 as s from events)""",
+    "media_validation": """select event_id, case event_id % 3 when 0 then s <= 5242880 when 1 then s <= 52428800 and event_id % 60 <= 30 else false end as ok, event_id % 3 = 0 and s <= 2097152 as as_avatar from (select event_id, event_id * 65536 % 83886080 as s from events)""",
     "object_listing": "select event_type || '/' || event_id as path from events where event_type = 'signup' and event_id::varchar like '1%'",
     "constraint_audit": """select 'rating_range' as "check", count(*) filter (not (value / 25 between 1 and 5)) as n from events union all select 'not_self', count(*) filter (user_id = event_id) from events
 union all select 'one_target', count(*) filter ((event_id % 2 = 0) = (event_id % 3 <> 0)) from events union all select 'unique_pair', count(*) from (select 1 from events group by user_id, event_type having count(*) > 1)

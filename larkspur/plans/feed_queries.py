@@ -32,12 +32,14 @@ def profile_reposts_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashtag_page_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tag's posts through the links of the indexed bodies (a body's id is a post's)."""
-    return feed.tag_page(t.posts(spark, sf_dir), feed.tag_links(t.bodies(spark, sf_dir)), "Src1", 60)
+    """A tag's posts with their authors, through the links of the bodies that hold it (a body's id is a post's)."""
+    holding = t.bodies(spark, sf_dir).where(F.contains(F.lower("content"), F.lit("#src1")))
+    page = feed.tag_page(t.posts(spark, sf_dir), feed.tag_links(holding), "Src1", 50)
+    return page.join(t.profiles(spark, sf_dir).select(F.col("id").alias("user_id"), "username"), "user_id", "left")
 
 
 def hashtag_page_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.tag_page_by_pattern(t.bodies(spark, sf_dir), "src_", 50)
+    return feed.tag_page_by_pattern(t.posts(spark, sf_dir), t.bodies(spark, sf_dir), "src_", 50)
 
 
 def hashtag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,8 @@ from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey"""
 with m as (select l_orderkey as post_id, max(l_shipdate) as reacted_at from lineitem where l_suppkey = 3 and {_REPOST} group by l_orderkey
            order by reacted_at desc, post_id desc limit 30)
 select m.post_id, m.reacted_at, o_custkey as author_id from m join orders on o_orderkey = m.post_id""",
-    "hashtag_page_indexed": f"with {_BODIES}, {_LINKS}, l as (select post_id from links where tag = 'src1' order by post_id limit 60) select o_orderkey as post_id, o_custkey as user_id, o_orderdate as created_at from orders where o_orderkey in (select post_id from l)",
-    "hashtag_page_ilike": f"with {_BODIES} select post_id from bodies where content ilike '%#src_%' order by post_id desc limit 50",
+    "hashtag_page_indexed": f"with {_BODIES}, {_LINKS}, l as (select post_id from links where tag = 'src1' order by post_id limit 50) select o_orderkey as post_id, o_custkey as user_id, o_orderdate as created_at, (select count(*) from links where tag = 'src1') as post_count, c_name as username from orders left join customer on c_custkey = o_custkey where o_orderkey in (select post_id from l)",
+    "hashtag_page_ilike": f"with {_BODIES} select post_id, o_orderdate as created_at from bodies join orders on o_orderkey = post_id where content ilike '%#src_%' order by o_orderdate desc, post_id desc limit 50",
     "hashtag_counts": f"with {_BODIES}, {_LINKS} select tag, count(*) as post_count from links group by tag",
     "entity_extract": rf"""
 with {_BODIES}, {_LINKS}, m as (select distinct post_id, lower(unnest(regexp_extract_all(content, '(?:^|{_SPACE})@([0-9A-Za-z_]{{2,30}})', 1))) as handle from bodies),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import identity, timeexpr
-from larkspur.operators import inbox, mutations, policy, profile, reads, sequential, subscriptions
+from larkspur.operators import handles, inbox, mutations, policy, profile, reads, sequential, subscriptions
 from larkspur.sources import tables as t
 
 AS_OF = "2024-01-31 00:00:00"
+#: Times from which every form of a relative label occurs, with the columns of the labels.
+LABELS_AS_OF = {"label": AS_OF, "in_spring": "2024-03-20 00:00:00", "in_autumn": "2024-10-15 00:00:00", "next_year": "2025-01-10 00:00:00"}
 
 
 def _follows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +159,48 @@ def matching_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.unionByName(of_few).select("id", "user_id", "topic")
 
 
+def unique_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles for all members, of whom many share a base, beside those in use."""
+    name = F.when(F.col("id") % 3 == 0, "Sara  Ali").when(F.col("id") % 3 == 1, "علي حسن").otherwise(F.col("full_name"))
+    taken = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("sara_ali_"), F.col("s_suppkey")).alias("handle"))
+    return handles.assign(t.profiles(spark, sf_dir).select("id", name.alias("name")), taken)
+
+
+def phone_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click is an attempt: most with nine digits, some with more or fewer, some to clear the phone."""
+    phone = F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("05-"), F.col("event_id") * 7919 % 12_000_000))
+    return sequential.phone_changes(_events(spark, sf_dir).where("event_type = 'click'").select("user_id", "event_id", "ts", phone.alias("phone")))
+
+
+def policy_write_not_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Follows that their writer may write: of anybody else."""
+    posts = t.posts(spark, sf_dir).select(F.col("id").alias("post_id"), F.col("user_id").alias("followee_id"))
+    acts = t.reactions(spark, sf_dir).select("post_id", F.col("user_id").alias("follower_id"))
+    return policy.insertable(acts.join(posts, "post_id"), "follows", 4).groupBy("follower_id", "followee_id").agg(F.count("*").alias("n"))
+
+
+def policy_write_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that a user may write: their own, into conversations that they take part in."""
+    elsewhere = _messages(spark, sf_dir).withColumn("conversation_id", F.when(F.col("id") % 2 == 0, F.col("conversation_id")).otherwise(F.col("id") % 100))
+    return policy.insertable(elsewhere, "messages", 14, _participants(spark, sf_dir)).select("id", "conversation_id", "sender_id")
+
+
+def policy_write_creator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.posts(spark, sf_dir).select("id", F.col("user_id").alias("created_by"))
+    return policy.insertable(rows, "conversations", 7)
+
+
+def policy_write_anyone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anybody who is signed in links tags; nobody else does."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("post_id"), F.col("event_type").alias("tag"))
+    return policy.insertable(rows, "post_hashtags", 3).unionByName(policy.insertable(rows, "post_hashtags", None))
+
+
 def signed_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with their signature, some of them forged."""
     body = F.concat(F.col("event_type"), F.lit(":"), F.col("event_id"))
     rows = _events(spark, sf_dir).select("event_id", body.alias("raw"), F.when(F.col("event_id") % 3 != 0, subscriptions.hmac_sha256(body, b"key")).when(F.col("event_id") % 2 == 0, "00").alias("signature"))
-    return rows.select("event_id", subscriptions.signature_valid("raw", "signature", "key").alias("valid"))
+    return rows.select("event_id", subscriptions.hmac_sha256(F.col("raw"), b"key").alias("hmac"), subscriptions.signature_valid("raw", "signature", "key").alias("valid"))
 
 
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +284,8 @@ def cooldown_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relative_time_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.to_timestamp_ntz(F.lit(AS_OF))
-    return _events(spark, sf_dir).select("event_id", timeexpr.relative_label(F.col("ts"), as_of).alias("label"), timeexpr.active_label(F.col("ts"), as_of).alias("active"))
+    labels = (timeexpr.relative_label(F.col("ts"), F.to_timestamp_ntz(F.lit(at))).alias(name) for name, at in LABELS_AS_OF.items())
+    return _events(spark, sf_dir).select("event_id", *labels, timeexpr.active_label(F.col("ts"), as_of).alias("active"))
 
 
 def _beats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +359,32 @@ select user_id, event_id, ts, place <= {limit} as allowed from (
   from (select e.*, (select max(a.i) from a where a.user_id = e.user_id and a.i <= e.i) as anchor from e) e)"""
 
 
+def _label(as_of: str) -> str:
+    """The label of ts as SQL."""
+    s = f"greatest(0, floor(date_diff('microsecond', ts, timestamp '{as_of}') / 1000000.0)::bigint)"
+    said = lambda n, one, two, few: f"'قبل ' || case when {n} = 1 then '{one}' when {n} = 2 then '{two}' when {n} between 3 and 10 then {n} || ' {few}' else {n} || ' {one}' end"
+    m, h, d, w, mo = f"({s} // 60)", f"({s} // 3600)", f"({s} // 86400)", f"({s} // 86400 // 7)", f"({s} // 86400 // 30)"
+    return f"""case when {s} < 45 then 'قبل لحظات' when {m} < 60 then {said(m, "دقيقة", "دقيقتين", "دقائق")} when {h} < 24 then {said(h, "ساعة", "ساعتين", "ساعات")} when {d} < 7 then {said(d, "يوم", "يومين", "أيام")}
+ when {w} < 5 then {said(w, "أسبوع", "أسبوعين", "أسابيع")} when {mo} < 12 then {said(mo, "شهر", "شهرين", "أشهر")}
+ else day(ts) || ' ' || list_extract(['يناير', 'فبراير', 'مارس', 'أبريل', 'مايو', 'يونيو', 'يوليو', 'أغسطس', 'سبتمبر', 'أكتوبر', 'نوفمبر', 'ديسمبر'], month(ts)) || ' ' || year(ts) end"""
+
+
+def _hmac(raw: str, key: bytes) -> str:
+    """HMAC-SHA256 as SQL, by its definition."""
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({raw}))))"
+
+
 ORACLE_SQL = {
+    "unique_handles": r"""with b as (select c_custkey as id, case c_custkey % 3 when 0 then 'sara_ali' when 1 then 'علي_حسن' else substr(regexp_replace(lower(c_name), '[^a-z0-9_]', '', 'g'), 1, 16) end as base from customer)
+select id, base || '_' || (row_number() over (partition by base order by id) + case when base = 'sara_ali' then (select max(s_suppkey) from supplier) else 0 end) as handle from b""",
+    "phone_changes": f"""with a as (select user_id, event_id, case when event_id % 11 <> 0 then '05' || (event_id * 7919 % 12000000) else '' end as digits from events where event_type = 'click'),
+v as (select event_id, allowed from ({_decisions("event_type = 'click' and (event_id % 11 = 0 or length('05' || (event_id * 7919 % 12000000)) = 9)", 1, "interval 24 hours", ">=")}))
+select user_id, event_id, case when v.event_id is null then 'invalid_phone' when allowed then 'changed' else 'phone_cooldown' end as status, case when allowed and digits <> '' then '+966' || digits end as phone from a left join v using (event_id)""",
+    "policy_write_not_self": "select l_suppkey as follower_id, o_custkey as followee_id, count(*) as n from lineitem join orders on o_orderkey = l_orderkey where l_suppkey = 4 and o_custkey <> 4 group by all",
+    "policy_write_member": f"with {_PARTS}, m as (select id, case when id % 2 = 0 then conversation_id else id % 100 end as conversation_id, sender_id from msg) select * from m where sender_id = 14 and conversation_id in (select conversation_id from part where user_id = 14)",
+    "policy_write_creator": "select o_orderkey as id, o_custkey as created_by from orders where o_custkey = 7",
+    "policy_write_anyone": "select event_id as post_id, event_type as tag from events",
     "profile_stats": f"""
 with {_FOLLOWS}, p as (select o_custkey as id, count(*) as posts, sum(l)::bigint as likes, sum(c)::bigint as reposts from
  (select o_orderkey, o_custkey, count(*) filter (l_returnflag = 'R') as l, count(*) filter (l_returnflag = 'N' and l_linenumber % 2 = 0) as c from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2) group by 1)
@@ -354,7 +419,7 @@ select id, 'known' as role, 'elite' as tier, 'active' as status from k union all
 from customer full join (select user_id, bool_or(event_type = 'purchase') as l from events group by 1) on user_id = c_custkey""",
     "matching_rows": """select o_orderkey as id, o_custkey as user_id, null as topic from orders where o_orderstatus = 'O' and o_orderpriority = '5-LOW'
 union all select o_orderkey, o_custkey, o_orderpriority from orders where o_orderpriority = '1-URGENT' and o_custkey in (select c_custkey from customer where c_acctbal > 5000)""",
-    "signed_webhooks": "select event_id, event_id % 3 <> 0 as valid from events",
+    "signed_webhooks": f"select event_id, {_hmac("event_type || ':' || event_id", b'key')} as hmac, event_id % 3 <> 0 as valid from events",
     "missing_columns": "select c_custkey as id, c_name as username, '' as bio, c_custkey % 5 <> 0 as show_elite_badge, 'student' as role from customer",
     "reviews_latest": "select l.doc_id as id, (1 + 4 * l.quality)::int as rating, c_name as username from (select * from labels order by doc_id desc limit 60) l left join customer on c_custkey = l.doc_id % 1500",
     "unread_messages": f"with {_PARTS} select * from um",
@@ -380,14 +445,9 @@ select c.* from c where (not is_request and id in (select conversation_id from p
 r as (select user_id, coalesce(greatest(0, 1209600 - floor(date_diff('microsecond', last, timestamp '{AS_OF}') / 1000000.0)::bigint), 0) as seconds from l)
 select user_id, seconds, (seconds // 86400) || 'd ' || (seconds % 86400 // 3600) || 'h ' || (seconds % 3600 // 60) || 'm ' || (seconds % 60) || 's' as label,
  lpad((seconds // 3600)::varchar, greatest(2, length((seconds // 3600)::varchar))::int, '0') || ':' || lpad((seconds % 3600 // 60)::varchar, 2, '0') || ':' || lpad((seconds % 60)::varchar, 2, '0') as clock from r""",
-    "relative_time_label": f"""with b as (select event_id, ts, floor(date_diff('microsecond', ts, timestamp '{AS_OF}') / 1000000.0)::bigint as s from events), c as (select *, s // 60 as m, s // 3600 as h, s // 86400 as d from b)
-select event_id, case when s < 45 then 'قبل لحظات'
- when m < 60 then 'قبل ' || case when m = 1 then 'دقيقة' when m = 2 then 'دقيقتين' when m between 3 and 10 then m || ' دقائق' else m || ' دقيقة' end
- when h < 24 then 'قبل ' || case when h = 1 then 'ساعة' when h = 2 then 'ساعتين' when h between 3 and 10 then h || ' ساعات' else h || ' ساعة' end
- when d < 7 then 'قبل ' || case when d = 1 then 'يوم' when d = 2 then 'يومين' else d || ' أيام' end
- when d // 7 < 5 then 'قبل ' || case when d // 7 = 1 then 'أسبوع' when d // 7 = 2 then 'أسبوعين' else (d // 7) || ' أسابيع' end
- else 'قبل ' || case when d // 30 = 1 then 'شهر' else 'شهرين' end end as label,
- case when m < 2 then 'Active now' when m < 60 then m || 'm ago' when h < 24 then h || 'h ago' when d < 30 then d || 'd ago' else strftime(ts, '%Y-%m-%d') end as active from c""",
+    "relative_time_label": f"""with b as (select event_id, ts, floor(date_diff('microsecond', ts, timestamp '{AS_OF}') / 60000000.0)::bigint as m from events)
+select event_id, {", ".join(f"{_label(at)} as {name}" for name, at in LABELS_AS_OF.items())},
+ case when m < 2 then 'Active now' when m < 60 then m || 'm ago' when m // 60 < 24 then (m // 60) || 'h ago' when m // 1440 < 30 then (m // 1440) || 'd ago' else strftime(ts, '%Y-%m-%d') end as active from b""",
     "active_sessions": """select user_id, 's' || (event_id % 40) as session_id, max(ts) filter (event_type <> 'error') as last_active_at from events group by 1, 2
 having count(*) filter (event_type = 'error') = 0""",
     "subscription_state": """with w as (select (event_id % 3000)::varchar as event_id, event_id as received, case when user_id % 20 <> 0 then user_id end as user_id, event_type, ts from events where event_type in ('purchase', 'error', 'signup')),

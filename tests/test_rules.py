@@ -99,6 +99,14 @@ def test_windows_equal_a_fold(spark, limit, inclusive):
     assert not all(got.values())
 
 
+def test_phones_change_once_a_day(spark):
+    rows = [(1, 1, 0, "05-1234567"), (1, 2, 23, "051234568"), (1, 3, 24, None), (1, 4, 30, "12"), (1, 5, 47, "051234569"), (1, 6, 48, "051234569"), (2, 7, 1, "x"), (None, 8, 1, "05 1234 567")]
+    df = spark.createDataFrame([(u, i, NOW + dt.timedelta(hours=h), p) for u, i, h, p in rows], "user_id long, event_id long, ts timestamp_ntz, phone string")
+    got = {r["event_id"]: (r["status"], r["phone"]) for r in sequential.phone_changes(df).collect()}
+    late = ("phone_cooldown", None)
+    assert got == {1: ("changed", "+966051234567"), 2: late, 3: ("changed", None), 4: ("invalid_phone", None), 5: late, 6: ("changed", "+966051234569"), 7: ("changed", None), 8: ("changed", "+966051234567")}
+
+
 def test_one_users_events_are_never_in_one_row(spark):
     n, hours = 50_000, 8
     df = spark.range(n).selectExpr("cast(null as long) as user_id", "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id % 999 as int)) as ts")
@@ -138,7 +146,8 @@ def test_unread(spark):
 
 def test_ilike_wildcard(spark):
     bodies = spark.createDataFrame([(1, "x #aXb"), (2, "x #a_b"), (3, "none")], "post_id long, content string")
-    assert [r["post_id"] for r in feed.tag_page_by_pattern(bodies, "a_b", 9).collect()] == [2, 1]
+    posts = spark.createDataFrame([(1, NOW), (2, NOW - dt.timedelta(days=1)), (3, NOW)], "id long, created_at timestamp_ntz")
+    assert [r["post_id"] for r in feed.tag_page_by_pattern(posts, bodies, "a_b", 9).collect()] == [1, 2]
 
 
 def test_settings_row_absent_or_null(spark):
