@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 ARABIC = r"\u0600-\u06ff"
 #: The shapes of tags, mentions and names.
-NOT_AFTER_WORD = f"(?<![^{SPACE[1:]})"
-TAG = rf"{NOT_AFTER_WORD}#([0-9A-Za-z_{ARABIC}]{{2,50}})"
-MENTION = rf"{NOT_AFTER_WORD}@([0-9A-Za-z_]{{2,30}})"
+#: The sign comes first, so that only signs are looked at; what stands before one must not be a word.
+TAG = rf"#(?<![^{SPACE[1:]}#)([0-9A-Za-z_{ARABIC}]{{2,50}})"
+MENTION = rf"@(?<![^{SPACE[1:]}@)([0-9A-Za-z_]{{2,30}})"
 #: Two words of Arabic or Latin letters; browsers accept any white space between them, the database ASCII spaces.
 CLIENT_NAME = rf"^[A-Za-z{ARABIC}]+{SPACE}+[A-Za-z{ARABIC}]+$"
 SERVER_NAME = rf"^[A-Za-z{ARABIC}]+[ ]+[A-Za-z{ARABIC}]+$"

@@ -8,6 +8,7 @@ its key's blocks, at most ``RANGES`` of them; the rest is a window within the bl
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +20,12 @@ def cuts(rows: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
     return sorted(set(rows.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
 
 
-def range_of(value: Column, bounds: list[float]) -> Column:
-    """How many bounds are at most the value, by halving them; nulls are last."""
-
-    def within(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle + 1, high))
-
-    return within(0, len(bounds))
+def ranged(rows: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """rows with _range: how many bounds are at most the value, found by halving them; nulls are last."""
+    if not bounds:
+        return rows.withColumn("_range", F.lit(0.0))
+    placed = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=column, outputCol="_range", handleInvalid="keep").transform(rows)
+    return placed.withColumn("_range", F.coalesce("_range", F.lit(float(len(bounds) + 1))))
 
 
 def _with_sums(blocks: DataFrame, placed: DataFrame, keys: list[str], amount: Column, name: str, newest_first: bool = False) -> DataFrame:
@@ -45,7 +42,7 @@ def _with_sums(blocks: DataFrame, placed: DataFrame, keys: list[str], amount: Co
 
 def numbered(rows: DataFrame, keys: list[str], by: str, name: str, ranges: int = RANGES) -> DataFrame:
     """rows with ``name``: their number from 1 within their keys, by a numeric column whose values differ there."""
-    placed = rows.withColumn("_range", range_of(F.col(by), cuts(rows, by, ranges)))
+    placed = ranged(rows, by, cuts(rows, by, ranges))
     own = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(by)))
     made = _with_sums(own, placed, keys, F.lit(1), "_before")
     return made.withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_range", "_row", "_before")
@@ -55,7 +52,7 @@ def count_later(marks: DataFrame, rows: DataFrame, keys: list[str], at: str, amo
     """marks with ``name``: the summed ``amount`` of the rows with the same keys that come after the mark."""
     columns = [*keys, at]
     both = marks.withColumns({"_amount": F.lit(0).cast("long"), "_mark": F.lit(True)}).unionByName(rows.select(*columns, F.col(amount).cast("long").alias("_amount"), F.lit(False).alias("_mark")), allowMissingColumns=True)
-    placed = both.withColumn("_range", range_of(F.col(at), bounds))
+    placed = ranged(both, at, bounds)
     newest = Window.partitionBy(*keys, "_range").orderBy(F.desc(at), F.desc("_mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = placed.withColumn("_within", F.sum("_amount").over(newest)).where("_mark")
     made = _with_sums(own, placed, keys, F.col("_amount"), "_before", newest_first=True)

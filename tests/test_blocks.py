@@ -21,7 +21,7 @@ def test_numbers_of_a_hot_key(spark):
         want[i, k] = seen[k]
     assert {(r["id"], r["k"]): r["n"] for r in got.collect()} == want
     bounds = blocks.cuts(got, "id", 32)
-    sizes = Counter(r[0] for r in got.where("k = 'hot'").select(blocks.range_of(F.col("id"), bounds)).collect())
+    sizes = Counter(r["_range"] for r in blocks.ranged(got.where("k = 'hot'"), "id", bounds).collect())
     assert len(sizes) == 32 and max(sizes.values()) < 3000 / 8
 
 
@@ -29,7 +29,8 @@ def test_ranges_of_few_values(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x long")
     assert blocks.cuts(df.where("x is null"), "x") == []
     bounds = blocks.cuts(df, "x", 4)
-    assert [r[0] for r in df.select(blocks.range_of(F.col("x"), bounds)).collect()] == sorted(r[0] for r in df.select(blocks.range_of(F.col("x"), bounds)).collect())
+    placed = {r["x"]: r["_range"] for r in blocks.ranged(df, "x", bounds).collect()}
+    assert placed[1] < placed[2] < placed[None]
 
 
 def test_unread_of_a_hot_conversation(spark):
