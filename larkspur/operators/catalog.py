@@ -1,7 +1,8 @@
-"""The curriculum catalogue: a tree of stages, grades, tracks, subjects, terms and documents.
+"""Catalogues: a tree of paths whose leaves have subjects, terms and documents.
 
-The tree is small reference data, built from rules; everything after
-``subjects`` is DataFrame work (explodes and joins on paths).
+Trees and resources come from any table of leaves (``tree``) or of subjects
+(``resources``) by explodes and joins on paths.  The curriculum is one such
+table, small reference data built from rules.
 """
 
 from __future__ import annotations
@@ -41,11 +42,18 @@ def leaves() -> dict[str, str]:
     return made | {path: path for path in SUBJECTS if "/" in path}
 
 
+def tree(leaves: DataFrame) -> DataFrame:
+    """path, parent, depth, is_leaf of every branch and leaf above the given paths, each once; null and empty paths have none."""
+    parts = leaves.where("path <> ''").select(F.split("path", "/").alias("p")).distinct()
+    each = parts.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"))
+    part = lambda n: F.concat_ws("/", F.slice("p", F.lit(1), n))
+    found = each.select(part(F.col("depth")).alias("path"), F.when(F.col("depth") > 1, part(F.col("depth") - 1)).alias("parent"), "depth", (F.col("depth") == F.size("p")).alias("is_leaf"))
+    return found.groupBy("path", "parent", "depth").agg(F.bool_or("is_leaf").alias("is_leaf"))
+
+
 def nodes(spark: SparkSession) -> DataFrame:
-    """path, parent, depth, is_leaf of every branch and leaf."""
-    found = leaves()
-    paths = sorted({"/".join(p.split("/")[:i]) for p in found for i in range(1, p.count("/") + 2)})
-    return spark.createDataFrame([(p, p.rpartition("/")[0] or None, p.count("/") + 1, p in found) for p in paths], "path string, parent string, depth int, is_leaf boolean")
+    """path, parent, depth, is_leaf of the curriculum."""
+    return tree(spark.createDataFrame([(path,) for path in leaves()], "path string"))
 
 
 def subjects(spark: SparkSession) -> DataFrame:
@@ -83,6 +91,16 @@ def trail(tree: DataFrame, path: str) -> DataFrame:
     return tree.where(F.col("path").isin(prefixes)).join(F.broadcast(exists)).drop("ok").orderBy("depth")
 
 
+def trails(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, path, parent, depth, is_leaf: for each asked path that the tree has, the nodes from the root to it.
+
+    Asked paths that the tree lacks have no rows; a path asked for twice has its trail once.
+    """
+    real = asked.select("path").distinct().join(tree.select("path"), "path", "left_semi").select(F.col("path").alias("asked"), F.split("path", "/").alias("p"))
+    steps = real.select("asked", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"), "p").select("asked", F.concat_ws("/", F.slice("p", F.lit(1), F.col("n"))).alias("path"))
+    return steps.join(tree, "path").select("asked", "path", "parent", "depth", "is_leaf")
+
+
 def counts(found: DataFrame) -> DataFrame:
     """Resources of each subject and term."""
     return found.groupBy("path", "subject", "term").agg(F.count("*").alias("resources"))

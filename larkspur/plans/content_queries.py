@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import audit, catalog, chats, ingest, mutations, quiz, search, substrings
+from larkspur.operators import audit, catalog, chats, ingest, mutations, quiz, reads, search, substrings
 from larkspur.sources import tables as t
 from larkspur.streaming.store import shared_path
 
@@ -114,10 +114,27 @@ def faq_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.select("region", text.faq_json_ld(F.col("items")).alias("json"))
 
 
+def _shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the subjects of a catalogue, one in three in both terms."""
+    k = F.col("p_partkey")
+    terms = F.when(k % 3 == 0, F.array(F.lit("t1"), F.lit("t2"))).when(k % 3 == 1, F.array(F.lit("t1"))).otherwise(F.array(F.lit("t2")))
+    return t.table(spark, sf_dir, "part").select(_shelf(k).alias("path"), F.concat(F.lit("p"), k).alias("subject"), terms.alias("terms"))
+
+
+def _shelf(part: Column) -> Column:
+    return F.concat(F.lit("hall-"), part % 7, F.lit("/shelf-"), part % 50)
+
+
+def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, brand and name of each part as a path, and its size."""
+    return t.table(spark, sf_dir, "part").select(F.concat_ws("/", F.lower("p_type"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path"), "p_size")
+
+
 def resource_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some keys of the catalogue, and one that it lacks."""
-    asked = spark.createDataFrame([("1447/middle/grade-2/math/t1/exams.pdf",), ("1447/high-school/grade-2/cs-eng/cs/t2/student-book.pdf",), ("1447/none.pdf",)], "key string")
-    return catalog.by_key(catalog.resources(catalog.subjects(spark)), asked)
+    """The exams of the first term of all parts sold; those of the second term only have none."""
+    part = F.col("l_partkey")
+    asked = t.table(spark, sf_dir, "lineitem").select("l_partkey").distinct().select(F.concat(F.lit(f"{catalog.YEAR}/"), _shelf(part), F.lit("/p"), part, F.lit("/t1/exams.pdf")).alias("key"))
+    return catalog.by_key(catalog.resources(_shelves(spark, sf_dir)), asked)
 
 
 def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,19 +143,40 @@ def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.resources(catalog.subjects(spark))
+    return catalog.resources(_shelves(spark, sf_dir))
 
 
 def catalog_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.nodes(spark)
+    return catalog.tree(_part_paths(spark, sf_dir))
 
 
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.counts(catalog.resources(catalog.subjects(spark)))
+    return catalog.counts(catalog.resources(_shelves(spark, sf_dir)))
 
 
 def catalog_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.trail(catalog.nodes(spark), "high-school/grade-2/sharia")
+    """The trails of all parts' paths in a catalogue of the smaller parts; some aren't in it."""
+    paths = _part_paths(spark, sf_dir)
+    return catalog.trails(catalog.tree(paths.where("p_size <= 25")), paths)
+
+
+def prefixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose place on the web starts with one of several prefixes."""
+    key = F.regexp_replace("url", "^https?://", "")
+    return t.table(spark, sf_dir, "pages").select("page_id", key.alias("key")).where(ingest.has_prefix(F.col("key"), ["m.", "blog.", "www.th"]))
+
+
+def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members after all suppliers are added, who bring no experience."""
+    new = t.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000_000).alias("id"), F.col("s_name").alias("username"))
+    return mutations.insert(t.profiles(spark, sf_dir).select("id", "username", "xp"), new)
+
+
+def single_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of the one member of a name; a name that nobody has adds none."""
+    members = t.profiles(spark, sf_dir)
+    one, nobody = reads.single(reads.match(members, {"username": "Customer#000000007"})), reads.maybe_single(reads.match(members, {"username": "nobody"}))
+    return reads.is_in(t.posts(spark, sf_dir), "user_id", [r["id"] for r in (one, nobody) if r]).select("id", "user_id", "created_at")
 
 
 def region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,21 +288,20 @@ _X = r"select doc_id, '  أحمد إسراء آلاء مدرسةً ' || chr(10)
 _SP = r"[\s\x0b\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _C = rf"trim(regexp_replace(x, '{_SP}+', ' ', 'g'))"
 
-#: The curriculum as SQL: leaves by stage and grade, every node above them, and a resource for each subject, term and kind of document.
-_CATALOG = """with stages(kind, prefix, grades, subjects) as (values ('elementary', 'elementary/grade-', 6, 'quran islamic arabic math science social english digital art pe'),
- ('middle', 'middle/grade-', 3, 'quran islamic arabic math science social english digital art pe life'), ('continuing', 'continuing/grade-', 3, 'islamic arabic math science social english digital')),
-tracks(track, subjects) as (values ('general', 'islamic arabic math physics chemistry biology english social digital'), ('sharia', 'tafsir hadith fiqh tawhid arabic english'), ('business', 'business finance law math english digital'),
- ('cs-eng', 'cs math physics engineering english capstone'), ('health', 'biology chemistry health physics math english')),
-leaf as (select prefix || g as path, subjects from stages, range(1, 7) r(g) where g <= grades union all select 'high-school/grade-' || g || '/' || track, subjects from tracks, range(2, 4) r(g)
- union all values ('high-school/grade-1/first-year', 'quran islamic arabic math physics chemistry biology english social digital critical'), ('special/elementary', 'quran islamic arabic math science life'),
- ('special/middle', 'islamic arabic math science digital life'), ('special/rehab', 'life arabic math pe digital'), ('special/teacher-guide', 'teacher')),
-parts as (select path, string_split(path, '/') as p, unnest(range(1, len(string_split(path, '/')) + 1))::int as depth from leaf),
-nodes as (select distinct array_to_string(p[:depth], '/') as path, case when depth > 1 then array_to_string(p[:depth - 1], '/') end as parent, depth, depth = len(p) as is_leaf from parts),
-sub as (select path, unnest(string_split(subjects, ' ')) as subject from leaf),
+#: A catalogue of parts as SQL: subjects by shelf, and a resource for each subject, term in which it runs and kind of document.
+_SHELVES = """with sub as (select 'hall-' || p_partkey % 7 || '/shelf-' || p_partkey % 50 as path, 'p' || p_partkey as subject, p_partkey % 3 as k from part),
 res as (select path, subject, subject || '-' || term || '-' || suffix as id, title, d.kind, "order", term, term_name, '1447/' || path || '/' || subject || '/' || term || '/' || file as key
  from sub, (values ('t1', 'الفصل الدراسي الأول'), ('t2', 'الفصل الدراسي الثاني')) as t(term, term_name),
  (values (0, 'student', 'كتاب الطالب', 'textbook', 'student-book.pdf'), (1, 'activity', 'كتاب النشاط', 'workbook', 'activity-book.pdf'), (2, 'exams', 'نماذج اختبارات', 'exam', 'exams.pdf')) as d("order", suffix, title, kind, file)
- where not (subject = 'critical' and term = 't2') and not (subject = 'capstone' and term = 't1'))"""
+ where k = 0 or (k = 1) = (term = 't1'))"""
+_PATHS = "leaf as (select distinct lower(p_type) || '/' || replace(lower(p_brand), '#', '-') || '/' || replace(p_name, ' ', '-') as path, p_size <= 25 as small from part)"
+
+
+def _nodes(where: str) -> str:
+    """Every node of the tree of the leaves: all their prefixes."""
+    return f"""parts as (select string_split(path, '/') as p, unnest(range(1, len(string_split(path, '/')) + 1))::int as depth from leaf where {where}),
+nodes as (select array_to_string(p[:depth], '/') as path, case when depth > 1 then array_to_string(p[:depth - 1], '/') end as parent, depth, bool_or(depth = len(p)) as is_leaf from parts group by all)"""
+
 
 _AGENTS = """a as (select doc_id, substr(v || coalesce(' ' || text, ''), 1, 400) as ua from documents join (values (0, 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120'), (1, 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604'),
  (2, 'Mozilla/5.0 (Macintosh; Intel Mac OS X) Firefox/120'), (3, 'Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile Safari/537'), (4, 'Opera/9.80 (X11; Linux)'), (5, 'curl/8')) as u(k, v) on k = doc_id % 6),
@@ -329,11 +366,14 @@ select post_id, count(*) filter (regexp_full_match(t, '#[0-9A-Za-z_\x{{0600}}-\x
  count(*) filter (not regexp_full_match(t, '{_SP}+|#[0-9A-Za-z_\x{{0600}}-\x{{06FF}}]{{2,50}}|@[0-9A-Za-z_]{{2,30}}')) as n_word, sum(length(t))::bigint as n_chars from w group by 1""",
     "iso_times": "select event_id, case when event_id % 5 <> 0 then epoch_us(ts) // 1000 end as ms from events",
     "faq_json_ld": """select n_regionkey as region, '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg('{"@type":"Question","name":"' || n_name || '","acceptedAnswer":{"@type":"Answer","text":"' || n_nationkey || '"}}', ',' order by n_name) || ']}' as json from nation group by 1""",
-    "catalog_paths": f"{_CATALOG} select path, parent, depth, is_leaf from nodes",
-    "catalog_trail": f"{_CATALOG} select path, parent, depth, is_leaf from nodes where starts_with('high-school/grade-2/sharia/', path || '/')",
-    "catalog_resources": f"{_CATALOG} select path, subject, id, title, kind, \"order\", term, term_name, key from res",
-    "catalog_counts": f"{_CATALOG} select path, subject, term, count(*) as resources from res group by all",
-    "resource_by_key": f"{_CATALOG} select key, path, id, title, subject from res where key in ('1447/middle/grade-2/math/t1/exams.pdf', '1447/high-school/grade-2/cs-eng/cs/t2/student-book.pdf', '1447/none.pdf')",
+    "catalog_paths": f"with {_PATHS}, {_nodes('true')} select path, parent, depth, is_leaf from nodes",
+    "catalog_trail": f"with {_PATHS}, {_nodes('small')} select leaf.path as asked, nodes.path, parent, depth, is_leaf from (select path from leaf where small group by 1) leaf join nodes on starts_with(leaf.path || '/', nodes.path || '/')",
+    "catalog_resources": f"{_SHELVES} select path, subject, id, title, kind, \"order\", term, term_name, key from res",
+    "catalog_counts": f"{_SHELVES} select path, subject, term, count(*) as resources from res group by all",
+    "resource_by_key": f"{_SHELVES} select key, path, id, title, subject from res where ends_with(key, '/t1/exams.pdf') and subject in (select 'p' || l_partkey from lineitem)",
+    "prefixed_keys": "select page_id, key from (select page_id, regexp_replace(url, '^https?://', '') as key from pages) where starts_with(key, 'm.') or starts_with(key, 'blog.') or starts_with(key, 'www.th')",
+    "inserted_rows": "select c_custkey as id, c_name as username, c_acctbal as xp from customer union all select s_suppkey + 1000000000000, s_name, null from supplier",
+    "single_member": "select o_orderkey as id, o_custkey as user_id, o_orderdate as created_at from orders join customer on c_custkey = o_custkey where c_name = 'Customer#000000007'",
     "quiz_shuffle": """with p as (select p_partkey as id, [p_name, p_brand, p_type] as o, (p_partkey % 3)::int as a from part order by md5('3:' || p_partkey), p_partkey limit 10),
 x as (select id, a, unnest([0, 1, 2]) as i, unnest(o) as opt from p), y as (select *, (row_number() over (partition by id order by md5('3:' || id || ':' || i)) - 1)::int as place from x)
 select id, list(opt order by place) as options, max(place) filter (i = a) as answer_index from y group by id""",

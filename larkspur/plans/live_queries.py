@@ -18,7 +18,7 @@ from larkspur.operators import subscriptions
 from larkspur.plans import feed_queries, member_queries
 from larkspur.sources import tables as t
 from larkspur.streaming import changes, live
-from larkspur.streaming.store import Store, shared_path
+from larkspur.streaming.store import Store, latest_wins, shared_path
 
 FILES, FILES_PER_BATCH, SLICES = 6, 2, 3
 #: Longer than the tables' time, so that files in no order lose nothing to the watermark and no session expires.
@@ -100,13 +100,36 @@ def live_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscriptions.tiers(users.read(spark))
 
 
-QUERIES = {f.__name__: f for f in (live_unread, live_streaks, live_sessions, live_counters, live_reaction_counts, live_subscriptions)}
+def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as their inserts come in, each once for good, with their author from the table of members; updates among them change nothing here."""
+    kind = F.explode(F.when(F.col("status") == "O", F.array(*map(F.lit, ("INSERT", "UPDATE", "INSERT")))).otherwise(F.array(F.lit("INSERT")))).alias("change")
+    acts = t.posts(spark, sf_dir).select("id", "user_id", "created_at", kind)
+    people = t.profiles(spark, sf_dir)
+    store = Store(shared_path(spark, "posts"), "id long, user_id long, created_at timestamp, username string", ("id",))
+    with live.with_rocksdb(spark):
+        _streamed(acts, lambda stream, at: store.follow(changes.inserted_posts(stream, people), _replaced("id"), at))
+    return store.read(spark)
+
+
+def live_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each post while updates come in, in no order: the last one by seq, then by status, also when an earlier one comes late."""
+    moves = t.reactions(spark, sf_dir).select(F.col("post_id").alias("id"), "seq", F.col("kind").alias("status"), F.lit("UPDATE").alias("change"))
+    store = Store(shared_path(spark, "updates"), "id long, seq int, status string", ("id",))
+    merge = latest_wins(["id"], [F.desc("seq"), F.desc("status")])
+    _streamed(moves, lambda stream, at: store.follow(changes.subscribe(stream, "UPDATE").drop("change"), merge, at))
+    return store.read(spark)
+
+
+QUERIES = {f.__name__: f for f in (live_feed, live_posts, live_unread, live_streaks, live_sessions, live_counters, live_reaction_counts, live_subscriptions)}
 
 _STREAKS = """with d as (select distinct user_id, (ts + interval 3 hours)::date as day from events),
 i as (select *, day - row_number() over (partition by user_id order by day)::int as island from d),
 r as (select user_id, island, count(*) - 1 as n, max(day) as last from i group by user_id, island)
 select user_id, max_by(n, last)::bigint as current_streak, max(n)::bigint as longest_streak, max(last) as last_day from r group by user_id"""
 ORACLE_SQL = {
+    "live_feed": "select o_orderkey as id, o_custkey as user_id, o_orderdate as created_at, c_name as username from orders left join customer on c_custkey = o_custkey",
+    "live_posts": """with r as (select l_orderkey as id, l_linenumber as seq, case when l_returnflag = 'R' then 'like' when l_returnflag = 'A' then 'dislike' when l_linenumber % 2 = 0 then 'repost' else 'comment' end as status from lineitem)
+select id, max(seq) as seq, arg_max(status, (seq, status)) as status from r group by 1""",
     "live_unread": """select e.user_id, count(*) filter (event_type <> 'signup' and ts > coalesce(mark, timestamp '1900-01-01')) as unread
 from events e left join (select user_id, max(ts) as mark from events where event_type = 'signup' group by user_id) m on m.user_id = e.user_id group by e.user_id""",
     "live_streaks": _STREAKS,

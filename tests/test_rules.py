@@ -192,6 +192,17 @@ def test_catalogue(spark):
     asked = spark.createDataFrame([("1447/high-school/sharia/tafsir/t1/student-book.pdf",), ("1447/high-school/grade-2/sharia/tafsir/t1/student-book.pdf",)], "key string")
     assert [r["subject"] for r in catalog.by_key(found, asked).collect()] == ["tafsir"]
     assert catalog.trail(catalog.nodes(spark), "no/such").count() == 0
+    assert catalog.nodes(spark).where("is_leaf").count() == len(catalog.leaves())
+
+
+def test_trees_and_trails(spark):
+    """A path may be both leaf and branch; null, empty and repeated paths add nothing."""
+    leaves = spark.createDataFrame([("a/b/c",), ("a/b",), ("a/b/c",), ("d",), (None,), ("",)], "path string")
+    tree = catalog.tree(leaves)
+    assert sorted(map(tuple, tree.collect())) == [("a", None, 1, False), ("a/b", "a", 2, True), ("a/b/c", "a/b", 3, True), ("d", None, 1, True)]
+    asked = spark.createDataFrame([("a/b",), ("a/b",), ("a/x",), ("d",), (None,)], "path string")
+    assert sorted((r["asked"], r["path"]) for r in catalog.trails(tree, asked).collect()) == [("a/b", "a"), ("a/b", "a/b"), ("d", "d")]
+    assert catalog.tree(leaves.limit(0)).count() == 0
 
 
 def test_import(spark, tmp_path):
