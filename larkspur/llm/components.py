@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import discard, materialise
+from larkspur.llm.shared import discard, join_wide, materialise
 
 
 def _follow(pointers: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _follow(pointers: DataFrame) -> DataFrame:
     current = materialise(pointers, "pointers")
     while True:
         onward = current.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        stepped = materialise(current.join(onward, "next", "left").select("node", F.coalesce("beyond", "next").alias("next"), F.col("beyond").isNotNull().alias("moved")), "pointers")
+        stepped = materialise(join_wide(current, onward, "next", "left").select("node", F.coalesce("beyond", "next").alias("next"), F.col("beyond").isNotNull().alias("moved")), "pointers")
         discard(current)
         current = stepped
         if stepped.where("moved").isEmpty():
@@ -38,9 +38,9 @@ def connected(edges: DataFrame) -> DataFrame:
         followed = _follow(lowest.where("node <> next"))
         ends = followed.select("node", F.col("next").alias("root"))
         later = ends.select(F.col("node").alias("root"), F.col("root").alias("final"))
-        now = ends if roots is None else roots.join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root")).union(ends)
+        now = ends if roots is None else join_wide(roots, later, "root", "left").select("node", F.coalesce("final", "root").alias("root")).union(ends)
         of_a, of_b = ends.select(F.col("node").alias("a"), F.col("root").alias("root_a")), ends.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        moved = rest.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        moved = join_wide(join_wide(rest, of_a, "a", "left"), of_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         now, left = materialise(now, "roots"), materialise(ordered(moved), "edges")
         discard(rest, followed, *([] if roots is None else [roots]))
         rest, roots = left, now

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.chunks import Table
 from larkspur.llm.components import connected
-from larkspur.llm.shared import HOT_SHARE, discard, join_small, map_texts, materialise, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, discard, join_small, join_wide, map_texts, materialise, runs, starts_of
 
 #: Classes of a bucket that are searched together in a task.
 MAX_LIST = 20_000
@@ -131,9 +131,9 @@ def sharing(classes: DataFrame, search: Search) -> DataFrame:
     own = F.xxhash64("code")
     posted = classes.select(own.alias("id"), F.explode(F.array_distinct("buckets")).alias("bucket"))
     lists = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    of_class = posted.join(lists, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n", "hub")).alias("lists"))  # at most as many as a class has buckets
+    of_class = join_wide(posted, lists, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n", "hub")).alias("lists"))  # at most as many as a class has buckets
     compared = F.substring("sig", 1, search.words * np.dtype(search.kind).itemsize)
-    return materialise(classes.select("code", "size", compared.alias("sig"), "first", own.alias("id")).join(of_class, "id"), "members")
+    return materialise(join_wide(classes.select("code", "size", compared.alias("sig"), "first", own.alias("id")), of_class, "id"), "members")
 
 
 def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _cells(members: DataFrame, every: bool) -> DataFrame:
     each = members.select("code", "size", "sig", "label", F.explode("lists").alias("l")).select("code", "size", "sig", "label", "l.bucket", "l.n", "l.hub")
     if every:  # a bucket that is one group by now has nothing left
         mixed_lists = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        each = each.join(mixed_lists, "bucket", "left_semi")
+        each = join_wide(each, mixed_lists, "bucket", "left_semi")
     parts = F.ceil(F.col("n") / MAX_LIST).cast("int")
     each = each.withColumn("parts", parts).withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("code"), parts).cast("int")).otherwise(0))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -248,9 +248,9 @@ def proposed(cells: DataFrame, search: Search, picks: int | None) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough; sets: code, shingles."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / EACH).cast("int").alias("parts"))
-    second = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("code"))
+    second = join_wide(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("code"))
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("code"))
-    rows = second.unionByName(first).join(sets, "code").select("a", "part", "side", "code", "shingles")
+    rows = join_wide(second.unionByName(first), sets, "code").select("a", "part", "side", "code", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, own = None, np.zeros(0, np.uint64)
@@ -298,12 +298,12 @@ def joining(codes: list[bytes], sets: list[bytes], labels: np.ndarray, apart: np
 def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of unlike labels that links join within the components of stars (a, b of codes); members: code, label; sets: code, shingles."""
     roots = connected(stars)
-    codes = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct().join(members.select("code", "label"), "code")
-    placed = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "label", F.xxhash64(F.coalesce("root", "code")).alias("component"))
+    codes = join_wide(stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct(), members.select("code", "label"), "code")
+    placed = join_wide(codes, roots, codes["code"] == roots["node"], "left").select("code", "label", F.xxhash64(F.coalesce("root", "code")).alias("component"))
     parts = placed.groupBy("component").agg(F.ceil(F.count("*") / MAX_SETS).cast("int").alias("parts"))
-    cut = placed.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("code"), "parts").cast("int"))
+    cut = join_wide(placed, parts, "component").withColumn("part", F.pmod(F.xxhash64("code"), "parts").cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    rows = cut.join(sets, "code").withColumn("cell", F.explode(met)).select("component", "cell.i", "cell.j", "part", "code", "label", "shingles")
+    rows = join_wide(cut, sets, "code").withColumn("cell", F.explode(met)).select("component", "cell.i", "cell.j", "part", "code", "label", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, 3):
@@ -322,21 +322,21 @@ def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) ->
     """node, root of every class that hangs together with another one but the roots (see ``components.connected``); texts: th and text."""
     pairs = materialise(proposed(_cells(members.withColumn("label", F.col("code")), False), search, PICKS), "proposed-pairs")
     paired = materialise(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
-    first = materialise(confirmed(pairs, sets_of(members.join(paired, "code", "left_semi"), texts, words), search.percent), "links")
+    first = materialise(confirmed(pairs, sets_of(join_wide(members, paired, "code", "left_semi"), texts, words), search.percent), "links")
     roots = connected(first)
     # A class without a candidate has none later, unless one of its buckets was searched in windows.
     wide = F.exists("lists", lambda x: x["n"] > WINDOW)
-    left = members.where(wide).unionByName(members.where(~wide).join(paired, "code", "left_semi"))
-    left = materialise(left.join(roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
+    left = members.where(wide).unionByName(join_wide(members.where(~wide), paired, "code", "left_semi"))
+    left = materialise(join_wide(left, roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
     stars = materialise(proposed(_cells(left, True), search, None), "stars")
     made = roots
     if not stars.isEmpty():
         ends = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct()
-        more = materialise(confirmed_groups(stars, left, sets_of(left.join(ends, "code", "left_semi"), texts, words), search.percent), "links")
+        more = materialise(confirmed_groups(stars, left, sets_of(join_wide(left, ends, "code", "left_semi"), texts, words), search.percent), "links")
         if not more.isEmpty():  # they join labels, so the first components need no second look
             later = connected(more)
             onward = later.select(F.col("node").alias("root"), F.col("root").alias("final"))
-            made = materialise(roots.join(onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
+            made = materialise(join_wide(roots, onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
             discard(roots, later)
         discard(more)
     discard(members, left, pairs, paired, first, stars)
@@ -351,7 +351,7 @@ def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[Data
     classes = materialise(classes_of(rows), "classes")
     members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")), search)
     roots = linked(members, texts, words, search)
-    joined = classes.join(roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
+    joined = join_wide(classes, roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
     made = materialise(joined, "class-roots")
     discard(roots, classes)
     total = made.agg(F.sum("n")).first()[0] or 0

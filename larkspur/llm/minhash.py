@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import confirm
-from larkspur.llm.shared import join_hot, materialise
+from larkspur.llm.shared import join_hot, join_wide, materialise
 
 SHINGLE = 4
 PERCENT = 80
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = materialise(confirm.coded(texts, shingle, signature), "signatures")
     of_class, hot = confirm.groups(rows, texts.select("th", "text"), shingle, with_prefix, SEARCH)
     smallest = of_class.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    by_class = of_class.join(smallest, "root").select("code", "component_id")
+    by_class = join_wide(of_class, smallest, "root").select("code", "component_id")
     narrow = rows.select("doc_id", "code", F.col("size").alias("n_shingles"))
     linked = join_hot(narrow.where("code is not null"), by_class, "code", hot, "code").select("doc_id", "n_shingles", "component_id")
     alone = narrow.where("code is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

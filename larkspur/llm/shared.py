@@ -72,12 +72,17 @@ def join_hot(rows: DataFrame, right: DataFrame, key: str, hot: DataFrame, on: Co
     few = F.broadcast(hot.select(F.col(key).alias("_hot")).distinct())
     of_hot, of_rest = (rows.join(few, F.col(key) == F.col("_hot"), kind) for kind in ("left_semi", "left_anti"))
     hot_right = right.join(few, F.col(key if key in right.columns else f"kept_{key}") == F.col("_hot"), "left_semi")
-    return of_hot.join(F.broadcast(hot_right), on, how).unionByName(of_rest.join(right, on, how))
+    return of_hot.join(F.broadcast(hot_right), on, how).unionByName(join_wide(of_rest, right, on, how))
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with right broadcast if it is counted to have at most ``rows`` rows, else as Spark plans it."""
-    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
+    """Join with right broadcast if it is counted to have at most ``rows`` rows, else by sorted shuffles."""
+    return left.join(F.broadcast(right), on, how) if right.limit(rows + 1).count() <= rows else join_wide(left, right, on, how)
+
+
+def join_wide(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """Join two tables that grow by sorted shuffles: neither side is broadcast, however small Spark takes what an explode or a map makes of it to be."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
 
 
 def hash_sample(df: DataFrame, n: int, key: str | tuple[str, ...] = "doc_id", seed: int = 0) -> DataFrame:

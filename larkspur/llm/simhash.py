@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected
-from larkspur.llm.shared import HOT_SHARE, discard, join_hot, map_texts, materialise, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, discard, join_hot, join_wide, map_texts, materialise, runs, starts_of
 
 BITS = 64
 SEED = 42
@@ -273,7 +273,7 @@ def groups(coded: DataFrame, rule: Rule = CONTRACT, visits=None) -> tuple[DataFr
     classes = materialise(coded.groupBy("code", "fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")), "classes")
     found = materialise(links(classes.select("code", "fp"), rule, visits=visits), "links")
     roots = connected(found)
-    made = materialise(classes.join(roots, classes["code"] == roots["node"], "left").select("code", "fp", "n", "smallest", F.coalesce("root", "code").alias("root")), "class-roots")
+    made = materialise(join_wide(classes, roots, classes["code"] == roots["node"], "left").select("code", "fp", "n", "smallest", F.coalesce("root", "code").alias("root")), "class-roots")
     discard(classes, found, roots)
     total = made.agg(F.sum("n")).first()[0] or 0
     return made, made.where(F.col("n") > HOT_SHARE * total)
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = CONTRACT, visits=None) -> Data
     coded = materialise(codes(docs, rule), "fingerprints")
     of_class, hot = groups(coded, rule, visits)
     smallest = of_class.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_class = of_class.join(smallest, "root").select("code", "component_id")
+    by_class = join_wide(of_class, smallest, "root").select("code", "component_id")
     joined = join_hot(coded, by_class, "code", hot, "code")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

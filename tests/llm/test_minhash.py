@@ -8,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import confirm, minhash, queries
+from larkspur.llm import components, confirm, minhash, queries
+from larkspur.llm.shared import materialise
 
 
 def plain_set(text, k=4):
@@ -147,3 +148,22 @@ def test_large_sets_in_pieces_have_the_same_signature(monkeypatch):
     whole = minhash.signature(x)
     monkeypatch.setattr(minhash, "AT_ONCE", 77)
     assert minhash.signature(x) == whole
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    """However small Spark takes postings, labels and pointers to be, no join of them goes through the driver."""
+    plans = []
+
+    def spied(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialise(df, name)
+
+    for module in (confirm, components):
+        monkeypatch.setattr(module, "materialise", spied)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(edited(rng, base, 2))) for i in range(40)]
+    assert sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == brute(rows)
+    joins = [(name, plan) for name, plan in plans if "Join" in plan and name != "links"]  # links: texts meet a counted list of the wanted ones
+    assert {"members", "pointers", "class-roots"} <= {name for name, _ in joins}
+    assert not [name for name, plan in joins if "Broadcast" in plan]
