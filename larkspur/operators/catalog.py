@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators.joins import join_wide
+
 # Identifiers of the published curriculum.
 YEAR = "1447"
 TERMS = (("t1", "الفصل الدراسي الأول"), ("t2", "الفصل الدراسي الثاني"))
@@ -78,9 +80,9 @@ def resources(subjects: DataFrame) -> DataFrame:
 
 
 def by_key(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """The first resource of each asked key."""
+    """The first resource of each asked key; both may be long, so neither is broadcast."""
     hit = found.groupBy("key").agg(F.min(F.struct("path", "id", "title", "subject")).alias("r"))
-    return keys.join(hit, "key").select("key", "r.path", "r.id", "r.title", "r.subject")
+    return join_wide(keys, hit, "key").select("key", "r.path", "r.id", "r.title", "r.subject")
 
 
 def trail(tree: DataFrame, path: str) -> DataFrame:
@@ -96,9 +98,9 @@ def trails(tree: DataFrame, asked: DataFrame) -> DataFrame:
 
     Asked paths that the tree lacks have no rows; a path asked for twice has its trail once.
     """
-    real = asked.select("path").distinct().join(tree.select("path"), "path", "left_semi").select(F.col("path").alias("asked"), F.split("path", "/").alias("p"))
+    real = join_wide(asked.select("path").distinct(), tree.select("path"), "path", "left_semi").select(F.col("path").alias("asked"), F.split("path", "/").alias("p"))
     steps = real.select("asked", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"), "p").select("asked", F.concat_ws("/", F.slice("p", F.lit(1), F.col("n"))).alias("path"))
-    return steps.join(tree, "path").select("asked", "path", "parent", "depth", "is_leaf")
+    return join_wide(steps, tree, "path").select("asked", "path", "parent", "depth", "is_leaf")
 
 
 def counts(found: DataFrame) -> DataFrame:

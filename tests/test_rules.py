@@ -298,3 +298,13 @@ def test_elite_cooldowns(spark):
     tiers = {(r["user_id"], r["event_id"]) for r in sequential.decide(rows, 1, 14 * day, inclusive=True, elite_us=day).where("allowed").collect()}
     assert tiers == {(1, 0), (1, 1), (1, 3), (2, 0), (2, 3), (3, 0), (3, 3)}
     assert sequential.decide(rows, 1, 14 * day, inclusive=True).where("allowed and user_id = 1").count() == 4
+
+
+def test_catalogue_joins_are_never_broadcast(spark):
+    """Keys and resources, paths and trees grow together, so no side of their joins goes through the driver, whatever Spark takes its size for."""
+    found = catalog.resources(catalog.subjects(spark))
+    tree = catalog.nodes(spark)
+    for made in (catalog.by_key(found, found.select("key")), catalog.trails(tree, tree.select("path"))):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert catalog.by_key(found, found.select("key")).count() == 1245
