@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import hash_sample, join_small, materialise, starts_of
+from larkspur.llm.shared import hash_sample, join_small, join_wide, materialise, starts_of
 
 SAMPLE_VALUES = 1 << 23
 LIST_SIZE = 10
@@ -57,6 +57,8 @@ PROBES, RECALL = 512, 0.94
 SHARD_ENTRIES = 1 << 15
 #: Queries scored together, pairs scored exactly at once, and rows a task holds before it keeps the best only.
 BLOCK, PAIRS, HELD = 1024, 1 << 17, 500_000
+#: Distances to centroids that are held at once while the index is fitted and calibrated: the driver's memory doesn't grow with the centroids.
+VALUES = 1 << 21
 #: Above the rounding of a dot product of unit vectors.
 MARGIN = 1e-9
 
@@ -84,7 +86,8 @@ class Centroids:
 
     @staticmethod
     def fit(sample: np.ndarray, k: int, seed: int = 11) -> Centroids:
-        rng, x = np.random.default_rng(seed), unit(sample).astype(np.float32)
+        rng = np.random.default_rng(seed)
+        x = np.concatenate([unit(sample[i : i + 4096]).astype(np.float32) for i in range(0, len(sample), 4096)])
         points = x[rng.choice(len(x), k, replace=False)].copy()
         for _ in range(ROUNDS):
             points = _means(x, _nearest(x, points), points)
@@ -100,7 +103,8 @@ class Centroids:
             points[c] = seeds[0]
             more.append(seeds[1:])
         points = np.unique(np.concatenate([points, *more]), axis=0)
-        links = np.concatenate([_top(points[i : i + 512], points, NEIGHBOURS + 1) for i in range(0, len(points), 512)])
+        step = _rows_of(points)
+        links = np.concatenate([_top(points[i : i + step], points, NEIGHBOURS + 1) for i in range(0, len(points), step)])
         anywhere = rng.integers(0, len(points), (len(points), 2))
         own = np.arange(len(points))[:, None]
         anywhere = np.where((anywhere[:, :, None] == links[:, None, :]).any(2), own, anywhere)
@@ -156,13 +160,18 @@ class Centroids:
                 dist[r[part], c[part]] = 1 - np.einsum("ij,ij->i", x[r[part]], self.points[c[part]])
 
 
+def _rows_of(points: np.ndarray) -> int:
+    """Rows that meet all points at once."""
+    return max(1, VALUES // max(1, len(points)))
+
+
 def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmax(x[i : i + 4096] @ points.T, axis=1) for i in range(0, len(x), 4096)])
+    return np.concatenate([np.argmax(x[i : i + n] @ points.T, axis=1) for n in [_rows_of(points)] for i in range(0, len(x), n)])
 
 
 def _top(x: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(points))
-    return np.argpartition(-(x @ points.T), k - 1, axis=1)[:, :k]
+    return np.argpartition(-(x @ points.T), k - 1, axis=1)[:, :k].copy()  # a view would keep a number for each pair of points
 
 
 def _means(x: np.ndarray, nearest: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -391,12 +400,13 @@ def calibrate(items: DataFrame, index: Centroids, keep: int, dtype: str, recall:
     place = {i: n for n, (i, _) in enumerate(probes)}
     q = unit(_matrix(pa.array([x for _, x in probes], pa.binary()), dtype))
     v = unit(_matrix(pa.array([bytes(r["vec"]) for r in pairs], pa.binary()), dtype))
-    to_query = 1 - q.astype(np.float32) @ index.points.T
-    to_query /= base(to_query, RANK)
-    needed = np.full(len(pairs), np.inf)
-    for at in range(0, len(pairs), BLOCK):
-        rows, lists = assign(index, v[at : at + BLOCK])
-        np.minimum.at(needed, rows + at, to_query[[place[pairs[i + at]["query"]] for i in rows], lists])
+    needed, step = np.full(len(pairs), np.inf), _rows_of(index.points)
+    asks = np.array([place[r["query"]] for r in pairs])
+    for at in range(0, len(pairs), step):
+        rows, lists = assign(index, v[at : at + step])
+        to_query = 1 - q[asks[at : at + step]].astype(np.float32) @ index.points.T
+        to_query /= base(to_query, RANK)
+        np.minimum.at(needed, rows + at, to_query[rows, lists])
     return float(max(1.0, np.quantile(needed, recall)))
 
 
@@ -417,8 +427,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LI
     n = items.count()
     if n == 0:
         return empty
-    taken = hash_sample(items, max(1, SAMPLE_VALUES // sized["n"]), "item").select("vec").toArrow()
-    sample = _matrix(taken.column("vec"), dtype)
+    sample = _matrix(hash_sample(items, max(1, SAMPLE_VALUES // sized["n"]), "item").select("vec").toArrow().column("vec"), dtype)
     index = Centroids.fit(sample, max(1, min(n // list_size, len(sample) // 4)))
     ratio = calibrate(items, index, keep, dtype, recall)
 
@@ -485,9 +494,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = LI
     together = entries.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "kind", "list")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     hits = together.mapInArrow(match, "query long, found long, score double").distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
-    members = hits.join(items.select(F.col("item").alias("found"), "ids"), "found").select("query", F.explode("ids").alias("vec_id"), "score")
-    representative = asked.join(distinct.select(F.col("id").alias("query"), "vec"), "vec").select(F.col("id").alias("query_id"), "query")
-    scores = members.join(representative, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    members = join_wide(hits, items.select(F.col("item").alias("found"), "ids"), "found").select("query", F.explode("ids").alias("vec_id"), "score")
+    representative = join_wide(asked, distinct.select(F.col("id").alias("query"), "vec"), "vec").select(F.col("id").alias("query_id"), "query")
+    scores = join_wide(members, representative, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -1,6 +1,7 @@
 """Fitted operators by held-out accuracy and brute force; the pipeline stage by stage."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -307,3 +308,19 @@ def test_megabyte_texts_repeated_rows_and_clashing_columns(spark):
             by_id.setdefault(r["doc_id"], set()).add(tuple(r))
         assert all(len(x) == 1 for x in by_id.values())
     assert taken.columns == docs.columns and taken.where("good <> 'good-x'").isEmpty()
+
+
+def test_fitting_holds_no_number_for_each_pair_of_centroids(monkeypatch):
+    """The driver's memory while centroids are fitted and linked is bounded, however many there are."""
+    monkeypatch.setattr(ann, "VALUES", 1 << 16, raising=False)
+    monkeypatch.setattr(ann, "ROUNDS", 1)
+    x = np.random.default_rng(5).standard_normal((8192, 8)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        index = ann.Centroids.fit(x, 2048)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    k = len(index.points)
+    assert k >= 2048 and index.links.shape == (k, ann.NEIGHBOURS + 3)
+    assert peak < 4 * k * k, (peak, k)
