@@ -300,10 +300,11 @@ def test_elite_cooldowns(spark):
     assert sequential.decide(rows, 1, 14 * day, inclusive=True).where("allowed and user_id = 1").count() == 4
 
 
-def test_catalogue_joins_are_never_broadcast(spark):
+def test_catalogue_joins_are_never_broadcast(spark, tmp_path):
     """Keys and resources, paths and trees grow together, so no side of their joins goes through the driver, whatever Spark takes its size for."""
-    found = catalog.resources(catalog.subjects(spark))
-    tree = catalog.nodes(spark)
+    catalog.subjects(spark).write.parquet(f"{tmp_path}/subjects")
+    catalog.nodes(spark).write.parquet(f"{tmp_path}/tree")
+    found, tree = catalog.resources(spark.read.parquet(f"{tmp_path}/subjects")), spark.read.parquet(f"{tmp_path}/tree")
     for made in (catalog.by_key(found, found.select("key")), catalog.trails(tree, tree.select("path"))):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
