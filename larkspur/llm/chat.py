@@ -7,12 +7,14 @@ Every assistant turn becomes an example of its own: all turns before it as
 context, and only its reply under the loss mask.  Turns after the last reply
 make a last example with an empty mask, so that nothing is lost.
 
-Every example is a prefix of its conversation's text, so that text is written
-once, a row a turn, and the row of an example's last turn holds where the
+Every example is a prefix of its conversation's text, so ``examples`` gives that
+text once, a row a turn, and in the row of an example's last turn where the
 example ends and which part of it is under the mask, in code points from the
-start of the conversation.  What is written grows with the conversations, not
-with the square of their replies, in one form for every length.  ``expand``
-gives the whole text of each example, for those who want it in full.
+start of the conversation.  ``expanded`` deals each turn to all examples that
+hold it: the examples in full, context and target, a row a turn.  That is as much as all
+contexts together, which the method asks for, in one form for every length;
+``expand`` has each example as one text.  ``digest_expanded`` reads the examples in full,
+``digest`` the conversations by their ranges alone.
 
 Rows are numbered by windows and read back in order, batch by batch, with
 running hashes: a task holds one batch, and sorts that spill, however long a
@@ -50,7 +52,7 @@ def unescape(text: str) -> str:
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, at (from 1), written, start; and example (from 0), stop, loss_start, loss_len, null in rows that end no example."""
+    """conv_id, at (from 1), written, start; example (from 0), stop, loss_start, loss_len, null in rows that end no example; first, last: the examples that hold the row."""
     by_conv = Window.partitionBy("conv_id")
     in_order = by_conv.orderBy("turn", "role", "text")
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -67,9 +69,20 @@ def examples(conversations: DataFrame) -> DataFrame:
     return placed.select(
         "conv_id", "at", "written", (F.col("stop") - F.length("written")).alias("start"),
         *(F.when(ends, c).alias(n) for n, c in (("example", example), ("stop", F.col("stop")), ("loss_start", loss_start), ("loss_len", loss_len))),
+        example.alias("first"), F.max(example).over(by_conv).alias("last"),
     )
 
 
+def expanded(written: DataFrame) -> DataFrame:
+    """conv_id, example, at, written, start, loss_start, loss_len: every example in full, a row a turn: all turns before its target, then the target, whose row alone has a mask.
+
+    Each turn is dealt to the examples that hold it, so no task holds a conversation or an example.
+    """
+    dealt = written.withColumn("of", F.explode(F.sequence("first", "last")))
+    target = F.col("example") == F.col("of")
+    return dealt.select("conv_id", F.col("of").cast("long").alias("example"), "at", "written", "start", *(F.when(target, F.col(c)).alias(c) for c in ("loss_start", "loss_len")))
+
+
 def expand(written: DataFrame) -> DataFrame:
     """conv_id, example, formatted, loss_start, loss_len: each example in full; as long as all contexts together."""
     so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -157,3 +170,60 @@ def digest(written: DataFrame) -> DataFrame:
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return in_order(written.withColumn("conv_id", F.col("conv_id").cast("long"))).mapInArrow(run, schema)
+
+
+def read_examples(full: DataFrame) -> DataFrame:
+    """conv_id, example, n_turns, turns_sha256, loss (text under the mask), formatted_chars: each example of ``expanded``, read from its own text."""
+    names = ["conv_id", "example", "n_turns", "turns_sha256", "loss", "formatted_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reading, loss = None, None, ""
+        for batch in batches:
+            done: list[tuple] = []
+            for conv_id, example, piece, start, loss_start, loss_len in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if reading is None or key != (conv_id, example):
+                    if reading is not None:
+                        done.append((*key, reading.n_turns, reading.turns.hexdigest(), loss, reading.formatted_chars))
+                    key, reading, loss = (conv_id, example), Reading(conv_id), ""
+                for _ in reading.read([(piece, start, None, None, None)]):
+                    pass
+                if loss_len:
+                    loss = unescape(piece[loss_start - start : loss_start - start + loss_len])
+                reading.formatted_chars += len(piece)
+            if done:
+                yield pa.RecordBatch.from_arrays(list(map(_column, zip(*done, strict=True))), names=names)
+        if reading is not None:
+            yield pa.RecordBatch.from_arrays([_column([x]) for x in (*key, reading.n_turns, reading.turns.hexdigest(), loss, reading.formatted_chars)], names=names)
+
+    rows = full.select(F.col("conv_id").cast("long"), "example", "written", "start", "loss_start", "loss_len", "at")
+    ordered = rows.repartition("conv_id", "example").sortWithinPartitions("conv_id", "example", "at").drop("at")
+    return ordered.mapInArrow(run, "conv_id long, example long, n_turns long, turns_sha256 string, loss string, formatted_chars long")
+
+
+def _column(values: tuple | list) -> pa.Array:
+    return pa.array(values, pa.string() if any(isinstance(x, str) for x in values) else pa.int64())
+
+
+def digest_expanded(full: DataFrame) -> DataFrame:
+    """The columns of ``digest``, from the examples in full: replies in their order, the turns from the last example, which holds them all."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list | None = None
+        for batch in batches:
+            done: list[tuple] = []
+            for conv_id, n_turns, turns, loss, chars in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if known is None or known[0] != conv_id:
+                    if known is not None:
+                        done.append((*known[:4], known[4].hexdigest(), known[5]))
+                    known = [conv_id, 0, "", 0, hashlib.sha256(), 0]
+                known[1:4] = n_turns, turns, known[3] + len(loss)
+                known[4].update(loss.encode())
+                known[5] += chars
+            if done:
+                yield pa.RecordBatch.from_arrays(list(map(_column, zip(*done, strict=True))), names=names)
+        if known is not None:
+            yield pa.RecordBatch.from_arrays([_column([x]) for x in (*known[:4], known[4].hexdigest(), known[5])], names=names)
+
+    ordered = read_examples(full).repartition("conv_id").sortWithinPartitions("conv_id", "example").drop("example")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

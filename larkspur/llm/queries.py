@@ -51,11 +51,11 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one whose texts hold control strings, written to the shared folder and read back."""
+    """All conversations and one whose texts hold control strings: every example is written in full to the shared folder and read back."""
     control = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(materialise(chat.examples(rows), "chat"))
+    return chat.digest_expanded(materialise(chat.expanded(chat.examples(rows)), "chat"))
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm import chat, mixing, queries
-from larkspur.llm.shared import materialise
+from larkspur.llm.shared import materialise, table
 
 
 def shared_out(sizes, cap=3):
@@ -144,3 +144,23 @@ def test_op7(spark, sf_dir):
     told[-7] = [(0, "user", CONTROL), (1, "assistant", CONTROL)]
     rows = queries.QUERIES["op7_chat"](spark, sf_dir).collect()
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows} == {c: plain(t) for c, t in told.items()}
+
+
+def test_the_query_reads_examples_in_full(spark, sf_dir, monkeypatch):
+    """Each example is written with its whole context, and its digests are those of the conversations."""
+    written = []
+    monkeypatch.setattr(queries, "materialise", lambda df, name: written.append(made := materialise(df, name)) or made)
+    got = sorted(map(tuple, queries.op7_chat(spark, sf_dir).collect()))
+    (full,) = written
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    wanted = {(r["conv_id"], r["example"]): r["formatted"] for r in chat.expand(chat.examples(rows)).collect()}
+    pieces = {}
+    for r in sorted(full.where("conv_id <> -7").collect(), key=lambda r: r["at"]):
+        key = (r["conv_id"], r["example"])
+        pieces[key] = pieces.get(key, "") + r["written"]
+    assert pieces == wanted and len(wanted) > 40
+    assert [g for g in got if g[0] != -7] == sorted(map(tuple, chat.digest(chat.examples(rows)).collect()))
+    odd = spark.createDataFrame([(None, 1, None, None), (None, 2, "assistant", "#\\"), (1, 0, "user", "a"), (2, 0, "assistant", ""), (2, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    plain, made = chat.digest(chat.examples(odd)), chat.digest_expanded(chat.expanded(chat.examples(odd)))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert chat.digest_expanded(chat.expanded(chat.examples(odd.limit(0)))).collect() == []
