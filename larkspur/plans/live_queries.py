@@ -21,6 +21,8 @@ from larkspur.streaming import changes, live
 from larkspur.streaming.store import Store, latest_wins, shared_path
 
 FILES, FILES_PER_BATCH, SLICES = 6, 2, 3
+#: Rows of a file of the feed: larger tables come in more files, and in as many batches, so that no task reads, sorts or caches more.
+FILE_ROWS = 100_000
 #: Longer than the tables' time, so that files in no order lose nothing to the watermark and no session expires.
 ALL_TIME = "4000 days"
 
@@ -34,9 +36,10 @@ def _streamed(rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery]
     """Stream rows as files, all of them in batches of some files or each slice as a batch, until all are read; start(stream, checkpoint)."""
     spark = rows.sparkSession
     feed, checkpoint = shared_path(spark, "feed"), shared_path(spark, "stream")
+    times = max(1, -(-rows.count() // (FILES * FILE_ROWS)))
     for part in slices or [F.lit(True)]:
-        rows.where(part).repartition(FILES).write.mode("append").parquet(feed)
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES if slices else FILES_PER_BATCH).parquet(feed)
+        rows.where(part).repartition(FILES * times).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", (FILES if slices else FILES_PER_BATCH) * times).parquet(feed)
         start(stream, checkpoint).awaitTermination()
     _delete(spark, feed)
     _delete(spark, checkpoint)

@@ -33,6 +33,8 @@ from larkspur.operators import mutations
 
 #: Bits for each key and bits that it sets in a Bloom filter: about one in a hundred ids is a false alarm.
 BLOOM_BITS, BLOOM_HASHES = 10, 5
+#: Rows of a bucket that one task writes: a larger bucket is dealt to several tasks, which leave a file each.
+BUCKET_ROWS = 250_000
 #: Generations of a bucket that appends may leave before they are put together.
 MAX_GENERATIONS = 16
 
@@ -107,10 +109,14 @@ class Store:
         paths = [f"{self.path}/data/epoch={g}/_bucket={b}" for b in sorted(held) if buckets is None or b in buckets for g in held[b]]
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
-    def _write(self, rows: DataFrame, epoch: int) -> list[int]:
-        """Write rows as a generation; returns the buckets that have some."""
+    def _write(self, rows: DataFrame, epoch: int, n: int, buckets: int) -> list[int]:
+        """Write rows, at most n in so many buckets, as a generation; returns the buckets that have some."""
         spark, path = rows.sparkSession, f"data/epoch={epoch}"
-        rows.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{self.path}/{path}")
+        parts = max(1, -(-n // (max(1, buckets) * BUCKET_ROWS)))
+        placed = rows.withColumn("_bucket", self.bucket())
+        part = F.pmod(F.xxhash64(*self.keys, F.lit(2)), F.lit(parts))
+        dealt = placed.repartition("_bucket") if parts == 1 else placed.repartition(max(1, buckets) * parts, "_bucket", part)
+        dealt.write.partitionBy("_bucket").mode("overwrite").parquet(f"{self.path}/{path}")
         return [int(n.split("=")[1]) for n in self._names(spark, path) if n.startswith("_bucket=")]
 
     def _touched(self, batch: DataFrame) -> list[int]:
@@ -123,7 +129,8 @@ class Store:
             return
         held, touched = self.held(spark), self._touched(batch)
         fields = spark.createDataFrame([], self.schema).columns
-        made = self._write(apply(self.read(spark, touched, held), batch).select(*fields), epoch)
+        state = self.read(spark, touched, held)
+        made = self._write(apply(state, batch).select(*fields), epoch, state.count() + batch.count(), len(touched))
         self._commit(spark, epoch, {b: g for b, g in held.items() if b not in touched} | {b: [epoch] for b in made})
 
     def append(self, rows: DataFrame, epoch: int) -> None:
@@ -132,8 +139,10 @@ class Store:
         if known and epoch <= known[-1]:
             return
         held = self.held(spark)
-        many = [b for b in self._touched(rows) if len(held.get(b, ())) >= MAX_GENERATIONS]
-        made = self._write(rows.unionByName(self.read(spark, many, held)) if many else rows, epoch)
+        touched = self._touched(rows)
+        many = [b for b in touched if len(held.get(b, ())) >= MAX_GENERATIONS]
+        whole = rows.unionByName(self.read(spark, many, held)) if many else rows
+        made = self._write(whole, epoch, whole.count(), len(touched))
         self._filters(spark.read.schema(self.schema).parquet(*(f"{self.path}/data/epoch={epoch}/_bucket={b}" for b in made)) if made else rows.limit(0), epoch)
         self._commit(spark, epoch, held | {b: [*(held.get(b, []) if b not in many else []), epoch] for b in made})
 

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from larkspur.operators import mutations, sequential, subscriptions
+from larkspur.plans import live_queries
 from larkspur.streaming import changes, live
 from larkspur.streaming import store as store_module
 from larkspur.streaming.store import Store, for_each
@@ -207,3 +209,24 @@ def test_counters_merge_without_a_recount(spark, tmp_path):
     for k, _, d in moves:
         want[k] = max(0, want.get(k, 0) + d)
     assert got == want
+
+
+def test_large_tables_come_in_more_files_and_large_buckets_in_several(spark, tmp_path, monkeypatch):
+    """No task reads or writes more rows when there are more, and the batches stay as many; results are the same."""
+    monkeypatch.setattr(live_queries, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 10, raising=False)
+    files, delete = [], live_queries._delete
+    monkeypatch.setattr(live_queries, "_delete", lambda spark, path: files.append(len(list(Path(path.removeprefix("file:")).glob("part-*.parquet")))) or delete(spark, path))
+    kept = Store(str(tmp_path / "kept"), "id long, seq int", ("id",), buckets=2)
+    rows = spark.range(1000).select((F.col("id") % 100).alias("id"), F.col("id").cast("int").alias("seq"))
+    merge, sizes = store_module.latest_wins(["id"], [F.desc("seq")]), []
+
+    def counted(state, batch):
+        sizes.append(batch.count())
+        return merge(state, batch)
+
+    live_queries._streamed(rows, lambda stream, at: kept.follow(stream, counted, at))
+    assert sorted(map(tuple, kept.read(spark).collect())) == [(i, 900 + i) for i in range(100)]
+    assert len(sizes) == 3 and sum(sizes) == 1000 and files[0] == 24
+    written = [len(list((tmp_path / "kept" / "data" / f"epoch={g}" / f"_bucket={b}").glob("*.parquet"))) for b, (g,) in kept.held(spark).items()]
+    assert len(written) == 2 and min(written) > 2
