@@ -5,17 +5,21 @@ chunks one after another.  About one chunk in eight of a partition is distinct,
 so a task keeps a table of the chunks that it has met, asks the tokenizer's
 library only for new ones (all new ones of a batch in one call), and puts the
 ids of a text together from the table.  The table lives with the Python
-worker, is emptied when it holds ``LIMIT`` bytes, and needs no shuffle: a
+worker, is emptied when it holds ``LIMIT`` bytes, or when all tables of the worker
+together do and another task is at work, and needs no shuffle: a
 table of the whole corpus would have to shuffle each partition's distinct
 chunks and each text's positions to save at most half of the segmentation.
 """
 
 from __future__ import annotations
 
+import weakref
 from array import array
 from collections.abc import Callable
 
-#: Bytes of a table, of keys and ids with what Python needs for each entry.
+from pyspark import TaskContext
+
+#: Bytes of a worker's tables, of keys and ids with what Python needs for each entry.
 LIMIT = 96 << 20
 ENTRY = 180
 
@@ -25,21 +29,47 @@ def packed(ids: list[int], kind: str = "I") -> bytes:
     return array(kind, ids).tobytes()
 
 
+_tables: weakref.WeakValueDictionary[int, Table] = weakref.WeakValueDictionary()
+
+
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
 class Table(dict):
-    """Bytes by string, and about how much memory they take."""
+    """Bytes by string, and about how much memory they take.
+
+    A worker serves one stage after another, so tables that earlier tasks have left
+    make room for the one in use.
+    """
 
     size = 0
+    task: int | None = None
+
+    def __init__(self) -> None:
+        super().__init__()
+        _tables[id(self)] = self
 
     def add(self, key: str, value: bytes) -> bytes:
         self[key] = value
         self.size += len(key) + len(value) + ENTRY
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
+
     def trim(self, limit: int = LIMIT) -> None:
-        """Start anew if the limit is passed."""
+        """Start anew if the limit is passed; if all tables pass it, those that this task hasn't used go."""
+        self.task = _task()
+        held = list(_tables.values())
+        if sum(t.size for t in held) > limit:
+            for other in held:
+                if other.task != self.task:
+                    other.empty()
         if self.size > limit:
-            self.clear()
-            self.size = 0
+            self.empty()
 
 
 class ChunkTable:

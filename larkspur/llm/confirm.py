@@ -22,6 +22,9 @@ itself, beside one class that all parts have; then every two parts meet, in task
 their own, unless the whole bucket is one group by then.  Components of over
 MAX_SETS classes are cut in the same way.  So no task holds more than two parts, and no
 pair is lost.
+
+Each step is written to the shared folder (``step``), and its shuffles go soon
+after: the disk holds the postings of a step or two, not of all.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.chunks import Table
 from larkspur.llm.components import connected
-from larkspur.llm.shared import HOT_SHARE, discard, join_small, join_wide, map_texts, materialise, runs, starts_of
+from larkspur.llm.shared import HOT_SHARE, discard, drop_shuffles, join_small, join_wide, map_texts, materialise, runs, starts_of
 
 #: Classes of a bucket that are searched together in a task.
 MAX_LIST = 20_000
@@ -68,6 +71,13 @@ class Search:
     percent: int = 80
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back; its shuffles go."""
+    made = materialise(df, name)
+    drop_shuffles(df.sparkSession)
+    return made
+
+
 class _Hashes(Table):
     """The 64-bit hash of a word, made when a task first asks for the word."""
 
@@ -133,7 +143,7 @@ def sharing(classes: DataFrame, search: Search) -> DataFrame:
     lists = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     of_class = join_wide(posted, lists, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n", "hub")).alias("lists"))  # at most as many as a class has buckets
     compared = F.substring("sig", 1, search.words * np.dtype(search.kind).itemsize)
-    return materialise(join_wide(classes.select("code", "size", compared.alias("sig"), "first", own.alias("id")), of_class, "id"), "members")
+    return step(join_wide(classes.select("code", "size", compared.alias("sig"), "first", own.alias("id")), of_class, "id"), "members")
 
 
 def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -320,23 +330,23 @@ def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, perc
 
 def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) -> DataFrame:
     """node, root of every class that hangs together with another one but the roots (see ``components.connected``); texts: th and text."""
-    pairs = materialise(proposed(_cells(members.withColumn("label", F.col("code")), False), search, PICKS), "proposed-pairs")
-    paired = materialise(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
-    first = materialise(confirmed(pairs, sets_of(join_wide(members, paired, "code", "left_semi"), texts, words), search.percent), "links")
+    pairs = step(proposed(_cells(members.withColumn("label", F.col("code")), False), search, PICKS), "proposed-pairs")
+    paired = step(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
+    first = step(confirmed(pairs, sets_of(join_wide(members, paired, "code", "left_semi"), texts, words), search.percent), "links")
     roots = connected(first)
     # A class without a candidate has none later, unless one of its buckets was searched in windows.
     wide = F.exists("lists", lambda x: x["n"] > WINDOW)
     left = members.where(wide).unionByName(join_wide(members.where(~wide), paired, "code", "left_semi"))
-    left = materialise(join_wide(left, roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
-    stars = materialise(proposed(_cells(left, True), search, None), "stars")
+    left = step(join_wide(left, roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
+    stars = step(proposed(_cells(left, True), search, None), "stars")
     made = roots
     if not stars.isEmpty():
         ends = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct()
-        more = materialise(confirmed_groups(stars, left, sets_of(join_wide(left, ends, "code", "left_semi"), texts, words), search.percent), "links")
+        more = step(confirmed_groups(stars, left, sets_of(join_wide(left, ends, "code", "left_semi"), texts, words), search.percent), "links")
         if not more.isEmpty():  # they join labels, so the first components need no second look
             later = connected(more)
             onward = later.select(F.col("node").alias("root"), F.col("root").alias("final"))
-            made = materialise(join_wide(roots, onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
+            made = step(join_wide(roots, onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
             discard(roots, later)
         discard(more)
     discard(members, left, pairs, paired, first, stars)
@@ -348,11 +358,11 @@ def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[Data
 
     texts: th and text, to find whole sets by; posted adds ``buckets`` to classes.  A class of size 0 is a group of its own.
     """
-    classes = materialise(classes_of(rows), "classes")
+    classes = step(classes_of(rows), "classes")
     members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")), search)
     roots = linked(members, texts, words, search)
     joined = join_wide(classes, roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
-    made = materialise(joined, "class-roots")
+    made = step(joined, "class-roots")
     discard(roots, classes)
     total = made.agg(F.sum("n")).first()[0] or 0
     return made, made.where(F.col("n") > HOT_SHARE * total)

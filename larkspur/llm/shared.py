@@ -64,6 +64,11 @@ def discard(*made: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is done: its cleaner takes what the driver's JVM has collected, which else waits until the heap is full."""
+    spark._jvm.System.gc()
+
+
 def join_hot(rows: DataFrame, right: DataFrame, key: str, hot: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
     """Join, but rows whose ``key`` is one of ``hot`` meet a broadcast of right's rows of these keys and are not shuffled.
 

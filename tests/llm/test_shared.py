@@ -69,3 +69,19 @@ def test_chunk_table_asks_for_new_keys_only():
 def test_small_and_large_joins_agree(spark):
     a, b = spark.range(40), spark.range(20)
     assert shared.join_small(a, b, "id").count() == shared.join_small(a, b, "id", rows=3).count() == 20
+
+
+def test_tables_of_earlier_tasks_make_room(monkeypatch):
+    """All tables of a worker together keep to the limit, whatever stages it has served; a task's own tables stay."""
+    task = [1]
+    monkeypatch.setattr(chunks, "_task", lambda: task[0], raising=False)
+    tables = [chunks.Table() for _ in range(3)]
+    for table in tables[:2]:
+        table.trim(1000)
+        for i in range(3):
+            table.add(f"key {i}", b"0123456789")
+    tables[0].trim(1000)
+    assert [len(t) for t in tables] == [3, 3, 0]
+    task[0] = 2
+    tables[2].trim(1000)
+    assert [len(t) for t in tables] == [0, 0, 0] and sum(t.size for t in tables) == 0

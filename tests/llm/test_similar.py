@@ -1,12 +1,14 @@
 """Near-dedup at a similarity, against exact similarities of all pairs."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.llm import confirm, similar
 from larkspur.llm.shared import materialise
@@ -164,3 +166,21 @@ def test_long_sets_in_pieces(monkeypatch):
     whole = similar.fingerprint(x)
     monkeypatch.setattr(similar, "AT_ONCE", 100)
     assert similar.fingerprint(x) == whole and len(whole) == 8 * similar.WORDS
+
+
+def test_no_step_leaves_its_shuffles_behind(spark):
+    """The shuffle files of a step are gone soon after the next one, without a heap that fills."""
+    counts = lambda n: spark.range(5000).withColumn("k", F.col("id") % n).groupBy("k").count().repartition(7, "k")
+    before = _shuffle_files(spark)
+    made = confirm.step(counts(700), "counts")
+    first = _shuffle_files(spark) - before
+    confirm.step(counts(600), "counts")
+    until = time.monotonic() + 20
+    while (left := first & _shuffle_files(spark)) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and made.count() == 700
+
+
+def _shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in files.split("\n") if "shuffle_" in name}
