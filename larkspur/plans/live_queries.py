@@ -58,17 +58,16 @@ def _replaced(*keys: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
 def live_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unread badges: sign-up events are read marks, all others notifications."""
     rows = t.events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("mark"))
-    store = Store(shared_path(spark, "unread"), "user_id long, unread long", ("user_id",))
-    with live.with_rocksdb(spark):
-        _streamed(rows, lambda stream, at: store.follow(live.unread(stream), _replaced("user_id"), at, "update"))
-    return store.read(spark)
+    store = Store(shared_path(spark, "unread"), live.WAITING, ("user_id",))
+    _streamed(rows, lambda stream, at: store.follow(stream, live.merge_unread, at))
+    return live.unread_of(store.read(spark))
 
 
 def live_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(shared_path(spark, "streaks"), "user_id long, current_streak long, longest_streak long, last_day date", ("user_id",))
-    with live.with_rocksdb(spark):
-        _streamed(t.events(spark, sf_dir).select("user_id", "ts"), lambda stream, at: store.follow(live.streaks(stream, ALL_TIME), _replaced("user_id"), at, "update"))
-    return store.read(spark)
+    """Streaks by runs of days that events in no order extend, join or begin."""
+    store = Store(shared_path(spark, "streaks"), live.RUNS, ("user_id",))
+    _streamed(t.events(spark, sf_dir).select("user_id", "ts"), lambda stream, at: store.follow(stream, live.merge_streaks, at))
+    return live.streaks_of(store.read(spark))
 
 
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,3 +230,55 @@ def test_large_tables_come_in_more_files_and_large_buckets_in_several(spark, tmp
     assert len(sizes) == 3 and sum(sizes) == 1000 and files[0] == 24
     written = [len(list((tmp_path / "kept" / "data" / f"epoch={g}" / f"_bucket={b}").glob("*.parquet"))) for b, (g,) in kept.held(spark).items()]
     assert len(written) == 2 and min(written) > 2
+
+
+def _random_events(seed):
+    """Events of 60 users and a null one over 40 days, some twice; a few users have most."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(4), *range(4), *range(60)]), i, NOW + dt.timedelta(minutes=rng.randrange(40 * 24 * 60)), rng.random() < 0.15) for i in range(700)]
+    rows += rng.sample(rows, 60)
+    rng.shuffle(rows)
+    return [(*r, i % 3) for i, r in enumerate(rows)]
+
+
+def test_streaks_merge_without_a_call_for_each_user(spark, tmp_path):
+    rows = _random_events(8)
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, mark boolean, part int")
+    store = Store(str(tmp_path / "runs"), live.RUNS, ("user_id",), 4)
+    for epoch in range(3):
+        store.merge(df.where(F.col("part") == epoch).select("user_id", "ts"), epoch, live.merge_streaks)
+    days = {}
+    for user, _, ts, *_ in rows:
+        days.setdefault(user, set()).add((ts + dt.timedelta(hours=3)).date())
+    want = {}
+    for user, of in days.items():
+        runs = []
+        for day in sorted(of):
+            runs = [*runs[:-1], (runs[-1][0], day)] if runs and (day - runs[-1][1]).days == 1 else [*runs, (day, day)]
+        lengths = [(b - a).days for a, b in runs]
+        want[user] = (lengths[-1], max(lengths), runs[-1][1])
+    assert {r[0]: tuple(r[1:]) for r in live.streaks_of(store.read(spark)).collect()} == want and None in want
+
+
+def test_unread_merges_without_a_call_for_each_user(spark, tmp_path):
+    rows = _random_events(9)
+    df = spark.createDataFrame(rows, "user_id long, id long, at timestamp_ntz, mark boolean, part int")
+    store = Store(str(tmp_path / "waiting"), live.WAITING, ("user_id",), 4)
+    for epoch in range(3):
+        store.merge(df.where(F.col("part") == epoch).drop("part"), epoch, live.merge_unread)
+    want = {}
+    for user in {r[0] for r in rows}:
+        last = max((at for u, _, at, mark, _ in rows if u == user and mark), default=dt.datetime.min)
+        want[user] = len({(i, at) for u, i, at, mark, _ in rows if u == user and not mark and at > last})
+    assert {tuple(r) for r in live.unread_of(store.read(spark)).collect()} == set(want.items())
+    assert 0 in want.values() and max(want.values()) > 3
+
+
+def test_live_queries_of_users_keep_no_state_by_key_in_python(spark, monkeypatch):
+    """The work of a batch is joins and windows over its rows, so it doesn't grow by a Python call for each user."""
+    ended = []
+    follow = Store.follow
+    monkeypatch.setattr(Store, "follow", lambda *a, **k: ended.append(follow(*a, **k)) or ended[-1])
+    sf_dir = "/root/testdata/sf0.001"
+    assert live_queries.live_streaks(spark, sf_dir).count() > 0 and live_queries.live_unread(spark, sf_dir).count() > 0
+    assert len(ended) == 2 and all(not p["stateOperators"] for q in ended for p in q.recentProgress)
