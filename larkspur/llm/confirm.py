@@ -7,7 +7,10 @@ times the union of the sets is at most a hundred times their intersection.  What
 is wanted are the linked groups, so a pair need not be looked at once both ends
 hang together:
 
-1. Buckets of one class hold no pair and go, before any signature is shuffled.
+1. Where most buckets hold one class and so no pair (``rare``), those go before any
+   signature is shuffled.  Else counting them costs more than it saves: classes go
+   straight to their buckets, a slice of the buckets after another, and only those of
+   over MAX_LIST classes are counted.
 2. First every bucket proposes for each class the most alike one.  These pairs
    meet the whole sets; a class that many others are paired with is dealt over as many
    tasks as its pairs need.  Components of the links that are found give labels.
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +65,7 @@ class Search:
     """words: numbers of ``kind`` at the start of a signature that are compared; strength(a, b): how alike the rows of two matrices are, row by row; least: from where on they are a candidate.
 
     pairs(sigs, labels): places (i, j) of all candidates of unlike labels of a longer list, in pieces.
+    rare: most buckets hold one class.  If not, the buckets are searched in so many ``slices``, and ``posted`` of ``groups`` takes a slice and their number.
     """
 
     kind: str
@@ -69,6 +74,8 @@ class Search:
     strength: Callable[[np.ndarray, np.ndarray], np.ndarray]
     pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
     percent: int = 80
+    rare: bool = True
+    slices: int = 1
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
@@ -157,20 +164,67 @@ def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return map_texts(texts, "shingles binary", rows, ("code",))
 
 
-def _cells(members: DataFrame, every: bool) -> DataFrame:
-    """bucket, i, j, part, code, size, sig, label: the members of each bucket, a large one's by parts."""
-    each = members.select("code", "size", "sig", "label", F.explode("lists").alias("l")).select("code", "size", "sig", "label", "l.bucket", "l.n", "l.hub")
-    if every:  # a bucket that is one group by now has nothing left
-        mixed_lists = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        each = join_wide(each, mixed_lists, "bucket", "left_semi")
-    parts = F.ceil(F.col("n") / MAX_LIST).cast("int")
-    each = each.withColumn("parts", parts).withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("code"), parts).cast("int")).otherwise(0))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
+def crowded(posted: DataFrame, classes: int) -> DataFrame:
+    """bucket, n, hub (its least class) of the buckets of over MAX_LIST classes; posted: id, bucket.
+
+    Buckets are counted by cells first, of a few dozen classes' postings each, so
+    that tasks hand on a number a cell, and one by one only in cells that are large enough.
+    """
+    posted = posted.withColumn("cell", F.pmod("bucket", F.lit(1 << max(12, (classes // 50).bit_length()))))
+    cells = step(posted.groupBy("cell").count().where(F.col("count") > MAX_LIST).select("cell"), "crowded-cells")
+    some = join_small(posted, cells, "cell", "left_semi", WANTED_ROWS)
+    made = step(some.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where(F.col("n") > MAX_LIST), "crowded")
+    discard(cells)
+    return made
+
+
+class Postings:
+    """Of some classes (code, size, sig, label and what else they came with), each with each of its buckets: bucket, n and hub too; n counts where it is over MAX_LIST."""
+
+    def __init__(self, classes: DataFrame, posted: Callable[..., DataFrame], search: Search):
+        self.posted, self.search, self.crowd = posted, search, None
+        if search.rare:
+            self.members = sharing(posted(classes), search)
+            return
+        self.members = classes
+        found = crowded(posted(classes.select("code", "sig")).select(F.xxhash64("code").alias("id"), F.explode("buckets").alias("bucket")), classes.count())
+        if not found.isEmpty():
+            self.crowd = found
+
+    def of(self, members: DataFrame, part: int) -> DataFrame:
+        """The postings in a slice of the buckets."""
+        own = ("code", "size", "sig", "label")
+        if self.search.rare:
+            return members.select(*own, F.explode("lists").alias("l")).select(*own, "l.*")
+        each = self.posted(members.select(*own), part, self.search.slices).select(*own, F.explode("buckets").alias("bucket"))
+        if self.crowd is None:
+            return each.withColumn("n", F.lit(0)).withColumn("hub", F.lit(0))
+        return join_small(each, self.crowd, "bucket", "left", WANTED_ROWS).withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def many(self, each: DataFrame) -> DataFrame | None:
+        """Those in buckets of over MAX_LIST classes, if there can be any."""
+        return each.where(F.col("n") > MAX_LIST) if self.search.rare or self.crowd is not None else None
+
+
+def _cells(members: DataFrame, postings: Postings, part: int, every: bool) -> DataFrame:
+    """bucket, i, j, part, code, size, sig, label: the members of each bucket of a slice, a large one's by parts from 1 on, else 0."""
+    columns = ("bucket", "i", "j", "part", "code", "size", "sig", "label")
+    each = postings.of(members, part)
+    whole = each.where(F.col("n") <= MAX_LIST).select("bucket", *(F.lit(0).alias(c) for c in ("i", "j", "part")), "code", "size", "sig", "label")
+    many = postings.many(each)
+    if many is None:
+        return whole
+    if every:  # a bucket that is one group by now has nothing left, and would meet itself part by part
+        mixed_lists = many.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        many = join_wide(many, mixed_lists, "bucket", "left_semi")
+    many = many.withColumn("parts", F.ceil(F.col("n") / MAX_LIST).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("code"), "parts").cast("int") + 1)
+    others = F.sequence(F.lit(1), F.col("parts"))
     if every:
         met = F.transform(others, lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
     else:
         met = F.transform(F.when(F.xxhash64("code") == F.col("hub"), others).otherwise(F.array("part")), lambda k: F.struct(k.alias("i"), k.alias("j")))
-    return each.withColumn("cell", F.explode(met)).select("bucket", "cell.i", "cell.j", "part", "code", "size", "sig", "label")
+    return whole.unionByName(many.withColumn("cell", F.explode(met)).select("bucket", "cell.i", "cell.j", *columns[3:]))
 
 
 def _small_pairs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +258,10 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def proposed(cells: DataFrame, search: Search, picks: int | None) -> DataFrame:
-    """a, b (a < b), each once: of each cell the ``picks`` most alike candidates of unlike labels of each class; or, with None, stars that span its candidates."""
+    """a, b (a < b), each once: of each cell the ``picks`` most alike candidates of unlike labels of each class; or, with None, stars that span its candidates.
+
+    With picks, a member of a cell that isn't searched as a whole, or isn't its whole bucket, also comes as a pair with itself.
+    """
     percent = search.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +305,9 @@ def proposed(cells: DataFrame, search: Search, picks: int | None) -> DataFrame:
                     _hook(parent, i, j)
                 else:
                     yield from emit(*_best(i, j, search.strength(sigs[i], sigs[j]), picks))
+            if picks is not None:
+                again = np.flatnonzero((np.repeat(np.diff(starts), np.diff(starts)) > WINDOW) | (keys[1] > 0))
+                yield from emit(again, again)
             member = np.flatnonzero(parent != np.arange(len(parent)))
             yield from emit(parent[member], member)
 
@@ -328,17 +388,30 @@ def confirmed_groups(stars: DataFrame, members: DataFrame, sets: DataFrame, perc
     return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "code").mapInArrow(run, "a binary, b binary")
 
 
-def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) -> DataFrame:
+def searched(members: DataFrame, postings: Postings, picks: int | None, name: str) -> DataFrame:
+    """``proposed`` of all buckets: a slice is written, and its shuffle gone, before the next one's postings are made."""
+    search = postings.search
+    found = [step(proposed(_cells(members, postings, part, picks is None), search, picks), name) for part in range(search.slices)]
+    if len(found) == 1:
+        return found[0]
+    made = step(reduce(DataFrame.union, found).distinct(), name)
+    discard(*found)
+    return made
+
+
+def linked(postings: Postings, texts: DataFrame, words: int) -> DataFrame:
     """node, root of every class that hangs together with another one but the roots (see ``components.connected``); texts: th and text."""
-    pairs = step(proposed(_cells(members.withColumn("label", F.col("code")), False), search, PICKS), "proposed-pairs")
-    paired = step(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
+    members, search = postings.members, postings.search
+    pairs = searched(members.withColumn("label", F.col("code")), postings, PICKS, "proposed-pairs")
+    # A class without a candidate has none later, unless one of its buckets was searched in windows or parts.
+    again = step(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "paired")
+    written, pairs = pairs, pairs.where("a <> b")
+    paired = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
     first = step(confirmed(pairs, sets_of(join_wide(members, paired, "code", "left_semi"), texts, words), search.percent), "links")
     roots = connected(first)
-    # A class without a candidate has none later, unless one of its buckets was searched in windows.
-    wide = F.exists("lists", lambda x: x["n"] > WINDOW)
-    left = members.where(wide).unionByName(join_wide(members.where(~wide), paired, "code", "left_semi"))
+    left = join_wide(members, again, "code", "left_semi")
     left = step(join_wide(left, roots, left["code"] == roots["node"], "left").withColumn("label", F.coalesce("root", "code")).drop("node", "root"), "members-left")
-    stars = step(proposed(_cells(left, True), search, None), "stars")
+    stars = searched(left, postings, None, "stars")
     made = roots
     if not stars.isEmpty():
         ends = stars.select(F.col("a").alias("code")).union(stars.select("b")).distinct()
@@ -349,20 +422,20 @@ def linked(members: DataFrame, texts: DataFrame, words: int, search: Search) ->
             made = step(join_wide(roots, onward, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(later), "roots")
             discard(roots, later)
         discard(more)
-    discard(members, left, pairs, paired, first, stars)
+    discard(members, left, written, again, first, stars)
     return made
 
 
-def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[[DataFrame], DataFrame], search: Search) -> tuple[DataFrame, DataFrame]:
+def groups(rows: DataFrame, texts: DataFrame, words: int, posted: Callable[..., DataFrame], search: Search) -> tuple[DataFrame, DataFrame]:
     """Two tables: code, n, first and root (a code that names the group) of each class of rows (doc_id, th, code, size, sig), and the hot ones among them.
 
     texts: th and text, to find whole sets by; posted adds ``buckets`` to classes.  A class of size 0 is a group of its own.
     """
     classes = step(classes_of(rows), "classes")
-    members = sharing(posted(classes.where("size > 0").select("code", "size", "sig", "first")), search)
-    roots = linked(members, texts, words, search)
+    postings = Postings(classes.where("size > 0").select("code", "size", "sig", "first"), posted, search)
+    roots = linked(postings, texts, words)
     joined = join_wide(classes, roots, classes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
     made = step(joined, "class-roots")
-    discard(roots, classes)
+    discard(roots, classes, *([] if postings.crowd is None else [postings.crowd]))
     total = made.agg(F.sum("n")).first()[0] or 0
     return made, made.where(F.col("n") > HOT_SHARE * total)

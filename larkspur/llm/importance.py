@@ -188,11 +188,13 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed:
 
 
 def take(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: str = SEED, k: int | None = None) -> DataFrame:
-    """The documents that are taken, with all their columns: they are written once beside their weights, so no text is shuffled."""
+    """The documents that are taken, with all their columns: each is weighed again as it is read, so no text is shuffled, and none written beside its weight."""
     fitted = fit(docs, labels, fit_rows)
     if fitted is None:
         return docs
-    weighed = weigh(aside(docs, "doc_id", "text"), fitted[0], ("doc_id", *places(docs.columns)))
-    weighed = materialise(weighed.withColumn("sample_key", sample_key(seed)), "weighed-documents")
-    least = kth_largest(weighed, "sample_key", target_size(weighed, fitted[1]) if k is None else k)
-    return back(weighed.where(F.col("sample_key") >= F.lit(least)), docs.columns)
+    weighed = lambda df, *keys: weigh(df, fitted[0], keys).withColumn("sample_key", sample_key(seed))
+    keyed = materialise(weighed(docs.select("doc_id", "text"), "doc_id"), "sample-keys")
+    least = kth_largest(keyed, "sample_key", target_size(keyed, fitted[1]) if k is None else k)
+    discard(keyed)
+    every = weighed(aside(docs, "doc_id", "text"), "doc_id", *places(docs.columns))
+    return back(every.where(F.col("sample_key") >= F.lit(least)), docs.columns)

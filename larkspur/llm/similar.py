@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import confirm
-from larkspur.llm.shared import aside, back, join_hot, materialise, places
+from larkspur.llm.shared import HOT_SHARE, aside, back, discard, join_hot, materialise, places
 from larkspur.llm.simhash import BITS, TOGETHER, GrayIndex
 
 SHINGLE, PERCENT = 5, 80
@@ -41,6 +41,8 @@ FIRST_BITS, ALL_BITS = 20, 72
 #: Bits of a key, and the share of pairs just at the similarity that shall share one.
 KEY_BITS, RECALL = 16, 0.95
 AT_ONCE = 4096
+#: Parts of the masks that are posted one after another, so that the disk holds the postings of one part.
+SLICES = 4
 
 _AGREE = 1 - math.acos(2 * PERCENT / (100 + PERCENT)) / math.pi
 MASKS = math.ceil(math.log(1 - RECALL) / math.log(1 - _AGREE**KEY_BITS))
@@ -59,13 +61,14 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
 
 
-def keys(words: np.ndarray) -> np.ndarray:
-    """A number for each mask and its bits of each fingerprint (a row of words)."""
+def keys(words: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
+    """A number for each mask (or every ``parts``-th from ``part`` on) and its bits of each fingerprint (a row of words)."""
     bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-    found = np.zeros((len(words), MASKS), np.uint64)
+    masks = np.arange(MASKS, dtype=np.uint64)[part::parts]
+    found = np.zeros((len(words), len(masks)), np.uint64)
     for b in range(KEY_BITS):
-        found |= bits[:, PLACES[:, b]].astype(np.uint64) << np.uint64(b)
-    return confirm.mixed(found | (np.arange(1, MASKS + 1, dtype=np.uint64) << np.uint64(32)))
+        found |= bits[:, PLACES[part::parts, b]].astype(np.uint64) << np.uint64(b)
+    return confirm.mixed(found | (masks + np.uint64(1) << np.uint64(32)))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,17 +87,18 @@ def search(words: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield i[near], j[near]
 
 
-SEARCH = confirm.Search("<u8", WORDS, BITS * WORDS - ALL_BITS, alike, search, PERCENT)
+SEARCH = confirm.Search("<u8", WORDS, BITS * WORDS - ALL_BITS, alike, search, PERCENT, rare=False, slices=SLICES)
 
 
-def with_keys(classes: DataFrame) -> DataFrame:
-    """classes plus buckets."""
+def with_keys(classes: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """classes plus buckets, those of every ``parts``-th mask from ``part`` on."""
+    masks = len(range(part, MASKS, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = batch.column(batch.schema.get_field_index("sig"))
-            found = keys(np.frombuffer(b"".join(sig.to_pylist()), "<u8").reshape(-1, WORDS)).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, MASKS, dtype=np.int32)), pa.array(found.ravel()))
+            found = keys(np.frombuffer(b"".join(sig.to_pylist()), "<u8").reshape(-1, WORDS), part, parts).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, masks, dtype=np.int32)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "buckets"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
@@ -104,18 +108,19 @@ def with_keys(classes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each group one row, of the smallest doc_id.
 
-    The documents are written once beside their fingerprints.  Of a class that
-    holds many documents all go but those of the kept id, before any shuffle.
+    Only digests and fingerprints are written; the rows that stay are found by id and
+    the text's digest, so each text is shuffled once, and those that many rows share not at all.
     """
     columns = docs.columns
-    made = confirm.coded(confirm.with_text_key(aside(docs, "text")), SHINGLE, fingerprint, (*places(columns), "th"))
-    marked = materialise(made.withColumn("code", F.coalesce("code", F.lit(b""))), "coded-documents")
-    id_at, text_at = (places(columns)[columns.index(c)] for c in ("doc_id", "text"))
-    rows = marked.select(F.col(id_at).alias("doc_id"), "th", "code", "size", "sig")
-    of_class, hot = confirm.groups(rows, marked.select("th", F.col(text_at).alias("text")), SHINGLE, with_keys, SEARCH)
-    first = F.min(F.struct("first.unknown", "first.doc_id", "code")).alias("first")
-    kept = of_class.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.code").alias("kept_code"))
-    stay = join_hot(marked, kept, "code", hot, (F.col("code") == F.col("kept_code")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
-    if not rows.groupBy("code", "doc_id").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["code", id_at])
-    return back(stay, columns)
+    made = confirm.coded(confirm.with_text_key(docs.select("doc_id", "text")), SHINGLE, fingerprint)
+    rows = materialise(made.withColumn("code", F.coalesce("code", F.lit(b""))), "coded")
+    of_class, _ = confirm.groups(rows, confirm.with_text_key(docs.select("text")), SHINGLE, with_keys, SEARCH)
+    first = F.min(F.struct("first.unknown", "first.doc_id", "first.th")).alias("first")
+    kept = confirm.step(of_class.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th")), "kept")
+    hot = confirm.step(rows.groupBy("th").count().where(F.col("count") > HOT_SHARE * rows.count()), "hot-texts")
+    repeated = not rows.groupBy("th", "doc_id").count().where("count > 1").isEmpty()
+    discard(rows, of_class)
+    id_at = places(columns)[columns.index("doc_id")]
+    keyed = confirm.with_text_key(aside(docs, "text")).drop("text")
+    stay = join_hot(keyed, kept, "th", hot, (F.col("th") == F.col("kept_th")) & F.col(id_at).eqNullSafe(F.col("kept_id")), "left_semi")
+    return back(stay.dropDuplicates(["th", id_at]) if repeated else stay, columns)

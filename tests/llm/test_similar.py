@@ -3,6 +3,7 @@
 import random
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import confirm, similar
-from larkspur.llm.shared import materialise
+from larkspur.llm.shared import materialise, shared_dir
 
 
 def jaccard(a, b):
@@ -181,6 +182,53 @@ def test_no_step_leaves_its_shuffles_behind(spark):
     assert not left and made.count() == 700
 
 
+def near_copies(n, words):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+    return [" ".join(edited(rng, base, 1)) for _ in range(n)]
+
+
+def test_no_step_holds_the_postings_of_all_masks(spark, monkeypatch):
+    """Whatever the classes share, what one step shuffles is their postings in a slice of the masks."""
+    counts = []
+    proposed = confirm.proposed
+    monkeypatch.setattr(confirm, "proposed", lambda cells, *a: counts.append(cells.count()) or proposed(cells, *a))
+    kept = similar.keep_one(spark.createDataFrame(list(enumerate(near_copies(60, 150))), "doc_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert max(counts) <= 60 * (similar.MASKS // 4 + 1)
+
+
+def test_no_text_stays_on_disk_beside_its_fingerprint(spark):
+    """What near-dedup has written when its rows are read is much less than the texts."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(400)) for _ in range(300)]
+    before = _shared_bytes(spark)
+    kept = similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == 300
+    assert _shared_bytes(spark) - before < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("max_list", [7, 20, 20_000])
+def test_crowded_buckets_in_parts(spark, monkeypatch, max_list):
+    """Buckets of near copies that are cut into parts give the groups of exact similarities."""
+    monkeypatch.setattr(confirm, "MAX_LIST", max_list)
+    monkeypatch.setattr(confirm, "SMALL", 3 if max_list == 7 else confirm.SMALL)
+    monkeypatch.setattr(confirm, "WINDOW", 4 if max_list == 7 else confirm.WINDOW)
+    texts = [*near_copies(50, 200), *(" ".join(f"u{i}x{j}" for j in range(50)) for i in range(30))]
+    kept = similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    exact = components(len(texts), alike_pairs(plain_sets(texts)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(exact))
+
+
+def test_postings_are_counted_in_cells_first(spark):
+    posted = spark.createDataFrame([(i, b) for b, n in ((5, 3), (-9, confirm.MAX_LIST + 1), (77, 40)) for i in range(n)], "id long, bucket long")
+    assert [tuple(r) for r in confirm.crowded(posted, 100).collect()] == [(-9, confirm.MAX_LIST + 1, 0)]
+
+
+def _shared_bytes(spark):
+    return sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+
 def _shuffle_files(spark):
     files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
     return {name for name in files.split("\n") if "shuffle_" in name}
